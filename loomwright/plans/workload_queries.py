@@ -248,20 +248,20 @@ MEAN4 = "(2 * sum(CAST(round(final_score * 10000) AS BIGINT)) + count(*)) // (2
 
 @query("cl17_task_reports", f"""WITH {ASSESS} SELECT user_id, source AS task_id, count(*) AS assessments, {MEAN4} AS overall_score,
  CASE WHEN avg(final_score) < 0.4 THEN 'low' WHEN avg(final_score) < 0.7 THEN 'medium' ELSE 'high' END AS overall_level,
- round(avg(coalesce(behavior_score, 0)), 6) AS avg_behavior_score, round(avg(coalesce(questionnaire_score, 0)), 6) AS avg_questionnaire_score FROM assessed GROUP BY ALL""")
+ round(avg(coalesce(behavior_score, 0)), 10) AS avg_behavior_score, round(avg(coalesce(questionnaire_score, 0)), 10) AS avg_questionnaire_score FROM assessed GROUP BY ALL""")
 def _(t):
     rows = assessments(t).drop("task_id").withColumn("task_id", c("source"))
-    return W.task_reports(rows).withColumns({n: F.round(n, 6) for n in ("avg_behavior_score", "avg_questionnaire_score")})
+    return W.task_reports(rows).withColumns({n: F.round(n, 10) for n in ("avg_behavior_score", "avg_questionnaire_score")})
 
 
-STATS = """count(*) AS total, round(avg(final_score), 6) AS avg_score, min(final_score) AS min_score, max(final_score) AS max_score,
+STATS = """count(*) AS total, round(avg(final_score), 10) AS avg_score, min(final_score) AS min_score, max(final_score) AS max_score,
  count(*) FILTER (level = 'low') AS n_low, count(*) FILTER (level = 'medium') AS n_medium, count(*) FILTER (level = 'high') AS n_high"""
 RECENT = "created_at >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY"
 
 
 @query("cl18_trend_summary", f"WITH {ASSESS} SELECT user_id, {STATS} FROM assessed WHERE {RECENT} GROUP BY ALL")
 def _(t):
-    return W.trend_summary(assessments(t), AS_OF, 7).withColumn("avg_score", F.round("avg_score", 6))
+    return W.trend_summary(assessments(t), AS_OF, 7).withColumn("avg_score", F.round("avg_score", 10))
 
 
 @query("cl18_trend_points", f"WITH {ASSESS} SELECT user_id, created_at, CAST(created_at AS DATE) AS date, final_score, level FROM assessed WHERE {RECENT}")
@@ -271,7 +271,7 @@ def _(t):
 
 @query("cl19_user_stats", f"WITH {ASSESS} SELECT user_id, {STATS} FROM assessed GROUP BY ALL")
 def _(t):
-    return W.user_stats(assessments(t)).withColumn("avg_score", F.round("avg_score", 6))
+    return W.user_stats(assessments(t)).withColumn("avg_score", F.round("avg_score", 10))
 
 
 HALVES = """r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, task_id) AS p, count(*) OVER (PARTITION BY user_id) AS n FROM src),
@@ -302,7 +302,7 @@ FROM g JOIN rate USING (user_id) LEFT JOIN pk USING (user_id)""")
 def _(t):
     out = W.trend_reports(assessments(t), AS_OF, 20)
     return out.select(
-        "user_id", "total", F.round("avg_score", 6).alias("avg_score"), "change_rate", "trend",
+        "user_id", "total", F.round("avg_score", 10).alias("avg_score"), "change_rate", "trend",
         F.coalesce(F.array_join("peak_times", ", "), F.lit("")).alias("peak_times"), F.size("risk_alerts").alias("n_alerts"),
         F.size("suggestions").alias("n_suggestions"),
     )

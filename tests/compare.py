@@ -27,7 +27,7 @@ def canon(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6) + 0.0
+        return "nan" if math.isnan(value) else round(value, 9) + 0.0
     if isinstance(value, dict):
         return tuple(sorted((str(k), canon(v)) for k, v in value.items()))
     if isinstance(value, (list, tuple)) or type(value).__name__ == "ndarray":

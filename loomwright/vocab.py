@@ -265,3 +265,18 @@ EEG_BANDS = {
 EEG_BANDS_HEADSET = {
     "delta": (0.5, 4.0), "theta": (4.0, 8.0), "alpha": (8.0, 13.0), "beta": (13.0, 30.0), "gamma": (30.0, 50.0),
 }
+
+# Node colours by type, the colour of other types, and display categories that differ from the type.
+NODE_COLOURS = {
+    "Disease": "#ff6b6b", "Symptom": "#4ecdc4", "Population": "#a29bfe", "Medicine": "#55efc4", "Prognosis": "#74b9ff",
+    "PhysicalExamination": "#ffeaa7", "LaboratoryExamination": "#fdcb6e", "ImagingExamination": "#e17055",
+    "PathologyExamination": "#d63031", "OtherExamination": "#e84393", "AbnormalExaminationResult": "#fd79a8",
+    "TCMTreatment": "#00b894", "Surgery": "#0984e3", "DrugTreatment": "#6c5ce7", "WesternPhysicalTherapy": "#00cec9",
+    "OtherTreatment": "#81ecec", "AnatomicalSite": "#dfe6e9", "AnatomicalSubstance": "#b2bec3",
+    "MedicalEquipment": "#636e72", "Hospital": "#2d3436", "Department": "#fab1a0", "Gene": "#a8e6cf",
+    "Microorganism": "#ff8b94", "PhysicalChemicalFactor": "#ffaaa5", "PsychologicalBehavior": "#ffd3b6",
+    "Lifestyle": "#dcedd2", "ImmuneFactor": "#ffecd2", "DisuseFactor": "#e0bbe4", "ICD10Code": "#9575cd",
+    "Synonym": "#b39ddb",
+}
+NODE_COLOUR_DEFAULT = "#9c27ff"
+DISPLAY_CATEGORIES = {"department": "location", "complication": "disease", "riskfactor": "disease", "unknown": "disease"}

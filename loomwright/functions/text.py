@@ -24,9 +24,21 @@ FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF_WIDTH = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literals(values) -> Column:
     """A bounded word list as an array literal."""
-    return F.array(*[F.lit(v) for v in values])
+    values = list(values)
+    if not values:
+        return F.array().cast("array<string>")
+    return F.expr(f"array({', '.join(_quoted(v) for v in values)})")
+
+
+def mapping(table: dict[str, str]) -> Column:
+    """A bounded lookup table as a map literal."""
+    return F.expr(f"map({', '.join(_quoted(x) for pair in table.items() for x in pair)})")
 
 
 def strip(c: Column) -> Column:
@@ -149,7 +161,7 @@ def is_valid_name(name: Column) -> Column:
 
 
 def _resolve(value: Column, names, aliases, default: str) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in {**aliases, **{n: n for n in names}}.items() for x in pair])
+    table = mapping({**aliases, **{n: n for n in names}})
     return F.coalesce(F.element_at(table, F.coalesce(strip(value), F.lit(""))), F.lit(default))
 
 
@@ -232,7 +244,7 @@ def entity_tag_type(raw: Column, tags=None) -> Column:
     """Type of ``name[tag]``; null for other tags and untagged names."""
     tags = tags or {"疾病": "DISEASE", "症状": "SYMPTOM"}
     tag = F.regexp_extract(raw, "^[^\\[]*\\[([^\\]]*)\\]?", 1)
-    table = F.create_map(*[F.lit(x) for pair in tags.items() for x in pair])
+    table = mapping(tags)
     return F.when(raw.contains("[") & raw.contains("]"), F.element_at(table, tag))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions import text as T
 from loomwright.operators.ranking import first_n, page, positions
 
 c = F.col
@@ -159,8 +160,7 @@ LEVELS = {"low": "低", "medium": "中", "high": "高"}
 
 
 def _label(name: str, table: dict[str, str]) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(F.element_at(labels, F.coalesce(c(name), F.lit(""))), c(name), F.lit(""))
+    return F.coalesce(F.element_at(T.mapping(table), F.coalesce(c(name), F.lit(""))), c(name), F.lit(""))
 
 
 def experiment_sheet(sessions: DataFrame, subjects: DataFrame) -> DataFrame:

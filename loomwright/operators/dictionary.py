@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,39 +19,49 @@ def top_keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> Data
     return ranked.select(id_col, "word", "n", "place")
 
 
+GRAM_SIZES = (8, 4, 2, 1)
+
+
 def _grams(text: Column, size: int) -> Column:
-    """Distinct character n-grams of a text; empty when it is shorter than ``size``."""
-    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
-    return F.when(F.length(text) >= size, grams).otherwise(F.array().cast("array<string>"))
+    """Distinct character n-grams of a text: non-overlapping runs taken at every offset below ``size``."""
+    pattern = F.lit(f"(?s).{{{size}}}")
+    runs = [F.regexp_extract_all(F.substr(text, F.lit(1 + offset)), pattern, F.lit(0)) for offset in range(size)]
+    return F.array_distinct(F.concat(*runs))
+
+
+def _gram_size(name: Column) -> Column:
+    """Largest gram size that fits into a name."""
+    out = F.lit(1)
+    for size in sorted(GRAM_SIZES)[1:]:
+        out = F.when(F.length(name) >= size, size).otherwise(out)
+    return out
 
 
 def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name",
-                  literal_limit: int = 200, gram: int = 3) -> DataFrame:
+                  literal_limit: int = 200) -> DataFrame:
     """(id, columns of ``names``) for every name occurring anywhere in a text.
 
     A dictionary of at most ``literal_limit`` distinct names is tested inside the text scan, without a shuffle. A
-    larger one is joined on its first characters, so no side is broadcast and no pair is formed without a shared gram.
+    larger one is joined on its leading characters, so no side is broadcast and no pair is formed without a shared
+    n-gram; longer names meet on longer grams.
     """
     distinct = names.select(name_col).filter(F.length(name_col) > 0).distinct()
     known = [r[0] for r in distinct.limit(literal_limit + 1).collect()]
-    if not known:
-        return texts.select(id_col).limit(0).join(names, F.lit(True))
     if len(known) <= literal_limit:
         found = F.filter(T.literals(known), lambda k: F.instr(F.col(text_col), k) > 0)
         hits = texts.select(id_col, F.explode(found).alias(name_col))
         return hits.join(names, name_col)
-    long_names = distinct.filter(F.length(name_col) >= gram).withColumn("_gram", F.substring(name_col, 1, gram))
-    wanted = long_names.select("_gram").distinct()
-    keyed = texts.select(id_col, F.explode(_grams(F.col(text_col), gram)).alias("_gram"))
-    candidates = keyed.join(wanted, "_gram", "left_semi").join(long_names, "_gram").select(id_col, name_col)
-    checked = candidates.join(texts.select(id_col, text_col), id_col).filter(F.expr(f"contains({text_col}, {name_col})"))
-    hits = checked.select(id_col, name_col)
-    for size in range(1, gram):
-        short = distinct.filter(F.length(name_col) == size)
-        pieces = texts.select(id_col, F.explode(_grams(F.col(text_col), size)).alias(name_col))
-        hits = hits.union(pieces.join(short, name_col, "left_semi").select(id_col, name_col))
-    return hits.join(names, name_col)
+    sized = distinct.withColumn("_size", _gram_size(F.col(name_col))).withColumn("_gram", F.expr(f"substr({name_col}, 1, _size)"))
+    parts = []
+    for size in [r[0] for r in sized.select("_size").distinct().collect()]:
+        keys = sized.filter(F.col("_size") == size).select(name_col, "_gram")
+        grams = texts.select(id_col, F.explode(_grams(F.col(text_col), size)).alias("_gram"))
+        parts.append(grams.join(keys, "_gram").select(id_col, name_col))
+    candidates = reduce(DataFrame.union, parts)
+    exact = candidates.filter(F.length(name_col) == _gram_size(F.col(name_col)))
+    longer = candidates.filter(F.length(name_col) > _gram_size(F.col(name_col)))
+    checked = longer.join(texts.select(id_col, text_col), id_col).filter(F.expr(f"contains({text_col}, {name_col})"))
+    return exact.union(checked.select(id_col, name_col)).join(names, name_col)
 
 
 def longest_match(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:

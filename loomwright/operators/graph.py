@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
+from loomwright.functions import text as T
 from loomwright.operators.ranking import first_n, page
 
 c = F.col
@@ -149,8 +150,7 @@ def graph_page(nodes: DataFrame, edges: DataFrame, limit: int = 100, offset: int
 def visual(nodes: DataFrame) -> DataFrame:
     """Symbol size from the importance, colour from the type, and the display category."""
     def lookup(key: Column, table: dict[str, str], default: Column | str) -> Column:
-        pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-        return F.coalesce(F.element_at(pairs, key), default if isinstance(default, Column) else F.lit(default))
+        return F.coalesce(F.element_at(T.mapping(table), key), default if isinstance(default, Column) else F.lit(default))
 
     kind = F.coalesce("type", F.lit("Entity"))
     importance = F.coalesce(c("properties")["importance"].try_cast("double"), F.lit(1.0))

@@ -20,6 +20,6 @@ MODEL_OUTPUT = (
     "relations:array<struct<subject:string,predicate:string,object:string>>>"
 )
 IMPORT_DOCUMENT = (
-    "struct<entities:array<struct<type:string,properties:map<string,string>>>,"
+    "struct<entities:array<struct<name:string,type:string,properties:map<string,string>>>,"
     "relationships:array<struct<source:string,target:string,type:string,properties:map<string,string>>>>"
 )

@@ -162,11 +162,19 @@ def _(t):
 # --- whole lineages ------------------------------------------------------------------------------------------------
 
 
-@query("ch7_prepare_corpus")
+MERGED = f"(WITH {SHARDS}, m AS (SELECT path, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM sh GROUP BY ALL) SELECT path AS doc_id, {TQ.SQL_CLEAN} AS text FROM (SELECT path, {LINES} AS lines FROM m WHERE NOT starts_with({S.strip('text')}, 'ERROR:')))"
+
+
+@query("ch7_prepare_corpus", f"""SELECT doc_id AS path, chunk_index, chunk, doc_id || '_chunk_' || chunk_index AS chunk_id FROM ({TQ.sql_blocks(TQ.WORDS, MERGED, 1000, True, 0, "' '", extra=1)})""")
 def _(t):
     return B.prepare_corpus(shard_lines(t))
 
 
+@query("ch7_stage_counts", f"SELECT (SELECT count(DISTINCT conv_id) FROM conversations WHERE turn % 5 <> 4) AS extracted, (SELECT count(*) FROM {MERGED}) AS cleaned, (SELECT count(*) FROM conversations WHERE turn % 5 = 4) AS dropped, (SELECT count(*) FROM ({TQ.sql_blocks(TQ.WORDS, MERGED, 1000, True, 0, "' '", extra=1)})) AS chunks")
+def _(t):
+    return B.stage_counts(shard_lines(t))
+
+
 # Words and types the stand-in extractor looks for.
 TERMS = {"the": "Disease", "tion": "Symptom", "und": "疾病", "que": "Medicine", "les": "nothing", "ing": "症状"}
 PARAGRAPHS = TQ.sql_blocks(TQ.SQL_SENTENCES, f"(SELECT doc_id, {TQ.SQL_GRAPH_CLEAN} AS text FROM documents)", 1000, False, 0, "'。'", "'。'")

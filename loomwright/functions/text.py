@@ -6,6 +6,7 @@ ASCII shorthands of the regex engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,8 @@ from loomwright import vocab as V
 
 WS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 NOT_WS = "[^" + WS[1:]
+# one white-space character other than the plain space; the cheap class in front rejects ASCII text at once
+RARE_WS = f"[^!-~ ](?<={WS})"
 WORD = "[\\p{L}\\p{N}_]"
 EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 CJK = "\\u4e00-\\u9fa5"
@@ -46,12 +49,17 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space become one space; the ends are trimmed."""
-    return strip(F.regexp_replace(c, f"{WS}+", " "))
+    """Runs of white space become one space; the ends are trimmed. Single plain spaces are left alone."""
+    return strip(F.regexp_replace(c, f" {WS}+|{RARE_WS}{WS}*", " "))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also inside array functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unify_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\\r\\n?", "\n")
+    return F.when(c.contains("\r"), F.regexp_replace(c, "\\r\\n?", "\n")).otherwise(c)
 
 
 def any_in(text: Column, words) -> Column:
@@ -77,8 +85,14 @@ NOISE_CLASS = "".join("\\" + c for c in V.NOISE_PUNCTUATION)
 
 def before_cutoff(lines: Column) -> Column:
     """Lines up to the first reference or acknowledgement heading."""
-    cut = F.array_position(F.transform(lines, lambda x: x.rlike(CUTOFF_LINE)), True)
-    return F.when(cut == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(cut.cast("int") - 1, F.lit(0))))
+
+    def until(all_lines: Column, cut: Column) -> Column:
+        return F.when(cut == 0, all_lines).otherwise(F.slice(all_lines, F.lit(1), F.greatest(cut - 1, F.lit(0))))
+
+    def cut_at(all_lines: Column) -> Column:
+        return F.array_position(F.transform(all_lines, lambda x: x.rlike(CUTOFF_LINE)), True).cast("int")
+
+    return bind(lines, lambda ls: bind(cut_at(ls), lambda cut: until(ls, cut)))
 
 
 def is_page_mark(line: Column) -> Column:
@@ -91,8 +105,8 @@ def is_caption(line: Column) -> Column:
 
 def is_garbage(line: Column) -> Column:
     """Shorter than 6, blank, or more than 60% digits and punctuation among the visible characters."""
-    visible = F.length(F.regexp_replace(line, f"{WS}+", ""))
-    noise = F.length(F.regexp_replace(line, f"[^\\p{{Nd}}{NOISE_CLASS}]+", ""))
+    visible = F.length(F.regexp_replace(F.replace(line, F.lit(" "), F.lit("")), f"(?:{RARE_WS})+", ""))
+    noise = F.length(line) - F.length(F.regexp_replace(line, f"[\\p{{Nd}}{NOISE_CLASS}]+", ""))
     return (F.length(line) < 6) | (visible == 0) | (noise / F.greatest(visible, F.lit(1)) > 0.6)
 
 
@@ -105,14 +119,14 @@ def is_stray_short(line: Column) -> Column:
 def scrub_inline(line: Column) -> Column:
     """Remove citations, links and mail addresses from one line, then squeeze white space."""
     patterns = [
-        f"\\[(?:[0-9,\\-]|{WS})+\\]",
-        "\\([A-Z][A-Za-z][^\\n]{0,40}?\\p{Nd}{4}\\)",
-        f"https?://{NOT_WS}+",
-        f"{EDGE}[\\p{{L}}\\p{{N}}_.\\-]+@[\\p{{L}}\\p{{N}}_.\\-]+\\.{WORD}+{EDGE}",
+        ("[", f"\\[(?:[0-9,\\-]|{WS})+\\]"),
+        ("(", "\\([A-Z][A-Za-z][^\\n]{0,40}?\\p{Nd}{4}\\)"),
+        ("http", f"https?://{NOT_WS}+"),
+        ("@", f"{EDGE}[\\p{{L}}\\p{{N}}_.\\-]+@[\\p{{L}}\\p{{N}}_.\\-]+\\.{WORD}+{EDGE}"),
     ]
-    for pattern in patterns:
-        line = F.regexp_replace(line, pattern, "")
-    return strip(F.regexp_replace(line, f"{WS}{{2,}}", " "))
+    for needed, pattern in patterns:
+        line = F.when(line.contains(needed), F.regexp_replace(line, pattern, "")).otherwise(line)
+    return strip(F.regexp_replace(line, f" {WS}+|{RARE_WS}{WS}+", " "))
 
 
 def clean_lines(text: Column) -> Column:
@@ -133,7 +147,8 @@ def normalize_control(text: Column) -> Column:
 
 def graph_clean(text: Column) -> Column:
     """Squeeze white space, then keep CJK, ASCII letters and digits and a punctuation list."""
-    return strip(F.regexp_replace(collapse(text), f"[^{CJK}a-zA-Z0-9，。！？、；：\"（）【】《》\\-.?! ]", ""))
+    dropped = f"(?:[^a-z ](?<![{CJK}A-Z0-9，。！？、；：\"（）【】《》\\-.?!]))+"
+    return strip(F.regexp_replace(collapse(text), dropped, ""))
 
 
 def sentences(text: Column) -> Column:
@@ -149,7 +164,9 @@ def cjk_runs(text: Column, low: int = 2, high: int = 4) -> Column:
 
 def normalize_name(name: Column) -> Column:
     """Trim, full width to half width, single spaces; null becomes ''."""
-    return F.coalesce(collapse(F.translate(strip(name), FULL_WIDTH, HALF_WIDTH)), F.lit(""))
+    trimmed = strip(name)
+    narrow = F.when(trimmed.rlike("[\\u3000\\uff01-\\uff5e]"), F.translate(trimmed, FULL_WIDTH, HALF_WIDTH)).otherwise(trimmed)
+    return F.coalesce(collapse(narrow), F.lit(""))
 
 
 def is_valid_name(name: Column) -> Column:

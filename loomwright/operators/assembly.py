@@ -103,12 +103,10 @@ def merge_relations(relations: DataFrame) -> DataFrame:
     return relations.groupBy("subject", "predicate", "object").agg(first).select("subject", "predicate", "object", "_f.unit_id", "_f.pos")
 
 
-def build_counts(sentences: DataFrame, paragraphs: DataFrame, entities: DataFrame, relations: DataFrame, key: str) -> DataFrame:
-    """Rows per document in each of the four tables, in one aggregation."""
-    names = ["sentences", "paragraphs", "entities", "relations"]
-    tables = [sentences, paragraphs, entities, relations]
-    tagged = [t.select(key, *[F.lit(int(i == j)).alias(n) for j, n in enumerate(names)]) for i, t in enumerate(tables)]
-    return reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
+def build_counts(key: str, **tables: DataFrame) -> DataFrame:
+    """Sum of ``n`` per key in each named table ``(key, n)``, in one aggregation."""
+    tagged = [t.select(key, *[(c("n") if name == own else F.lit(0)).cast("bigint").alias(name) for name in tables]) for own, t in tables.items()]
+    return reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*[F.sum(name).alias(name) for name in tables])
 
 
 def batch_totals(documents: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from loomwright import schemas
 from loomwright.functions import text as T
 from loomwright.operators import assembly as A
 from loomwright.operators import chunking as C
+from loomwright.session import cut_lineage
 from loomwright.sources import corpus as CO
 
 c = F.col
@@ -119,11 +120,12 @@ class GraphBuild:
 
     def __init__(self, documents: DataFrame, extractor: Callable[[list[str]], list[str]], size: int = 1000):
         cleaned = documents.select(c("doc_id").cast("string").alias("doc_id"), T.graph_clean(c("text")).alias("text"))
-        self.sentences = cleaned.select("doc_id", F.explode(T.sentences(c("text"))).alias("sentence"))
+        self.sentences = cleaned.select("doc_id", F.size(T.sentences(c("text"))).alias("n"))
         rows = C.chunk(cleaned, "extraction", size=size)
         unit = F.concat_ws(":", "doc_id", F.lpad(c("chunk_index").cast("string"), 8, "0"))
         self.paragraphs = rows.withColumn("unit_id", unit)
-        self.parsed = parse_outputs(extract(self.paragraphs, extractor))
+        # model outputs are the dear part of the lineage: written once, whatever is asked of the build later
+        self.parsed = cut_lineage(parse_outputs(extract(self.paragraphs, extractor)))
         self.classified = A.classify_entities(_rows(self.parsed, "entities"))
         self.entities = A.valid_entities(self.classified)
         self.relation_classes = A.classify_relations(_rows(self.parsed, "relations"), self.entities)
@@ -143,7 +145,10 @@ class GraphBuild:
         return self._with_doc(self.relations).select("doc_id", "subject", "predicate", "object").distinct()
 
     def counts(self) -> DataFrame:
-        return A.build_counts(self.sentences, self.paragraphs, self.document_entities(), self.document_relations(), "doc_id")
+        one = F.lit(1).alias("n")
+        return A.build_counts(
+            "doc_id", sentences=self.sentences.filter("n > 0"), paragraphs=self._with_doc(self.parsed).select("doc_id", one),
+            entities=self.document_entities().select("doc_id", one), relations=self.document_relations().select("doc_id", one))
 
     def stats(self) -> DataFrame:
         return A.validation_stats(self.classified, self.relation_classes, self.relations)

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 
+try:
+    import ahocorasick
+except ImportError:
+    ahocorasick = None
+
 
 def top_keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent 2-4 character runs per text; ties by first appearance."""
@@ -37,20 +44,31 @@ def _gram_size(name: Column) -> Column:
     return out
 
 
-def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name",
-                  literal_limit: int = 200) -> DataFrame:
-    """(id, columns of ``names``) for every name occurring anywhere in a text.
+def _found_by_automaton(texts: DataFrame, known: list[str], id_col: str, text_col: str, name_col: str) -> DataFrame:
+    """One pass over every text with all names at once, inside the tasks."""
+    schema = f"`{id_col}` {dict(texts.dtypes)[id_col]}, `{name_col}` string"
 
-    A dictionary of at most ``literal_limit`` distinct names is tested inside the text scan, without a shuffle. A
-    larger one is joined on its leading characters, so no side is broadcast and no pair is formed without a shared
-    n-gram; longer names meet on longer grams.
-    """
-    distinct = names.select(name_col).filter(F.length(name_col) > 0).distinct()
-    known = [r[0] for r in distinct.limit(literal_limit + 1).collect()]
-    if len(known) <= literal_limit:
-        found = F.filter(T.literals(known), lambda k: F.instr(F.col(text_col), k) > 0)
-        hits = texts.select(id_col, F.explode(found).alias(name_col))
-        return hits.join(names, name_col)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for name in known:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [list({name for _, name in automaton.iter(t)}) if isinstance(t, str) else [] for t in batch[text_col]]
+            pairs = pd.DataFrame({id_col: batch[id_col].to_numpy(), name_col: found}).explode(name_col)
+            yield pairs[pairs[name_col].notna()]
+
+    return texts.select(id_col, text_col).mapInPandas(run, schema)
+
+
+def _found_by_literals(texts: DataFrame, known: list[str], id_col: str, text_col: str, name_col: str) -> DataFrame:
+    text = F.col(text_col)
+    found = F.filter(T.literals(known), lambda k: F.contains(text, k))
+    return texts.select(id_col, F.explode(found).alias(name_col))
+
+
+def _found_by_grams(texts: DataFrame, distinct: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
+    """Texts and names meet on the leading characters of a name; longer names meet on longer grams."""
     sized = distinct.withColumn("_size", _gram_size(F.col(name_col))).withColumn("_gram", F.expr(f"substr({name_col}, 1, _size)"))
     parts = []
     for size in [r[0] for r in sized.select("_size").distinct().collect()]:
@@ -61,7 +79,29 @@ def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str
     exact = candidates.filter(F.length(name_col) == _gram_size(F.col(name_col)))
     longer = candidates.filter(F.length(name_col) > _gram_size(F.col(name_col)))
     checked = longer.join(texts.select(id_col, text_col), id_col).filter(F.expr(f"contains({text_col}, {name_col})"))
-    return exact.union(checked.select(id_col, name_col)).join(names, name_col)
+    return exact.union(checked.select(id_col, name_col))
+
+
+def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name",
+                  automaton_limit: int = 20_000, literal_limit: int = 200) -> DataFrame:
+    """(id, columns of ``names``) for every name occurring anywhere in a text.
+
+    A dictionary within the limits travels to the tasks (as an automaton, or as literals where that library is
+    missing) and is looked up inside the text scan, without a shuffle. A larger one is joined on n-grams, so no side is
+    broadcast and no pair is formed without a shared n-gram.
+    """
+    distinct = names.select(name_col).filter(F.length(name_col) > 0).distinct()
+    limit = literal_limit if ahocorasick is None else automaton_limit
+    known = [r[0] for r in distinct.limit(limit + 1).collect()]
+    if not known:
+        hits = _found_by_literals(texts, known, id_col, text_col, name_col)
+    elif len(known) > limit:
+        hits = _found_by_grams(texts, distinct, id_col, text_col, name_col)
+    elif ahocorasick is None:
+        hits = _found_by_literals(texts, known, id_col, text_col, name_col)
+    else:
+        hits = _found_by_automaton(texts, known, id_col, text_col, name_col)
+    return hits.join(names, name_col)
 
 
 def longest_match(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:

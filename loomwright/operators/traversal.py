@@ -7,6 +7,8 @@ most. AQE splits the partitions of hub nodes in the frontier join; no side is br
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[
     the smallest id is kept, with the smallest relation.
     """
     keys = keys or []
-    steps = both_ways(edges).select("from", "rel", "to")
+    steps = cut_lineage(both_ways(edges).select("from", "rel", "to"))
     none = F.lit(None).cast("string")
     frontier = seeds.select(*keys, "id").distinct().withColumns({"hop": F.lit(0), "parent": none, "rel": none})
     visited = frontier = cut_lineage(frontier)
@@ -75,41 +77,47 @@ def path_hits(paths: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
     return top.withColumn("relevance_score", 1.0 / (1.0 + 0.3 * c("hop")))
 
 
-def _shortest_from(sources: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(source, id, d, nodes, rels): a shortest path from each source to every node within ``depth`` edges."""
-    steps = both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel"))
+def _shortest_from(sources: DataFrame, steps: DataFrame, depth: int) -> list[DataFrame]:
+    """For d = 0 to ``depth`` the rows (source, id, nodes, rels) of nodes first reached by d edges."""
     start = sources.select(c("id").alias("source"), "id").distinct()
-    frontier = start.withColumns({"d": F.lit(0), "nodes": F.array("id"), "rels": F.array().cast("array<string>")})
-    seen = frontier = cut_lineage(frontier)
-    for d in range(1, depth + 1):
+    seen = frontier = cut_lineage(start.withColumns({"nodes": F.array("id"), "rels": F.array().cast("array<string>")}))
+    levels = [frontier]
+    for _ in range(depth):
         grown = frontier.withColumnRenamed("id", "from").join(steps, "from")
         step = F.struct(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"))
         reached = grown.groupBy("source", c("to").alias("id")).agg(F.min(step).alias("_f"))
         fresh = reached.join(seen.select("source", "id"), ["source", "id"], "left_anti")
-        frontier = cut_lineage(fresh.select("source", "id", F.lit(d).alias("d"), "_f.nodes", "_f.rels"))
+        frontier = cut_lineage(fresh.select("source", "id", "_f.nodes", "_f.rels"))
         seen = seen.unionByName(frontier)
-    return seen
+        levels.append(frontier)
+    return levels
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
     """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges.
 
-    Both ends grow to half the length and meet in the middle: a path of length L shows up at the node that is
-    ceil(L/2) from the start and floor(L/2) from the goal.
+    Both ends grow to half the length and meet in the middle: a path of length L shows up at the nodes that are
+    ceil(L/2) from the start and floor(L/2) from the goal. Lengths are tried upwards, for the open pairs only; the
+    meeting node is found on ids alone (the smallest one is kept), the paths are fetched for it afterwards.
     """
     limit = min(max_edges, MAX_PATH_EDGES)
-    pairs = pairs.select("start", "goal").distinct().filter("start <> goal")
-    ahead = _shortest_from(pairs.select(c("start").alias("id")), edges, (limit + 1) // 2)
-    back = _shortest_from(pairs.select(c("goal").alias("id")), edges, limit // 2)
-    left = pairs.join(ahead.select(c("source").alias("start"), "id", c("d").alias("d1"), c("nodes").alias("n1"), c("rels").alias("r1")), "start")
-    right = back.select(c("source").alias("goal"), "id", c("d").alias("d2"), c("nodes").alias("n2"), c("rels").alias("r2"))
-    met = left.join(right, ["goal", "id"]).filter(c("d1") - c("d2") <= 1).filter(c("d1") >= c("d2"))
-    rest = F.slice(F.reverse("n2"), F.lit(2), F.greatest(F.size("n2") - 1, F.lit(0)))
-    found = F.struct(
-        (c("d1") + c("d2")).alias("path_length"), F.concat("n1", rest).alias("path_nodes"), F.concat("r1", F.reverse("r2")).alias("relation_types"))
-    best = met.groupBy("start", "goal").agg(F.min(found).alias("_f"))
-    score = 1.0 / (1.0 + 0.2 * c("path_length"))
-    return best.select("start", "goal", "_f.path_length", "_f.path_nodes", "_f.relation_types").withColumn("relevance_score", score)
+    pairs = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
+    steps = cut_lineage(both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel")))
+    ahead = _shortest_from(pairs.select(c("start").alias("id")), steps, (limit + 1) // 2)
+    back = _shortest_from(pairs.select(c("goal").alias("id")), steps, limit // 2)
+    open_pairs, found = pairs, []
+    for length in range(1, limit + 1):
+        left, right = ahead[(length + 1) // 2], back[length // 2]
+        starts = open_pairs.join(left.select(c("source").alias("start"), "id"), "start")
+        met = starts.join(right.select(c("source").alias("goal"), "id"), ["goal", "id"]).groupBy("start", "goal").agg(F.min("id").alias("id"))
+        met = cut_lineage(met)
+        first = left.select(c("source").alias("start"), "id", c("nodes").alias("n1"), c("rels").alias("r1"))
+        last = right.select(c("source").alias("goal"), "id", c("nodes").alias("n2"), c("rels").alias("r2"))
+        rest = F.slice(F.reverse("n2"), F.lit(2), F.greatest(F.size("n2") - 1, F.lit(0)))
+        found.append(met.join(first, ["start", "id"]).join(last, ["goal", "id"]).select(
+            "start", "goal", F.lit(length).alias("path_length"), F.concat("n1", rest).alias("path_nodes"), F.concat("r1", F.reverse("r2")).alias("relation_types")))
+        open_pairs = open_pairs.join(met.select("start", "goal"), ["start", "goal"], "left_anti")
+    return reduce(DataFrame.unionByName, found).withColumn("relevance_score", 1.0 / (1.0 + 0.2 * c("path_length")))
 
 
 def paths_between_names(names: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 10) -> DataFrame:

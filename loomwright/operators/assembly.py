@@ -17,9 +17,18 @@ from loomwright.functions import text as T
 c = F.col
 
 
+def _computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Replace columns through a one-row generator.
+
+    Filters on the new columns would otherwise be pushed below and repeat the whole expression per use.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*[n for n in df.columns if n not in columns], F.inline(F.array(row)))
+
+
 def classify_entities(entities: DataFrame) -> DataFrame:
     """One row per (unit, normal name) that is not empty: validity, first occurrence, number of occurrences."""
-    named = entities.withColumn("name", T.normalize_name(c("name"))).filter("name <> ''")
+    named = _computed_once(entities, name=T.normalize_name(c("name"))).filter("name <> ''")
     first = F.min(F.struct("pos", "type", "description"))
     grouped = named.groupBy("unit_id", "name").agg(first.alias("_f"), F.count("*").alias("n"))
     return grouped.select(
@@ -35,9 +44,9 @@ def valid_entities(classified: DataFrame) -> DataFrame:
 
 def classify_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """Every relation with its first reason for rejection, or null; ``entities`` are the valid ones."""
-    rows = relations.select(
-        "unit_id", "pos", T.normalize_name(c("subject")).alias("subject"), T.resolve_relation_type(c("predicate")).alias("predicate"),
-        T.normalize_name(c("object")).alias("object"),
+    rows = _computed_once(
+        relations.select("unit_id", "pos", "subject", "predicate", "object"), subject=T.normalize_name(c("subject")),
+        predicate=T.resolve_relation_type(c("predicate")), object=T.normalize_name(c("object")),
     )
     subjects = entities.select("unit_id", c("name").alias("subject"), c("type").alias("subject_type"))
     objects = entities.select("unit_id", c("name").alias("object"), c("type").alias("object_type"))

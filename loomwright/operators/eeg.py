@@ -122,7 +122,7 @@ def spectral_features(samples: DataFrame, fs: int = 256, headset: bool = False)
     """
     schema = "recording_id string, epoch int, " + ", ".join(f"{n} double" for n in POWERS + RATIOS)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         signals = frame.pivot(index="channel", columns="sample_idx", values="uv").sort_index().to_numpy(dtype=float)
         row = {"recording_id": str(key[0]), "epoch": int(key[1])}
         if signals.shape[1] < 256:

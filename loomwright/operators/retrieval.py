@@ -52,6 +52,8 @@ def _best_rows(queries: list, distances: np.ndarray, ids: np.ndarray, k: int) ->
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, same: list[str] | None = None, block: int = 2048) -> DataFrame:
     """Exact nearest ``k`` (at most 100) vectors per query by cosine distance: ``query_id, id, distance, rank``.
 
+    Distances are kept to 12 decimals, so that equal vectors tie (by id) whichever task they are in.
+
     ``vectors(id, embedding, *same)``, ``queries(query_id, embedding, *same)``; a query only meets vectors that agree
     on the ``same`` columns. Queries go out in blocks of about ``block`` rows; each block is one scan that multiplies
     matrices inside the tasks and keeps ``k`` candidates per task and query, so nothing but candidates is shuffled.
@@ -75,7 +77,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, same: list
             for batch in batches:
                 if batch.empty:
                     continue
-                distances = 1.0 - _unit_rows(batch["embedding"]) @ matrix
+                distances = np.round(1.0 - _unit_rows(batch["embedding"]) @ matrix, 12)
                 for name, wanted in tags.items():
                     distances[batch[name].to_numpy()[:, None] != wanted[None, :]] = np.nan
                 fresh = _best_rows(query_ids, distances, batch["id"].to_numpy(), k)

@@ -14,6 +14,7 @@ from loomwright.operators import traversal as TR
 from loomwright.plans import sqlkit as S
 from loomwright.plans.registry import query
 from loomwright.sources import snapshots as SN
+from loomwright.sources.splits import spread
 
 c = F.col
 # node prefix, type, table, key, name, description
@@ -394,7 +395,7 @@ def _(t):
 def units(t):
     kind = F.when(c("p_type") == "ECONOMY", " 症状 ").when(c("p_type") == "SMALL", "Medicine").when(c("p_type") == "PROMO", "手术").otherwise(c("p_type"))
     firm = F.when(c("l_suppkey") % 7 == 0, "患者").when(c("l_suppkey") % 11 == 0, "12.5 - 3").otherwise(F.expr("'Ｓupplier　　' || l_suppkey"))
-    return t.lineitem.join(t.part, c("l_partkey") == c("p_partkey")).join(t.orders, c("l_orderkey") == c("o_orderkey")).select(
+    return spread(t.lineitem).join(t.part, c("l_partkey") == c("p_partkey")).join(t.orders, c("l_orderkey") == c("o_orderkey")).select(
         c("l_orderkey").cast("string").alias("unit_id"), F.expr("l_linenumber * 1000000000L + l_partkey * 10000 + l_suppkey").alias("line"), F.expr("'Customer ' || o_custkey").alias("buyer"),
         F.when(c("l_suppkey") % 2 == 0, F.translate("p_name", "abc", "ａｂｃ")).otherwise(F.upper("p_name")).alias("item"), kind.alias("kind"), firm.alias("firm"), "l_returnflag", "l_linestatus", "l_tax").distinct()
 
@@ -416,22 +417,24 @@ tri AS (SELECT unit_id, s, p, o, min(pos) AS pos, count(*) AS n, any_value(st) A
 
 
 def raw_entities(t):
-    u = units(t)
+    def row(shift, name, kind, text):
+        return F.struct((c("line") * 3 + shift).alias("pos"), name.alias("name"), kind.alias("type"), text.alias("description"))
+
     none = F.lit(None).cast("string")
-    return (
-        u.select("unit_id", (c("line") * 3).alias("pos"), c("buyer").alias("name"), F.lit("疾病").alias("type"), F.lit(" buyer").alias("description"))
-        .union(u.select("unit_id", c("line") * 3 + 1, "item", "kind", none)).union(u.select("unit_id", c("line") * 3 + 2, "firm", none, F.lit(" ")))
-    )
+    rows = F.array(row(0, c("buyer"), F.lit("疾病"), F.lit(" buyer")), row(1, c("item"), c("kind"), none), row(2, c("firm"), none, F.lit(" ")))
+    return units(t).select("unit_id", F.inline(rows))
 
 
 def raw_relations(t):
-    u = units(t)
+    def row(shift, subject, predicate, target):
+        return F.struct((c("line") * 3 + shift).alias("pos"), subject.alias("subject"), predicate.alias("predicate"), target.alias("object"))
+
     predicate = F.when(c("l_returnflag") == "A", "症状或体征").when(c("l_returnflag") == "N", "TREATED_BY").otherwise("unknown")
-    return (
-        u.select("unit_id", (c("line") * 3).alias("pos"), c("buyer").alias("subject"), predicate.alias("predicate"), c("item").alias("object"))
-        .union(u.select("unit_id", c("line") * 3 + 1, "item", F.lit("属于"), "firm"))
-        .union(u.select("unit_id", c("line") * 3 + 2, F.when(c("l_linestatus") == "F", "ghost").otherwise(c("item")), F.lit("并发症"), F.when(c("l_tax") < 0.02, " ").otherwise(c("item"))))
-    )
+    ghost = F.when(c("l_linestatus") == "F", "ghost").otherwise(c("item"))
+    rows = F.array(
+        row(0, c("buyer"), predicate, c("item")), row(1, c("item"), F.lit("属于"), c("firm")),
+        row(2, ghost, F.lit("并发症"), F.when(c("l_tax") < 0.02, " ").otherwise(c("item"))))
+    return units(t).select("unit_id", F.inline(rows))
 
 
 def validated(t):

@@ -13,6 +13,7 @@ from loomwright.plans import graph_queries as GQ
 from loomwright.plans import sqlkit as S
 from loomwright.plans import text_queries as TQ
 from loomwright.plans.registry import query
+from loomwright.sources.splits import spread
 
 c = F.col
 
@@ -59,7 +60,7 @@ def _(t):
 
 
 def docs(t):
-    return t.documents.select(c("doc_id").alias("id"), c("source").alias("name"), c("text").alias("description"))
+    return spread(t.documents).select(c("doc_id").alias("id"), c("source").alias("name"), c("text").alias("description"))
 
 
 @query("rt4_keyword_search", """WITH w AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(text, '[^\\pL]+'), lambda x: length(x) >= 7)) AS keyword FROM benchmark),

@@ -12,6 +12,7 @@ from loomwright.plans import text_queries as TQ
 from loomwright.plans.registry import query
 from loomwright.sources import corpus as CO
 from loomwright.sources import stores as ST
+from loomwright.sources.splits import spread
 
 c = F.col
 LINES = TQ.LINES
@@ -33,7 +34,7 @@ y AS (SELECT doc_id, lang, text, {TQ.SQL_CLEAN} AS body FROM x)
 SELECT '/in/uploads/' || doc_id || '/doc' || CASE lang WHEN 'en' THEN '.pdf' WHEN 'fr' THEN '.json' ELSE '.TXT' END AS path, CASE lang WHEN 'en' THEN 'pdf' WHEN 'fr' THEN 'json' ELSE 'txt' END AS source_type,
  CASE WHEN lang = 'en' AND doc_id % 5 = 0 THEN '' WHEN lang = 'fr' AND doc_id % 4 = 2 THEN '{{broken ' || {S.strip("text")} ELSE body END AS text FROM y""")
 def _(t):
-    return CO.ingest_documents(files(t))
+    return CO.ingest_documents(spread(files(t)))
 
 
 @query("src3_assemble_pages", f"""WITH p AS (SELECT doc_id, unnest(lines) AS raw, unnest(range(len(lines))) AS n FROM (SELECT doc_id, {LINES} AS lines FROM documents)),
@@ -186,7 +187,7 @@ sen AS (SELECT doc_id, len({TQ.SQL_SENTENCES}) AS n FROM (SELECT doc_id, {TQ.SQL
 @query("kg6_build_counts", f"""WITH {FOUND} SELECT CAST(doc_id AS VARCHAR) AS doc_id, n AS sentences, (SELECT count(*) FROM par p WHERE p.doc_id = s.doc_id) AS paragraphs, (SELECT count(*) FROM ent e WHERE e.doc_id = s.doc_id) AS entities,
  (SELECT count(*) FROM rel r WHERE r.doc_id = s.doc_id) AS relations FROM sen s WHERE n > 0""")
 def _(t):
-    return B.GraphBuild(t.documents, B.dictionary_extractor(TERMS)).counts()
+    return B.GraphBuild(spread(t.documents), B.dictionary_extractor(TERMS)).counts()
 
 
 @query("tx33_parse_outputs", """SELECT CAST(event_id AS VARCHAR) AS unit_id, CASE WHEN event_id % 4 = 3 THEN 'empty' WHEN event_id % 4 = 0 THEN 'ok' ELSE 'repaired' END AS status, CASE WHEN event_id % 4 = 3 THEN 0 ELSE 1 END AS n_entities,

@@ -10,6 +10,7 @@ from loomwright.operators import chunking as C
 from loomwright.operators import dictionary as D
 from loomwright.plans import sqlkit as S
 from loomwright.plans.registry import query
+from loomwright.sources.splits import spread
 
 c = F.col
 
@@ -20,7 +21,7 @@ def sinified(col):
 
 def noisy(t):
     """Documents with page marks, captions, numbers, citations, links and a reference section added."""
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "text", "n_chars", "source")).select(
         "doc_id",
         F.concat(
             c("text"), F.lit("\r\nPage "), c("doc_id"), F.lit(" of "), c("n_chars"), F.lit("\nFigure "), c("doc_id"),
@@ -109,7 +110,7 @@ CLEANED = f"(SELECT *, {SQL_CLEAN} AS body FROM (SELECT *, {LINES} AS lines FROM
 
 
 def cleaned(t):
-    return t.documents.withColumn("text", T.clean_lines(c("text")))
+    return spread(t.documents).withColumn("text", T.clean_lines(c("text")))
 
 
 @query("tx8_control_chars", f"""SELECT page_id, {S.collapse("regexp_replace(regexp_replace(x, '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')")} AS text
@@ -123,7 +124,7 @@ SQL_GRAPH_CLEAN = S.strip(f"regexp_replace({S.collapse('text')}, '[^{S.CJK}a-zA-
 
 @query("tx9_graph_clean", f"SELECT doc_id, {SQL_GRAPH_CLEAN} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", T.graph_clean(c("text")).alias("text"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", T.graph_clean(c("text")).alias("text"))
 
 
 SQL_SENTENCES = f"list_filter(list_transform(regexp_split_to_array(text, '{S.SENTENCE_END}'), lambda x: {S.strip('x')}), lambda x: x <> '')"
@@ -131,7 +132,7 @@ SQL_SENTENCES = f"list_filter(list_transform(regexp_split_to_array(text, '{S.SEN
 
 @query("tx10_sentences", f"SELECT doc_id, unnest({SQL_SENTENCES}) AS sentence, CAST(unnest(range(len({SQL_SENTENCES}))) AS INT) AS pos FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(T.sentences(c("text"))).alias("pos", "sentence"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(T.sentences(c("text"))).alias("pos", "sentence"))
 
 
 @query("tx11_keywords", f"""
@@ -241,7 +242,7 @@ m AS (SELECT doc_id, type, name, row_number() OVER (PARTITION BY doc_id, type OR
  FROM documents JOIN d ON contains(text, name))
 SELECT doc_id, type, name FROM m WHERE rn = 1""")
 def _(t):
-    return D.longest_match(t.documents.select("doc_id", "text"), name_dictionary(t), "doc_id", "text")
+    return D.longest_match(spread(t.documents.select("doc_id", "text")), name_dictionary(t), "doc_id", "text")
 
 
 @query("tx23_dictionary_fallback", """
@@ -251,7 +252,7 @@ other AS (SELECT DISTINCT doc_id, name FROM (SELECT * FROM documents WHERE doc_i
 SELECT doc_id, name, false AS by_synonym FROM direct UNION ALL SELECT doc_id, name, true FROM other""")
 def _(t):
     names = t.benchmark.select(F.substring("text", 1, 8).alias("name"), F.substring("text", 1, 4).alias("synonym")).distinct()
-    return D.match_with_synonyms(t.documents.select("doc_id", "text"), names, "doc_id", "text")
+    return D.match_with_synonyms(spread(t.documents.select("doc_id", "text")), names, "doc_id", "text")
 
 
 @query("tx24_known_entities", f"""
@@ -358,12 +359,12 @@ SPLIT_LINES = f"list_filter(list_transform(string_split({BODY}, chr(10)), lambda
 
 @query("ch1_paragraphs", f"SELECT doc_id, unnest({SPLIT_LINES}) AS chunk, CAST(unnest(range(len({SPLIT_LINES}))) AS INT) AS chunk_index FROM documents")
 def _(t):
-    return C.chunk(t.documents.select("doc_id", "text"), "paragraph", separator="\n")
+    return C.chunk(spread(t.documents.select("doc_id", "text")), "paragraph", separator="\n")
 
 
 @query("ch2_fixed", f"SELECT doc_id, unnest(w) AS chunk, CAST(unnest(range(len(w))) AS INT) AS chunk_index FROM (SELECT doc_id, {sql_windows(BODY, 1000, 900)} AS w FROM documents WHERE length({BODY}) > 0)")
 def _(t):
-    return C.chunk(t.documents.select("doc_id", "text"), "fixed", size=1000, overlap=100)
+    return C.chunk(spread(t.documents.select("doc_id", "text")), "fixed", size=1000, overlap=100)
 
 
 def sql_blocks(pieces, source, size, last_fits, overlap, glue, tail="''", extra=0):
@@ -387,18 +388,18 @@ WORDS = f"list_filter(regexp_split_to_array(text, '{S.WS}+'), lambda x: x <> '')
 
 @query("ch3_sentence_blocks", sql_blocks(PIECES, "documents", 1000, True, 1, "''"))
 def _(t):
-    return C.chunk(t.documents.select("doc_id", "text"), "smart", size=1000, overlap=1)
+    return C.chunk(spread(t.documents.select("doc_id", "text")), "smart", size=1000, overlap=1)
 
 
 @query("ch4_word_blocks", sql_blocks(WORDS, "documents", 1000, True, 0, "' '", extra=1))
 def _(t):
-    return C.chunk(t.documents.select("doc_id", "text"), "words", size=1000)
+    return C.chunk(spread(t.documents.select("doc_id", "text")), "words", size=1000)
 
 
 @query("ch5_extraction_paragraphs", sql_blocks(
     SQL_SENTENCES, f"(SELECT doc_id, {SQL_GRAPH_CLEAN} AS text FROM documents)", 1000, False, 0, "'。'", "'。'"))
 def _(t):
-    return C.chunk(t.documents.select("doc_id", T.graph_clean(c("text")).alias("text")), "extraction", size=1000)
+    return C.chunk(spread(t.documents.select("doc_id", "text")).select("doc_id", T.graph_clean(c("text")).alias("text")), "extraction", size=1000)
 
 
 CHUNKS = f"""(SELECT doc_id, source, lang, chunk_index, {S.strip('w')} AS chunk, doc_id || ':' || chunk_index AS chunk_id FROM

@@ -48,7 +48,7 @@ def ingest_documents(files: DataFrame) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file below ``path``, ingested."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return ingest_documents(files.select(F.input_file_name().alias("path"), "value"))
 
 
@@ -67,6 +67,7 @@ def assemble_pages(pages: DataFrame, min_chars: int = 50) -> DataFrame:
 
 
 def read_binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """``(path, content)`` of the files below ``path``; Spark does not list files of zero bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "content")
 
 

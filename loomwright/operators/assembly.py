@@ -231,7 +231,7 @@ def gold_samples(pairs: DataFrame, limit: int = 100, shown: int = 5) -> tuple[Da
     samples = chosen.join(listed, "symptom").select(
         "sample_id", "symptom", F.concat("symptom", F.lit("这一症状常见相关疾病包括"), "_list", F.lit("等。")).alias("text"), "n_diseases")
     members = rows.join(chosen.select("sample_id", "symptom"), "symptom")
-    placed = positions(members, ["sample_id"], [c("disease")], F.substring("disease", 1, 1))
+    placed = positions(members, ["sample_id"], [c("disease")], F.substring("disease", 1, 6))
     return samples, placed.select("sample_id", "disease", "symptom", c("position").alias("place"))
 
 

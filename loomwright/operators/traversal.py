@@ -93,44 +93,60 @@ def _shortest_from(sources: DataFrame, steps: DataFrame, depth: int) -> list[Dat
     return levels
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
-    """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges.
+def _meet(ahead: list[DataFrame], back: list[DataFrame], limit: int, pairs: DataFrame | None) -> DataFrame:
+    """Join two sets of levels in the middle: a path of length L shows up at the nodes that are ceil(L/2) from the start
+    and floor(L/2) from the goal.
 
-    Both ends grow to half the length and meet in the middle: a path of length L shows up at the nodes that are
-    ceil(L/2) from the start and floor(L/2) from the goal. Lengths are tried upwards, for the open pairs only; the
-    meeting node is found on ids alone (the smallest one is kept), the paths are fetched for it afterwards.
+    Lengths are tried upwards, for the open pairs only. The meeting node is found on ids alone (the smallest is kept);
+    the paths are fetched for it afterwards. Without ``pairs`` every start meets every other goal it shares a node with.
     """
-    limit = min(max_edges, MAX_PATH_EDGES)
-    pairs = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
-    steps = cut_lineage(both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel")))
-    ahead = _shortest_from(pairs.select(c("start").alias("id")), steps, (limit + 1) // 2)
-    back = _shortest_from(pairs.select(c("goal").alias("id")), steps, limit // 2)
-    open_pairs, found = pairs, []
+    solved, found = None, []
     for length in range(1, limit + 1):
         left, right = ahead[(length + 1) // 2], back[length // 2]
-        starts = open_pairs.join(left.select(c("source").alias("start"), "id"), "start")
-        met = starts.join(right.select(c("source").alias("goal"), "id"), ["goal", "id"]).groupBy("start", "goal").agg(F.min("id").alias("id"))
-        met = cut_lineage(met)
+        starts, goals = left.select(c("source").alias("start"), "id"), right.select(c("source").alias("goal"), "id")
+        if pairs is None:
+            met = starts.join(goals, "id").filter("start <> goal")
+        else:
+            met = pairs.join(starts, "start").join(goals, ["goal", "id"])
+        met = met.groupBy("start", "goal").agg(F.min("id").alias("id"))
+        met = cut_lineage(met if solved is None else met.join(solved, ["start", "goal"], "left_anti"))
+        solved = met.select("start", "goal") if solved is None else solved.union(met.select("start", "goal"))
         first = left.select(c("source").alias("start"), "id", c("nodes").alias("n1"), c("rels").alias("r1"))
         last = right.select(c("source").alias("goal"), "id", c("nodes").alias("n2"), c("rels").alias("r2"))
         rest = F.slice(F.reverse("n2"), F.lit(2), F.greatest(F.size("n2") - 1, F.lit(0)))
         found.append(met.join(first, ["start", "id"]).join(last, ["goal", "id"]).select(
             "start", "goal", F.lit(length).alias("path_length"), F.concat("n1", rest).alias("path_nodes"), F.concat("r1", F.reverse("r2")).alias("relation_types")))
-        open_pairs = open_pairs.join(met.select("start", "goal"), ["start", "goal"], "left_anti")
     return reduce(DataFrame.unionByName, found).withColumn("relevance_score", 1.0 / (1.0 + 0.2 * c("path_length")))
 
 
-def paths_between_names(names: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 10) -> DataFrame:
-    """Shortest paths for ordered pairs of differently named entities, the first ``limit`` by length and names.
+def _single_steps(edges: DataFrame) -> DataFrame:
+    return cut_lineage(both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel")))
 
-    ``names`` are the entities of one question, a handful of rows.
-    """
+
+def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
+    """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges."""
+    limit = min(max_edges, MAX_PATH_EDGES)
+    pairs = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
+    steps = _single_steps(edges)
+    ahead = _shortest_from(pairs.select(c("start").alias("id")), steps, (limit + 1) // 2)
+    back = _shortest_from(pairs.select(c("goal").alias("id")), steps, limit // 2)
+    return _meet(ahead, back, limit, pairs)
+
+
+def shortest_paths_among(points: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
+    """As ``shortest_paths`` for all ordered pairs of ``points(id)``; one growth serves both ends, no pair is listed up front."""
+    limit = min(max_edges, MAX_PATH_EDGES)
+    levels = _shortest_from(points, _single_steps(edges), (limit + 1) // 2)
+    return _meet(levels, levels, limit, None)
+
+
+def paths_between_names(names: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 10) -> DataFrame:
+    """Shortest paths for ordered pairs of differently named entities, the first ``limit`` by length and names."""
     found = nodes.join(names.select("name").distinct(), "name", "left_semi").select("id", "name")
-    a, b = found.toDF("start", "start_name"), found.toDF("goal", "goal_name")
-    pairs = a.join(b, c("start_name") != c("goal_name"))
-    paths = shortest_paths(pairs, edges, max_depth)
-    named = paths.join(a, "start").join(b, "goal")
-    return named.orderBy("path_length", "start_name", "goal_name", "start", "goal").limit(limit)
+    paths = shortest_paths_among(found, edges, max_depth)
+    named = paths.join(found.toDF("start", "start_name"), "start").join(found.toDF("goal", "goal_name"), "goal")
+    different = named.filter(c("start_name") != c("goal_name"))
+    return different.orderBy("path_length", "start_name", "goal_name", "start", "goal").limit(limit)
 
 
 def snapshot_path_pairs(matched: DataFrame) -> DataFrame:

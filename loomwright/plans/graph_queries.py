@@ -204,8 +204,7 @@ dist AS (SELECT s, id, 1 AS d FROM d1 UNION ALL SELECT s, id, 2 FROM d2 UNION AL
 FROM dist WHERE id IN (SELECT id FROM d0)""")
 def _(t):
     nations = nodes(t).filter("type = 'Nation'").select("id")
-    pairs = nations.toDF("start").join(nations.toDF("goal"), c("start") != c("goal"))
-    found = TR.shortest_paths(pairs, edges(t), 4)
+    found = TR.shortest_paths_among(nations, edges(t), 4)
     return found.select("start", "goal", "path_length", F.size("path_nodes").alias("n_nodes"), F.round("relevance_score", 10).alias("relevance_score"))
 
 

@@ -69,6 +69,13 @@ def test_shortest_paths(spark, random_pairs, limit):
         assert all(step in links for step in zip(path, path[1:]))
 
 
+def test_shortest_paths_among(spark, random_pairs):
+    names = sorted({n for p in random_pairs for n in p})[:8]
+    found = TR.shortest_paths_among(spark.createDataFrame([(n,) for n in names], "id string"), edges_of(spark, random_pairs), 5).collect()
+    assert {(r["start"], r["goal"]): r["path_length"] for r in found} == {
+        (a, b): distances(random_pairs, a)[b] for a, b in itertools.permutations(names, 2) if distances(random_pairs, a).get(b, 99) <= 5}
+
+
 def test_paths_use_no_edge_twice(spark):
     edges = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "a")])
     paths = TR.expand_paths(spark.createDataFrame([("a",)], "id string"), edges, 3).collect()

@@ -213,6 +213,10 @@ def symptom_pairs(triples: DataFrame) -> DataFrame:
     return forward.union(backward).distinct()
 
 
+# Fixed value: prefix of the sample ids.
+SAMPLE_PREFIX = "cmkg_"
+
+
 def gold_samples(pairs: DataFrame, limit: int = 100, shown: int = 5) -> tuple[DataFrame, DataFrame]:
     """Evaluation samples, one per symptom in name order: (samples, relations).
 
@@ -224,7 +228,7 @@ def gold_samples(pairs: DataFrame, limit: int = 100, shown: int = 5) -> tuple[Da
     rows = pairs.filter("direction = 'symptom_disease'").select("symptom", "disease")
     counts = rows.groupBy("symptom").agg(F.count("*").alias("n_diseases")).orderBy("symptom").limit(limit)
     numbered = positions(counts, [], [c("symptom")], F.substring("symptom", 1, 1)).withColumn(
-        "sample_id", F.concat(F.lit("cmkg_"), F.lpad(c("position").cast("string"), 3, "0")))
+        "sample_id", F.concat(F.lit(SAMPLE_PREFIX), F.lpad(c("position").cast("string"), 3, "0")))
     chosen = numbered.select("sample_id", "symptom", "n_diseases")
     top = first_n(rows, ["symptom"], [c("disease")], shown)
     listed = top.groupBy("symptom").agg(F.array_join(F.array_sort(F.collect_list("disease")), "、").alias("_list"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
@@ -112,3 +112,17 @@ def with_chunk_rows(chunks: DataFrame, doc_col: str, separator: str = ":") -> Da
         .filter(F.col("chunk") != "")
         .withColumn("chunk_id", F.concat_ws(separator, F.col(doc_col).cast("string"), F.col("chunk_index")))
     )
+
+
+def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> None:
+    """Table function for SQL: ``SELECT d.id, c.* FROM docs d, LATERAL chunk_text(d.text, 'smart', 1000) c``.
+
+    It covers the sequential strategies ``smart``, ``words`` and ``extraction``; the other two are plain expressions.
+    """
+    splitters = {"smart": sentence_blocks, "words": word_blocks, "extraction": extraction_paragraphs}
+
+    class ChunkText:
+        def eval(self, text: str, strategy: str, size: int):
+            yield from enumerate(splitters[strategy](text or "", size))
+
+    spark.udtf.register(name, F.udtf(ChunkText, returnType=CHUNK_SCHEMA))

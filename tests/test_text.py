@@ -77,7 +77,7 @@ def test_table_text(spark):
     assert df.select(T.table_to_text(F.col("t")).alias("x")).first()["x"] == "| a |  |\n| b | c |\n\n| d |"
 
 
-def reference_sentence_blocks(text, size, overlap):
+def plain_sentence_blocks(text, size, overlap):
     text = text.strip()
     spans, last = [], 0
     for m in re.finditer(r"[。！？.?!\n]+", text):
@@ -99,7 +99,7 @@ def reference_sentence_blocks(text, size, overlap):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab .!\n。？", max_size=80), st.integers(1, 12), st.integers(0, 3))
 def test_sentence_blocks(text, size, overlap):
-    assert C.sentence_blocks(text, size, overlap) == reference_sentence_blocks(text, size, overlap)
+    assert C.sentence_blocks(text, size, overlap) == plain_sentence_blocks(text, size, overlap)
 
 
 @settings(max_examples=150, deadline=None)
@@ -134,3 +134,10 @@ def test_contains_join_paths_agree(spark):
         assert got == expected
     literal = D._found_by_literals(texts, [r[0] for r in names.collect()], "id", "text", "name")
     assert {tuple(r) for r in literal.collect()} == expected
+
+
+def test_chunk_table_function(spark):
+    C.register_chunk_function(spark)
+    spark.createDataFrame([(1, "one two three"), (2, None)], "id int, text string").createOrReplaceTempView("chunk_docs")
+    rows = spark.sql("select d.id, c.chunk_index, c.chunk from chunk_docs d, lateral chunk_text(d.text, 'words', 8) c order by 1, 2").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "one two"), (1, 1, "three")]

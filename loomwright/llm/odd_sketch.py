@@ -2,9 +2,9 @@
 
 A document's set is its distinct word shingles. MinHash samples are banded for candidates and folded into a parity bitmap
 (odd sketch); the population count of the XOR of two bitmaps estimates their similarity precisely when it is high. Inside
-a bucket only a spanning forest of likely links leaves the task (best estimates first), and links are confirmed on the full
-sets. Rounds go on until no likely pair of one bucket lies in two components untested, so emitted pairs stay in proportion
-to the members of a bucket, however large a group of near copies is.
+a bucket only spanning forests of likely links leave the task (best estimates first; one, then eight, ...), and links are
+confirmed on the full sets. Rounds go on until no likely pair of one bucket lies in two components untested; a group of
+near copies that hang together sends links in proportion to its members, not to their pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SLACK = 0.115
 #: Members of a bucket that one task compares; larger buckets are cut into pairs of blocks.
 BLOCK = 4096
 MAX_ROUNDS = 30
+#: Each round sends this many times the forests of the round before, so few rounds are needed where many likely pairs fail.
+GROWTH = 8
 
 _RNG = np.random.default_rng(9)
 _A = _RNG.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,22 +100,33 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
             )
 
 
-def _forest(left: np.ndarray, right: np.ndarray, score: np.ndarray, label: np.ndarray) -> list[int]:
-    """Indices of the pairs that join different labels, best score first (ties to the earlier pair)."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    kept = []
-    for i in np.lexsort((right, left, -score)).tolist():
-        a, b = root(int(label[left[i]])), root(int(label[right[i]]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(i)
-    return kept
+def _forests(pairs: list[list], label: np.ndarray, count: int) -> list[list]:
+    """The pairs in ``count`` edge-disjoint spanning forests over the labels, best score first (ties to the earlier pair)."""
+    left, right, score = (np.array(x) for x in pairs)
+    rest = np.lexsort((right, left, -score)).tolist()
+    roots_a, roots_b = label[left].tolist(), label[right].tolist()
+    kept: list[int] = []
+    for _ in range(count):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        taken, over = [], []
+        for i in rest:
+            a, b = root(roots_a[i]), root(roots_b[i])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                taken.append(i)
+            else:
+                over.append(i)
+        kept += taken
+        rest = over
+        if not rest or not taken:
+            break
+    return [[column[i] for i in kept] for column in pairs]
 
 
 def _likely_pairs(words: np.ndarray, label: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,8 +153,8 @@ def _keep(words: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndar
     return left[high], right[high], near[high]
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the likely, untested links between components in each bucket (or pair of its blocks).
+def _bucket_links(batches: Iterator[pa.RecordBatch], least: float, forests: int) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the likely, untested links between components in each bucket (or pair of its blocks).
 
     Rows come sorted by bucket; a bucket that goes on in the next batch is carried over, and holds 2 * BLOCK rows at most.
     """
@@ -165,13 +178,13 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
                 if not (failed[x] and rep[y] in failed[x]):
                     mine = found.setdefault(int(group[x]), [[], [], []])
                     mine[0].append(x), mine[1].append(y), mine[2].append(s)
-                    if len(mine[0]) > 200_000:  # the forest of what was seen stands for it
-                        kept = _forest(np.array(mine[0]), np.array(mine[1]), np.array(mine[2]), label)
-                        found[int(group[x])] = [[column[k] for k in kept] for column in mine]
+                    if len(mine[0]) > 2 * forests * 2 * BLOCK + 100_000:  # the forests of what was seen stand for it
+                        found[int(group[x])] = _forests(mine, label, forests)
         out: list[tuple[int, int]] = []
-        for left, right, score in found.values():
-            kept = _forest(np.array(left), np.array(right), np.array(score), label) if len(left) > 1 else [0]
-            out += [(rep[left[k]], rep[right[k]]) for k in kept]
+        for g, mine in found.items():
+            if len(mine[0]) > forests * (sizes[g] - 1) or forests == 1 and len(mine[0]) > 1:
+                mine = _forests(mine, label, forests)
+            out += zip(rep[mine[0]].tolist(), rep[mine[1]].tolist())
         lows, highs = [min(p) for p in out], [max(p) for p in out]
         return pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["a", "b"])
 
@@ -255,7 +268,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     grouped = paired.select("rep", "band", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).join(nodes.select("rep", "sketch"), "rep")
     label = nodes.select("rep").distinct().withColumn("component", F.col("rep"))
     links, failed = None, None
-    for _ in range(MAX_ROUNDS):
+    for turn in range(MAX_ROUNDS):
         if links is None:
             members = grouped.withColumns({"component": F.col("rep"), "failed": F.lit(None).cast("array<long>")})
         else:
@@ -263,7 +276,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
         bucket = Window.partitionBy("band", "lo", "hi")
         mixed = members.withColumns({"_low": F.min("component").over(bucket), "_high": F.max("component").over(bucket)}).filter("_low <> _high")
         picked = mixed.select("band", "lo", "hi", "rep", "component", "sketch", "failed").mapInArrow(
-            partial(_bucket_links, least=percent / 100 - SLACK), "a long, b long")
+            partial(_bucket_links, least=percent / 100 - SLACK, forests=GROWTH ** turn), "a long, b long")
         pairs = cut(picked.distinct())
         if pairs.limit(1).count() == 0:
             break

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import mixing, odd_sketch, secrets
+from loomwright.llm import cover_anchors, mixing, odd_sketch, secrets
 from loomwright.llm import sql as twins
 
 
@@ -18,6 +18,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_anchors.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": op4_mixing,
+        "op6_cover_anchors": op6_cover_anchors,
         "op8_secrets": op8_secrets,
         "op9_odd_sketch": op9_odd_sketch,
     }
@@ -37,5 +42,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def llm_sql() -> dict[str, str]:
     return {
         "op4_mixing": twins.MIXING,
+        "op6_cover_anchors": twins.REPEATED_WORDS,
         "op8_secrets": twins.SECRETS,
     }

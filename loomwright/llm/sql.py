@@ -78,3 +78,13 @@ a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
 """
+
+REPEATED_WORDS = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w, row_number() OVER () AS rid FROM documents),
+s AS (SELECT rid, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT rid, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+t AS (SELECT rid, w, unnest(generate_series(1, len(w))) AS p FROM d),
+c AS (SELECT t.rid, t.p, t.w[t.p] AS x, r.i IS NOT NULL AND t.p - r.i < 35 AS gone FROM t ASOF LEFT JOIN r ON t.rid = r.rid AND t.p >= r.i),
+a AS (SELECT rid, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM c GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
+"""

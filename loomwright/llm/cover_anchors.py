@@ -6,7 +6,7 @@ common: for any two positions some shift below ``period`` brings both into the c
 that occur twice is extended: its windows are hashed at every position (96 bits) and counted.
 
 Within one task equal anchors are resolved on the spot and one of them is sent on as a witness, so a passage that a third of
-all documents share costs one row per task, not one per document.
+all documents share costs one row per task, not one per document. Of whole texts that occur several times, one stands for all.
 """
 
 from __future__ import annotations
@@ -150,11 +150,12 @@ def _digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         for part, data, offs in blocks(batch, "text"):
             starts, ends, first = word_spans(data, offs)
             raw = data.tobytes()
-            ranges = part.column("ranges")
+            ranges, copied = part.column("ranges"), part.column("first").is_valid().to_pylist()
             removed, hashes = [], []
             for i in range(part.num_rows):
                 a, n = int(first[i]), int(first[i + 1] - first[i])
-                begins = np.flatnonzero(_starts(ranges, i, 0, max(0, n - window + 1)))
+                room = max(0, n - window + 1)
+                begins = np.arange(room) if copied[i] else np.flatnonzero(_starts(ranges, i, 0, room))
                 marks = np.zeros(n + 1, np.int32)
                 marks[begins] += 1
                 marks[begins + window] -= 1
@@ -168,15 +169,26 @@ def _digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             )
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """``(key, first)`` of all documents whose whole text occurs several times; ``first`` marks one of each such group."""
+    hashes = keyed.select("key", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
+    groups = hashes.groupBy("t1", "t2").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return hashes.join(groups, ["t1", "t2"]).select("key", (F.col("key") == F.col("least")).alias("first")).distinct()
+
+
 def repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
-    """``(key, ranges)``: for each document the word positions (with runs) at which a window starts that starts elsewhere too.
+    """``docs`` (``doc_id, key, text``) with ``first`` and ``ranges``.
 
-    ``docs`` has ``key`` (see :func:`document_key`) and ``text``; rows with the same key are separate documents with the
-    same content. Null and short texts have no window.
+    ``first`` is not null where the whole text occurs several times: all its windows are repeated, and only one of the group
+    (where it is true) takes part in the search. ``ranges`` has the word positions (with runs) at which a window starts that
+    starts elsewhere too. Rows with the same key are separate documents with the same content.
     """
-    near = _met_again(docs.select("key", "text").mapInArrow(partial(_anchors, window=window), PLACES))
-    regions = docs.join(near, "key").select("key", "text", "ranges")
-    return _met_again(regions.mapInArrow(partial(_windows, window=window), PLACES))
+    marked = docs.join(_copies(docs), "key", "left").select("doc_id", "key", "text", "first")
+    alone = marked.filter("first is null or first")
+    near = _met_again(alone.mapInArrow(partial(_anchors, window=window), PLACES))
+    regions = alone.join(near, "key").select("doc_id", "key", "text", "ranges")
+    places = _met_again(regions.mapInArrow(partial(_windows, window=window), PLACES))
+    return marked.join(places, "key", "left").select("doc_id", "key", "text", "first", "ranges")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -186,7 +198,6 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     Null and empty texts have no words and the digest of the empty text; null ids are kept; an empty table gives no rows;
     other columns are not read.
     """
-    keyed = docs.select("doc_id", "text", document_key(docs).alias("key"))
-    places = repeated_windows(keyed, window)
-    joined = keyed.join(places, "key", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(partial(_digest, window=window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), document_key(docs).alias("key")).select("doc_id", "key", "text")
+    found = repeated_windows(keyed, window)
+    return found.mapInArrow(partial(_digest, window=window), "doc_id long, n_words long, n_removed long, kept_sha256 string")

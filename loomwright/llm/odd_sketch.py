@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash bands and odd sketches.
 
 A document's set is its distinct word shingles. MinHash samples are banded for candidates and folded into a parity bitmap
-(odd sketch); the population count of the XOR of two bitmaps estimates their similarity precisely when it is high. Inside
+(odd sketch); the population count of the XOR of two bitmaps estimates their similarity precisely when it is high. Pairs that
+pass meet a second, wider sketch of the (thinned) set itself before any full set is read. Inside
 a bucket only spanning forests of likely links leave the task (best estimates first; one, then eight, ...), and links are
 confirmed on the full sets. Rounds go on until no likely pair of one bucket lies in two components untested; a group of
 near copies that hang together sends links in proportion to its members, not to their pairs.
@@ -23,6 +24,8 @@ BANDS = 24
 ROWS = 4
 SAMPLES = 192
 BITS = 512
+FINE = 1024
+FINE_BITS = 2048
 #: Estimates this far under the threshold (four standard deviations of SAMPLES samples) are still confirmed exactly.
 SLACK = 0.115
 #: Members of a bucket that one task compares; larger buckets are cut into pairs of blocks.
@@ -76,6 +79,48 @@ def estimate(ones: np.ndarray) -> np.ndarray:
     return 1 + BITS / (4 * SAMPLES) * np.log(inside)
 
 
+def fine_sketch(shingles: np.ndarray) -> bytes:
+    """Parity bitmaps of the set itself, thinned by powers of two to FINE members at most, at that power and the next.
+
+    Sets of high similarity differ in size by little, so two of them have a power in common. Layout: the power, then per
+    power the number of members left (32 bits each), then the two bitmaps.
+    """
+    power = max(0, int(np.ceil(np.log2(max(len(shingles), 1) / FINE))))
+    spread = mix(shingles ^ np.uint64(0x5DEECE66D))
+    counts, maps = [], []
+    for p in (power, power + 1):
+        left = spread[(spread & np.uint64((1 << p) - 1)) == 0]
+        bits = np.bincount((mix(left) % np.uint64(FINE_BITS)).astype(np.int64), minlength=FINE_BITS) & 1
+        counts.append(len(left)), maps.append(np.packbits(bits.astype(np.uint8)).tobytes())
+    return np.array([power, *counts, 0], np.uint32).tobytes() + b"".join(maps)
+
+
+def possible(words: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> np.ndarray:
+    """Whether pairs of fine sketches (rows of 64-bit words) can reach the similarity ``share``, give or take five standard
+    deviations of the parity counts and of the thinning."""
+    heads = words[:, :2].copy().view(np.uint32).astype(np.int64)
+    width = FINE_BITS // 64
+    power = np.maximum(heads[left, 0], heads[right, 0])
+    ok = np.abs(heads[left, 0] - heads[right, 0]) <= 1
+    l_second, r_second = power - heads[left, 0], power - heads[right, 0]
+    out = np.zeros(len(left), bool)
+    at = np.flatnonzero(ok)
+    for a in range(0, len(at), 1 << 15):
+        i = at[a:a + (1 << 15)]
+        column = np.arange(width)[None, :]
+        x = words[left[i, None], 2 + l_second[i, None] * width + column]
+        y = words[right[i, None], 2 + r_second[i, None] * width + column]
+        ones = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        size = heads[left[i], 1 + l_second[i]] + heads[right[i], 1 + r_second[i]]
+        apart = size * (1 - share) / (1 + share)  # members in one set only, at the threshold
+        thin = np.where(power[i] > 0, np.sqrt(np.maximum(size, 1)), 0.0)
+        limit = apart + 5 * thin * (1 - share) + 1
+        decay = np.exp(-2 * limit / FINE_BITS)
+        noise = np.sqrt(np.maximum(FINE_BITS / 4 * (1 - decay ** 2) - limit * decay ** 2, 0)) + 1
+        out[i] = ones <= FINE_BITS / 2 * (1 - decay) + 5 * noise
+    return out
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offs in blocks(batch, "text"):
@@ -93,7 +138,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Record
                 for r in range(ROWS):
                     keys = mix(keys * np.uint64(31) + rows[:, r])
                 bands.append(keys.view(np.int64))
-                sketches.append(odd_sketch(minima).tobytes())
+                sketches.append(odd_sketch(minima).tobytes() + fine_sketch(shingles))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("key"), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "key", "n_shingles", "set_key", "bands", "sketch"],
@@ -129,7 +174,7 @@ def _forests(pairs: list[list], label: np.ndarray, count: int) -> list[list]:
     return [[column[i] for i in kept] for column in pairs]
 
 
-def _likely_pairs(words: np.ndarray, label: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _likely_pairs(words: np.ndarray, label: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of one group with different labels and a high estimate, found in vectors over many groups at a time."""
     for k in np.unique(sizes[(sizes > 1) & (sizes <= 64)]).tolist():
         of_size = starts[sizes == k]
@@ -138,22 +183,25 @@ def _likely_pairs(words: np.ndarray, label: np.ndarray, starts: np.ndarray, size
         for at in range(0, len(of_size), step):
             left = (of_size[at:at + step, None] + i[None, :]).ravel()
             right = (of_size[at:at + step, None] + j[None, :]).ravel()
-            yield _keep(words, label, left, right, least)
+            yield _keep(words, label, left, right, share)
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
         for x in range(start, start + size - 1):
             right = np.arange(x + 1, start + size)
-            yield _keep(words, label, np.full(len(right), x), right, least)
+            yield _keep(words, label, np.full(len(right), x), right, share)
 
 
-def _keep(words: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _keep(words: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     differ = label[left] != label[right]
     left, right = left[differ], right[differ]
-    near = estimate(np.bitwise_count(words[left] ^ words[right]).sum(axis=1, dtype=np.int64))
-    high = near >= least
-    return left[high], right[high], near[high]
+    coarse = BITS // 64
+    near = estimate(np.bitwise_count(words[left, :coarse] ^ words[right, :coarse]).sum(axis=1, dtype=np.int64))
+    high = near >= share - SLACK
+    left, right, near = left[high], right[high], near[high]
+    likely = possible(words[:, coarse:], left, right, share)
+    return left[likely], right[likely], near[likely]
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch], least: float, forests: int) -> Iterator[pa.RecordBatch]:
+def _bucket_links(batches: Iterator[pa.RecordBatch], share: float, forests: int) -> Iterator[pa.RecordBatch]:
     """Spanning forests of the likely, untested links between components in each bucket (or pair of its blocks).
 
     Rows come sorted by bucket; a bucket that goes on in the next batch is carried over, and holds 2 * BLOCK rows at most.
@@ -173,7 +221,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], least: float, forests: int)
         failed = table.column("failed").to_pylist()
         group = np.repeat(np.arange(len(starts)), sizes)
         found: dict[int, list[list]] = {}
-        for left, right, score in _likely_pairs(words, label, starts, sizes, least):
+        for left, right, score in _likely_pairs(words, label, starts, sizes, share):
             for x, y, s in zip(left.tolist(), right.tolist(), score.tolist()):
                 if not (failed[x] and rep[y] in failed[x]):
                     mine = found.setdefault(int(group[x]), [[], [], []])
@@ -261,7 +309,8 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
     counted = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     shared = cut(banded.join(counted, "band"))
     nodes = cut(classes.join(shared.select("rep").distinct(), "rep", "left_semi").select("rep", "key", "sketch"))
-    texts = keyed.select(F.col("doc_id").alias("rep"), "key", "text").join(nodes.select("rep", "key"), ["rep", "key"], "left_semi")
+    # the list of nodes grows with the corpus: meet the texts in a shuffle at every size
+    texts = keyed.select(F.col("doc_id").alias("rep"), "key", "text").join(nodes.select("rep", "key").hint("merge"), ["rep", "key"], "left_semi")
     texts = cut(texts.groupBy("rep", "key").agg(F.first("text").alias("text")))
     dealt = shared.withColumn("nb", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
@@ -276,7 +325,7 @@ def near_duplicates(docs: DataFrame, n: int = 4, percent: int = 80) -> DataFrame
         bucket = Window.partitionBy("band", "lo", "hi")
         mixed = members.withColumns({"_low": F.min("component").over(bucket), "_high": F.max("component").over(bucket)}).filter("_low <> _high")
         picked = mixed.select("band", "lo", "hi", "rep", "component", "sketch", "failed").mapInArrow(
-            partial(_bucket_links, least=percent / 100 - SLACK, forests=GROWTH ** turn), "a long, b long")
+            partial(_bucket_links, share=percent / 100, forests=GROWTH ** turn), "a long, b long")
         pairs = cut(picked.distinct())
         if pairs.limit(1).count() == 0:
             break

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cover_anchors, mixing, odd_sketch, secrets
+from loomwright.llm import cover_anchors, decontaminate, factorization, mixing, odd_sketch, secrets
 from loomwright.llm import sql as twins
 
 
@@ -14,6 +14,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,8 @@ def op9_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pigeonhole": op1_pigeonhole,
+        "op2_factorization": op2_factorization,
         "op4_mixing": op4_mixing,
         "op6_cover_anchors": op6_cover_anchors,
         "op8_secrets": op8_secrets,

@@ -2,8 +2,8 @@
 
 The score of a text is the logistic of ``w0 + sum(w_i) + sum over pairs of <v_i, v_j>`` over its distinct hashed terms that
 the model holds. Pairs count only for terms seen together, so an insult beside a group's name can weigh more than the two
-alone. Document frequencies by label are counted over all labelled training rows in Spark; they choose the terms. The
-weights are fitted on at most ``FIT_ROWS`` rows (a documented bound), which reach the driver as short lists of term numbers.
+alone. The machine is fitted on at most ``FIT_ROWS`` labelled rows (a documented bound): document frequencies by label,
+counted in Spark, choose the terms, and the rows reach the driver as short lists of term numbers.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import blocks, mix, word_hashes
 
 BUCKETS = 1 << 20
-#: Terms in the model: those whose frequencies differ most between the labels (chi-square), over all labelled rows.
+#: Terms in the model: those whose frequencies differ most between the labels (chi-square).
 TERMS = 4096
 LEAST_CHI = 12.0
 FACTORS = 8
-#: Rows that the weights are fitted on: the first by a hash of the id, of either label in its share.
+#: Labelled rows that the machine is fitted on: the first by a hash of the id. Their ids are broadcast (16 bytes each).
 FIT_ROWS = 40_000
 EPOCHS = 10
 #: Updates made at least, by more epochs over few rows.
@@ -145,8 +145,7 @@ def train(labelled: DataFrame) -> Machine:
     machine = Machine(chosen, bias=float(np.log(toxic / clean)))
     if not len(chosen):
         return machine
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) if n > FIT_ROWS else labelled
-    rows = sample.select("text", "label").mapInArrow(partial(_numbered, chosen=chosen), "label int, terms array<int>").collect()
+    rows = labelled.select("text", "label").mapInArrow(partial(_numbered, chosen=chosen), "label int, terms array<int>").collect()
     machine.fit([np.array(r["terms"], np.int64) for r in rows], np.array([r["label"] for r in rows], np.float64))
     return machine
 
@@ -167,9 +166,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:
-    """Labelled documents outside the held-out part. Several labels of one id count as toxic if any is; null labels are none."""
-    of = labels.filter("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    return docs.select("doc_id", "text").filter(~in_part("doc_id", modulus, held_out)).join(of, "doc_id")
+    """At most FIT_ROWS labelled ids outside the held-out part, with their texts. Several labels of one id count as toxic if
+    any is; null labels are none. Texts stay where they are read; only the bounded list of ids travels."""
+    of = labels.filter("toxic in (0, 1)").filter(~in_part("doc_id", modulus, held_out)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    chosen = of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def in_part(name: str, modulus: int, remainder: int):

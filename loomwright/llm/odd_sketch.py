@@ -114,10 +114,11 @@ def possible(words: np.ndarray, left: np.ndarray, right: np.ndarray, share: floa
         size = heads[left[i], 1 + l_second[i]] + heads[right[i], 1 + r_second[i]]
         apart = size * (1 - share) / (1 + share)  # members in one set only, at the threshold
         thin = np.where(power[i] > 0, np.sqrt(np.maximum(size, 1)), 0.0)
-        limit = apart + 5 * thin * (1 - share) + 1
+        limit = apart + 5 * thin * (1 - share)
         decay = np.exp(-2 * limit / FINE_BITS)
-        noise = np.sqrt(np.maximum(FINE_BITS / 4 * (1 - decay ** 2) - limit * decay ** 2, 0)) + 1
-        out[i] = ones <= FINE_BITS / 2 * (1 - decay) + 5 * noise
+        noise = np.sqrt(np.maximum(FINE_BITS / 4 * (1 - decay ** 2) - limit * decay ** 2, 0))
+        # equal parities hide members but never invent them: the count cannot pass the true difference
+        out[i] = ones <= np.minimum(limit + 1e-9, FINE_BITS / 2 * (1 - decay) + 5 * noise + 1)
     return out
 
 

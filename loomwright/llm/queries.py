@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cover_anchors, decontaminate, factorization, mixing, odd_sketch, secrets
+from loomwright.llm import cover_anchors, decontaminate, factorization, language, mixing, odd_sketch, pivot_index, secrets
 from loomwright.llm import sql as twins
 
 
@@ -26,6 +26,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_pivot_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_anchors.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -38,20 +42,27 @@ def op9_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_sketch.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pigeonhole": op1_pigeonhole,
         "op2_factorization": op2_factorization,
         "op4_mixing": op4_mixing,
+        "op5_pivot_distance": op5_pivot_distance,
         "op6_cover_anchors": op6_cover_anchors,
         "op8_secrets": op8_secrets,
         "op9_odd_sketch": op9_odd_sketch,
+        "op10_segmentations": op10_segmentations,
     }
 
 
 def llm_sql() -> dict[str, str]:
     return {
         "op4_mixing": twins.MIXING,
+        "op5_pivot_distance": twins.TOP_K,
         "op6_cover_anchors": twins.REPEATED_WORDS,
         "op8_secrets": twins.SECRETS,
     }

@@ -112,41 +112,59 @@ class PieceTable:
                     yield d, int(numbers[k]), p - int(offs[d]), int(ats[k])
 
 
+def _best_of(table: PieceTable, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """``(document, item id, distance, end)`` of the best verified match of every document and item with a piece in common."""
+    raw = data.tobytes()
+    spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for doc, number, place, at in table.hits(data, offs):
+        m = len(table.items[number][1])
+        k = budget(m, table.rate)
+        spots.setdefault((doc, number), []).append((place - at - k, place - at + m + k))
+    rows = []
+    for (doc, number), windows in spots.items():
+        text = raw[offs[doc]:offs[doc + 1]]
+        item_id, pattern = table.items[number]
+        most = budget(len(pattern), table.rate)
+        best = None
+        merged: list[list[int]] = []
+        for a, b in sorted(windows):
+            a, b = max(a, 0), min(b, len(text))
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            if best and best[0] == 0:
+                break
+            exact = text.find(pattern, a, b)  # the common case
+            found = (0, exact - a + len(pattern)) if exact >= 0 else best_match(pattern, text[a:b], most)
+            if found and (best is None or found[0] < best[0]):
+                best = (found[0], a + found[1])
+        if best:
+            rows.append((doc, item_id, *best))
+    return rows
+
+
 def _matches(batches: Iterator[pa.RecordBatch], table: PieceTable) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offs in blocks(batch, "text", 1 << 20):
-            raw = data.tobytes()
-            spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for doc, number, place, at in table.hits(data, offs):
-                m, k = len(table.items[number][1]), budget(len(table.items[number][1]), table.rate)
-                spots.setdefault((doc, number), []).append((place - at - k, place - at + m + k))
-            rows = []
-            for (doc, number), windows in spots.items():
-                text = raw[offs[doc]:offs[doc + 1]]
-                item_id, pattern = table.items[number]
-                most = budget(len(pattern), table.rate)
-                best = None
-                windows.sort()
-                merged: list[list[int]] = []
-                for a, b in windows:
-                    a, b = max(a, 0), min(b, len(text))
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                for a, b in merged:
-                    if best and best[0] == 0:
-                        break
-                    exact = text.find(pattern, a, b)  # the common case
-                    found = (0, exact - a + len(pattern)) if exact >= 0 else best_match(pattern, text[a:b], most)
-                    if found and (best is None or found[0] < best[0]):
-                        best = (found[0], a + found[1])
-                if best:
-                    rows.append((doc, item_id, *best))
+            rows = _best_of(table, data, offs)
             docs = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([docs, *(pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64())))], names=["doc_id", "item_id", "distance", "end"])
 
 
+def _free(batches: Iterator[pa.RecordBatch], table: PieceTable) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, offs in blocks(batch, NORMAL, 1 << 20):
+            keep = np.ones(part.num_rows, bool)
+            keep[[r[0] for r in _best_of(table, data, offs)]] = False
+            yield part.filter(pa.array(keep))
+
+
+#: Column of the normalised text while items are looked for.
+NORMAL = "_normalised"
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """Blocks of distinct normalised items, bounded in rows and bytes; only one block is on the driver at a time.
 
@@ -180,3 +198,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end long")
     return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` without the documents that :func:`contaminated` names, in place and with all columns; nothing is shuffled."""
+    columns = docs.columns
+    plain = docs.withColumn(NORMAL, normalised(F.col("text")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+    for block in item_blocks(benchmark):
+        plain = plain.mapInArrow(partial(_free, table=PieceTable(block, rate)), kinds)
+    return plain.select(*columns)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import cover_anchors, decontaminate, factorization, language, mixing, odd_sketch, pivot_index, secrets
+import corpus_pipeline
+from loomwright.llm import cover_anchors, decontaminate, factorization, language, maxent, mixing, odd_sketch, pivot_index, run_index, secrets
 from loomwright.llm import sql as twins
 
 
@@ -22,6 +23,10 @@ def op2_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,10 @@ def op6_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_anchors.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_index.remove_older(_table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -48,11 +57,14 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pigeonhole": op1_pigeonhole,
         "op2_factorization": op2_factorization,
+        "op3_maxent": op3_maxent,
         "op4_mixing": op4_mixing,
         "op5_pivot_distance": op5_pivot_distance,
         "op6_cover_anchors": op6_cover_anchors,
+        "op7_run_index": op7_run_index,
         "op8_secrets": op8_secrets,
         "op9_odd_sketch": op9_odd_sketch,
         "op10_segmentations": op10_segmentations,

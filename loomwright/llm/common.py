@@ -85,7 +85,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offs[0]:offs[-1]], offs - offs[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of whole rows with about ``limit`` bytes of text (one row may be longer), with their bytes and offsets."""
     data, offs = text_buffers(batch.column(column))
     at = 0

@@ -2,7 +2,8 @@
 
 A ``window``-byte string that starts in a document with a smaller id is removed. Strings are brought together by their
 minimizer, the ``GRAM``-byte part with the smallest hash: consecutive windows with the same minimizer occurrence form one
-segment, and equal strings fall into segments with equal minimizers. Only minimizers of several documents send segments.
+segment, and equal strings fall into segments with equal minimizers. Only minimizers that occur several times send segments, and only
+those with several distinct segments need an index.
 
 Per bucket of minimizers, the distinct segments are indexed: suffixes sorted by their first ``window`` bytes (ties by the
 smallest document id of the segment), their Burrows-Wheeler transform run-compressed, and the document ids sampled where a
@@ -260,6 +261,9 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         at_doc, at_start, at_run = [], [], []
         columns = [batch.column(x).to_pylist() for x in ("key", "doc_id", "start", "windows", "older")]
         for key, doc, start, windows, older in zip(*columns):
+            if older is None:
+                at_doc.append(key), at_start.append(start), at_run.append(windows)
+                continue
             if len(older) == 8:
                 if int.from_bytes(older, "little", signed=True) < doc:
                     at_doc.append(key), at_start.append(start), at_run.append(windows)
@@ -316,13 +320,18 @@ def remove_older(docs: DataFrame, window: int = 50) -> DataFrame:
     found = alone.join(shared.hint("merge"), "key").select(*columns, "ranges").mapInArrow(
         partial(_segments, window=window), "hash long, key long, doc_id long, start int, segment binary").withColumn("segment_key", F.xxhash64("segment"))
     distinct = cut(found.groupBy("hash", "segment_key").agg(F.min("doc_id").alias("least"), F.first("segment").alias("segment")))
-    size = distinct.agg(F.sum(F.length("segment"))).first()[0] or 0
-    bucketed = distinct.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(max(1, -(-size // BUCKET_BYTES)))))
+    # a minimizer with one distinct segment needs no index: all its windows are as old as the segment
+    several = distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    varied = distinct.join(several, "hash", "left_semi")
+    size = varied.agg(F.sum(F.length("segment"))).first()[0] or 0
+    bucketed = varied.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(max(1, -(-size // BUCKET_BYTES)))))
     older = (
         bucketed.select("bucket", "hash", "segment_key", "least", "segment").repartition("bucket").sortWithinPartitions("bucket")
         .mapInArrow(partial(_indexed, window=window), "hash long, segment_key long, older binary")
     )
-    met = found.select("hash", "segment_key", "key", "doc_id", "start", (F.length("segment") - window + 1).alias("windows")).join(older.hint("merge"), ["hash", "segment_key"])
+    known = distinct.select("hash", "segment_key", "least").join(older, ["hash", "segment_key"], "left")
+    met = found.select("hash", "segment_key", "key", "doc_id", "start", (F.length("segment") - window + 1).alias("windows")).join(known.hint("merge"), ["hash", "segment_key"])
+    met = met.filter("older is not null or least < doc_id")
     runs = met.select("key", "doc_id", "start", "windows", "older").mapInArrow(partial(_runs, window=window), "key long, start int, run int")
     per_document = runs.groupBy("key").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
     whole = marked.join(per_document.hint("merge"), "key", "left").select("out_id", "text", "copied", "runs")

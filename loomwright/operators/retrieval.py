@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
@@ -50,7 +50,7 @@ def _best_rows(queries: list, distances: np.ndarray, ids: np.ndarray, k: int) ->
 
 
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, same: list[str] | None = None, block: int = 2048) -> DataFrame:
-    """Exact nearest ``k`` (at most 100) vectors per query by cosine distance: ``query_id, id, distance, rank``.
+    """Exact nearest ``k`` vectors per query by cosine distance: ``query_id, id, distance, rank``.
 
     Distances are kept to 12 decimals, so that equal vectors tie (by id) whichever task they are in.
 
@@ -58,7 +58,7 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, same: list
     on the ``same`` columns. Queries go out in blocks of about ``block`` rows; each block is one scan that multiplies
     matrices inside the tasks and keeps ``k`` candidates per task and query, so nothing but candidates is shuffled.
     """
-    k, same = min(k, 100), same or []
+    same = same or []
     n_blocks = max(1, math.ceil(queries.count() / block))
     tagged = queries.select("query_id", "embedding", *same).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     types = dict(vectors.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
@@ -207,13 +207,17 @@ def keyword_items(hits: DataFrame, n: int = PER_ROUTE, shared_key: bool = False)
 
 
 def rrf(items: DataFrame, k: int = RRF_K, top_k: int | None = None) -> DataFrame:
-    """Reciprocal rank fusion: one row per key with the sum of 1/(k + rank), ties by route then rank."""
+    """Reciprocal rank fusion: one row per key with the sum of 1/(k + rank), ties by route then rank; all keys without ``top_k``."""
     route = F.when(c("source") == "graph", 0).when(c("source") == "doc", 1).otherwise(2)
     order = F.struct(route.alias("route"), c("rank"))
     fused = items.groupBy("query_id", "content_key").agg(
         F.sum(1.0 / (k + c("rank"))).alias("rrf_score"), F.min(order).alias("_o"), F.min_by(F.struct("source", "content"), order).alias("_f"))
     flat = fused.select("query_id", "content_key", "_f.source", "_f.content", "rrf_score", c("_o.route").alias("_route"), c("_o.rank").alias("_rank"))
-    ranked = first_n(flat, ["query_id"], [F.desc("rrf_score"), c("_route"), c("_rank")], top_k or 3 * PER_ROUTE, name="place")
+    order = [F.desc("rrf_score"), c("_route"), c("_rank")]
+    if top_k is None:
+        ranked = flat.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    else:
+        ranked = first_n(flat, ["query_id"], order, top_k, name="place")
     return ranked.drop("_route", "_rank")
 
 
@@ -287,7 +291,6 @@ def hit_text() -> Column:
 
 def context(hits: DataFrame, queries: DataFrame, budget: int = 3000, text: Column | None = None) -> DataFrame:
     """Per question the header and its hits in rank order until the next one would pass ``budget`` characters."""
-    from pyspark.sql import Window
 
     header = F.concat(F.lit("查询意图: "), F.coalesce("intent", F.lit("other")), F.lit("\n\n相关知识:\n"))
     heads = queries.select("query_id", header.alias("_head"))

@@ -20,6 +20,14 @@ MAX_HOPS = 3
 MAX_PATH_EDGES = 5
 
 
+
+def _within(asked: int, most: int) -> int:
+    """``asked``, if the operator goes that far; it never shortens an answer silently."""
+    if asked > most:
+        raise ValueError(f"at most {most} steps, not {asked}")
+    return asked
+
+
 def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[str] | None = None) -> DataFrame:
     """Every node within ``depth`` (at most 3) undirected steps of the seeds, once, at its smallest distance.
 
@@ -31,7 +39,7 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[
     none = F.lit(None).cast("string")
     frontier = seeds.select(*keys, "id").distinct().withColumns({"hop": F.lit(0), "parent": none, "rel": none})
     visited = frontier = cut_lineage(frontier)
-    for hop in range(1, min(depth, MAX_HOPS) + 1):
+    for hop in range(1, _within(depth, MAX_HOPS) + 1):
         reached = frontier.select(*keys, c("id").alias("from")).join(steps, "from").groupBy(*keys, c("to").alias("id")).agg(
             F.min(F.struct(c("from").alias("parent"), "rel")).alias("_f"))
         fresh = reached.join(visited.select(*keys, "id"), [*keys, "id"], "left_anti")
@@ -61,7 +69,7 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 2, keys: list[
     texts = F.array().cast("array<string>")
     paths = seeds.select(*keys, c("id").alias("start"), c("id").alias("end"), F.array("id").alias("nodes"), texts.alias("rels"), texts.alias("edge_ids"))
     out = None
-    for _ in range(min(depth, MAX_HOPS)):
+    for _ in range(_within(depth, MAX_HOPS)):
         grown = paths.join(steps, paths["end"] == steps["from"]).filter(~F.array_contains("edge_ids", c("edge_id")))
         paths = grown.select(
             *keys, "start", c("to").alias("end"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"),
@@ -125,7 +133,7 @@ def _single_steps(edges: DataFrame) -> DataFrame:
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
     """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges."""
-    limit = min(max_edges, MAX_PATH_EDGES)
+    limit = _within(max_edges, MAX_PATH_EDGES)
     pairs = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
     steps = _single_steps(edges)
     ahead = _shortest_from(pairs.select(c("start").alias("id")), steps, (limit + 1) // 2)
@@ -135,7 +143,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH
 
 def shortest_paths_among(points: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
     """As ``shortest_paths`` for all ordered pairs of ``points(id)``; one growth serves both ends, no pair is listed up front."""
-    limit = min(max_edges, MAX_PATH_EDGES)
+    limit = _within(max_edges, MAX_PATH_EDGES)
     levels = _shortest_from(points, _single_steps(edges), (limit + 1) // 2)
     return _meet(levels, levels, limit, None)
 
@@ -171,7 +179,7 @@ def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
     An edge is on such a walk when one of its ends is nearer than ``depth``.
     """
     reached = k_hop(seeds, edges, depth)
-    inner = reached.filter(c("hop") < min(depth, MAX_HOPS)).select("id")
+    inner = reached.filter(c("hop") < _within(depth, MAX_HOPS)).select("id")
     touched = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(
         edges.join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")).select("id").distinct()
     return nodes.join(reached.select("id"), "id", "left_semi"), edges.join(touched, "id", "left_semi")

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 
 def top_keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
     """The ``k`` most frequent 2-4 character runs per text; ties by first appearance."""
@@ -44,64 +35,49 @@ def _gram_size(name: Column) -> Column:
     return out
 
 
-def _found_by_automaton(texts: DataFrame, known: list[str], id_col: str, text_col: str, name_col: str) -> DataFrame:
-    """One pass over every text with all names at once, inside the tasks."""
-    schema = f"`{id_col}` {dict(texts.dtypes)[id_col]}, `{name_col}` string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for name in known:
-            automaton.add_word(name, name)
-        automaton.make_automaton()
-        for batch in batches:
-            found = [list({name for _, name in automaton.iter(t)}) if isinstance(t, str) else [] for t in batch[text_col]]
-            pairs = pd.DataFrame({id_col: batch[id_col].to_numpy(), name_col: found}).explode(name_col)
-            yield pairs[pairs[name_col].notna()]
-
-    return texts.select(id_col, text_col).mapInPandas(run, schema)
-
+def _tokens(text: Column) -> Column:
+    """Distinct runs of white space and of anything else; put together in place they are the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("\\S+|\\s+"), F.lit(0)))
 
-def _found_by_literals(texts: DataFrame, known: list[str], id_col: str, text_col: str, name_col: str) -> DataFrame:
-    text = F.col(text_col)
-    found = F.filter(T.literals(known), lambda k: F.contains(text, k))
-    return texts.select(id_col, F.explode(found).alias(name_col))
 
+def _anchored(names: DataFrame, vocabulary: DataFrame, name_col: str) -> DataFrame:
+    """``name, anchor, whole, sure`` for every name that can occur.
 
-def _found_by_grams(texts: DataFrame, distinct: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
-    """Texts and names meet on the leading characters of a name; longer names meet on longer grams."""
-    sized = distinct.withColumn("_size", _gram_size(F.col(name_col))).withColumn("_gram", F.expr(f"substr({name_col}, 1, _size)"))
-    parts = []
-    for size in [r[0] for r in sized.select("_size").distinct().collect()]:
-        keys = sized.filter(F.col("_size") == size).select(name_col, "_gram")
-        grams = texts.select(id_col, F.explode(_grams(F.col(text_col), size)).alias("_gram"))
-        parts.append(grams.join(keys, "_gram").select(id_col, name_col))
-    candidates = reduce(DataFrame.union, parts)
-    exact = candidates.filter(F.length(name_col) == _gram_size(F.col(name_col)))
-    longer = candidates.filter(F.length(name_col) > _gram_size(F.col(name_col)))
-    checked = longer.join(texts.select(id_col, text_col), id_col).filter(F.expr(f"contains({text_col}, {name_col})"))
-    return exact.union(checked.select(id_col, name_col))
-
-
-def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name",
-                  automaton_limit: int = 20_000, literal_limit: int = 200) -> DataFrame:
-    """(id, columns of ``names``) for every name occurring anywhere in a text.
-
-    A dictionary within the limits travels to the tasks (as an automaton, or as literals where that library is
-    missing) and is looked up inside the text scan, without a shuffle. A larger one is joined on n-grams, so no side is
-    broadcast and no pair is formed without a shared n-gram.
+    A name of one run lies inside one token (``sure``: nothing else to check). A name with inner words is looked for at
+    the one that stands in the fewest texts (``whole``: the token equals it), any other one at its longest run.
+    """
+    name = F.col(name_col)
+    runs = F.regexp_extract_all(name, F.lit("\\S+|\\s+"), F.lit(0))
+    parts = names.select(name_col, runs.alias("_runs"))
+    inner = F.filter(F.slice("_runs", 2, F.greatest(F.size("_runs") - 2, F.lit(0))), lambda r: F.trim(r).rlike("\\S"))
+    tagged = parts.withColumn("_inner", inner)
+    words = tagged.filter(F.size("_inner") > 0).select(name_col, F.explode(F.array_distinct("_inner")).alias("_token"), F.size(F.array_distinct("_inner")).alias("_n"))
+    counted = words.join(vocabulary, "_token").groupBy(name_col, "_n").agg(F.count("*").alias("_met"), F.min_by("_token", F.struct("_texts", "_token")).alias("_anchor"))
+    rare = counted.filter("_met = _n").select(name_col, "_anchor", F.lit(True).alias("_whole"), F.lit(False).alias("_sure"))
+    longest = F.array_max(F.transform("_runs", lambda r: F.struct(r.rlike("\\S").alias("word"), F.length(r).alias("n"), r.alias("run"))))["run"]
+    other = tagged.filter(F.size("_inner") == 0).select(name_col, longest.alias("_anchor"), F.lit(False).alias("_whole"), (F.size("_runs") == 1).alias("_sure"))
+    return rare.union(other)
+
+
+def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name") -> DataFrame:
+    """(id, columns of ``names``) for every name occurring anywhere in a text; one row per id and row of ``names``.
+
+    Texts are not shuffled: their distinct tokens are counted (combined before the shuffle), names meet this vocabulary,
+    and the tokens that were met lead back to the ids. Names inside a token meet it on the leading characters of the name.
+    Names over several tokens are checked against the texts of their candidates only. Null and empty texts and names give nothing.
     """
     distinct = names.select(name_col).filter(F.length(name_col) > 0).distinct()
-    limit = literal_limit if ahocorasick is None else automaton_limit
-    known = [r[0] for r in distinct.limit(limit + 1).collect()]
-    if not known:
-        hits = _found_by_literals(texts, known, id_col, text_col, name_col)
-    elif len(known) > limit:
-        hits = _found_by_grams(texts, distinct, id_col, text_col, name_col)
-    elif ahocorasick is None:
-        hits = _found_by_literals(texts, known, id_col, text_col, name_col)
-    else:
-        hits = _found_by_automaton(texts, known, id_col, text_col, name_col)
-    return hits.join(names, name_col)
+    tokens = texts.select(id_col, F.explode(_tokens(F.col(text_col))).alias("_token"))
+    vocabulary = tokens.groupBy("_token").agg(F.count("*").alias("_texts"))
+    anchored = _anchored(distinct, vocabulary, name_col)
+    whole = anchored.filter("_whole").select(name_col, F.col("_anchor").alias("_token"), "_sure")
+    sized = anchored.filter("not _whole").withColumn("_gram", F.substr("_anchor", F.lit(1), _gram_size(F.col("_anchor"))))
+    grams = vocabulary.select("_token", F.explode(F.concat(*[_grams(F.col("_token"), n) for n in GRAM_SIZES])).alias("_gram"))
+    inside = grams.join(sized, "_gram").filter(F.contains("_token", "_anchor")).select(name_col, "_token", "_sure")
+    candidates = tokens.join(whole.union(inside), "_token").select(id_col, name_col, "_sure").distinct()
+    unsure = texts.select(id_col, text_col).join(candidates.filter("not _sure").select(F.col(id_col), F.col(name_col).alias("_name")), id_col)
+    checked = unsure.filter(F.contains(text_col, "_name")).select(id_col, F.col("_name").alias(name_col))
+    return candidates.filter("_sure").select(id_col, name_col).union(checked.distinct()).join(names, name_col)
 
 
 def longest_match(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:

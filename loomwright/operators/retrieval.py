@@ -5,7 +5,6 @@ Every route ends in a top-n per question, so all later steps handle at most a fe
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -29,67 +28,73 @@ PER_ROUTE = 15
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 
+VECTOR_BLOCK = 1024
+
+
 def _unit_rows(rows) -> np.ndarray:
     matrix = np.array([np.asarray(r, dtype=np.float64) for r in rows])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+def _packed(rows: DataFrame, id_col: str, same: list[str], block: int) -> DataFrame:
+    """Rows of up to ``block`` unit vectors that agree in dimension and ``same``: ``_dim, *same, _ids, _matrix``."""
+    types = dict(rows.dtypes)
+    schema = ", ".join(["_dim int", *[f"`{n}` {types[n]}" for n in same], f"_ids array<{types[id_col]}>", "_matrix binary"])
+    usable = rows.filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for values, group in batch.groupby(["_dim", *same], sort=False):
+                for at in range(0, len(group), block):
+                    part = group.iloc[at:at + block]
+                    fields = dict(zip(["_dim", *same], values))
+                    yield pd.DataFrame([fields | {"_ids": part[id_col].tolist(), "_matrix": _unit_rows(part["embedding"]).tobytes()}])
+
+    return usable.select(F.size("embedding").alias("_dim"), *same, id_col, "embedding").mapInPandas(pack, schema)
+
+
 def _best_rows(queries: list, distances: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """The k nearest rows per query of one block, ties by id."""
     frames = []
     for column, query_id in enumerate(queries):
         near = distances[:, column]
-        usable = np.flatnonzero(~np.isnan(near))
-        if len(usable) > k:
-            cut = np.partition(near[usable], k - 1)[k - 1]
-            usable = usable[near[usable] <= cut]
+        usable = np.arange(len(near))
+        if len(near) > k:
+            usable = np.flatnonzero(near <= np.partition(near, k - 1)[k - 1])
         order = usable[np.lexsort((ids[usable], near[usable]))][:k]
         frames.append(pd.DataFrame({"query_id": query_id, "id": ids[order], "distance": near[order]}))
     return pd.concat(frames, ignore_index=True)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, same: list[str] | None = None, block: int = 2048) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, same: list[str] | None = None, block: int = VECTOR_BLOCK, parts: int | None = None) -> DataFrame:
     """Exact nearest ``k`` vectors per query by cosine distance: ``query_id, id, distance, rank``.
 
-    Distances are kept to 12 decimals, so that equal vectors tie (by id) whichever task they are in.
+    Distances are kept to 12 decimals, so that equal vectors tie (by id) whichever task they are in. Vectors that are null,
+    empty or hold null or non-finite values take no part; a query only meets vectors of its dimension.
 
     ``vectors(id, embedding, *same)``, ``queries(query_id, embedding, *same)``; a query only meets vectors that agree
-    on the ``same`` columns. Queries go out in blocks of about ``block`` rows; each block is one scan that multiplies
-    matrices inside the tasks and keeps ``k`` candidates per task and query, so nothing but candidates is shuffled.
+    on the ``same`` columns. Both sides are packed into blocks of at most ``block`` rows. Vector blocks are dealt out to
+    ``parts`` numbers (shuffle partitions when not given) and query blocks go to every number, so each vector is moved once;
+    a pair of blocks is one matrix product that leaves ``k`` candidates per query.
     """
     same = same or []
-    n_blocks = max(1, math.ceil(queries.count() / block))
-    tagged = queries.select("query_id", "embedding", *same).withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     types = dict(vectors.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    schema = f"query_id {types['query_id']}, id {types['id']}, distance double"
-    found = []
-    for number in range(n_blocks):
-        rows = tagged.filter(c("_block") == number).collect()
-        if not rows:
-            continue
-        query_ids = [r["query_id"] for r in rows]
-        matrix = _unit_rows([r["embedding"] for r in rows]).T
-        tags = {name: np.array([r[name] for r in rows]) for name in same}
-
-        def nearest(batches: Iterator[pd.DataFrame], query_ids=query_ids, matrix=matrix, tags=tags) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                if batch.empty:
-                    continue
-                distances = np.round(1.0 - _unit_rows(batch["embedding"]) @ matrix, 12)
-                for name, wanted in tags.items():
-                    distances[batch[name].to_numpy()[:, None] != wanted[None, :]] = np.nan
-                fresh = _best_rows(query_ids, distances, batch["id"].to_numpy(), k)
-                joined = fresh if best is None else pd.concat([best, fresh])
-                best = joined.sort_values(["query_id", "distance", "id"]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        found.append(vectors.select("id", "embedding", *same).mapInPandas(nearest, schema))
-    if not found:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    return first_n(reduce(DataFrame.union, found), ["query_id"], [c("distance"), c("id")], k)
+    left = _packed(vectors.select("id", "embedding", *same), "id", same, block).withColumn("_part", F.pmod(F.xxhash64("_ids"), F.lit(parts)))
+    right = _packed(queries.select("query_id", "embedding", *same), "query_id", same, block).select(
+        "_dim", *same, c("_ids").alias("_queries"), c("_matrix").alias("_wanted"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("_part"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, ids, matrix, wanted_ids, wanted in batch.itertuples(index=False):
+                rows = np.frombuffer(matrix, np.float64).reshape(-1, dim)
+                columns = np.frombuffer(wanted, np.float64).reshape(-1, dim).T
+                yield _best_rows(list(wanted_ids), np.round(1.0 - rows @ columns, 12), np.asarray(ids), k)
+
+    pairs = left.join(right, ["_dim", *same, "_part"]).select("_dim", "_ids", "_matrix", "_queries", "_wanted")
+    found = pairs.mapInPandas(nearest, f"query_id {types['query_id']}, id {types['id']}, distance double")
+    return first_n(found, ["query_id"], [c("distance"), c("id")], k)
 
 
 def node_vector_search(vectors: DataFrame, nodes: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -139,9 +144,12 @@ def keyword_search(keywords: DataFrame, nodes: DataFrame, limit: int = 5) -> Dat
 
     ``keywords(query_id, keyword)``; ``nodes(id, name, description)``.
     """
-    words = keywords.filter("keyword <> ''").distinct()
+    words = keywords.filter("keyword <> ''").select("query_id", "keyword").distinct()
     texts = nodes.select("id", F.concat_ws("\n", "name", "description").alias("_text"))
-    pairs = contains_join(texts, words, "id", "_text", "keyword").select("query_id", "id").distinct()
+    found = contains_join(texts, words.select("keyword").distinct(), "id", "_text", "keyword")
+    # the first ids of a question are among the first of each of its keywords, so a frequent word sends ``limit`` rows only
+    per_word = first_n(found.distinct(), ["keyword"], [c("id")], limit).drop("rank")
+    pairs = words.join(per_word, "keyword").select("query_id", "id").distinct()
     top = first_n(pairs, ["query_id"], [c("id")], limit)
     named = top.join(nodes.select("id", "name", "description"), "id")
     return named.select("query_id", F.lit("keyword").alias("type"), c("id").alias("node_id"), "name", "description", F.lit(0.5).alias("relevance_score"), "rank")

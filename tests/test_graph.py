@@ -143,6 +143,20 @@ def test_vector_top_k_blocks_and_zero_vector(spark):
     assert [(r["query_id"], r["rank"], r["id"]) for r in whole] == [(r["query_id"], r["rank"], r["id"]) for r in blocks]
     assert len(whole) == 70 and whole[0]["id"] == 0
     assert {r["distance"] for r in whole if r["query_id"] == 60} == {1.0}
+    odd = spark.createDataFrame([(70, None), (71, [1.0]), (72, []), (73, [None] * 5), (74, [float("nan")] * 5)], "id long, embedding array<double>")
+    more = R.vector_top_k(vectors.union(odd), queries.union(odd), 7, parts=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["id"]) for r in more if r["query_id"] != 71] == [(r["query_id"], r["rank"], r["id"]) for r in whole]
+    assert [r["id"] for r in more if r["query_id"] == 71] == [71]
+    assert R.vector_top_k(vectors, queries.limit(0), 7).count() == 0
+
+
+def test_keyword_search_limits_each_word(spark):
+    nodes = spark.createDataFrame([(i, "common word", f"n{i}") for i in range(40)] + [(40, "rare", None)], "id long, name string, description string")
+    words = spark.createDataFrame([(q, w) for q in range(6) for w in ("common", "rare")], "query_id long, keyword string")
+    hits = R.keyword_search(words, nodes, 5).collect()
+    assert sorted((r["query_id"], r["node_id"]) for r in hits) == [(q, i) for q in range(6) for i in range(5)]
+    rare = R.keyword_search(words.filter("keyword = 'rare'"), nodes, 5).collect()
+    assert {r["node_id"] for r in rare} == {40} and len(rare) == 6
 
 
 def test_repair_json():

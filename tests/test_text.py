@@ -125,15 +125,15 @@ def test_extraction_paragraphs():
     assert C.extraction_paragraphs("ab。cd", 6) == ["ab。cd。"]
 
 
-def test_contains_join_paths_agree(spark):
-    texts = spark.createDataFrame([(1, "abc胰腺炎 the quick brown fox"), (2, "the"), (3, ""), (4, None), (5, "quick brown")], "id int, text string")
-    names = spark.createDataFrame([("胰",), ("the",), ("quick brown",), ("fox",), ("zz",), ("brown",), ("ab",), ("quick brown fox",)], "name string")
-    expected = {(i, n) for i, t in [(1, "abc胰腺炎 the quick brown fox"), (2, "the"), (5, "quick brown")] for (n,) in [tuple(r) for r in names.collect()] if n in t}
-    for options in ({}, {"automaton_limit": 2}):
-        got = {tuple(r) for r in D.contains_join(texts, names, "id", "text", **options).select("id", "name").collect()}
-        assert got == expected
-    literal = D._found_by_literals(texts, [r[0] for r in names.collect()], "id", "text", "name")
-    assert {tuple(r) for r in literal.collect()} == expected
+def test_contains_join(spark):
+    rows = [(1, "abc胰腺炎 the quick brown fox"), (2, "the"), (3, ""), (4, None), (5, "quick brown"), (6, "a  b\nthe quick  brown"), (7, "   "), (8, "x" * 5000 + " quick brown fox the")]
+    wanted = ["胰", "the", "quick brown", "fox", "zz", "brown", "ab", "quick brown fox", " ", "  ", "k b", "c胰腺炎 t", "he quick br", "b\nthe", "xx", " the ", "the quick zz fox", "", None]
+    texts = spark.createDataFrame(rows, "id int, text string")
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(wanted)] + [("the", 99)], "name string, tag int")
+    got = sorted((r["id"], r["name"], r["tag"]) for r in D.contains_join(texts, names, "id", "text").collect())
+    tagged = [*zip(wanted, range(len(wanted))), ("the", 99)]
+    assert got == sorted((i, n, tag) for i, t in rows if t for n, tag in tagged if n and n in t)
+    assert D.contains_join(texts, names.limit(0), "id", "text").count() == D.contains_join(texts.limit(0), names, "id", "text").count() == 0
 
 
 def test_chunk_table_function(spark):

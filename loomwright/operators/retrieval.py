@@ -19,6 +19,7 @@ from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
 from loomwright.operators.dictionary import contains_join
 from loomwright.operators.ranking import first_n
+from loomwright.session import cut_lineage
 
 c = F.col
 RRF_K = 60
@@ -265,7 +266,8 @@ def hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataF
     docs = near.join(chunks.select("id", "text"), "id").withColumnRenamed("id", "chunk_id")
     words = queries.select("query_id", F.explode("keywords").alias("keyword"))
     found = keyword_search(words, nodes, PER_ROUTE)
-    items = graph_items(graph_hits).unionByName(doc_items(docs)).unionByName(keyword_items(found))
+    # at most a few dozen rows per question, read again by the fallback and the fusion
+    items = cut_lineage(graph_items(graph_hits).unionByName(doc_items(docs)).unionByName(keyword_items(found)))
     rescue = keyword_items(fallback_search(queries, items, nodes, PER_ROUTE))
     return rrf(items.unionByName(rescue), top_k=top_k)
 
@@ -275,10 +277,10 @@ def two_route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, node_vecto
     columns = ["query_id", "type", "node_id", "name", "description", "relevance_score"]
     graph_hits = graph_route(queries, nodes, edges, depth, top_k).select(*columns)
     vector_hits = node_vector_search(node_vectors, nodes, queries.filter("embedding is not null"), top_k).select(*columns)
-    main = graph_hits.unionByName(vector_hits)
+    main = cut_lineage(graph_hits.unionByName(vector_hits))
     empty = queries.join(main.select("query_id").distinct(), "query_id", "left_anti")
     words = empty.select("query_id", F.explode(F.when(F.size("keywords") > 0, c("keywords")).otherwise(F.array("text"))).alias("keyword"))
-    by_keyword = keyword_search(words, nodes, top_k).select(*columns)
+    by_keyword = cut_lineage(keyword_search(words, nodes, top_k).select(*columns))
     rescue = fallback_search(empty, by_keyword, nodes, top_k).select(*columns)
     best = dedupe_best(main.unionByName(by_keyword).unionByName(rescue))
     return first_n(best, ["query_id"], [F.desc("relevance_score"), c("key")], 2 * top_k)
@@ -313,7 +315,7 @@ def context(hits: DataFrame, queries: DataFrame, budget: int = 3000, text: Colum
 
 
 def answer_confidence(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    grouped = hits.groupBy("query_id").agg(F.count("*").alias("_n"), F.avg("relevance_score").alias("_avg"))
+    grouped = hits.groupBy("query_id").agg(F.count("*").alias("_n"), F.avg(F.coalesce("relevance_score", F.lit(0.0))).alias("_avg"))
     joined = queries.select("query_id", "confidence").join(grouped, "query_id", "left")
     base = 0.5 + F.when(c("_n") >= 5, 0.2).when(c("_n") >= 3, 0.1).otherwise(0.0) + c("_avg") * 0.2
     mixed = (base + F.coalesce("confidence", F.lit(0.5))) / 2

@@ -70,29 +70,68 @@ def fuse(behaviour: DataFrame, answers: DataFrame, within: str = "1 hour", delay
         F.round(S.fused_score(scores), 4).alias("final_score"))
 
 
+def held_fusions(behaviour: DataFrame, answers: DataFrame, fused: DataFrame, mark: str | None, within: str = "1 hour") -> DataFrame:
+    """Unanswered rows that :func:`fuse` still holds at watermark ``mark``: the same operator over the last rows as tables.
+
+    ``fused`` is what the stream gave, in the columns of ``fuse``. Without a mark (no input) everything is held.
+    """
+    if mark is not None:
+        since = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {within}") - F.expr("INTERVAL 1 MINUTE")
+        behaviour, answers = behaviour.filter(c("behaviour_time") > since), answers.filter(c("answer_time") > since)
+    alone = fuse(behaviour, answers, within).filter("answer_time is null")
+    keys = ["user_id", "task_id", "behaviour_time"]
+    given = fused.select(*[c(k).alias(f"_{k}") for k in keys]).distinct()
+    return alone.join(given, [c(k).eqNullSafe(c(f"_{k}")) for k in keys], "left_anti")
+
+
 def session_features(events: DataFrame, gap: str = "30 minutes", delay: str = DELAY) -> DataFrame:
-    """Behaviour features per user and session; a session ends after ``gap`` without events or soon after task_end."""
+    """Behaviour features and score per user, task and session; a session ends after ``gap`` without events or soon after task_end."""
     length = F.when(c("event_type") == "task_end", "1 second").otherwise(gap)
     session = F.session_window("event_time", length).alias("s")
-    grouped = events.withWatermark("event_time", delay).groupBy("user_id", session).agg(*W.behaviour_aggregates())
-    flat = grouped.select("user_id", c("s.start").alias("start"), c("s.end").alias("end"), *[n for n in grouped.columns if n not in ("user_id", "s")])
+    keys = ["user_id", "task_id"]
+    grouped = events.withWatermark("event_time", delay).groupBy(*keys, session).agg(*W.behaviour_aggregates())
+    flat = grouped.select(*keys, c("s.start").alias("start"), c("s.end").alias("end"), *[n for n in grouped.columns if n not in (*keys, "s")])
     return W.behaviour_scores(W.finish_behaviour(flat))
 
 
-def last_messages(messages: DataFrame, n: int = 10) -> DataFrame:
-    """After each batch the last ``n`` messages of every conversation it touched; that list is the whole state."""
+def held_sessions(events: DataFrame, mark: str | None, gap: str = "30 minutes") -> DataFrame:
+    """Sessions that :func:`session_features` still holds at watermark ``mark``: those that end after it.
+
+    ``events`` is the table behind the stream; only users and tasks with events after the mark less ``gap`` are read again.
+    """
+    if mark is None:
+        return session_features(events, gap)
+    at, keys = F.lit(mark).cast("timestamp"), ["user_id", "task_id"]
+    late = events.filter(c("event_time") >= at - F.expr(f"INTERVAL {gap}")).select(*[c(k).alias(f"_{k}") for k in keys]).distinct()
+    again = events.join(late, [c(k).eqNullSafe(c(f"_{k}")) for k in keys], "left_semi")
+    return session_features(again, gap).filter(c("end") > at)
+
+
+def last_messages(messages: DataFrame, n: int = 10, idle: str | None = None) -> DataFrame:
+    """After each batch the last ``n`` messages of every conversation it touched; that list is the whole state.
+
+    Equal turns follow role, then text. With ``idle`` ("30 days") the state of a conversation without messages for that much
+    processing time is dropped; such a job goes on until it is stopped, so leave it out of ``availableNow`` runs.
+    """
     fields = [("turn", "bigint"), ("role", "string"), ("text", "string")]
     state_schema = ", ".join(f"{name} array<{kind}>" for name, kind in fields)
     out_schema = "conv_id bigint, age int, " + ", ".join(f"{name} {kind}" for name, kind in fields)
     names = [name for name, _ in fields]
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = pd.DataFrame(dict(zip(names, state.get))) if state.exists else pd.DataFrame(columns=names)
         for batch in batches:
-            kept = pd.concat([kept, batch[names]]).sort_values("turn").tail(n)
+            kept = pd.concat([kept, batch[names]]).sort_values(["turn", "role", "text"]).tail(n)
         state.update(tuple(kept[name].tolist() for name in names))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         newest = kept.iloc[::-1].reset_index(drop=True)
         yield newest.assign(conv_id=key[0], age=newest.index + 1)[["conv_id", "age", *names]].astype({"turn": "int64", "age": "int32"})
 
     grouped = messages.select("conv_id", *names).groupBy("conv_id")
-    return grouped.applyInPandasWithState(run, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return grouped.applyInPandasWithState(run, out_schema, state_schema, "update", timeout)

@@ -17,19 +17,33 @@ def _shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Process what is there, append the result to a table in the shared folder, and return that table."""
+def run_to_watermark(stream: DataFrame) -> tuple[DataFrame, str | None]:
+    """Process what is there, append the result to a table in the shared folder; return that table and the last watermark.
+
+    Windows, sessions and unanswered rows that the watermark has not passed are not in the table; ``jobs.held_sessions`` and
+    ``jobs.held_fusions`` give them.
+    """
     spark, folder = stream.sparkSession, _shared_folder(stream.sparkSession)
     query = (
         stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
         .outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    progress = query.lastProgress
+    mark = (progress.get("eventTime") or {}).get("watermark") if progress else None
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows"), mark
+
+
+def run_available(stream: DataFrame) -> DataFrame:
+    """The table of :func:`run_to_watermark`, for jobs that hold nothing back."""
+    return run_to_watermark(stream)[0]
+
 
+def run_updates(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """As ``run_available`` for jobs in update mode; ``batch`` tells the micro-batch of a row.
 
-def run_updates(stream: DataFrame) -> DataFrame:
-    """As ``run_available`` for jobs in update mode; ``batch`` tells the micro-batch of a row."""
+    With ``keys`` only the last version of each key is kept, which includes windows that are still open.
+    """
     from pyspark.sql import functions as F
 
     spark, folder = stream.sparkSession, _shared_folder(stream.sparkSession)
@@ -42,4 +56,8 @@ def run_updates(stream: DataFrame) -> DataFrame:
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").drop("b")
+    rows = spark.read.parquet(f"{folder}/rows").drop("b")
+    if keys is None:
+        return rows
+    fields = F.struct(*[n for n in rows.columns if n != "batch"])
+    return rows.groupBy(*keys).agg(F.max_by(fields, "batch").alias("_last")).select("_last.*")

@@ -326,12 +326,18 @@ def recent_activity(records: DataFrame, n: int = 3) -> DataFrame:
     return first_n(records, ["user_id"], [F.desc("created_at"), c("history_id")], n)
 
 
-def owner_overview(graphs: DataFrame, default_owner: str = "default") -> DataFrame:
-    """Per owner: its own graphs plus those of the default owner, counted without repeating the default ones per row."""
+def owner_overview(graphs: DataFrame, owners: DataFrame | None = None, default_owner: str = "default") -> DataFrame:
+    """Per owner: its own graphs plus those of the default owner, counted without repeating the default ones per row.
+
+    With ``owners(user_id)`` every one of them gets a row; one without own graphs has the totals of the default owner.
+    """
+    names = ("graphs", "entities", "relations")
     sums = [F.count("*").alias("graphs"), F.sum("entity_count").alias("entities"), F.sum("relation_count").alias("relations")]
     shared = graphs.filter(c("user_id") == default_owner).agg(*sums)
     own = graphs.filter(c("user_id") != default_owner).groupBy("user_id").agg(*sums)
-    return own.select("user_id", *[(c(n) + F.coalesce(shared.select(n).scalar(), F.lit(0))).alias(n) for n in ("graphs", "entities", "relations")])
+    if owners is not None:
+        own = owners.select("user_id").filter(c("user_id") != default_owner).distinct().join(own, "user_id", "left")
+    return own.select("user_id", *[(F.coalesce(n, F.lit(0)) + F.coalesce(shared.select(n).scalar(), F.lit(0))).alias(n) for n in names])
 
 
 def last_messages(messages: DataFrame, n: int = 10) -> DataFrame:

@@ -263,9 +263,11 @@ def _(t):
 
 
 @query("db21_owner_overview", f"""WITH {CAT}, s AS (SELECT count(*) AS g, sum(entity_count) AS e, sum(relation_count) AS r FROM cat WHERE user_id IS NULL)
-SELECT user_id, count(*) + any_value(g) AS graphs, (sum(entity_count) + any_value(e))::BIGINT AS entities, (sum(relation_count) + any_value(r))::BIGINT AS relations FROM cat, s WHERE user_id IS NOT NULL GROUP BY ALL""")
+SELECT CAST(c_custkey AS VARCHAR) AS user_id, count(graph_id) + any_value(g) AS graphs, (coalesce(sum(entity_count), 0) + any_value(e))::BIGINT AS entities,
+ (coalesce(sum(relation_count), 0) + any_value(r))::BIGINT AS relations FROM s, customer LEFT JOIN cat ON cat.user_id = CAST(c_custkey AS VARCHAR) GROUP BY ALL""")
 def _(t):
-    return D.owner_overview(graph_catalogue(t).na.fill("default", ["user_id"]))
+    owners = t.customer.select(c("c_custkey").cast("string").alias("user_id"))
+    return D.owner_overview(graph_catalogue(t).na.fill("default", ["user_id"]), owners)
 
 
 @query("gr27_catalogue_page", f"WITH {CAT} SELECT graph_id, graph_name, created_at, (SELECT count(*) FROM cat WHERE status = 'F') AS total FROM cat WHERE status = 'F' ORDER BY created_at DESC, graph_id LIMIT 50 OFFSET 10")

@@ -7,10 +7,10 @@ EDGES = "graph_id string, id string, src string, rel string, dst string, propert
 TRIPLES = "header string, relation string, tail string"
 
 SNAPSHOT_NODE = (
-    "struct<id:string,name:string,label:string,type:string,category:string,description:string,properties:map<string,string>>"
+    "struct<pos:bigint,id:string,name:string,label:string,type:string,category:string,description:string,properties:map<string,string>>"
 )
 SNAPSHOT_EDGE = (
-    "struct<id:string,source:string,sourceId:string,subject:string,target:string,targetId:string,object:string,"
+    "struct<pos:bigint,id:string,source:string,sourceId:string,subject:string,target:string,targetId:string,object:string,"
     "relation:string,predicate:string,label:string,type:string,properties:map<string,string>>"
 )
 SNAPSHOT = f"struct<nodes:array<{SNAPSHOT_NODE}>,edges:array<{SNAPSHOT_EDGE}>,relations:array<{SNAPSHOT_EDGE}>>"

@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Pin the settings the operators rely on for right results (UTC, map merge) and for AQE."""
+    """Pin the settings that right results need (UTC, map merge) and give the package to the Python workers."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so their Python workers import it from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_loomwright_sent", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if os.path.isdir(root):  # not so when the package itself was started from an archive, which Spark has sent already
+        base = os.path.join(tempfile.mkdtemp(prefix="loomwright-package-"), "loomwright_package")
+        context.addPyFile(shutil.make_archive(base, "zip", root, "loomwright"))
+    context._loomwright_sent = True
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():

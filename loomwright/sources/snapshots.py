@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright import schemas
 from loomwright.functions import text as T
+from loomwright.operators.ranking import positions
 
 c = F.col
 
@@ -20,9 +21,13 @@ def _parsed(graphs: DataFrame) -> DataFrame:
     return graphs.withColumn("_data", F.from_json("graph_data", schemas.SNAPSHOT))
 
 
+def _placed(rows: DataFrame, item: str) -> DataFrame:
+    return rows.withColumn("pos", F.coalesce(c(f"{item}.pos"), c("pos").cast("long")))
+
+
 def snapshot_to_nodes(graphs: DataFrame) -> DataFrame:
-    """Node rows of all graphs; a graph with bad JSON gives none. ``pos`` is the place inside its document."""
-    rows = _parsed(graphs).select("graph_id", F.posexplode("_data.nodes").alias("pos", "n"))
+    """Node rows of all graphs; a graph with bad JSON gives none. ``pos`` is the stored place, else the one inside its document."""
+    rows = _placed(_parsed(graphs).select("graph_id", F.posexplode("_data.nodes").alias("pos", "n")), "n")
     return rows.select(
         "graph_id", "pos", _first("n", "id", "name", "label").alias("id"), _first("n", "name", "label").alias("name"),
         _first("n", "type", "label", "category").alias("type"), c("n.category").alias("category"),
@@ -33,7 +38,7 @@ def snapshot_to_nodes(graphs: DataFrame) -> DataFrame:
 def snapshot_to_edges(graphs: DataFrame) -> DataFrame:
     """Edge rows; ``edges`` when that list has items, else ``relations``; all key spellings are accepted."""
     lists = F.when(F.size("_data.edges") > 0, c("_data.edges")).otherwise(c("_data.relations"))
-    rows = _parsed(graphs).select("graph_id", F.posexplode(lists).alias("pos", "e"))
+    rows = _placed(_parsed(graphs).select("graph_id", F.posexplode(lists).alias("pos", "e")), "e")
     named = rows.select(
         "graph_id", "pos", c("e.id").alias("id"), _first("e", "source", "sourceId", "subject").alias("src"),
         F.coalesce(_first("e", "label", "relation", "predicate", "type"), F.lit("")).alias("rel"),
@@ -42,21 +47,25 @@ def snapshot_to_edges(graphs: DataFrame) -> DataFrame:
     return named.withColumn("id", F.coalesce(F.nullif(c("id"), F.lit("")), F.concat_ws("_", "src", "rel", "dst")))
 
 
-def write_snapshots(nodes: DataFrame, edges: DataFrame, items_per_part: int = 10_000) -> DataFrame:
-    """(graph_id, part, graph_data) with exactly the keys ``nodes`` and ``edges``.
+def write_snapshots(nodes: DataFrame, edges: DataFrame, items_per_part: int | None = None) -> DataFrame:
+    """(graph_id, part, graph_data) with exactly the keys ``nodes`` and ``edges``; one document per graph, part 0.
 
-    A graph with more than ``items_per_part`` nodes or edges is written as several documents, so no row grows with the
-    graph; a graph below that is one document, part 0. Parsing the parts together gives the graph back.
+    Given ``items_per_part``, every graph is written in documents of that many nodes and edges, so no row grows with the
+    graph. Items carry their place ``pos`` in the graph, which does not depend on the parts: it follows a hash of the whole
+    row, so that a large graph is numbered by many tasks, and null ids are spread as well.
     """
-    def parts(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
-        sizes = df.groupBy("graph_id").agg(F.ceil(F.count("*") / items_per_part).alias("_parts"))
-        item = F.struct(*[F.date_format(c(f), "yyyy-MM-dd'T'HH:mm:ss").alias(f) if t == "timestamp" else c(f) for f, t in df.dtypes if f in fields])
-        placed = df.join(sizes, "graph_id").withColumn("part", F.pmod(F.xxhash64("id"), c("_parts")).cast("int"))
-        return placed.groupBy("graph_id", "part").agg(F.array_sort(F.collect_list(item)).alias(name))
-
-    node_parts = parts(nodes, "nodes", [n for n in nodes.columns if n != "graph_id"])
-    edge_parts = parts(edges, "edges", [n for n in edges.columns if n != "graph_id"])
-    both = node_parts.join(edge_parts, ["graph_id", "part"], "full")
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        fields = [n for n in df.columns if n not in ("graph_id", "pos")]
+        stamp = {f: t for f, t in df.dtypes if t == "timestamp"}
+        text = F.to_json(F.struct(*fields))
+        hashed = df.select("graph_id", *fields).withColumn("_text", text).withColumn("_hash", F.xxhash64("_text"))
+        numbered = positions(hashed, ["graph_id"], [c("_hash"), c("_text")], F.shiftright("_hash", 52))
+        pos = (c("position") - 1).alias("pos")
+        item = F.struct(pos, *[F.date_format(c(f), "yyyy-MM-dd'T'HH:mm:ss").alias(f) if f in stamp else c(f) for f in fields])
+        part = F.floor((c("position") - 1) / items_per_part).cast("int") if items_per_part else F.lit(0)
+        return numbered.select("graph_id", part.alias("part"), item.alias("_item")).groupBy("graph_id", "part").agg(F.array_sort(F.collect_list("_item")).alias(name))
+
+    both = parts(nodes, "nodes").join(parts(edges, "edges"), ["graph_id", "part"], "full")
     filled = F.struct(*[F.coalesce(c(n), F.array().cast(both.schema[n].dataType)).alias(n) for n in ("nodes", "edges")])
     return both.select("graph_id", "part", F.to_json(filled).alias("graph_data"))
 

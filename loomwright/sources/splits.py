@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+PARTITIONS = "spark.loomwright.inputPartitions"
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out to all cores when the input has fewer splits than there are cores.
 
-    For work that is heavy per row on a few unsplittable files. An input that fills the cluster is left as it is, so
-    at scale this adds no shuffle.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows out to ``partitions`` tasks, or to the number in the setting ``spark.loomwright.inputPartitions``.
+
+    For work that is heavy per row on a few unsplittable files. Without either number the input stays as it is; the size of
+    the input plays no part.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    partitions = partitions or int(df.sparkSession.conf.get(PARTITIONS, "0"))
+    return df.repartition(partitions) if partitions else df

@@ -88,6 +88,20 @@ def test_snapshot_round_trip_and_parts(spark):
     written = SN.write_snapshots(nodes, edges, items_per_part=10)
     assert written.count() == 3
     assert SN.snapshot_to_nodes(written).count() == 25 and SN.snapshot_to_edges(written).count() == 24
+    assert SN.write_snapshots(nodes, edges).count() == 1
+
+
+def test_snapshot_places_do_not_depend_on_parts(spark):
+    nodes = spark.createDataFrame([("g", f"n{i}" if i % 3 else None, f"name{i}") for i in range(25)] + [("g", "n1", "name1")], "graph_id string, id string, name string")
+    edges = spark.createDataFrame([("g", f"e{i}", f"n{i}", "R", f"n{i + 1}") for i in range(24)], "graph_id string, id string, source string, relation string, target string")
+
+    def places(size):
+        written = SN.write_snapshots(nodes, edges, size)
+        rows = SN.snapshot_to_nodes(written).select("pos", "id", "name").union(SN.snapshot_to_edges(written).select("pos", "id", "src"))
+        return sorted((tuple(r) for r in rows.collect()), key=str)
+
+    assert places(4) == places(7) == places(None)
+    assert sorted(r[0] for r in places(4)) == sorted([*range(26), *range(24)])
 
 
 def test_snapshot_spellings_and_bad_json(spark):

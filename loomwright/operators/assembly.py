@@ -132,12 +132,16 @@ def label_of(raw: Column, default: str = "Entity") -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.coalesce(raw, F.lit("")), "[^a-zA-Z0-9_]", ""), F.lit("")), F.lit(default))
 
 
-def upsert_nodes(nodes: DataFrame, incoming: DataFrame, stamp: str) -> DataFrame:
+def upsert_nodes(nodes: DataFrame, incoming: DataFrame, stamp: str, types: list[str] | None = V.ENTITY_TYPES) -> DataFrame:
     """Merge ``incoming(name, type, description, pos)`` into ``nodes(label, name, type, description, created_at, updated_at)``.
 
-    Of several incoming rows for one node the last gives the type and the last non-null description.
+    Names, types and descriptions are trimmed; a type outside ``types`` becomes Disease before the label is made (``None``
+    keeps every type). Of several incoming rows for one node the last gives the type and the last non-null description.
     """
-    rows = incoming.withColumn("label", label_of(c("type"))).filter("name <> '' and type <> ''")
+    rows = incoming.withColumns({n: T.strip(c(n)) for n in ("name", "type", "description")}).filter("name <> '' and type <> ''")
+    if types is not None:
+        rows = rows.withColumn("type", F.when(c("type").isin(types), c("type")).otherwise("Disease"))
+    rows = rows.withColumn("label", label_of(c("type")))
     latest = rows.groupBy("label", "name").agg(
         F.max_by("type", "pos").alias("_type"),
         F.max_by("description", F.when(c("description").isNotNull(), c("pos"))).alias("_description"),

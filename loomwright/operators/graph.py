@@ -214,7 +214,8 @@ def intent_answers(questions: DataFrame, knowledge: DataFrame) -> DataFrame:
     """A sentence per question from its retrieved rows.
 
     ``questions(query_id, intent)``; ``knowledge(query_id, pos, entity, relation, related_entity, description)``.
-    Retrieval returns at most ``top_k`` rows per question, so the name list of one question is bounded by it.
+    Retrieval returns at most ``top_k`` rows per question, so the name list of one question is bounded by it. Symptom rows
+    without names still give the symptom sentence; other intents without names give the general one.
     """
     joined = knowledge.join(questions, "query_id")
     wanted = F.lit(False)
@@ -223,14 +224,15 @@ def intent_answers(questions: DataFrame, knowledge: DataFrame) -> DataFrame:
     item = F.when(c("relation").isin("TREATED_BY", "TREATS_COMPLICATION"), F.coalesce(F.nullif(c("related_entity"), F.lit("")), c("entity"))).otherwise(c("related_entity"))
     named = joined.withColumn("_item", F.when(wanted, F.nullif(item, F.lit("")))).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.when(c("_item").isNotNull(), F.struct("pos", "_item")))).alias("_items"),
-        F.min(F.struct("pos", "entity", "description")).alias("_first"),
+        F.min(F.struct("pos", "entity", "description")).alias("_first"), F.max(wanted).alias("_any"),
     )
     names = F.array_join(F.transform("_items", lambda x: x["_item"]), ", ")
     about = F.concat(F.lit("关于"), F.coalesce(c("_first.entity"), F.lit("")))
     general = F.concat(about, F.when(F.coalesce(c("_first.description"), F.lit("")) != "", F.concat(F.lit("："), c("_first.description"))).otherwise(""), F.lit(ANSWER_MORE))
     answer = F.when(c("_first").isNull(), ANSWER_NONE)
     for intent, (_, before, after) in ANSWER_FRAMES.items():
-        answer = answer.when((c("intent") == intent) & (F.size("_items") > 0), F.concat(F.lit(before), names, F.lit(after)))
+        usable = c("_any") if intent == "symptom_query" else F.size("_items") > 0
+        answer = answer.when((c("intent") == intent) & usable, F.concat(F.lit(before), names, F.lit(after)))
     return questions.join(named, "query_id", "left").select("query_id", "intent", answer.otherwise(general).alias("answer"))
 
 

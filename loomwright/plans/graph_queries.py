@@ -489,14 +489,14 @@ def _(t):
     return A.batch_totals(docs)
 
 
-@query("kg8_upsert_nodes", """WITH old AS (SELECT 'Part' AS label, p_name AS name, 'Part' AS type, min(p_brand) AS description FROM part WHERE p_size < 25 GROUP BY ALL),
-new AS (SELECT 'Part' AS label, p_name AS name, arg_max('Pa-rt', p_partkey) AS type, arg_max(p_type, p_partkey) FILTER (p_size % 2 = 0) AS description FROM part WHERE p_size >= 20 GROUP BY ALL)
+@query("kg8_upsert_nodes", """WITH old AS (SELECT 'Disease' AS label, p_name AS name, 'Disease' AS type, min(p_brand) AS description FROM part WHERE p_size < 25 GROUP BY ALL),
+new AS (SELECT CASE WHEN p_size % 3 = 0 THEN 'Medicine' ELSE 'Disease' END AS label, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'Medicine' ELSE 'Disease' END AS type, arg_max(p_type, p_partkey) FILTER (p_size % 2 = 0) AS description FROM part WHERE p_size >= 20 GROUP BY ALL)
 SELECT label, name, coalesce(n.type, o.type) AS type, coalesce(n.description, o.description) AS description, CASE WHEN o.type IS NULL THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS created_at,
  CASE WHEN n.type IS NOT NULL AND o.type IS NOT NULL THEN TIMESTAMP '2024-02-01' END AS updated_at FROM old o FULL JOIN new n USING (label, name)""")
 def _(t):
-    old = t.part.filter("p_size < 25").groupBy(F.lit("Part").alias("label"), c("p_name").alias("name")).agg(
-        F.lit("Part").alias("type"), F.min("p_brand").alias("description"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
-    new = t.part.filter("p_size >= 20").select(c("p_name").alias("name"), F.lit("Pa-rt").alias("type"), F.when(c("p_size") % 2 == 0, c("p_type")).alias("description"), c("p_partkey").alias("pos"))
+    old = t.part.filter("p_size < 25").groupBy(F.lit("Disease").alias("label"), c("p_name").alias("name")).agg(
+        F.lit("Disease").alias("type"), F.min("p_brand").alias("description"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+    new = t.part.filter("p_size >= 20").select(F.concat(F.lit(" "), c("p_name")).alias("name"), F.when(c("p_size") % 3 == 0, " Medicine").otherwise("Pa-rt").alias("type"), F.when(c("p_size") % 2 == 0, F.concat(c("p_type"), F.lit(" "))).alias("description"), c("p_partkey").alias("pos"))
     return A.upsert_nodes(old, new, "2024-02-01")
 
 
@@ -589,7 +589,7 @@ SELECT label AS kind, name AS key FROM n UNION ALL SELECT 'edge', s || '>' || o
 def _(t):
     n, e = SN.snapshot_to_nodes(snapshots(t)), SN.snapshot_to_edges(snapshots(t))
     empty_nodes = n.limit(0).select(c("type").alias("label"), "name", "type", "description", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"))
-    synced = A.upsert_nodes(empty_nodes, n, "2024-02-01")
+    synced = A.upsert_nodes(empty_nodes, n, "2024-02-01", types=None)
     ends = n.select("graph_id", "id", "name")
     solved = SN.resolve_endpoints(e, n, ["graph_id"])
     named = solved.join(ends.toDF("graph_id", "src", "subject"), ["graph_id", "src"]).join(ends.toDF("graph_id", "dst", "object"), ["graph_id", "dst"])

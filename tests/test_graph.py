@@ -191,3 +191,12 @@ def test_intent_names(spark):
     start = spark.createDataFrame([(1, "flu")], "query_id int, name string")
     assert G.intent_names(start, nodes, edges, "HAS_SYMPTOM", True, "Symptom").first()["answer"] == "cough"
     assert G.intent_names(start, nodes, edges, "TREATS", False, "Drug").first()["answer"] == "tea"
+
+
+def test_intent_answers_without_names(spark):
+    questions = spark.createDataFrame([(1, "symptom_query"), (2, "department_query"), (3, "symptom_query")], "query_id int, intent string")
+    rows = [(1, 1, "flu", "HAS_SYMPTOM", "", "d"), (2, 1, "flu", "BELONGS_TO_DEPARTMENT", None, ""), (3, 1, "flu", "OTHER", "x", "d")]
+    knowledge = spark.createDataFrame(rows, "query_id int, pos int, entity string, relation string, related_entity string, description string")
+    got = {r["query_id"]: r["answer"] for r in G.intent_answers(questions, knowledge).collect()}
+    assert got[1] == "根据医疗知识库，主要症状包括：。建议及时就医。"
+    assert got[2].startswith("关于flu 详细") and got[3].startswith("关于flu：d")

@@ -1,6 +1,9 @@
 """File readers, intake, the corpus lineage and the streaming jobs on small inputs."""
 
 import json
+import os
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -81,3 +84,19 @@ def test_message_state_over_batches(spark, tmp_path):
     out = run_updates(J.last_messages(stream, 10))
     last = out.filter(F.col("batch") == out.agg(F.max("batch")).scalar()).orderBy("age").collect()
     assert len(last) == 10 and {r["turn"] for r in last} == set(range(5, 15)) and last[0]["turn"] == 14
+
+
+def test_workers_import_the_package_from_another_folder(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(f"""import sys
+sys.path.append({root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", entry.queries()["ch3_sentence_blocks"](spark, "/root/testdata/sf0.001").count())
+""")
+    clean = {k: v for k, v in os.environ.items() if not k.startswith(("PYTHONPATH", "PYSPARK", "SPARK_"))}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows ")[1]) > 0

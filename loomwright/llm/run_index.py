@@ -1,105 +1,91 @@
 """Repeated byte strings by a run-length Burrows-Wheeler index.
 
 A ``window``-byte string that starts in a document with a smaller id is removed. Strings are brought together by their
-minimizer, the ``GRAM``-byte part with the smallest hash: consecutive windows with the same minimizer occurrence form one
-segment, and equal strings fall into segments with equal minimizers. Only minimizers that occur several times send segments, and only
-those with several distinct segments need an index.
-
-Per bucket of minimizers, the distinct segments are indexed: suffixes sorted by their first ``window`` bytes (ties by the
-smallest document id of the segment), their Burrows-Wheeler transform run-compressed, and the document ids sampled where a
-run or a group of equal ``window``-byte prefixes begins. All segments are then streamed backwards through the index at once,
-one byte a step; a step keeps the interval of suffixes that share the last ``window`` bytes (matching statistics, capped at
+minimizer, the 16-byte part with the smallest hash: consecutive windows with the same minimizer occurrence form one
+segment, and equal strings fall into segments with equal minimizers.
+
+Texts are dealt out by hash into packs of about ``PACK_BYTES``. A pack sends its minimizers to buckets as packed arrays
+(minimizer, hash of the whole segment, document), and each bucket answers with one byte per segment: gone (an older document
+has the same segment), kept (nothing else has the minimizer), or open (the minimizer stands in different segments). Only
+open segments travel as bytes, one for each different content and document.
+
+Per bucket, what repeats of the open segments is indexed: suffixes sorted by their first ``window`` bytes (ties by the
+smallest document id), their Burrows-Wheeler transform run-compressed, and the document ids sampled where a run or a group
+of equal ``window``-byte prefixes begins. All strings are then streamed backwards through the index at once, one byte a
+step; a step keeps the interval of suffixes that share the last ``window`` bytes (matching statistics, capped at
 ``window``). The sample at the head of that interval is the smallest document with the string.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import as_long, blocks, byte_prefix, cut, document_key, range_hash
-from loomwright.llm.cover_anchors import PLACES, _Held, _met_again, _starts
+from loomwright.llm.common import byte_prefix, document_key, mix, range_hash, text_buffers
 
 GRAM = 16
-#: Bytes of segments that a bucket of the index should hold.
-BUCKET_BYTES = 4 << 20
-#: Minimizers that a task holds before it resolves repeats among them.
-HELD = 1_000_000
-
-
-def minimizers(data: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of all texts: ``(document, start, end, hash)``; windows from ``start`` to ``end - window`` share a minimizer."""
+#: Bytes of text in a pack of documents, and of strings in one index.
+PACK_BYTES = 1 << 20
+INDEX_BYTES = 4 << 20
+#: Buckets of minimizers: at least so many, and more (with packs larger in proportion) when each would get more bytes of text.
+BUCKETS = 512
+BUCKET_TEXT = 96 << 20
+
+_ORDER_BITS = np.uint64(0xFFFFFFFF00000000)
+_PLACE_BITS = np.uint64(0xFFFFFFFF)
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """Hash of the 16 bytes from each place on."""
+    n = len(data) - GRAM + 1
+    eight = np.ndarray((n + 8,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    value = eight[:n] * np.uint64(0x9E3779B97F4A7C15)
+    value ^= value >> np.uint64(31)
+    value += eight[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(29)
+    return value
+
+
+def _minimizers(data: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     width = window - GRAM + 1
-    empty = np.zeros(0, np.int64)
     n = len(data) - window + 1
     if n <= 0:
-        return empty, empty, empty, np.zeros(0, np.uint64)
-    prefix = byte_prefix(data)
-    at = np.arange(len(data) - GRAM + 1)
-    values = range_hash(prefix, at, at + GRAM)
-    # smallest of each run of ``width`` grams, the leftmost of equals: doubling over (hash, place)
-    best = at.copy()
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+    grams = _grams(data)
+    # smallest of each run of ``width`` grams, the leftmost of equals: half a hash and the place in one number
+    least = (grams & _ORDER_BITS) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
-        left, right = best[:-span], best[span:]
-        best = np.where(values[left] <= values[right], left, right)
+        least = np.minimum(least[:-span], least[span:])
         span *= 2
-    if span < width:
-        left, right = best[:n], best[width - span:width - span + n]
-        best = np.where(values[left] <= values[right], left, right)
-    best = best[:n]
-    doc = np.searchsorted(offs, np.arange(n), "right") - 1
-    inside = np.arange(n) + window <= offs[doc + 1]
-    begin = np.ones(n, bool)
-    begin[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
-    heads = np.flatnonzero(begin & inside)
-    edge = np.flatnonzero(begin | ~inside)
-    following = np.searchsorted(edge, heads, "right")
-    stops = np.where(following < len(edge), edge[np.minimum(following, len(edge) - 1)], n)
-    return doc[heads], heads, stops - 1 + window, values[best[heads]]
-
-
-def _ordinals(doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each segment inside its document, and where the segments of each document begin."""
-    first = np.searchsorted(doc, np.arange(rows + 1))
-    return np.arange(len(doc)) - first[doc], first
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Minimizers with the key of the document and the number of the segment; repeats of a task are resolved there."""
-    held = _Held(0)
-    for batch in batches:
-        for part, data, offs in blocks(batch, "text"):
-            doc, _, _, h = minimizers(data, offs, window)
-            number, _ = _ordinals(doc, part.num_rows)
-            if len(h):
-                held.add(h, np.zeros(len(h), np.uint64), part.column("key").to_numpy().view(np.uint64)[doc], number)
-            if held.rows >= HELD:
-                yield held.flush()
-    if held.rows:
-        yield held.flush()
-
-
-def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The segments whose numbers stand in ``ranges``."""
-    for batch in batches:
-        for part, data, offs in blocks(batch, "text"):
-            doc, start, end, h = minimizers(data, offs, window)
-            _, first = _ordinals(doc, part.num_rows)
-            ranges = part.column("ranges")
-            keep = np.concatenate([np.flatnonzero(_starts(ranges, i, 0, int(first[i + 1] - first[i]))) + first[i] for i in range(part.num_rows)])
-            raw = data.tobytes()
-            doc, start, end, h = doc[keep], start[keep], end[keep], h[keep]
-            at = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [as_long(h), part.column("key").take(at), part.column("doc_id").take(at), pa.array((start - offs[doc]).astype(np.int32)), pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())],
-                names=["hash", "key", "doc_id", "start", "segment"])
+    least = np.minimum(least[:n], least[width - span:width - span + n])
+    inside = np.arange(window, n + window) <= np.repeat(offs[1:], np.diff(offs))[:n]
+    other = np.ones(n + 1, bool)
+    other[1:-1] = (least[1:] != least[:-1]) | ~(inside[1:] & inside[:-1])
+    start, end = np.flatnonzero(inside & other[:-1]), np.flatnonzero(inside & other[1:]) + window
+    return np.searchsorted(offs, start, "right") - 1, start, end, mix(grams[(least[start] & _PLACE_BITS).astype(np.int64)]), range_hash(byte_prefix(data), start, end)
+
+
+def minimizers(data: np.ndarray, offs: np.ndarray, window: int, limit: int = 1 << 17) -> tuple[np.ndarray, ...]:
+    """Segments of all texts: ``(document, start, end, minimizer, hash of the segment)``.
+
+    Windows from ``start`` to ``end - window`` share a minimizer. Texts go through in runs of about ``limit`` bytes.
+    """
+    parts, at = [], 0
+    while at < len(offs) - 1 or not parts:
+        to = min(len(offs) - 1, max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1))
+        doc, start, end, h, content = _minimizers(data[offs[at]:offs[to]], offs[at:to + 1] - offs[at], window)
+        parts.append((doc + at, start + offs[at], end + offs[at], h, content))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 class RunIndex:
@@ -221,83 +207,178 @@ class RunIndex:
         return out
 
 
-def _short(numbers: np.ndarray) -> bytes:
-    """Packed numbers; one stands for all if they are equal."""
-    return (numbers[:1] if (numbers == numbers[0]).all() else numbers).tobytes()
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Windows of each distinct segment that a document before its own first one holds.
-
-    Rows ``hash, segment, least`` come sorted by bucket; a bucket is indexed when it is complete. The result has, per
-    segment, ``older``: the smallest document id of each window, as packed 64-bit numbers.
+class _Pack:
+    """The texts of a pack in a defined order, and their segments by bucket."""
+
+    def __init__(self, texts: pa.Table, window: int, buckets: int):
+        self.texts = texts.sort_by([("doc_id", "ascending"), ("key", "ascending")])
+        self.data, self.offs = text_buffers(self.texts.column("text"))
+        self.docs = self.texts.column("doc_id").to_numpy()
+        self.doc, self.start, self.end, h, self.content = minimizers(self.data, self.offs, window)
+        self.h = (h & _PLACE_BITS).astype(np.uint32)
+        bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[self.order]
+
+    def packed(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segments in the order of their buckets, the buckets, and where each begins."""
+        order, bucket = (self.order, self.bucket) if keep is None else (self.order[keep], self.bucket[keep])
+        heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[:len(bucket)])
+        return order, bucket[heads], np.append(heads, len(order))
+
+
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Rows of packed values: row ``i`` holds the bytes of ``values[edges[i]:edges[i + 1]]``."""
+    values = np.ascontiguousarray(values)
+    size = values.itemsize * int(np.prod(values.shape[1:]))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer((edges * size).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of packed rows, and where each row begins."""
+    data, offs = text_buffers(column)
+    return np.frombuffer(data.tobytes(), kind), offs // np.dtype(kind).itemsize
+
+
+def _anchors(texts: pa.Table, window: int, buckets: int) -> pa.Table:
+    """The segments of a pack, one row a bucket. Document ids go as differences in two columns, the upper one mostly zeros."""
+    pack = _Pack(texts, window, buckets)
+    order, names, edges = pack.packed()
+    docs = pack.docs[pack.doc[order]].astype(np.int64).view(np.uint64)
+    step = docs.copy()
+    step[1:] -= docs[:-1]
+    step[edges[:-1]] = docs[edges[:-1]]
+    return pa.table({
+        "bucket": pa.array(names, pa.int32()), "pack": pa.array(np.full(len(names), texts.column("pack")[0].as_py()), pa.int64()),
+        "h": _binary(pack.h[order], edges), "content": _binary(pack.content[order], edges),
+        "upper": _binary(step >> np.uint64(16), edges), "lower": _binary((step & np.uint64(0xFFFF)).astype(np.uint16), edges)})
+
+
+def _answers(rows: pa.Table) -> pa.Table:
+    """One byte per segment of a bucket: 0 kept, 1 gone, 2 open."""
+    h, edges = _unpacked(rows.column("h"), np.uint32)
+    content, _ = _unpacked(rows.column("content"), np.uint64)
+    step = (_unpacked(rows.column("upper"), np.uint64)[0] << np.uint64(16)) | _unpacked(rows.column("lower"), np.uint16)[0]
+    total = np.cumsum(step, dtype=np.uint64)
+    head = edges[:-1]
+    docs = (total - np.repeat(total[head] - step[head], np.diff(edges))).view(np.int64)
+    order = np.lexsort((docs, content, h))
+    hs, cs, ds = h[order], content[order], docs[order]
+    new_h = np.concatenate([[True], hs[1:] != hs[:-1]])
+    new_c = new_h | np.concatenate([[True], cs[1:] != cs[:-1]])
+    heads, group = np.flatnonzero(new_h), np.cumsum(new_h) - 1
+    least = ds[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
+    varied = (np.add.reduceat(new_c.astype(np.int64), heads) > 1) & (np.minimum.reduceat(ds, heads) < np.maximum.reduceat(ds, heads))
+    answer = np.empty(len(h), np.uint8)
+    answer[order] = np.where(ds > least, 1, np.where(varied[group], 2, 0))
+    none = pa.nulls(rows.num_rows, pa.int32())
+    return pa.table({"pack": rows.column("pack"), "bucket": rows.column("bucket"), "answer": _binary(answer, edges), "number": none, "start": none, "run": none})
+
+
+def _answered(pack: _Pack, answers: pa.Table) -> np.ndarray:
+    """The answers to the segments of a pack, in the order of their buckets."""
+    return _unpacked(answers.sort_by("bucket").column("answer"), np.uint8)[0]
+
+
+def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of all stretches one after the other."""
+    before = np.cumsum(length) - length
+    return data[np.repeat(start - before, length) + np.arange(int(length.sum()))]
+
+
+def _open(texts: pa.Table, answers: pa.Table, window: int, buckets: int) -> pa.Table:
+    """The open segments of a pack, one row a bucket; ``at`` holds text number, start, document id and length of each."""
+    none = pa.table({x: pa.array([], t) for x, t in (("bucket", pa.int32()), ("pack", pa.int64()), ("h", pa.binary()), ("at", pa.binary()), ("segments", pa.binary()))})
+    if not texts.num_rows or not answers.num_rows:
+        return none
+    pack = _Pack(texts, window, buckets)
+    order, names, edges = pack.packed(_answered(pack, answers) == 2)
+    if not len(order):
+        return none
+    doc, start, length = pack.doc[order], pack.start[order], pack.end[order] - pack.start[order]
+    at = np.stack([doc, start - pack.offs[doc], pack.docs[doc], length], axis=1).astype(np.int64)
+    return pa.table({
+        "bucket": pa.array(names, pa.int32()), "pack": pa.array(np.full(len(names), texts.column("pack")[0].as_py()), pa.int64()),
+        "h": _binary(pack.h[order], edges), "at": _binary(at, edges),
+        "segments": _binary(_gathered(pack.data, start, length), np.concatenate([[0], np.cumsum(length)])[edges])})
+
+
+def _flag_runs(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of each run of set flags; a run ends before a place in ``breaks``."""
+    new = np.zeros(len(flags) + 1, bool)
+    new[breaks] = True
+    first = flags & (new[:-1] | ~np.concatenate([[False], flags[:-1]]))
+    last = flags & (new[1:] | ~np.concatenate([flags[1:], [False]]))
+    return np.flatnonzero(first), np.flatnonzero(last)
+
+
+def _indexed(rows: pa.Table, window: int) -> pa.Table:
+    """Windows of open segments that an older document holds, as runs of window starts ``(pack, number, start, run)``.
+
+    Windows whose hash occurs once cannot match and stay out of the index. Segments with equal minimizers share an index.
     """
-    carried: pa.Table | None = None
-
-    def bucket(table: pa.Table) -> pa.RecordBatch:
-        column = table.column("segment").combine_chunks()
-        data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-        offs = np.concatenate([[0], np.cumsum([len(x) for x in column.to_pylist()])]).astype(np.int64)
-        docs = table.column("least").to_numpy().astype(np.int64)
-        least = RunIndex(data, offs, docs, window).stream(data, offs)
-        packed = [_short(least[a:b - window + 1]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        return pa.RecordBatch.from_arrays([table.column("hash").combine_chunks(), table.column("segment_key").combine_chunks(), pa.array(packed, pa.binary())], names=["hash", "segment_key", "older"])
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if carried is None else pa.concat_tables([carried, table])
-        numbers = table.column("bucket").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist()]
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield bucket(table.slice(a, b - a))
-        carried = table.slice(edges[-1])
-    if carried is not None and carried.num_rows:
-        yield bucket(carried)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Removed windows of segment occurrences as runs ``(doc_id, start, length in windows)``."""
-    for batch in batches:
-        at_doc, at_start, at_run = [], [], []
-        columns = [batch.column(x).to_pylist() for x in ("key", "doc_id", "start", "windows", "older")]
-        for key, doc, start, windows, older in zip(*columns):
-            if older is None:
-                at_doc.append(key), at_start.append(start), at_run.append(windows)
-                continue
-            if len(older) == 8:
-                if int.from_bytes(older, "little", signed=True) < doc:
-                    at_doc.append(key), at_start.append(start), at_run.append(windows)
-                continue
-            gone = np.frombuffer(older, np.int64) < doc
-            if gone.all():
-                at_doc.append(key), at_start.append(start), at_run.append(len(gone))
-            elif gone.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    at_doc.append(key), at_start.append(start + a), at_run.append(b - a)
-        yield pa.RecordBatch.from_arrays([pa.array(at_doc, pa.int64()), pa.array(at_start, pa.int32()), pa.array(at_run, pa.int32())], names=["key", "start", "run"])
-
-
-def _digest(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, data, offs in blocks(batch, "text"):
-            removed, spans, hashes = [], [], []
-            runs, whole = part.column("runs").to_pylist(), part.column("copied").to_pylist()
-            for i in range(part.num_rows):
-                text = data[offs[i]:offs[i + 1]]
-                marks = np.zeros(len(text) + 1, np.int32)
-                if whole[i] and len(text) >= window:
-                    marks[0], marks[len(text)] = 1, -1
-                for r in runs[i] or ():
-                    marks[r["start"]] += 1
-                    marks[r["start"] + r["run"] - 1 + window] -= 1
-                gone = np.cumsum(marks)[:-1] > 0
-                removed.append(int(gone.sum()))
-                spans.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()))
-                hashes.append(hashlib.sha256(text[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("out_id"), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(hashes)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    h, edges = _unpacked(rows.column("h"), np.uint32)
+    at = _unpacked(rows.column("at"), np.int64)[0].reshape(-1, 4)
+    data, _ = text_buffers(rows.column("segments"))
+    packs = np.repeat(rows.column("pack").to_numpy(), np.diff(edges))
+    begins = np.cumsum(at[:, 3]) - at[:, 3]
+    flags = np.zeros(len(data), bool)
+    starts = np.flatnonzero(np.arange(len(data)) + window <= np.repeat(begins + at[:, 3], at[:, 3]))
+    hashes = range_hash(byte_prefix(data), starts, starts + window)
+    by = np.argsort(hashes, kind="stable")
+    twin = hashes[by][1:] == hashes[by][:-1]
+    flags[starts[by[1:][twin]]] = flags[starts[by[:-1][twin]]] = True
+    first, last = _flag_runs(flags, begins)
+    owner = np.searchsorted(begins, first, "right") - 1
+    length = last - first + window
+    order = np.argsort(h[owner], kind="stable")
+    first, owner, length = first[order], owner[order], length[order]
+    found = []
+    total = np.cumsum(length)
+    edge = np.flatnonzero(np.concatenate([[True], h[owner][1:] != h[owner][:-1]])[:len(owner)])
+    a = 0
+    while a < len(owner):
+        # whole minimizers up to the size of an index, one at least
+        fit = int(np.searchsorted(total, total[a] - length[a] + INDEX_BYTES, "right"))
+        cuts = edge[(edge > a) & (edge <= fit)]
+        after = edge[edge > a]
+        b = len(owner) if fit >= len(owner) else int(cuts[-1]) if len(cuts) else int(after[0]) if len(after) else len(owner)
+        strings, lengths, of = _gathered(data, first[a:b], length[a:b]), length[a:b], owner[a:b]
+        offs = np.concatenate([[0], np.cumsum(lengths)])
+        docs = at[of, 2]
+        least = RunIndex(strings, offs, docs, window).stream(strings, offs)
+        string = np.repeat(np.arange(b - a), lengths)
+        place = np.arange(len(strings))
+        gone = (place + window <= offs[1:][string]) & (least < docs[string])
+        lo, hi = _flag_runs(gone, offs[:-1])
+        which = string[lo]
+        start = first[a:b][which] + lo - offs[:-1][which] - begins[of[which]] + at[of[which], 1]
+        found.append((packs[of[which]], at[of[which], 0], start, hi - lo + 1))
+        a = b
+    pack, number, start, run = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
+    return pa.table({
+        "pack": pa.array(pack, pa.int64()), "bucket": pa.nulls(len(pack), pa.int32()), "answer": pa.nulls(len(pack), pa.binary()),
+        "number": pa.array(number.astype(np.int32)), "start": pa.array(start.astype(np.int32)), "run": pa.array(run.astype(np.int32))})
+
+
+def _digest(texts: pa.Table, marks: pa.Table, window: int, buckets: int) -> pa.Table:
+    answers, runs = marks.filter(pc.is_valid(marks.column("bucket"))), marks.filter(pc.is_null(marks.column("bucket")))
+    pack = _Pack(texts, window, buckets)
+    size = len(pack.data) + 1
+    change = np.zeros(size, np.int64)
+    gone = pack.order[_answered(pack, answers) == 1] if answers.num_rows else np.zeros(0, np.int64)
+    begin = pack.offs[runs.column("number").to_numpy()] + runs.column("start").to_numpy()
+    for start, end in ((pack.start[gone], pack.end[gone]), (begin, begin + runs.column("run").to_numpy() - 1 + window)):
+        change += np.bincount(start.astype(np.int64), minlength=size) - np.bincount(end.astype(np.int64), minlength=size)
+    flags = np.cumsum(change)[:-1] > 0
+    removed = np.concatenate([[0], np.cumsum(flags)])
+    first, _ = _flag_runs(flags, pack.offs[:-1])
+    spans = np.diff(np.searchsorted(first, pack.offs))
+    kept = pack.data[~flags].tobytes()
+    to = pack.offs - removed[pack.offs]
+    return pa.table({
+        "doc_id": pack.texts.column("out_id"), "n_bytes": pa.array(np.diff(pack.offs)), "n_removed": pa.array(np.diff(removed[pack.offs])),
+        "n_spans": pa.array(spans), "kept_sha256": [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(to[:-1].tolist(), to[1:].tolist())]})
 
 
 def remove_older(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -305,34 +386,20 @@ def remove_older(docs: DataFrame, window: int = 50) -> DataFrame:
 
     Texts are UTF-8 bytes, null is empty; matches stay inside one document; strings are judged on the input. A null id is
     smaller than any other. Rows with the same id are not older than one another; an empty table gives no rows; other
-    columns are not read. A text that an older document holds as a whole is gone as a whole, and does not enter the index.
+    columns are not read.
     """
-    low = F.lit(-(1 << 63))
-    base = docs.select(
-        F.col("doc_id").alias("out_id"), F.coalesce("doc_id", low).alias("doc_id"), document_key(docs).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    hashes = base.select("key", "doc_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
-    groups = hashes.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    younger = hashes.join(groups, ["t1", "t2"]).filter("doc_id > least").select("key").distinct().withColumn("copied", F.lit(True))
-    columns = ["out_id", "doc_id", "key", "text"]
-    marked = base.join(younger.hint("merge"), "key", "left").select(*columns, F.coalesce("copied", F.lit(False)).alias("copied"))
-    alone = marked.filter("not copied")
-    shared = _met_again(alone.mapInArrow(partial(_anchors, window=window), PLACES))
-    found = alone.join(shared.hint("merge"), "key").select(*columns, "ranges").mapInArrow(
-        partial(_segments, window=window), "hash long, key long, doc_id long, start int, segment binary").withColumn("segment_key", F.xxhash64("segment"))
-    distinct = cut(found.groupBy("hash", "segment_key").agg(F.min("doc_id").alias("least"), F.first("segment").alias("segment")))
-    # a minimizer with one distinct segment needs no index: all its windows are as old as the segment
-    several = distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    varied = distinct.join(several, "hash", "left_semi")
-    size = varied.agg(F.sum(F.length("segment"))).first()[0] or 0
-    bucketed = varied.withColumn("bucket", F.pmod(F.xxhash64("hash"), F.lit(max(1, -(-size // BUCKET_BYTES)))))
-    older = (
-        bucketed.select("bucket", "hash", "segment_key", "least", "segment").repartition("bucket").sortWithinPartitions("bucket")
-        .mapInArrow(partial(_indexed, window=window), "hash long, segment_key long, older binary")
-    )
-    known = distinct.select("hash", "segment_key", "least").join(older, ["hash", "segment_key"], "left")
-    met = found.select("hash", "segment_key", "key", "doc_id", "start", (F.length("segment") - window + 1).alias("windows")).join(known.hint("merge"), ["hash", "segment_key"])
-    met = met.filter("older is not null or least < doc_id")
-    runs = met.select("key", "doc_id", "start", "windows", "older").mapInArrow(partial(_runs, window=window), "key long, start int, run int")
-    per_document = runs.groupBy("key").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
-    whole = marked.join(per_document.hint("merge"), "key", "left").select("out_id", "text", "copied", "runs")
-    return whole.mapInArrow(partial(_digest, window=window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(BUCKETS, -(-size // BUCKET_TEXT))
+    packs = max(1, size // (PACK_BYTES * buckets // BUCKETS))
+    key = document_key(docs)
+    texts = docs.select(
+        F.pmod(F.xxhash64(key), F.lit(packs)).alias("pack"), key.alias("key"), F.col("doc_id").alias("out_id"),
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    by_pack = texts.groupBy("pack")
+    marks = "pack long, bucket int, answer binary, number int, start int, run int"
+    anchors = by_pack.applyInArrow(lambda rows: _anchors(rows, window, buckets), "bucket int, pack long, h binary, content binary, upper binary, lower binary")
+    answers = anchors.groupBy("bucket").applyInArrow(_answers, marks)
+    segments = by_pack.cogroup(answers.groupBy("pack")).applyInArrow(lambda rows, found: _open(rows, found, window, buckets), "bucket int, pack long, h binary, at binary, segments binary")
+    older = segments.groupBy("bucket").applyInArrow(lambda rows: _indexed(rows, window), marks)
+    return by_pack.cogroup(answers.unionByName(older).groupBy("pack")).applyInArrow(
+        lambda rows, found: _digest(rows, found, window, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -76,5 +76,6 @@ def llm_sql() -> dict[str, str]:
         "op4_mixing": twins.MIXING,
         "op5_pivot_distance": twins.TOP_K,
         "op6_cover_anchors": twins.REPEATED_WORDS,
+        "op7_run_index": twins.OLDER_BYTES,
         "op8_secrets": twins.SECRETS,
     }

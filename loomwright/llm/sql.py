@@ -96,3 +96,31 @@ p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+# 50-byte strings as 100 hex digits; texts are cut into pieces of 200 bytes first, since slicing deep into a text is slow
+OLDER_BYTES = """
+WITH texts AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS k, hex(encode(coalesce(text, ''))) AS digits
+    FROM documents),
+pieces AS (
+    SELECT r, k, c, substr(digits, 400 * c + 1, 498) AS piece, length(digits) // 2 - 200 * c AS rest
+    FROM texts, unnest(range(length(digits) // 400 + 1)) AS u(c)),
+windows AS (
+    SELECT r, k, 200 * c + j AS i, substr(piece, 2 * j + 1, 100) AS s
+    FROM pieces, unnest(range(least(200, rest - 49))) AS u(j)),
+gone AS (
+    SELECT r, i FROM windows JOIN (SELECT s, min(k) AS least FROM windows GROUP BY s) USING (s) WHERE least < k),
+marked AS (
+    SELECT r, i, CASE WHEN i > lag(i, 1, -100) OVER (PARTITION BY r ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM gone),
+spans AS (
+    SELECT r, min(i) AS a, max(i) + 50 AS b
+    FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM marked) GROUP BY r, n),
+gaps AS (
+    SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM spans),
+cleaned AS (
+    SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(digits, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+    FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, length(digits) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept || substr(digits, 2 * last + 1), digits))) AS kept_sha256
+FROM texts LEFT JOIN cleaned USING (r)
+"""

@@ -8,7 +8,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomwright.llm import cover_anchors, decontaminate, factorization, language, maxent, mixing, odd_sketch, pivot_index, run_index, secrets
@@ -99,6 +102,48 @@ def test_older_bytes(docs, nothing):
     assert run_index.remove_older(nothing).count() == 0
 
 
+def test_older_bytes_over_many_packs(docs, monkeypatch):
+    whole = sorted((tuple(r) for r in run_index.remove_older(docs).collect()), key=str)
+    monkeypatch.setattr(run_index, "PACK_BYTES", 2000)
+    monkeypatch.setattr(run_index, "BUCKETS", 7)
+    assert sorted((tuple(r) for r in run_index.remove_older(docs.withColumn("pack", F.lit("x")).withColumn("key", F.lit(1))).collect()), key=str) == whole
+
+
+def test_segments_cover_every_window_once():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in (0, 49, 50, 51, 400, 0, 3000, 7)]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(x) for x in texts])
+    whole = run_index.minimizers(data, offs, 50)
+    parts = run_index.minimizers(data, offs, 50, limit=100)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
+    doc, start, end = whole[:3]
+    seen = [(d, i) for d, a, b in zip(doc, start, end) for i in range(a, b - 49)]
+    assert seen == [(d, i) for d, x in enumerate(texts) for i in range(offs[d], offs[d] + len(x) - 49)]
+
+
+@pytest.mark.parametrize("limit", [1, 150, 1 << 20])
+def test_index_of_open_segments(monkeypatch, limit):
+    """Many segments under few minimizers, in indexes of any size, against a dictionary of all windows."""
+    monkeypatch.setattr(run_index, "INDEX_BYTES", limit)
+    rng = random.Random(limit)
+    common = [bytes(rng.choices(b"ab", k=70)) for _ in range(3)]
+    rows, first = [], {}
+    for number in range(60):
+        which = rng.randrange(3)
+        text = (bytes(rng.choices(b"xy", k=rng.randrange(4))) + common[which] + bytes(rng.choices(b"xy", k=rng.randrange(12))))[:83]
+        rows.append((which, number, rng.randrange(9), rng.randrange(20), text))
+        for i in range(len(text) - 49):
+            w = (which, text[i:i + 50])
+            first[w] = min(first.get(w, 99), rows[-1][2])
+    expected = {(number, start + i) for which, number, doc, start, text in rows for i in range(len(text) - 49) if first[which, text[i:i + 50]] < doc}
+    table = pa.table({
+        "pack": pa.array([5] * 60, pa.int64()), "h": [np.array([r[0]], np.uint32).tobytes() for r in rows],
+        "at": [np.array([r[1], r[3], r[2], len(r[4])], np.int64).tobytes() for r in rows], "segments": [r[4] for r in rows]})
+    got = run_index._indexed(table, 50).to_pylist()
+    assert {(r["number"], r["start"] + i) for r in got for i in range(r["run"])} == expected
+    assert all(r["pack"] == 5 for r in got)
+
+
 def test_near_duplicates(docs, nothing):
     rows = cases()
 

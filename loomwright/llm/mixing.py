@@ -17,6 +17,8 @@ CAP = 2
 SHARD_ROWS = 8192
 LEAST_BLOCKS = 1 << 17
 BLOCKS_PER_SHARD = 64
+#: A block is at most this part of the smallest target above 0, so that rounding costs no source more than about a thousandth.
+BLOCKS_PER_SOURCE = 1000
 SEED = "mix-1"
 
 
@@ -78,7 +80,9 @@ def source_targets(sized: DataFrame) -> DataFrame:
     shared = levels.withColumn("_share", F.min(fits).over(everything)["_level"])
     targets = shared.withColumn("target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("_share") * F.col("weight")), F.col("cap").cast("double")))
     n_blocks = F.greatest(F.lit(LEAST_BLOCKS), BLOCKS_PER_SHARD * F.sum("shards").over(everything))
-    cut_up = targets.withColumn("block", F.greatest(F.lit(1), F.floor(F.col("budget") / n_blocks)).cast("long"))
+    least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
+    fine = F.least(F.floor(F.col("budget") / n_blocks), F.floor(least / BLOCKS_PER_SOURCE))
+    cut_up = targets.withColumn("block", F.greatest(F.lit(1), fine).cast("long"))
     seats = cut_up.withColumn("seats", F.floor(F.col("budget") / F.col("block")).cast("long"))
     return apportion(seats, [], "target", "seats", ["source_no"]).select("source", "source_no", "source_size", "shards", "target", "block", F.col("quota").alias("source_quota"))
 
@@ -88,7 +92,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
     A shard's documents stand in seeded order as one ring of words cut into blocks. The shard takes its quota of blocks:
     whole rounds first, then the run of blocks from a seeded block on. So no document exceeds twice its size, a source
-    misses its target by rounding only, and reruns agree. Null texts and empty texts have size 0 and take 0; null
+    misses its target by rounding only (a block is 1 word or at most a thousandth of the smallest target), and reruns agree. Null texts and empty texts have size 0 and take 0; null
     sources are one source; rows with the same id are separate documents; an empty table gives no rows; other columns
     are not read.
     """

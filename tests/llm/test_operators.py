@@ -216,6 +216,20 @@ def test_mixing_meets_its_targets(docs, nothing):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
 
 
+def test_mixing_keeps_tiny_sources(spark):
+    huge = spark.range(40).select("id", F.lit("huge").alias("source"), F.repeat(F.lit("w "), 300_000).alias("text"))
+    tiny = spark.createDataFrame([(100, "tiny", "a b c"), (101, "small", "a " * 90)], "id long, source string, text string")
+    rows = mixing.mix_sources(huge.unionByName(tiny).withColumnRenamed("id", "doc_id")).collect()
+    taken, target = Counter(), {}
+    for r in rows:
+        source = {100: "tiny", 101: "small"}.get(r["doc_id"], "huge")
+        assert r["taken"] <= 2 * r["size"]
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+    assert set(target) == {"tiny", "small", "huge"}
+    assert all(target[s] > 0 and abs(taken[s] - target[s]) <= 1 for s in target)
+
+
 def test_apportion_is_highest_quotients(spark):
     rng = random.Random(3)
     units = [(k, u, float(rng.randint(0, 90)), 17) for k in range(4) for u in range(9)] + [(9, u, 0.0, 5) for u in range(2)]

@@ -257,7 +257,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
 
 def train(docs: DataFrame, path: str = VOCABULARY) -> Model:
     """Fit on ``docs`` (``doc_id, text, lang``; rows without ``lang`` teach nothing). Priors count all of them; piece
-    probabilities use the first FIT_DOCS documents of each language by a hash of the id."""
+    probabilities use every word of the first FIT_DOCS documents of each language by a hash of the id."""
     known = docs.filter("lang is not null")
     priors = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     total = sum(priors.values())
@@ -267,15 +267,11 @@ def train(docs: DataFrame, path: str = VOCABULARY) -> Model:
         place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
         sample = known.filter(place < F.element_at(share, F.col("lang"))).select("lang", "text")
         table = sample.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-        best = table.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS)
-        counts = [(r["lang"], r["word"], r["n"]) for r in best.collect()]
+        found = table.toArrow()
+        counts = list(zip(*(found.column(x).to_pylist() for x in ("lang", "word", "n"))))
     return fit(counts, priors, path)
 
 
-#: Most frequent (language, word) pairs of the sample that the driver fits on.
-FIT_WORDS = 200_000
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without ``text`` and with ``lang_pred`` and ``score`` (columns of these names are replaced).
 

@@ -367,6 +367,18 @@ def test_language_identification(spark, nothing):
     assert language.languages(nothing).count() == 0
 
 
+def test_every_word_of_the_sample_counts(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    name = lambda i: "".join(letters[i // 20 ** k % 20] for k in range(5))
+    many = [(i, " ".join(name(j) for j in range(i * 3000, i * 3000 + 3000)) * 2, "aa") for i in range(70)]
+    frame = spark.createDataFrame([*many, (1000, "zyx zyx wvu", "zz")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "FIT_DOCS", 1 << 20)
+    monkeypatch.setattr(language, "fit", lambda counts, priors, path: (counts, priors))
+    counts, priors = language.train(frame)
+    want = Counter((lang, w) for _, text, lang in [*many, (0, "zyx zyx wvu", "zz")] for w in text.split())
+    assert {(lang, w): n for lang, w, n in counts} == want and len(counts) == len(want) > 200_000 and priors == {"aa": 70, "zz": 1}
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
 

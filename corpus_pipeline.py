@@ -26,10 +26,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates, and one of equal rows."""
-    groups = odd_sketch.near_duplicates(docs, n=SHINGLE_WORDS, percent=SIMILARITY)
-    best = groups.filter("kept or doc_id is null").select("key").distinct()
+    """Keep the document with the smallest id (null first) of each group of near duplicates, and one of equal rows."""
     keyed = docs.select(document_key(docs).alias("key"), F.struct(*DOCUMENT_COLUMNS).alias("row"))
+    # ids may be null or repeated, so the key stands for the document
+    groups = odd_sketch.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "row.text"), n=SHINGLE_WORDS, percent=SIMILARITY)
+    linked = groups.groupBy(F.col("doc_id").alias("key")).agg(F.first("component_id").alias("component"))
+    members = keyed.select("key", "row.doc_id").join(linked, "key")
+    best = members.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.key")
     return keyed.join(best, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
 
 

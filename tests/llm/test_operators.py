@@ -412,6 +412,19 @@ def test_pipeline_runs_on_an_empty_table(spark, nothing):
     assert rows.count() == 0
 
 
+def test_pipeline_keeps_one_row_of_near_copies_without_ids(spark):
+    rng = random.Random(8)
+    base, other, third = (sentence(rng, 200) for _ in range(3))
+    near = [f"{base} end{i}" for i in range(4)]
+    rows = [(None, t, "en", "a", 1) for t in near] + [(None, other, "en", "a", 1)]
+    rows += [(7, third + " x", "en", "a", 1), (7, third + " y", "fr", "a", 1), (9, third, "en", "a", 1), (3, sentence(rng, 50), "en", "a", 1), (7, sentence(rng, 60), "en", "a", 1), (None, None, None, None, None), (None, "", None, None, None)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF_DIR).collect()
+    texts = [r["text"] for r in kept]
+    assert sum(t in near for t in texts if t) == 1 and other in texts
+    assert sum(t.startswith(third) for t in texts if t) == 1 and all(r["doc_id"] == 7 for r in kept if r["text"] and r["text"].startswith(third))
+    assert rows[8][1] in texts and rows[9][1] in texts and len(kept) == 6
+
+
 def test_pipeline_drops_leaks_and_secrets(spark):
     item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").first()["text"]
     frame = spark.createDataFrame([(1, "start " + item, "en", "a", 3), (2, "my password = hunter22 ok", "en", "a", 25), (3, "clean words", None, None, None)], SCHEMA)

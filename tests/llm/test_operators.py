@@ -201,6 +201,25 @@ def test_secret_spans_and_ledger(spark):
     assert {r["rule"] for r in secrets.scan(frame, ledger, newer)[1].select("rule").distinct().collect()} == {"forge@2"}
 
 
+def test_private_keys_are_redacted_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + "aB3/x+" * 8, "Zx9+" * 16, "kQ=="]
+    body, end = "\n".join(lines), "-----END RSA PRIVATE KEY-----"
+    begin, fields = "-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0A1B\n\n"
+    texts = {
+        1: (f"a {begin}\n{body}\n{end} z", "a [SECRET] z"), 2: (f"a\n{begin}\n{fields}{body}\n{end}\nz", "a\n[SECRET]\nz"),
+        3: (f"a {begin}\n{body}\nthe rest stays", "a [SECRET]\nthe rest stays"), 4: (f"a {begin}\r\n{fields}{body}", "a [SECRET]"),
+        5: (f"{begin}\n{body}\n{end}\nmid-way\n{begin} {' '.join(lines[:2])} and so on", "[SECRET]\nmid-way\n[SECRET] and so on"),
+        6: ('{"k": "' + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + '"}', '{"k": "[SECRET]"}'),
+        7: (f"{begin} opens a key -- see below\n-----\nplain", "[SECRET] opens a key -- see below\n-----\nplain"),
+        8: (f"{begin}\n" + "a-b " * 50000 + end, "[SECRET]"), 9: (f"{begin}\n" + (lines[1] + "\n") * 20000 + "so - it ends", "[SECRET]\nso - it ends"),
+    }
+    frame = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, (t, _) in texts.items()], SCHEMA)
+    clean = {r["doc_id"]: r for r in corpus_pipeline.secret_scan(spark, frame, SF_DIR).collect()}
+    assert {i: r["text"] for i, r in clean.items()} == {i: t for i, (_, t) in texts.items()}
+    assert all(r["n_chars"] == len(r["text"]) for r in clean.values())
+    assert any(r.name == "pem@2" for r in secrets.RULES)
+
+
 def test_mixing_meets_its_targets(docs, nothing):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == len(cases()) and mixing.mix_sources(nothing).count() == 0

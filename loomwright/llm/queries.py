@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from loomwright.llm import cover_anchors, decontaminate, factorization, language, maxent, mixing, odd_sketch, pivot_index, run_index, secrets
+from loomwright.llm import (
+    cover_anchors, decontaminate, factorization, fill_middle, language, maxent, mixing, odd_sketch, pivot_index, reply_trees, run_index, secrets, vector_codes,
+)
 from loomwright.llm import sql as twins
+from loomwright.session import configure
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +58,18 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.conversation_digest(_table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -68,6 +83,9 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_odd_sketch": op9_odd_sketch,
         "op10_segmentations": op10_segmentations,
+        "op11_reply_trees": op11_reply_trees,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -78,4 +96,7 @@ def llm_sql() -> dict[str, str]:
         "op6_cover_anchors": twins.REPEATED_WORDS,
         "op7_run_index": twins.OLDER_BYTES,
         "op8_secrets": twins.SECRETS,
+        "op11_reply_trees": twins.CONVERSATIONS,
+        "op12_vector_codes": twins.VECTOR_CODES,
+        "op13_fill_middle": twins.FILL_IN_MIDDLE,
     }

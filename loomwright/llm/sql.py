@@ -124,3 +124,59 @@ SELECT doc_id, length(digits) // 2 AS n_bytes, coalesce(n_removed, 0)::bigint AS
        sha256(unhex(coalesce(kept || substr(digits, 2 * last + 1), digits))) AS kept_sha256
 FROM texts LEFT JOIN cleaned USING (r)
 """
+
+_FIRST, _REST = "([<\\[])(\\\\*)", "(\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|s>|/s>|INST\\]|/INST\\])"
+
+
+def _escaped(text: str) -> str:
+    return f"regexp_replace({text}, '{_FIRST}{_REST}', '\\1\\\\\\2\\3', 'g')"
+
+
+CONVERSATIONS = f"""
+WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+t AS (SELECT *, length(replace(replace({_escaped("role")}, '%', '%25'), chr(10), '%0A')) + length({_escaped("text")})
+  + length('<|im_start|>') + length('<|im_end|>') + 2 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    steps = [
+        """k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, q) AS rid, vec_id, label, q FROM
+  (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        """p AS MATERIALIZED (SELECT rid, part, x, list_dot_product(x, x) AS xx FROM
+  (SELECT rid, part, q[part * (len(q) // 4) + 1:(part + 1) * (len(q) // 4)] AS x FROM k, range(4) AS r(part)))""",
+        "c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x AS e FROM p WHERE rid <= 256)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT rid, part, min((xx - 2 * list_dot_product(x, e) + list_dot_product(e, e))::BIGINT * 256 + entry) AS best
+  FROM p JOIN c{i} USING (part) GROUP BY rid, part)""")
+        if i < rounds:
+            steps.append(f"""n{i} AS (SELECT part, entry, list(v ORDER BY pos) AS e FROM
+  (SELECT part, best % 256 AS entry, pos, floor(sum(x[pos]) / count(*)) AS v FROM a{i} JOIN p USING (rid, part), unnest(range(1, len(x) + 1)) AS u(pos) GROUP BY ALL) GROUP BY ALL)""")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN n{i} n USING (part, entry))")
+    return f"""
+WITH {", ".join(steps)},
+d AS (SELECT rid, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a{rounds} GROUP BY rid),
+h AS (SELECT sha256(string_agg(e[pos]::BIGINT, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{rounds}, unnest(range(1, len(e) + 1)) AS u(pos))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN d USING (rid), h
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+n AS (SELECT *, len(u)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+s AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s
+"""

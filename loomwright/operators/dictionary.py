@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
+from loomwright.operators.grams import occurrences
 
 
 def top_keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> DataFrame:
@@ -17,72 +18,14 @@ def top_keywords(df: DataFrame, id_col: str, text_col: str, k: int = 10) -> Data
     return ranked.select(id_col, "word", "n", "place")
 
 
-GRAM_SIZES = (8, 4, 2, 1)
-
-
-def _grams(text: Column, size: int) -> Column:
-    """Distinct character n-grams of a text: non-overlapping runs taken at every offset below ``size``."""
-    pattern = F.lit(f"(?s).{{{size}}}")
-    runs = [F.regexp_extract_all(F.substr(text, F.lit(1 + offset)), pattern, F.lit(0)) for offset in range(size)]
-    return F.array_distinct(F.concat(*runs))
-
-
-def _gram_size(name: Column) -> Column:
-    """Largest gram size that fits into a name."""
-    out = F.lit(1)
-    for size in sorted(GRAM_SIZES)[1:]:
-        out = F.when(F.length(name) >= size, size).otherwise(out)
-    return out
-
-
-def _tokens(text: Column) -> Column:
-    """Distinct runs of white space and of anything else; put together in place they are the text."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("\\S+|\\s+"), F.lit(0)))
-
-
-def _anchored(names: DataFrame, vocabulary: DataFrame, name_col: str) -> DataFrame:
-    """``name, anchor, whole, sure`` for every name that can occur.
-
-    A name of one run lies inside one token (``sure``: nothing else to check). A name with inner words is looked for at
-    the one that stands in the fewest texts (``whole``: the token equals it), any other one at its longest run.
-    """
-    name = F.col(name_col)
-    runs = F.regexp_extract_all(name, F.lit("\\S+|\\s+"), F.lit(0))
-    parts = names.select(name_col, runs.alias("_runs"))
-    inner = F.filter(F.slice("_runs", 2, F.greatest(F.size("_runs") - 2, F.lit(0))), lambda r: F.trim(r).rlike("\\S"))
-    tagged = parts.withColumn("_inner", inner)
-    words = tagged.filter(F.size("_inner") > 0).select(name_col, F.explode(F.array_distinct("_inner")).alias("_token"), F.size(F.array_distinct("_inner")).alias("_n"))
-    counted = words.join(vocabulary, "_token").groupBy(name_col, "_n").agg(F.count("*").alias("_met"), F.min_by("_token", F.struct("_texts", "_token")).alias("_anchor"))
-    rare = counted.filter("_met = _n").select(name_col, "_anchor", F.lit(True).alias("_whole"), F.lit(False).alias("_sure"))
-    longest = F.array_max(F.transform("_runs", lambda r: F.struct(r.rlike("\\S").alias("word"), F.length(r).alias("n"), r.alias("run"))))["run"]
-    other = tagged.filter(F.size("_inner") == 0).select(name_col, longest.alias("_anchor"), F.lit(False).alias("_whole"), (F.size("_runs") == 1).alias("_sure"))
-    return rare.union(other)
-
-
 def contains_join(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str = "name") -> DataFrame:
-    """(id, columns of ``names``) for every name occurring anywhere in a text; one row per id and row of ``names``.
-
-    Texts are not shuffled: their distinct tokens are counted (combined before the shuffle), names meet this vocabulary,
-    and the tokens that were met lead back to the ids. Names inside a token meet it on the leading characters of the name.
-    Names over several tokens are checked against the texts of their candidates only. Null and empty texts and names give nothing.
-    """
-    distinct = names.select(name_col).filter(F.length(name_col) > 0).distinct()
-    tokens = texts.select(id_col, F.explode(_tokens(F.col(text_col))).alias("_token"))
-    vocabulary = tokens.groupBy("_token").agg(F.count("*").alias("_texts"))
-    anchored = _anchored(distinct, vocabulary, name_col)
-    whole = anchored.filter("_whole").select(name_col, F.col("_anchor").alias("_token"), "_sure")
-    sized = anchored.filter("not _whole").withColumn("_gram", F.substr("_anchor", F.lit(1), _gram_size(F.col("_anchor"))))
-    grams = vocabulary.select("_token", F.explode(F.concat(*[_grams(F.col("_token"), n) for n in GRAM_SIZES])).alias("_gram"))
-    inside = grams.join(sized, "_gram").filter(F.contains("_token", "_anchor")).select(name_col, "_token", "_sure")
-    candidates = tokens.join(whole.union(inside), "_token").select(id_col, name_col, "_sure").distinct()
-    unsure = texts.select(id_col, text_col).join(candidates.filter("not _sure").select(F.col(id_col), F.col(name_col).alias("_name")), id_col)
-    checked = unsure.filter(F.contains(text_col, "_name")).select(id_col, F.col("_name").alias(name_col))
-    return candidates.filter("_sure").select(id_col, name_col).union(checked.distinct()).join(names, name_col)
+    """(id, columns of ``names``) for every name occurring anywhere in a text; one row per id and row of ``names``."""
+    return occurrences(texts, names, id_col, text_col, name_col).distinct().join(names, name_col)
 
 
 def longest_match(texts: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per text and type the longest name it contains; ties by name. ``names`` has (type, name)."""
-    hits = contains_join(texts, names, id_col, text_col)
+    hits = occurrences(texts, names, id_col, text_col).join(names.select("type", "name"), "name")
     best = F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("name")
     return hits.groupBy(id_col, "type").agg(best)
 

@@ -17,7 +17,7 @@ from loomwright import vocab as V
 from loomwright.functions import text as T
 from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
-from loomwright.operators.dictionary import contains_join
+from loomwright.operators.grams import occurrences
 from loomwright.operators.ranking import first_n
 from loomwright.session import cut_lineage
 
@@ -147,9 +147,10 @@ def keyword_search(keywords: DataFrame, nodes: DataFrame, limit: int = 5) -> Dat
     """
     words = keywords.filter("keyword <> ''").select("query_id", "keyword").distinct()
     texts = nodes.select("id", F.concat_ws("\n", "name", "description").alias("_text"))
-    found = contains_join(texts, words.select("keyword").distinct(), "id", "_text", "keyword")
-    # the first ids of a question are among the first of each of its keywords, so a frequent word sends ``limit`` rows only
-    per_word = first_n(found.distinct(), ["keyword"], [c("id")], limit).drop("rank")
+    found = occurrences(texts, words, "id", "_text", "keyword")
+    # the first ids of a question are among the first of each of its keywords: a frequent word sends ``limit`` ids of a task only
+    place = F.dense_rank().over(Window.partitionBy("keyword").orderBy("id"))
+    per_word = found.withColumn("_place", place).filter(c("_place") <= limit).select("keyword", "id").distinct()
     pairs = words.join(per_word, "keyword").select("query_id", "id").distinct()
     top = first_n(pairs, ["query_id"], [c("id")], limit)
     named = top.join(nodes.select("id", "name", "description"), "id")
@@ -231,29 +232,54 @@ def rrf(items: DataFrame, k: int = RRF_K, top_k: int | None = None) -> DataFrame
 
 
 def dedupe_best(hits: DataFrame) -> DataFrame:
-    """Best score per question and node (by id, else by name)."""
-    key = F.coalesce(c("node_id").cast("string"), c("name"))
+    """Best score per question and hit: by node id, else by name, else by ``key`` where the hits have one (paths)."""
+    key = F.coalesce(c("node_id").cast("string"), c("name"), *[c("key")] * ("key" in hits.columns))
     rows = hits.withColumn("key", key)
-    rest = [n for n in hits.columns if n != "query_id"]
+    rest = [n for n in hits.columns if n not in ("query_id", "key")]
     best = F.min_by(F.struct(*rest), F.struct(-c("relevance_score"), c("type"))).alias("_f")
     return rows.groupBy("query_id", "key").agg(best).select("query_id", "key", *[f"_f.{n}" for n in rest])
 
 
-def graph_route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, n: int = PER_ROUTE) -> DataFrame:
-    """Ranked graph hits per question: named entities and their neighbours, preferred relations first.
+def path_names(paths: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """``paths`` with the names along ``path_nodes`` as ``names``; ``keys`` name a path."""
+    steps = paths.select(*keys, F.posexplode("path_nodes").alias("_pos", "id"))
+    named = steps.join(nodes.select("id", "name"), "id").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "name"))).alias("_n"))
+    return paths.join(named.select(*keys, F.transform("_n", lambda x: x["name"]).alias("names")), keys)
+
 
-    ``queries(query_id, intent, entities)``.
+def graph_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 50, path_limit: int = 10) -> DataFrame:
+    """Hits of the entities that a question names: the entities, the first ``limit`` paths to neighbours, and for two or more
+    entities the first ``path_limit`` shortest paths between them.
+
+    ``queries(query_id, entities)``. ``pos`` puts hits on one node with one score in order.
     """
-    names = queries.select("query_id", F.explode("entities").alias("name"))
-    seeds = names.join(nodes.select("id", "name"), "name").select("query_id", "id").distinct()
-    hits = TR.neighbour_hits(TR.k_hop(seeds, edges, depth, ["query_id"]), nodes)
+    names = queries.select("query_id", F.explode(F.array_distinct("entities")).alias("name")).filter("name <> ''")
+    found = cut_lineage(names.join(nodes.select("id", "name", "description"), "name"))
+    text, none = F.lit(None).cast("string"), F.array().cast("array<string>")
+    shape = ["query_id", "type", "node_id", "name", "description", "start_entity", "end_entity", "relation_types", "path_names", "hop_count", "relevance_score", "pos"]
+    direct = found.select(
+        "query_id", F.lit("entity").alias("type"), c("id").alias("node_id"), "name", "description", text.alias("start_entity"), text.alias("end_entity"),
+        none.alias("relation_types"), none.alias("path_names"), F.lit(0).alias("hop_count"), F.lit(1.0).alias("relevance_score"), F.lit("").alias("pos"))
+    near = TR.path_hits(found, nodes, edges, depth, limit, ["query_id"])
+    told = near.join(nodes.select(c("id").alias("end"), "description"), "end")
+    neighbours = told.select(
+        "query_id", F.lit("neighbor").alias("type"), c("end").alias("node_id"), "name", "description", text.alias("start_entity"), text.alias("end_entity"),
+        c("rels").alias("relation_types"), c("names").alias("path_names"), c("hop").alias("hop_count"), "relevance_score", F.array_join("edge_ids", ">").alias("pos"))
+    several = found.groupBy("query_id").agg(F.count_distinct("name").alias("_n")).filter("_n > 1").select("query_id")
+    ends = names.join(several, "query_id", "left_semi")
+    links = path_names(TR.paths_between_names(ends, nodes, edges, depth, path_limit, ["query_id"]), nodes, ["query_id", "start", "goal"])
+    between = links.select(
+        "query_id", F.lit("path").alias("type"), text.alias("node_id"), text.alias("name"), text.alias("description"), c("start_name").alias("start_entity"),
+        c("goal_name").alias("end_entity"), "relation_types", c("names").alias("path_names"), F.lit(None).cast("int").alias("hop_count"), "relevance_score", F.concat_ws(">", "start", "goal").alias("pos"))
+    return reduce(DataFrame.union, [x.select(*shape) for x in (direct, neighbours, between)])
+
+
+def graph_route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, n: int = PER_ROUTE) -> DataFrame:
+    """Ranked graph hits per question, preferred relations first. ``queries(query_id, intent, entities)``."""
     relations = F.create_map(*[x for intent, rels in V.INTENT_RELATIONS.items() for x in (F.lit(intent), T.literals(rels))])
-    rows = hits.join(queries.select("query_id", "intent"), "query_id").select(
-        "query_id", c("kind").alias("type"), c("id").alias("node_id"), "name", "description", F.lit(None).cast("string").alias("start_entity"),
-        F.lit(None).cast("string").alias("end_entity"), "relation_types", "path_names", c("hop").alias("hop_count"), "relevance_score", c("id").alias("pos"),
-        F.coalesce(F.element_at(relations, c("intent")), F.array().cast("array<string>")).alias("preferred"))
-    ranked = G.dedupe_and_rank(rows, c("preferred"))
-    return first_n(ranked, ["query_id"], [F.desc("relevance_score"), c("key")], n)
+    preferred = F.coalesce(F.element_at(relations, c("intent")), F.array().cast("array<string>"))
+    hits = graph_hits(queries, nodes, edges, depth).join(queries.select("query_id", preferred.alias("preferred")), "query_id")
+    return first_n(G.dedupe_and_rank(hits, c("preferred")), ["query_id"], [F.desc("relevance_score"), c("key")], n)
 
 
 def hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, top_k: int = 10, depth: int = 2) -> DataFrame:
@@ -261,13 +287,13 @@ def hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataF
 
     ``queries(query_id, text, intent, entities, keywords, embedding)``; ``chunks(id, text, embedding)``.
     """
-    graph_hits = graph_route(queries, nodes, edges, depth)
+    from_graph = graph_route(queries, nodes, edges, depth)
     near = vector_top_k(chunks, queries.filter("embedding is not null"), PER_ROUTE)
     docs = near.join(chunks.select("id", "text"), "id").withColumnRenamed("id", "chunk_id")
     words = queries.select("query_id", F.explode("keywords").alias("keyword"))
     found = keyword_search(words, nodes, PER_ROUTE)
     # at most a few dozen rows per question, read again by the fallback and the fusion
-    items = cut_lineage(graph_items(graph_hits).unionByName(doc_items(docs)).unionByName(keyword_items(found)))
+    items = cut_lineage(graph_items(from_graph).unionByName(doc_items(docs)).unionByName(keyword_items(found)))
     rescue = keyword_items(fallback_search(queries, items, nodes, PER_ROUTE))
     return rrf(items.unionByName(rescue), top_k=top_k)
 
@@ -275,28 +301,67 @@ def hybrid(queries: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataF
 def two_route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, node_vectors: DataFrame, top_k: int = 5, depth: int = 2) -> DataFrame:
     """Graph and node-vector hits without fusion; keywords, then own words, only for questions with none of them."""
     columns = ["query_id", "type", "node_id", "name", "description", "relevance_score"]
-    graph_hits = graph_route(queries, nodes, edges, depth, top_k).select(*columns)
-    vector_hits = node_vector_search(node_vectors, nodes, queries.filter("embedding is not null"), top_k).select(*columns)
-    main = cut_lineage(graph_hits.unionByName(vector_hits))
+    from_graph = graph_route(queries, nodes, edges, depth, top_k).select(*columns, "key", "start_entity", "end_entity")
+    by_vector = node_vector_search(node_vectors, nodes, queries.filter("embedding is not null"), top_k).select(*columns)
+    main = cut_lineage(from_graph.unionByName(by_vector, allowMissingColumns=True))
     empty = queries.join(main.select("query_id").distinct(), "query_id", "left_anti")
     words = empty.select("query_id", F.explode(F.when(F.size("keywords") > 0, c("keywords")).otherwise(F.array("text"))).alias("keyword"))
     by_keyword = cut_lineage(keyword_search(words, nodes, top_k).select(*columns))
     rescue = fallback_search(empty, by_keyword, nodes, top_k).select(*columns)
-    best = dedupe_best(main.unionByName(by_keyword).unionByName(rescue))
+    best = dedupe_best(main.unionByName(by_keyword.unionByName(rescue), allowMissingColumns=True))
     return first_n(best, ["query_id"], [F.desc("relevance_score"), c("key")], 2 * top_k)
 
 
 # --- shaping the answer --------------------------------------------------------------------------------------------
 
 
-def hit_text() -> Column:
-    """One numbered hit as context text."""
-    return F.concat(
-        F.lit("\n["), c("rank").cast("string"), F.lit("] "), c("name"),
+# The texts of a context, as below and in the trace.
+NOTHING_FOUND = "未找到相关信息。"
+
+
+def hit_text(with_paths: bool = False) -> Column:
+    """One numbered hit as context text; ``with_paths`` adds the distance of a neighbour and the nodes of a path
+    (``type, hop_count, path_names``)."""
+    lines = [
+        F.lit("\n["), c("rank").cast("string"), F.lit("] "), F.coalesce("name", F.lit("未知")),
         F.when(F.size("labels") > 0, F.concat(F.lit(" ("), F.array_join("labels", ", "), F.lit(")"))).otherwise(""),
         F.lit(" [相关度: "), F.format_string("%.2f", "relevance_score"), F.lit("]\n"),
         F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("描述: "), "description", F.lit("\n"))).otherwise(""),
-    )
+    ]
+    if with_paths:
+        lines.append(
+            F.when(c("type") == "neighbor", F.concat(F.lit("路径距离: "), F.coalesce("hop_count", F.lit(0)).cast("string"), F.lit(" 跳\n")))
+            .when((c("type") == "path") & (F.size("path_names") > 0), F.concat(F.lit("关系路径: "), F.array_join("path_names", " -> "), F.lit("\n"))).otherwise(""))
+    return F.concat(*lines)
+
+
+def graph_hit_lines() -> Column:
+    """One graph hit in the format without scores: entities with labels, neighbours with their way, paths with relations."""
+    text = lambda name: F.coalesce(name, F.lit(""))
+    body = (
+        F.when(c("type") == "entity", F.concat(
+            F.lit("实体："), text("name"), F.lit(" ("), F.array_join("labels", ", "), F.lit(")\n"),
+            F.when(text("description") != "", F.concat(F.lit("描述："), "description", F.lit("\n"))).otherwise("")))
+        .when(c("type") == "neighbor", F.concat(
+            F.lit("相关实体："), text("name"), F.lit(" (距离: "), F.coalesce("hop_count", F.lit(0)).cast("string"), F.lit(" 跳)\n路径："), F.array_join("path_names", " -> "), F.lit("\n")))
+        .when(c("type") == "path", F.concat(
+            F.lit("路径："), text("start_entity"), F.lit(" -> "), text("end_entity"), F.lit("\n关系："), F.array_join("relation_types", " -> "), F.lit("\n")))
+        .otherwise(F.concat(text("name"), F.lit("\n"))))
+    return F.concat(body, F.lit("\n"))
+
+
+def _upto_budget(hits: DataFrame, text: Column, budget: Column) -> DataFrame:
+    """Per question the texts in rank order until the next one would pass ``budget``: ``query_id, _body``."""
+    upto = F.sum(F.length("_text")).over(Window.partitionBy("query_id").orderBy("rank"))
+    kept = hits.withColumn("_text", text).withColumn("_upto", upto).filter(c("_upto") <= budget)
+    bodies = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_parts"))
+    return bodies.select("query_id", F.array_join(F.transform("_parts", lambda x: x["_text"]), "").alias("_body"))
+
+
+def graph_context(hits: DataFrame, queries: DataFrame, budget: int = 2000) -> DataFrame:
+    """Per question its graph hits as lines in rank order, within ``budget`` characters; empty without hits."""
+    bodies = _upto_budget(hits, graph_hit_lines(), F.lit(budget))
+    return queries.select("query_id").join(bodies, "query_id", "left").select("query_id", F.coalesce("_body", F.lit("")).alias("context"))
 
 
 def context(hits: DataFrame, queries: DataFrame, budget: int = 3000, text: Column | None = None) -> DataFrame:
@@ -304,14 +369,10 @@ def context(hits: DataFrame, queries: DataFrame, budget: int = 3000, text: Colum
 
     header = F.concat(F.lit("查询意图: "), F.coalesce("intent", F.lit("other")), F.lit("\n\n相关知识:\n"))
     heads = queries.select("query_id", header.alias("_head"))
-    rows = hits.withColumn("_text", text if text is not None else hit_text()).join(heads, "query_id")
-    upto = F.sum(F.length("_text")).over(Window.partitionBy("query_id").orderBy("rank"))
-    kept = rows.withColumn("_upto", upto + F.length("_head")).filter(c("_upto") <= budget)
-    bodies = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "_text"))).alias("_parts"))
-    body = F.array_join(F.transform("_parts", lambda x: x["_text"]), "")
+    bodies = _upto_budget(hits.join(heads, "query_id"), hit_text() if text is None else text, budget - F.length("_head"))
     any_hit = hits.select("query_id").distinct().withColumn("_hit", F.lit(True))
     joined = heads.join(any_hit, "query_id", "left").join(bodies, "query_id", "left")
-    return joined.select("query_id", F.when(c("_hit").isNull(), "未找到相关信息。").otherwise(F.concat("_head", F.coalesce(body, F.lit("")))).alias("context"))
+    return joined.select("query_id", F.when(c("_hit").isNull(), NOTHING_FOUND).otherwise(F.concat("_head", F.coalesce("_body", F.lit("")))).alias("context"))
 
 
 def answer_confidence(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -1,24 +1,31 @@
 """Traversals: k-hop neighbours, path expansion, shortest paths, subgraphs.
 
-All of them are frontier joins. A round joins the frontier with the adjacency on the current node, keeps one row per
-reached node by a partial aggregate, and cuts the lineage with a checkpoint, so a lost executor repeats one round at
-most. AQE splits the partitions of hub nodes in the frontier join; no side is broadcast by hint.
+All of them are frontier joins on a resident adjacency: the edges seen from both ends, written once in buckets by node, with
+the neighbours of a hub dealt over salted sub-buckets. A round shuffles the frontier only (AQE sends a small one to the
+buckets instead), keeps one row per reached node by a partial aggregate, and cuts the lineage with a checkpoint, so a lost
+executor repeats one round at most. No side is broadcast by hint.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators.graph import both_ways
-from loomwright.session import cut_lineage
+from loomwright.operators.ranking import first_n
+from loomwright.session import cut_lineage, shared_folder
 
 c = F.col
 MAX_HOPS = 3
 MAX_PATH_EDGES = 5
-
+#: Neighbours in one sub-bucket of a hub.
+HUB = 10_000
 
 
 def _within(asked: int, most: int) -> int:
@@ -28,6 +35,57 @@ def _within(asked: int, most: int) -> int:
     return asked
 
 
+@dataclass
+class Adjacency:
+    """Neighbours in buckets by (from, salt); ``hubs(from, salts)`` names the nodes with more than one sub-bucket."""
+
+    steps: DataFrame
+    hubs: DataFrame | None
+
+    def around(self, frontier: DataFrame) -> DataFrame:
+        """``frontier(from, ...)`` with one row per neighbour; a hub's rows ask each of its sub-buckets."""
+        if self.hubs is None:
+            asked = frontier.withColumn("salt", F.lit(0))
+        else:
+            last = F.coalesce(c("salts"), F.lit(1)) - 1
+            asked = frontier.join(self.hubs, "from", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+        return asked.join(self.steps, ["from", "salt"]).drop("salt")
+
+
+@contextmanager
+def resident(steps: DataFrame, hub: int = HUB, buckets: int | None = None) -> Iterator[Adjacency]:
+    """Write ``steps(from, ...)`` as a bucketed table in the shared folder for the rounds of one traversal.
+
+    There are as many buckets as shuffle partitions, so that the frontier is dealt out to fit them. The rows of a node with
+    more than ``hub`` neighbours get salts by the hash of the row, ``hub`` rows each on average.
+    """
+    spark = steps.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"adjacency_{uuid.uuid4().hex}"
+    sizes = steps.groupBy("from").agg(F.ceil(F.count("*") / hub).cast("int").alias("salts")).filter("salts > 1")
+    salt = F.coalesce(F.pmod(F.xxhash64(*steps.columns), c("salts")), F.lit(0)).cast("int")
+    salted = steps.join(sizes, "from", "left").withColumn("salt", salt)
+    (salted.repartition(buckets, "from", "salt").write.format("parquet").bucketBy(buckets, "from", "salt")
+     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
+    try:
+        table = spark.table(name)
+        hubs = cut_lineage(table.filter("salts is not null").select("from", "salts").distinct())
+        yield Adjacency(table.drop("salts"), None if hubs.isEmpty() else hubs)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _grow(frontier: DataFrame, steps: Adjacency, keys: list[str], earlier: list[DataFrame]) -> DataFrame:
+    """The nodes next to ``frontier(*keys, id)`` that none of the ``earlier`` levels holds, with their least parent.
+
+    Steps go both ways, so a neighbour of a node at distance d is at d - 1 at least: two earlier levels are enough.
+    """
+    near = steps.around(frontier.select(*keys, c("id").alias("from")))
+    reached = near.groupBy(*keys, c("to").alias("id")).agg(F.min(F.struct(c("from").alias("parent"), "rel")).alias("_f"))
+    seen = reduce(DataFrame.union, [x.select(*keys, "id") for x in earlier])
+    return reached.join(seen, [*keys, "id"], "left_anti").select(*keys, "id", "_f.parent", "_f.rel")
+
+
 def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[str] | None = None) -> DataFrame:
     """Every node within ``depth`` (at most 3) undirected steps of the seeds, once, at its smallest distance.
 
@@ -35,26 +93,27 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[
     the smallest id is kept, with the smallest relation.
     """
     keys = keys or []
-    steps = cut_lineage(both_ways(edges).select("from", "rel", "to"))
     none = F.lit(None).cast("string")
-    frontier = seeds.select(*keys, "id").distinct().withColumns({"hop": F.lit(0), "parent": none, "rel": none})
-    visited = frontier = cut_lineage(frontier)
-    for hop in range(1, _within(depth, MAX_HOPS) + 1):
-        reached = frontier.select(*keys, c("id").alias("from")).join(steps, "from").groupBy(*keys, c("to").alias("id")).agg(
-            F.min(F.struct(c("from").alias("parent"), "rel")).alias("_f"))
-        fresh = reached.join(visited.select(*keys, "id"), [*keys, "id"], "left_anti")
-        frontier = cut_lineage(fresh.select(*keys, "id", F.lit(hop).alias("hop"), "_f.parent", "_f.rel"))
-        visited = visited.unionByName(frontier)
-    return visited
+    levels = [cut_lineage(seeds.select(*keys, "id").distinct().withColumns({"hop": F.lit(0), "parent": none, "rel": none}))]
+    if _within(depth, MAX_HOPS) < 1:
+        return levels[0]
+    with resident(both_ways(edges).select("from", "rel", "to")) as steps:
+        for hop in range(1, depth + 1):
+            fresh = _grow(levels[-1], steps, keys, levels[-2:])
+            levels.append(cut_lineage(fresh.select(*keys, "id", F.lit(hop).alias("hop"), "parent", "rel")))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def neighbour_hits(reached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Traversal rows as hits: score 1 for the seeds, 1 / (1 + 0.3 hop) for neighbours, with the parent's name."""
+    """Traversal rows as hits: score 1 for the seeds, 1 / (1 + 0.3 hop) for neighbours, with the parent's name.
+
+    A parent is a reached node itself, so the nodes are joined once and the parents' names come from that result.
+    """
     me = nodes.select("id", "name", c("type").alias("label"), "description")
-    parents = nodes.select(c("id").alias("parent"), c("name").alias("parent_name"))
-    rows = reached.join(me, "id").join(parents, "parent", "left")
+    rows = cut_lineage(reached.join(me, "id"))
+    parents = rows.select(c("id").alias("parent"), c("name").alias("parent_name")).dropDuplicates(["parent"])
     hop = c("hop")
-    return rows.withColumns({
+    return rows.join(parents, "parent", "left").withColumns({
         "kind": F.when(hop == 0, "entity").otherwise("neighbor"),
         "relevance_score": 1.0 / (1.0 + 0.3 * hop),
         "relation_types": F.array_compact(F.array(F.nullif(c("rel"), F.lit("")))),
@@ -62,99 +121,138 @@ def neighbour_hits(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     })
 
 
+def _start_paths(seeds: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
+    texts = F.array().cast("array<string>")
+    return seeds.select(*keys, c("id").alias("start"), c("id").alias("end"), F.array("id").alias("nodes"), texts.alias("rels"), texts.alias("edge_ids"), *extra)
+
+
+def _longer(paths: DataFrame, steps: Adjacency, keys: list[str], extra: list[Column | str]) -> DataFrame:
+    """Every path with one more edge that it does not use yet; ``extra`` columns come along."""
+    grown = steps.around(paths.withColumn("from", c("end"))).filter(~F.array_contains("edge_ids", c("edge_id")))
+    return grown.select(
+        *keys, "start", c("to").alias("end"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"),
+        F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), *extra)
+
+
 def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 2, keys: list[str] | None = None) -> DataFrame:
     """One row per undirected path of 1 to ``depth`` edges from the seeds; a path uses no edge twice."""
     keys = keys or []
-    steps = both_ways(edges)
-    texts = F.array().cast("array<string>")
-    paths = seeds.select(*keys, c("id").alias("start"), c("id").alias("end"), F.array("id").alias("nodes"), texts.alias("rels"), texts.alias("edge_ids"))
-    out = None
-    for _ in range(_within(depth, MAX_HOPS)):
-        grown = paths.join(steps, paths["end"] == steps["from"]).filter(~F.array_contains("edge_ids", c("edge_id")))
-        paths = grown.select(
-            *keys, "start", c("to").alias("end"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"),
-            F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
-        out = paths if out is None else out.unionByName(paths)
-    return out.withColumn("hop", F.size("rels"))
-
-
-def path_hits(paths: DataFrame, nodes: DataFrame, limit: int = 50) -> DataFrame:
-    """The first ``limit`` paths by (hop, name of the end, nodes), scored 1 / (1 + 0.3 hop)."""
-    named = paths.join(nodes.select(c("id").alias("end"), "name"), "end")
-    top = named.orderBy("hop", "name", "nodes", "edge_ids").limit(limit)
-    return top.withColumn("relevance_score", 1.0 / (1.0 + 0.3 * c("hop")))
-
-
-def _shortest_from(sources: DataFrame, steps: DataFrame, depth: int) -> list[DataFrame]:
-    """For d = 0 to ``depth`` the rows (source, id, nodes, rels) of nodes first reached by d edges."""
-    start = sources.select(c("id").alias("source"), "id").distinct()
-    seen = frontier = cut_lineage(start.withColumns({"nodes": F.array("id"), "rels": F.array().cast("array<string>")}))
-    levels = [frontier]
-    for _ in range(depth):
-        grown = frontier.withColumnRenamed("id", "from").join(steps, "from")
-        step = F.struct(F.concat("nodes", F.array("to")).alias("nodes"), F.concat("rels", F.array("rel")).alias("rels"))
-        reached = grown.groupBy("source", c("to").alias("id")).agg(F.min(step).alias("_f"))
-        fresh = reached.join(seen.select("source", "id"), ["source", "id"], "left_anti")
-        frontier = cut_lineage(fresh.select("source", "id", "_f.nodes", "_f.rels"))
-        seen = seen.unionByName(frontier)
-        levels.append(frontier)
-    return levels
-
-
-def _meet(ahead: list[DataFrame], back: list[DataFrame], limit: int, pairs: DataFrame | None) -> DataFrame:
-    """Join two sets of levels in the middle: a path of length L shows up at the nodes that are ceil(L/2) from the start
-    and floor(L/2) from the goal.
-
-    Lengths are tried upwards, for the open pairs only. The meeting node is found on ids alone (the smallest is kept);
-    the paths are fetched for it afterwards. Without ``pairs`` every start meets every other goal it shares a node with.
-    """
-    solved, found = None, []
-    for length in range(1, limit + 1):
-        left, right = ahead[(length + 1) // 2], back[length // 2]
-        starts, goals = left.select(c("source").alias("start"), "id"), right.select(c("source").alias("goal"), "id")
-        if pairs is None:
-            met = starts.join(goals, "id").filter("start <> goal")
-        else:
-            met = pairs.join(starts, "start").join(goals, ["goal", "id"])
-        met = met.groupBy("start", "goal").agg(F.min("id").alias("id"))
-        met = cut_lineage(met if solved is None else met.join(solved, ["start", "goal"], "left_anti"))
-        solved = met.select("start", "goal") if solved is None else solved.union(met.select("start", "goal"))
-        first = left.select(c("source").alias("start"), "id", c("nodes").alias("n1"), c("rels").alias("r1"))
-        last = right.select(c("source").alias("goal"), "id", c("nodes").alias("n2"), c("rels").alias("r2"))
-        rest = F.slice(F.reverse("n2"), F.lit(2), F.greatest(F.size("n2") - 1, F.lit(0)))
-        found.append(met.join(first, ["start", "id"]).join(last, ["goal", "id"]).select(
-            "start", "goal", F.lit(length).alias("path_length"), F.concat("n1", rest).alias("path_nodes"), F.concat("r1", F.reverse("r2")).alias("relation_types")))
-    return reduce(DataFrame.unionByName, found).withColumn("relevance_score", 1.0 / (1.0 + 0.2 * c("path_length")))
+    paths, levels = _start_paths(seeds, keys, []), []
+    with resident(both_ways(edges).drop("outgoing")) as steps:
+        for _ in range(_within(depth, MAX_HOPS)):
+            paths = cut_lineage(_longer(paths, steps, keys, []))
+            levels.append(paths)
+    return reduce(DataFrame.union, levels).withColumn("hop", F.size("rels"))
+
 
+def path_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 50, keys: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` paths per key by (hop, name of the end, nodes, edges), scored 1 / (1 + 0.3 hop), best first.
 
-def _single_steps(edges: DataFrame) -> DataFrame:
-    return cut_lineage(both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel")))
+    ``seeds(*keys, id, name)``; the result has the names along the path as ``names``. A level is cut to what its key can still take as it is formed, and a key that is full grows no further: a path of the
+    next level cannot come before one of this. So a level has at most ``limit`` rows per key, of which fewer than ``limit``
+    grow. ``name`` is the end's name. Edges to nodes that ``nodes`` lacks are no steps.
+    """
+    keys = keys or []
+    named = both_ways(edges).drop("outgoing").join(nodes.select(c("id").alias("to"), "name"), "to")
+    begin = seeds.select(*keys, "id", "name").distinct()
+    paths, levels = _start_paths(begin, keys, [F.array("name").alias("names"), F.lit(0).cast("long").alias("have")]), []
+    with resident(named) as steps:
+        for _ in range(_within(depth, MAX_HOPS)):
+            grown = _longer(paths, steps, keys, ["name", F.concat("names", F.array("name")).alias("names"), "have"])
+            best = first_n(grown, keys, [c("name"), c("nodes"), c("edge_ids")], limit).filter(c("rank") + c("have") <= limit)
+            full = c("have") + F.count("*").over(Window.partitionBy(*keys))
+            level = cut_lineage(best.withColumn("have", full).drop("rank"))
+            levels.append(level.drop("have"))
+            paths = level.filter(c("have") < limit).drop("name")
+            if paths.isEmpty():
+                break
+    found = reduce(DataFrame.union, levels).withColumn("hop", F.size("rels"))
+    return found.withColumn("relevance_score", 1.0 / (1.0 + 0.3 * c("hop")))
+
+
+def _walk(found: DataFrame, levels: dict[int, DataFrame], end: str, depth: int) -> DataFrame:
+    """From the meeting node back to ``end`` by one parent a level: adds ``nodes_<end>`` (the meeting node last) and ``rels_<end>``."""
+    nodes, rels = f"nodes_{end}", f"rels_{end}"
+    rows = found.withColumns({"_at": c("id"), nodes: F.array("id"), rels: F.array().cast("array<string>")})
+    for k in range(depth, 0, -1):  # a node is in one level of its source, so only that level extends it
+        back = levels[k].select(c("source").alias(end), c("id").alias("_at"), c("parent").alias("_parent"), "rel")
+        rows = rows.join(back, [end, "_at"], "left").withColumns({
+            nodes: F.when(c("_parent").isNotNull(), F.concat(F.array("_parent"), nodes)).otherwise(c(nodes)),
+            rels: F.when(c("_parent").isNotNull(), F.concat(F.array("rel"), rels)).otherwise(c(rels)),
+            "_at": F.coalesce("_parent", "_at"),
+        }).drop("_parent", "rel")
+    return rows.drop("_at")
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
-    """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges."""
+    """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges.
+
+    Both ends of a pair grow in turn, one row (source, node, parent) per reached node. After each step the open pairs look
+    for a common node; those that have one are closed, and a source without an open pair stops growing. Paths are read off
+    afterwards by walking the parents of the meeting node. The smallest meeting node is taken, on either side the smallest
+    parents with the smallest relation; a pair asked the other way round has the same path reversed.
+    """
     limit = _within(max_edges, MAX_PATH_EDGES)
-    pairs = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
-    steps = _single_steps(edges)
-    ahead = _shortest_from(pairs.select(c("start").alias("id")), steps, (limit + 1) // 2)
-    back = _shortest_from(pairs.select(c("goal").alias("id")), steps, limit // 2)
-    return _meet(ahead, back, limit, pairs)
+    given = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
+    still = cut_lineage(given.select(F.least("start", "goal").alias("start"), F.greatest("start", "goal").alias("goal")).distinct())
+    none = F.lit(None).cast("string")
+    ends = still.select(F.explode(F.array("start", "goal")).alias("source")).distinct()
+    levels = {0: cut_lineage(ends.select("source", c("source").alias("id"), none.alias("parent"), none.alias("rel")))}
+    solved: list[DataFrame] = []
+    single = both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel"))
+    with resident(single) as steps:
+        for length in range(1, limit + 1):
+            k, other = (length + 1) // 2, length // 2
+            need = still.select(c("start" if length % 2 else "goal").alias("source")).distinct()
+            if k in levels:  # the starts have grown to this level
+                need = need.join(grown, "source", "left_anti")
+            grown = cut_lineage(need)
+            frontier = levels[k - 1].join(grown, "source", "left_semi")
+            fresh = cut_lineage(_grow(frontier, steps, ["source"], [levels[i] for i in (k - 1, k - 2) if i in levels]))
+            levels[k] = levels[k].union(fresh) if k in levels else fresh
+            ahead, back = (levels[i].select(c("source").alias(end), "id") for i, end in ((k, "start"), (other, "goal")))
+            met = still.join(ahead, "start").join(back, ["goal", "id"]).groupBy("start", "goal").agg(F.min("id").alias("id"))
+            solved.append(cut_lineage(met.withColumn("path_length", F.lit(length))))
+            still = cut_lineage(still.join(solved[-1], ["start", "goal"], "left_anti"))
+            if still.isEmpty():
+                break
+    found = reduce(DataFrame.union, solved)
+    walked = _walk(_walk(found, levels, "start", min((limit + 1) // 2, max(levels))), levels, "goal", min(limit // 2, max(levels)))
+    tail = F.slice(F.reverse("nodes_goal"), F.lit(2), F.greatest(F.size("nodes_goal") - 1, F.lit(0)))
+    paths = walked.select(
+        c("start").alias("_a"), c("goal").alias("_b"), "path_length", F.concat("nodes_start", tail).alias("_nodes"), F.concat("rels_start", F.reverse("rels_goal")).alias("_rels"))
+    ahead = c("start") < c("goal")
+    return given.withColumns({"_a": F.least("start", "goal"), "_b": F.greatest("start", "goal")}).join(paths, ["_a", "_b"]).select(
+        "start", "goal", "path_length", F.when(ahead, c("_nodes")).otherwise(F.reverse("_nodes")).alias("path_nodes"),
+        F.when(ahead, c("_rels")).otherwise(F.reverse("_rels")).alias("relation_types"), (1.0 / (1.0 + 0.2 * c("path_length"))).alias("relevance_score"))
+
+
+def point_pairs(points: DataFrame, keys: list[str], differ: str = "id") -> DataFrame:
+    """Ordered pairs of the points of one key that differ in a column: ``*keys, start, goal`` and the columns' values.
+
+    An equi join on the keys; it lists what is asked, the points of a question squared, and nothing beyond a question.
+    """
+    a = points.select(*keys, c("id").alias("start"), c(differ).alias(f"start_{differ}"))
+    b = points.select(*keys, c("id").alias("goal"), c(differ).alias(f"goal_{differ}"))
+    return a.join(b, keys).filter(c(f"start_{differ}") != c(f"goal_{differ}"))
 
 
 def shortest_paths_among(points: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
-    """As ``shortest_paths`` for all ordered pairs of ``points(id)``; one growth serves both ends, no pair is listed up front."""
-    limit = _within(max_edges, MAX_PATH_EDGES)
-    levels = _shortest_from(points, _single_steps(edges), (limit + 1) // 2)
-    return _meet(levels, levels, limit, None)
+    """As ``shortest_paths`` for all ordered pairs of one question's ``points(id)``."""
+    asked = points.select(F.lit(0).alias("_question"), "id").distinct()
+    return shortest_paths(point_pairs(asked, ["_question"]), edges, max_edges)
 
 
-def paths_between_names(names: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 10) -> DataFrame:
-    """Shortest paths for ordered pairs of differently named entities, the first ``limit`` by length and names."""
-    found = nodes.join(names.select("name").distinct(), "name", "left_semi").select("id", "name")
-    paths = shortest_paths_among(found, edges, max_depth)
-    named = paths.join(found.toDF("start", "start_name"), "start").join(found.toDF("goal", "goal_name"), "goal")
-    different = named.filter(c("start_name") != c("goal_name"))
-    return different.orderBy("path_length", "start_name", "goal_name", "start", "goal").limit(limit)
+def paths_between_names(names: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, limit: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """Shortest paths for ordered pairs of differently named entities of a key, the first ``limit`` by length and names."""
+    asked = names if keys else names.withColumn("_question", F.lit(0))
+    by = keys or ["_question"]
+    found = cut_lineage(nodes.select("id", "name").join(asked.select(*by, "name").distinct(), "name"))
+    pairs = point_pairs(found, by, "name").filter("start <> goal").distinct()
+    paths = shortest_paths(pairs, edges, max_depth)
+    named = pairs.join(paths, ["start", "goal"])
+    top = first_n(named, by, [c("path_length"), c("start_name"), c("goal_name"), c("start"), c("goal")], limit)
+    return top.drop("rank") if keys else top.drop("rank", "_question")
 
 
 def snapshot_path_pairs(matched: DataFrame) -> DataFrame:
@@ -169,8 +267,8 @@ def snapshot_path_pairs(matched: DataFrame) -> DataFrame:
 
 
 def snapshot_paths(matched: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Snapshot variant: the depth bounds the number of nodes, hence one edge less."""
-    return shortest_paths(snapshot_path_pairs(matched), edges, min(max_depth, MAX_PATH_EDGES) - 1)
+    """Snapshot variant: the depth (at most 5) bounds the number of nodes, hence one edge less."""
+    return shortest_paths(snapshot_path_pairs(matched), edges, _within(max_depth, MAX_PATH_EDGES) - 1)
 
 
 def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -186,8 +186,7 @@ def _(t):
 @query("gr14_path_hits", f"""WITH {GRAPH}, {RSEED}, {PATHS} SELECT e AS "end", name, len(es) AS hop, array_to_string(ns, '>') AS nodes, round(1 / (1 + 0.3 * len(es)), 10)::DOUBLE AS relevance_score
 FROM paths JOIN nodes ON nodes.id = e ORDER BY hop, name, ns LIMIT 50""")
 def _(t):
-    paths = TR.expand_paths(nodes(t).filter("type = 'Region'"), edges(t), 3)
-    hits = TR.path_hits(paths, nodes(t), 50)
+    hits = TR.path_hits(nodes(t).filter("type = 'Region'"), nodes(t), edges(t), 3, 50)
     return hits.select("end", "name", "hop", F.array_join("nodes", ">").alias("nodes"), F.round("relevance_score", 10).alias("relevance_score"))
 
 
@@ -215,6 +214,26 @@ def _(t):
     return TR.paths_between_names(names, nodes(t), edges(t), 3, 10).select("start_name", "goal_name", "path_length")
 
 
+# levels around every nation with the least parent and relation, and the paths read off at the least common node
+WAYS = """st AS (SELECT f, t, min(rel) AS rel FROM two GROUP BY ALL), w0 AS (SELECT id AS s, id FROM nodes WHERE type = 'Nation'),
+w1 AS (SELECT s, t AS id, min((f, rel)) AS p FROM w0 JOIN st ON f = id WHERE t <> s GROUP BY ALL),
+w2 AS (SELECT s, t AS id, min((f, rel)) AS p FROM w1 JOIN st ON f = id ANTI JOIN w1 AS seen ON seen.s = w1.s AND seen.id = t WHERE t <> s GROUP BY ALL),
+met AS (SELECT a.s AS a, b.s AS b, 1 AS d, min(a.id) AS m FROM w1 a JOIN w0 b USING (id) WHERE a.s < b.s GROUP BY ALL UNION ALL SELECT a.s, b.s, 2, min(a.id) FROM w1 a JOIN w1 b USING (id) WHERE a.s < b.s GROUP BY ALL
+ UNION ALL SELECT a.s, b.s, 3, min(a.id) FROM w2 a JOIN w1 b USING (id) WHERE a.s < b.s GROUP BY ALL UNION ALL SELECT a.s, b.s, 4, min(a.id) FROM w2 a JOIN w2 b USING (id) WHERE a.s < b.s GROUP BY ALL),
+short AS (SELECT a, b, min((d, m)) AS x FROM met GROUP BY ALL),
+ways AS (SELECT a, b, x[1] AS d, CASE x[1] WHEN 1 THEN [a, b] WHEN 2 THEN [a, x[2], b] WHEN 3 THEN [a, p2.p[1], x[2], b] ELSE [a, p2.p[1], x[2], q2.p[1], b] END AS ns,
+ CASE x[1] WHEN 1 THEN [p1.p[2]] WHEN 2 THEN [p1.p[2], q1.p[2]] WHEN 3 THEN [u1.p[2], p2.p[2], q1.p[2]] ELSE [u1.p[2], p2.p[2], q2.p[2], v1.p[2]] END AS rs
+ FROM short LEFT JOIN w1 p1 ON p1.s = a AND p1.id = x[2] LEFT JOIN w2 p2 ON p2.s = a AND p2.id = x[2] LEFT JOIN w1 u1 ON u1.s = a AND u1.id = p2.p[1]
+ LEFT JOIN w1 q1 ON q1.s = b AND q1.id = x[2] LEFT JOIN w2 q2 ON q2.s = b AND q2.id = x[2] LEFT JOIN w1 v1 ON v1.s = b AND v1.id = q2.p[1])"""
+
+
+@query("gr15_path_details", f"""WITH {GRAPH}, {WAYS} SELECT a AS start, b AS goal, d AS path_length, array_to_string(ns, '>') AS nodes, array_to_string(rs, '>') AS relations FROM ways
+UNION ALL SELECT b, a, d, array_to_string(list_reverse(ns), '>'), array_to_string(list_reverse(rs), '>') FROM ways""")
+def _(t):
+    found = TR.shortest_paths_among(nodes(t).filter("type = 'Nation'"), edges(t), 4)
+    return found.select("start", "goal", "path_length", F.array_join("path_nodes", ">").alias("nodes"), F.array_join("relation_types", ">").alias("relations"))
+
+
 @query("gr16_snapshot_paths", f"""WITH {GRAPH}, {DIST}, m AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM d0)
 SELECT s AS start, dist.id AS goal, d AS path_length FROM dist JOIN m a ON a.id = s JOIN m b ON b.id = dist.id WHERE a.r <= 2 AND b.r IN (a.r + 1, a.r + 2)""")
 def _(t):

@@ -124,20 +124,75 @@ def _(t):
 
 
 def questions(t):
-    """Customers asking about themselves and their segment, with the centroid of a label as vector."""
+    """Customers asking about themselves, and some about their nation or a region as well; a label's centroid is the vector.
+
+    Some have no entity, some no vector, some keywords that nothing holds, and a few none of them.
+    """
     labels = centroids(t).select(c("label").cast("bigint").alias("_l"), "embedding")
     n = labels.select(F.count("*")).scalar()
-    asked = t.customer.select(
-        c("c_custkey").alias("query_id"), F.concat(F.lit("ask "), "c_mktsegment").alias("text"), F.when(c("c_custkey") % 2 == 0, "symptom").otherwise("other").alias("intent"),
-        F.when(c("c_custkey") % 5 != 0, F.array("c_name")).otherwise(F.array().cast("array<string>")).alias("entities"),
-        F.when(c("c_custkey") % 3 == 0, F.array(F.lower("c_mktsegment"))).otherwise(F.array(c("c_mktsegment"))).alias("keywords"), (c("c_custkey") % n).alias("_l"))
+    k = c("c_custkey")
+    named = t.customer.join(t.nation, c("c_nationkey") == c("n_nationkey")).join(t.region, k % 5 == c("r_regionkey"))
+    second = F.when(k % 4 == 1, c("n_name")).when(k % 4 == 3, c("r_name"))
+    asked = named.select(
+        k.alias("query_id"), F.concat(F.lit("ask "), "c_mktsegment").alias("text"), F.when(k % 2 == 0, "symptom").otherwise("other").alias("intent"),
+        F.when(k % 5 != 0, F.array_compact(F.array("c_name", second))).otherwise(F.array().cast("array<string>")).alias("entities"),
+        F.when(k % 3 == 0, F.array(F.lower("c_mktsegment"))).otherwise(F.array(c("c_mktsegment"))).alias("keywords"), F.when(k % 7 != 0, k % n).alias("_l"))
     return asked.join(labels, "_l", "left").drop("_l")
 
 
-@query("rt8_hybrid")
+# the vectors' part under another name: the graph's part has a table ``near`` too
+CENT_ALL = CENT.replace("near AS (", "near_all AS (")
+ASKED = """q AS (SELECT c_custkey AS query_id, 'ask ' || c_mktsegment AS text, CASE WHEN c_custkey % 5 = 0 THEN [] WHEN c_custkey % 4 = 1 THEN [c_name, n_name] WHEN c_custkey % 4 = 3 THEN [c_name, r_name] ELSE [c_name] END AS entities,
+ CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS keyword, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % (SELECT count(*) FROM cent) END AS label
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON c_custkey % 5 = r_regionkey)"""
+
+# entities, the first 50 paths of one or two edges per question, and the shortest paths of up to two edges between entities
+GRAPH_ROUTE = """found AS (SELECT query_id, id, nodes.name, description FROM (SELECT query_id, unnest(entities) AS name FROM q) JOIN nodes USING (name)),
+g1 AS (SELECT query_id, t AS e, [edge_id] AS es, [found.id, t] AS ns, [found.name, o.name] AS names, [rel] AS rs, o.name, o.description FROM found JOIN two ON f = found.id JOIN nodes o ON o.id = t),
+g2 AS (SELECT query_id, t AS e, list_append(es, edge_id) AS es, list_append(ns, t) AS ns, list_append(names, o.name) AS names, list_append(rs, rel) AS rs, o.name, o.description FROM g1 JOIN two ON f = e AND NOT list_contains(es, edge_id) JOIN nodes o ON o.id = t),
+near AS (SELECT * FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(es), name, ns, es) <= 50),
+st AS (SELECT f, t, min(rel) AS rel FROM two GROUP BY ALL),
+asked AS (SELECT a.query_id, a.id AS s, b.id AS g, a.name AS sn, b.name AS gn FROM found a JOIN found b ON a.query_id = b.query_id AND a.name <> b.name AND a.id <> b.id),
+one AS (SELECT asked.*, 1 AS d, [rel] AS rs, [sn, gn] AS names FROM asked JOIN st ON f = s AND t = g),
+mid AS (SELECT query_id, s, g, sn, gn, min(x.t) AS m FROM asked JOIN st x ON x.f = s JOIN st y ON y.f = g AND y.t = x.t GROUP BY ALL),
+links AS (SELECT * FROM one UNION ALL SELECT mid.query_id, s, g, sn, gn, 2, [x.rel, y.rel], [sn, o.name, gn] FROM mid ANTI JOIN one USING (query_id, s, g) JOIN st x ON x.f = s AND x.t = m JOIN st y ON y.f = g AND y.t = m JOIN nodes o ON o.id = m),
+top_links AS (SELECT * FROM links QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, sn, gn, s, g) <= 10),
+all_hits AS (SELECT query_id, id AS key, 'entity' AS type, id AS node_id, name, description, NULL AS sn, NULL AS gn, NULL AS rs, NULL AS names, 0 AS hop, 1.0::DOUBLE AS score, '' AS pos FROM found
+ UNION ALL SELECT query_id, e, 'neighbor', e, name, description, NULL, NULL, rs, names, len(es), 1 / (1 + 0.3::DOUBLE * len(es)), array_to_string(es, '>') FROM near
+ UNION ALL SELECT query_id, 'path:' || sn || '->' || gn, 'path', NULL, NULL, NULL, sn, gn, rs, names, NULL, 1 / (1 + 0.2::DOUBLE * d), s || '>' || g FROM top_links),
+best_hits AS (SELECT * FROM all_hits QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, pos) = 1),
+graph_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM best_hits)"""
+
+WORD_ROUTE = """words_of AS (SELECT DISTINCT keyword FROM q UNION SELECT unnest(string_split(text, ' ')) FROM q),
+held AS (SELECT keyword, id, name, description FROM words_of JOIN nodes ON contains(name || chr(10) || description, keyword) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY id) <= 15)"""
+
+TO_ITEM = """'graph' AS source, rank, CASE WHEN node_id IS NOT NULL THEN 'graph:' || node_id ELSE 'graph:path:' || sn || '_' || gn END AS content_key,
+ concat_ws(' | ', nullif(name, ''), nullif(description, ''), CASE WHEN type = 'path' THEN '路径: ' || sn || ' -> ' || gn END, CASE WHEN type = 'path' THEN '路径节点: ' || array_to_string(names, ' -> ') END,
+  CASE WHEN type = 'neighbor' THEN '(' || hop || '跳邻居)' END, CASE WHEN type = 'neighbor' THEN '路径: ' || array_to_string(names, ' -> ') END, CASE WHEN type <> 'entity' THEN '关系: ' || array_to_string(rs, ', ') END) AS content"""
+
+
+@query("rt8_graph_hits", f"""WITH {GQ.GRAPH}, {CENT_ALL}, {ASKED}, {GRAPH_ROUTE} SELECT query_id, key, type, name, sn AS start_entity, gn AS end_entity, array_to_string(rs, '>') AS relations, array_to_string(names, '>') AS names, round(score, 10) AS relevance_score, rank
+FROM graph_hits WHERE rank <= 15""")
+def _(t):
+    hits = R.graph_route(questions(t), GQ.nodes(t), GQ.edges(t))
+    joined = lambda name: F.when(F.size(name) > 0, F.array_join(name, ">"))
+    return hits.select(
+        "query_id", "key", "type", "name", "start_entity", "end_entity", joined("relation_types").alias("relations"), joined("path_names").alias("names"),
+        F.round("relevance_score", 10).alias("relevance_score"), "rank")
+
+
+@query("rt8_hybrid", f"""WITH {GQ.GRAPH}, {CENT_ALL}, {ASKED}, {GRAPH_ROUTE}, {WORD_ROUTE},
+vec AS (SELECT q.query_id, id, CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY round(distance, 12), id) AS INT) AS rank FROM q JOIN near_all n ON n.query_id = q.label QUALIFY rank <= 15),
+found_words AS (SELECT query_id, id, name, description, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) AS rank FROM q JOIN held USING (keyword) QUALIFY rank <= 15),
+items AS (SELECT query_id, {TO_ITEM} FROM graph_hits WHERE rank <= 15 UNION ALL SELECT query_id, 'doc', rank, 'doc:' || id, 'chunk ' || id FROM vec
+ UNION ALL SELECT query_id, 'keyword', rank, 'keyword:' || id, coalesce(nullif(description, ''), name) FROM found_words),
+again AS (SELECT DISTINCT query_id, id, name, description FROM (SELECT query_id, unnest(string_split(text, ' ')) AS keyword FROM q WHERE query_id NOT IN (SELECT query_id FROM items)) JOIN held USING (keyword)),
+rescue AS (SELECT query_id, 'keyword' AS source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) AS rank, 'keyword:' || id AS content_key, coalesce(nullif(description, ''), name) AS content FROM again QUALIFY rank <= 15),
+fused AS (SELECT *, 1 / (60::DOUBLE + rank) AS s, CASE source WHEN 'graph' THEN 0 WHEN 'doc' THEN 1 ELSE 2 END AS route FROM (SELECT * FROM items UNION ALL SELECT * FROM rescue))
+SELECT query_id, content_key, source, content, round(s, 10) AS rrf_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, route, rank) AS INT) AS place FROM fused QUALIFY place <= 10""")
 def _(t):
     chunks = vectors(t).select("id", F.concat(F.lit("chunk "), c("id").cast("string")).alias("text"), "embedding")
-    return R.hybrid(questions(t), GQ.nodes(t), GQ.edges(t), chunks, top_k=10, depth=1)
+    return R.hybrid(questions(t), GQ.nodes(t), GQ.edges(t), chunks, top_k=10).withColumn("rrf_score", F.round("rrf_score", 10))
 
 
 @query("rt9_fallback", f"""WITH q AS (SELECT page_id AS query_id, url AS text FROM pages), w AS (SELECT query_id, unnest(list_filter(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}\\pL\\pN_]+'), lambda x: length(x) >= 2)[1:5]) AS keyword FROM q WHERE query_id % 2 = 1),
@@ -149,10 +204,19 @@ def _(t):
     return R.fallback_search(asked, answered, docs(t)).select("query_id", "node_id", "rank")
 
 
-@query("rt10_two_route")
+@query("rt10_two_route", f"""WITH {GQ.GRAPH}, {CENT_ALL}, {ASKED}, {GRAPH_ROUTE}, {WORD_ROUTE},
+vec AS (SELECT q.query_id, 'p' || id AS id, distance FROM q JOIN near_all n ON n.query_id = q.label QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY round(distance, 12), 'p' || id) <= 5),
+main AS (SELECT query_id, key, type, name, sn, gn, score FROM graph_hits WHERE rank <= 5 UNION ALL SELECT query_id, id, 'vector', name, NULL, NULL, 1 - round(distance, 12) FROM vec JOIN nodes USING (id)),
+empty AS (SELECT * FROM q WHERE query_id NOT IN (SELECT query_id FROM main)),
+by_word AS (SELECT query_id, id, name FROM empty JOIN held USING (keyword) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 5),
+again AS (SELECT DISTINCT query_id, id, name FROM (SELECT query_id, unnest(string_split(text, ' ')) AS keyword FROM empty WHERE query_id NOT IN (SELECT query_id FROM by_word)) JOIN held USING (keyword) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 5),
+every AS (SELECT * FROM main UNION ALL SELECT query_id, id, 'keyword', name, NULL, NULL, 0.5 FROM by_word UNION ALL SELECT query_id, id, 'keyword', name, NULL, NULL, 0.5 FROM again),
+best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, type) = 1)
+SELECT query_id, key, type, name, sn AS start_entity, gn AS end_entity, round(score, 6) AS relevance_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INT) AS rank FROM best QUALIFY rank <= 10""")
 def _(t):
     node_vectors = t.embeddings.select(F.expr("'p' || vec_id").alias("id"), "embedding")
-    return R.two_route(questions(t), GQ.nodes(t), GQ.edges(t), node_vectors, top_k=5, depth=1)
+    found = R.two_route(questions(t), GQ.nodes(t), GQ.edges(t), node_vectors, top_k=5)
+    return found.select("query_id", "key", "type", "name", "start_entity", "end_entity", F.round("relevance_score", 6).alias("relevance_score"), "rank")
 
 
 HITS = """hits AS (SELECT o_custkey AS query_id, o_orderpriority AS name, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 50 AS VARCHAR) END AS node_id, round(o_totalprice / 600000, 4) AS s FROM orders)"""

@@ -40,59 +40,98 @@ def _runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray,
         at = to
 
 
-def _grams(data: np.ndarray, size: int) -> np.ndarray:
-    """The gram at every place, as a number."""
-    out = np.zeros(max(0, len(data) - size + 1), np.uint64)
-    for k in range(size):
-        out |= data[k:len(out) + k].astype(np.uint64) << np.uint64(8 * k)
-    return out
+def _ahead(data: np.ndarray, kind: str) -> np.ndarray:
+    """The bytes from every place on as one number of type ``kind``, with zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(GRAM, np.uint8)])
+    return np.ndarray((len(data),), kind, padded, strides=(1,))
+
+
+def _mask(size: int) -> np.uint64:
+    return np.uint64((1 << 8 * size) - 1)
 
 
 def _places(grams: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each gram in a filter of ``2**bits`` bits."""
+    """The two bits of each gram in a filter of ``2**bits`` bits; fewer bits are the leading ones of more."""
     x = (grams ^ np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x >> np.uint64(64 - bits), (x >> np.uint64(8)) & np.uint64((1 << bits) - 1)
+    return x >> np.uint64(64 - bits), (x * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
 
 
 class Filter:
-    """A Bloom filter of grams with two bits a gram; ``sizes`` lists the gram sizes that it holds."""
+    """A Bloom filter of grams with two bits a gram, behind a table of their first two bytes (a bit per gram size).
 
-    def __init__(self, words: np.ndarray, bits: int, sizes: list[int]):
-        self.words, self.bits, self.sizes = words, bits, sizes
+    ``long`` says whether a name is longer than its gram.
+    """
+
+    def __init__(self, words: np.ndarray, bits: int, starts: np.ndarray, long: bool):
+        self.words, self.bits, self.starts, self.long = words, bits, starts, long
+        self.sizes = [size for size in range(1, GRAM + 1) if (starts >> (size - 1) & 1).any()]
+
+    def _set(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     def hits(self, data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Per size the row, place and gram of everything in the filter that lies inside one row."""
+        begins = self.starts[_ahead(data, "<u2")]
+        at = np.flatnonzero(begins)
+        begins, words = begins[at], _ahead(data, "<u8")[at]
         for size in self.sizes:
-            grams = _grams(data, size)
+            some = np.flatnonzero(begins >> (size - 1) & 1)
+            grams = words[some] & _mask(size)
             first, second = _places(grams, size, self.bits)
-            one = np.uint64(1)
-            at = np.flatnonzero((self.words[first >> np.uint64(6)] >> (first & np.uint64(63))) & one)
-            at = at[((self.words[second[at] >> np.uint64(6)] >> (second[at] & np.uint64(63))) & one).astype(bool)]
-            row = np.searchsorted(offs, at, "right") - 1
-            inside = at + size <= offs[row + 1]
-            yield size, row[inside], at[inside], grams[at[inside]]
+            passed = np.flatnonzero(self._set(first) & self._set(second))
+            place, grams = at[some[passed]], grams[passed]
+            row = np.searchsorted(offs, place, "right") - 1
+            inside = place + size <= offs[row + 1]
+            yield size, row[inside], place[inside], grams[inside]
 
 
-def _positions(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a filter is made of: words of the largest filter (kind 0), first bytes (1), whether a name is long (2)."""
+    most = int(np.log2(MOST_BITS))
     for batch in batches:
         size = batch.column("size").to_numpy()
         grams = batch.column("gram").to_numpy().view(np.uint64)
-        both = [np.concatenate(_places(grams[size == s], int(s), bits)) for s in np.unique(size)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(both)).astype(np.int64))], names=["place"])
-
-
-def bloom(grams: DataFrame) -> Filter:
-    """The filter of ``grams(size, gram)``. Its words are formed in Spark; at most ``MOST_BITS`` bits reach the driver."""
-    facts = grams.agg(F.approx_count_distinct(F.xxhash64("size", "gram")).alias("n"), F.collect_set("size").alias("sizes")).first()
-    bits = int(np.clip(np.ceil(np.log2(max(1, facts["n"]) * BITS_PER_GRAM)), 10, np.log2(MOST_BITS)))
-    places = grams.select("size", "gram").mapInArrow(partial(_positions, bits=bits), "place long")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c("place"), F.lit(64)).cast("int"))
-    words = places.groupBy(F.floor(c("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return Filter(out, bits, sorted(facts["sizes"]))
+        places = np.concatenate([p for s in np.unique(size) for p in _places(grams[size == s], int(s), most)])
+        kinds, words, bits = [np.zeros(len(places), np.int32)], [(places >> np.uint64(6)).astype(np.int64)], [np.uint64(1) << (places & np.uint64(63))]
+        kinds.append(np.ones(len(size), np.int32))
+        words.append((grams & np.uint64(0xFFFF)).astype(np.int64))
+        bits.append(np.uint64(1) << (size - 1).astype(np.uint64))
+        kinds.append(np.array([2], np.int32))
+        words.append(np.zeros(1, np.int64))
+        bits.append(np.array([batch.column("long").to_numpy(zero_copy_only=False).any()], np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), pa.array(np.concatenate(words)), pa.array(np.concatenate(bits).view(np.int64))], names=["kind", "word", "bits"])
+
+
+def bloom(grams: DataFrame) -> Filter | None:
+    """The filter of ``grams(name, size, gram)``, null without grams. Its words are formed in Spark; at most ``MOST_BITS``
+    bits reach the driver, where a filter of few grams is folded to ``BITS_PER_GRAM`` bits each."""
+    named = grams.select("size", "gram", (F.octet_length("name") > GRAM).alias("long"))
+    marks = named.mapInArrow(_marks, "kind int, word long, bits long").groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    kind, word, bits = (marks.column(n).to_numpy() for n in ("kind", "word", "bits"))
+    if not len(kind):
+        return None
+    word0, bits0 = word[kind == 0], bits[kind == 0].view(np.uint64)
+    n = int(np.bitwise_count(bits0).sum()) // 2 + 1
+    size = int(np.clip(np.ceil(np.log2(n * BITS_PER_GRAM)), 12, np.log2(MOST_BITS)))
+    out = np.zeros(1 << (size - 6), np.uint64)
+    for i in range(0, len(word0), 1 << 16):
+        row, bit = np.nonzero(bits0[i:i + (1 << 16), None] >> np.arange(64, dtype=np.uint64)[None, :] & np.uint64(1))
+        place = (word0[i:i + (1 << 16)][row] * 64 + bit) >> (int(np.log2(MOST_BITS)) - size)
+        np.bitwise_or.at(out, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+    return Filter(out, size, _starts(word[kind == 1], bits[kind == 1]), bool(bits[kind == 2].any()))
+
+
+def _starts(prefix: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per two bytes the sizes of the grams that begin with them; a gram of one byte begins with any second byte."""
+    out = np.zeros(1 << 16, np.uint8)
+    out[prefix] = sizes
+    single = np.flatnonzero(out[:256] & 1)
+    out[single] &= 0xFE
+    for byte in single:
+        out[byte::256] |= 1
+    return out
 
 
 def _name_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +144,7 @@ def _name_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = np.flatnonzero(lengths == size if size < GRAM else lengths >= size)
                 if not len(rows):
                     continue
-                grams = _grams(data, size)
+                grams = _ahead(data, "<u8") & _mask(size)
                 count = lengths[rows] - size + 1
                 row = np.repeat(rows, count)
                 offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -125,18 +164,18 @@ def _counted(batches: Iterator[pa.RecordBatch], known: Filter) -> Iterator[pa.Re
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), size, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["size", "gram", "n"])
 
 
-def _found(batches: Iterator[pa.RecordBatch], wanted: Filter, around: int) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], wanted: Filter) -> Iterator[pa.RecordBatch]:
     """``id, size, gram, at, context`` of the places that the filter lets through; equal rows of a text once.
 
     Grams of eight bytes come with their context and the place of the gram in it, shorter ones stand for whole names.
     """
     for batch in batches:
         for first, data, offs in _runs(batch, "text"):
-            raw = data.tobytes() if around else b""
+            raw = data.tobytes() if wanted.long else b""
             for size, row, at, grams in wanted.hits(data, offs):
                 context = None
-                if size == GRAM and around:
-                    begin, end = np.maximum(offs[row], at - around), np.minimum(offs[row + 1], at + size + around)
+                if size == GRAM and wanted.long:
+                    begin, end = np.maximum(offs[row], at - CONTEXT), np.minimum(offs[row + 1], at + size + CONTEXT)
                     kept = {(r, p - b, g, raw[b:e]) for r, p, g, b, e in zip(row.tolist(), at.tolist(), grams.tolist(), begin.tolist(), end.tolist())}
                     row, place, grams, context = (np.array(x) if i < 2 else list(x) for i, x in enumerate(zip(*kept))) if kept else (row, at, grams, None)
                     grams = np.array(grams, np.uint64)
@@ -162,28 +201,29 @@ def occurrences(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
     """
     named = names.select(c(name_col).alias("name")).filter(F.length("name") > 0).distinct()
     grams = cut_lineage(named.mapInArrow(_name_grams, "name string, size int, offset int, gram long"))
-    out = f"id {dict(texts.dtypes)[id_col]}, name string"
-    if grams.isEmpty():
-        return texts.sparkSession.createDataFrame([], out).withColumnsRenamed({"id": id_col, "name": name_col})
+    id_type = dict(texts.dtypes)[id_col]
+    nothing = texts.sparkSession.createDataFrame([], f"`{id_col}` {id_type}, `{name_col}` string")
+    known = bloom(grams)
+    if known is None:
+        return nothing
     own = texts.select(c(id_col).alias("id"), c(text_col).alias("text"))
-    counts = own.select("text").mapInArrow(partial(_counted, known=bloom(grams)), "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+    counts = own.select("text").mapInArrow(partial(_counted, known=known), "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
     shared = grams.groupBy("size", "gram").agg(F.count("*").alias("names")).join(counts, ["size", "gram"], "left")
     rated = grams.join(shared, ["size", "gram"])
     best = rated.groupBy("name").agg(F.min_by(F.struct("size", "gram", "offset", "n"), F.struct(F.coalesce("n", F.lit(0)), "names", "offset")).alias("x"))
     chosen = cut_lineage(best.select("name", "x.*").filter("n is not null").drop("n"))
-    if chosen.isEmpty():
-        return texts.sparkSession.createDataFrame([], out).withColumnsRenamed({"id": id_col, "name": name_col})
-    long = F.octet_length("name") > GRAM
-    any_long = not chosen.filter(long).isEmpty()
-    search = partial(_found, wanted=bloom(chosen), around=CONTEXT if any_long else 0)
-    hits = own.mapInArrow(search, f"id {dict(texts.dtypes)[id_col]}, size int, gram long, at int, context binary")
+    wanted = bloom(chosen)
+    if wanted is None:
+        return nothing
+    hits = own.mapInArrow(partial(_found, wanted=wanted), f"id {id_type}, size int, gram long, at int, context binary")
     met = hits.join(chosen, ["size", "gram"])
+    if not wanted.long:
+        return met.select(c("id").alias(id_col), c("name").alias(name_col))
+    long = F.octet_length("name") > GRAM
     rest = F.octet_length("name") - c("offset") - GRAM
     near = (c("offset") <= CONTEXT) & (rest <= CONTEXT)
     begin = c("at") - c("offset")
     same = (begin >= 0) & (F.substr("context", begin + 1, F.octet_length("name")) == F.encode("name", "UTF-8"))
-    if not any_long:
-        return met.select(c("id").alias(id_col), c("name").alias(name_col))
     sure = met.filter(~long | (near & same)).select("id", "name")
     wide = met.filter(long & ~near).select("id", "name").distinct()
     checked = own.join(wide, "id").filter(F.contains("text", "name")).select("id", "name")

@@ -1,16 +1,12 @@
 """Traversals: k-hop neighbours, path expansion, shortest paths, subgraphs.
 
-All of them are frontier joins on a resident adjacency: the edges seen from both ends, written once in buckets by node, with
-the neighbours of a hub dealt over salted sub-buckets. A round shuffles the frontier only (AQE sends a small one to the
-buckets instead), keeps one row per reached node by a partial aggregate, and cuts the lineage with a checkpoint, so a lost
+All of them are frontier joins on a resident adjacency: the edges seen from both ends, written once in sorted buckets by node,
+with the neighbours of a hub dealt over salted sub-buckets. A round shuffles the frontier only, keeps one row per reached node by a partial aggregate, and cuts the lineage with a checkpoint, so a lost
 executor repeats one round at most. No side is broadcast by hint.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators.graph import both_ways
 from loomwright.operators.ranking import first_n
-from loomwright.session import cut_lineage, shared_folder
+from loomwright.session import cut_lineage
 
 c = F.col
 MAX_HOPS = 3
@@ -37,7 +33,7 @@ def _within(asked: int, most: int) -> int:
 
 @dataclass
 class Adjacency:
-    """Neighbours in buckets by (from, salt); ``hubs(from, salts)`` names the nodes with more than one sub-bucket."""
+    """Neighbours in buckets by node; where there are ``hubs(from, salts)``, nodes with several sub-buckets, by (from, salt)."""
 
     steps: DataFrame
     hubs: DataFrame | None
@@ -45,34 +41,28 @@ class Adjacency:
     def around(self, frontier: DataFrame) -> DataFrame:
         """``frontier(from, ...)`` with one row per neighbour; a hub's rows ask each of its sub-buckets."""
         if self.hubs is None:
-            asked = frontier.withColumn("salt", F.lit(0))
-        else:
-            last = F.coalesce(c("salts"), F.lit(1)) - 1
-            asked = frontier.join(self.hubs, "from", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
+            return frontier.join(self.steps, "from")
+        last = F.coalesce(c("salts"), F.lit(1)) - 1
+        asked = frontier.join(self.hubs, "from", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts")
         return asked.join(self.steps, ["from", "salt"]).drop("salt")
 
 
-@contextmanager
-def resident(steps: DataFrame, hub: int = HUB, buckets: int | None = None) -> Iterator[Adjacency]:
-    """Write ``steps(from, ...)`` as a bucketed table in the shared folder for the rounds of one traversal.
+def resident(steps: DataFrame, hub: int = HUB, buckets: int | None = None) -> Adjacency:
+    """Write ``steps(from, ...)`` to the shared folder for the rounds of one traversal, dealt out by node and sorted.
 
-    There are as many buckets as shuffle partitions, so that the frontier is dealt out to fit them. The rows of a node with
-    more than ``hub`` neighbours get salts by the hash of the row, ``hub`` rows each on average.
+    There are as many buckets as shuffle partitions, so that the frontier is dealt out to fit them; a round neither moves
+    nor sorts them. The rows of a node with more than ``hub`` neighbours get salts by the hash of the row, ``hub`` rows each
+    on average.
     """
-    spark = steps.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"adjacency_{uuid.uuid4().hex}"
-    sizes = steps.groupBy("from").agg(F.ceil(F.count("*") / hub).cast("int").alias("salts")).filter("salts > 1")
-    salt = F.coalesce(F.pmod(F.xxhash64(*steps.columns), c("salts")), F.lit(0)).cast("int")
-    salted = steps.join(sizes, "from", "left").withColumn("salt", salt)
-    (salted.repartition(buckets, "from", "salt").write.format("parquet").bucketBy(buckets, "from", "salt")
-     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
-    try:
-        table = spark.table(name)
-        hubs = cut_lineage(table.filter("salts is not null").select("from", "salts").distinct())
-        yield Adjacency(table.drop("salts"), None if hubs.isEmpty() else hubs)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    buckets = buckets or int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(steps)
+    hubs = cut_lineage(rows.groupBy("from").agg(F.ceil(F.count("*") / hub).cast("int").alias("salts")).filter("salts > 1"))
+    by, salted, any_hub = ["from"], rows, not hubs.isEmpty()
+    if any_hub:
+        salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), c("salts")), F.lit(0)).cast("int")
+        by, salted = ["from", "salt"], rows.join(hubs, "from", "left").withColumn("salt", salt).drop("salts")
+    dealt = cut_lineage(salted.repartition(buckets, *by).sortWithinPartitions(*by))
+    return Adjacency(dealt.hint("merge"), hubs if any_hub else None)  # a broadcast would gather the buckets
 
 
 def _grow(frontier: DataFrame, steps: Adjacency, keys: list[str], earlier: list[DataFrame]) -> DataFrame:
@@ -97,10 +87,10 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[
     levels = [cut_lineage(seeds.select(*keys, "id").distinct().withColumns({"hop": F.lit(0), "parent": none, "rel": none}))]
     if _within(depth, MAX_HOPS) < 1:
         return levels[0]
-    with resident(both_ways(edges).select("from", "rel", "to")) as steps:
-        for hop in range(1, depth + 1):
-            fresh = _grow(levels[-1], steps, keys, levels[-2:])
-            levels.append(cut_lineage(fresh.select(*keys, "id", F.lit(hop).alias("hop"), "parent", "rel")))
+    steps = resident(both_ways(edges).select("from", "rel", "to"))
+    for hop in range(1, depth + 1):
+        fresh = _grow(levels[-1], steps, keys, levels[-2:])
+        levels.append(cut_lineage(fresh.select(*keys, "id", F.lit(hop).alias("hop"), "parent", "rel")))
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -138,10 +128,10 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 2, keys: list[
     """One row per undirected path of 1 to ``depth`` edges from the seeds; a path uses no edge twice."""
     keys = keys or []
     paths, levels = _start_paths(seeds, keys, []), []
-    with resident(both_ways(edges).drop("outgoing")) as steps:
-        for _ in range(_within(depth, MAX_HOPS)):
-            paths = cut_lineage(_longer(paths, steps, keys, []))
-            levels.append(paths)
+    steps = resident(both_ways(edges).drop("outgoing"))
+    for _ in range(_within(depth, MAX_HOPS)):
+        paths = cut_lineage(_longer(paths, steps, keys, []))
+        levels.append(paths)
     return reduce(DataFrame.union, levels).withColumn("hop", F.size("rels"))
 
 
@@ -156,20 +146,34 @@ def path_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
     named = both_ways(edges).drop("outgoing").join(nodes.select(c("id").alias("to"), "name"), "to")
     begin = seeds.select(*keys, "id", "name").distinct()
     paths, levels = _start_paths(begin, keys, [F.array("name").alias("names"), F.lit(0).cast("long").alias("have")]), []
-    with resident(named) as steps:
-        for _ in range(_within(depth, MAX_HOPS)):
-            grown = _longer(paths, steps, keys, ["name", F.concat("names", F.array("name")).alias("names"), "have"])
-            best = first_n(grown, keys, [c("name"), c("nodes"), c("edge_ids")], limit).filter(c("rank") + c("have") <= limit)
-            full = c("have") + F.count("*").over(Window.partitionBy(*keys))
-            level = cut_lineage(best.withColumn("have", full).drop("rank"))
-            levels.append(level.drop("have"))
-            paths = level.filter(c("have") < limit).drop("name")
-            if paths.isEmpty():
-                break
+    steps = resident(named)
+    for _ in range(_within(depth, MAX_HOPS)):
+        grown = _longer(paths, steps, keys, ["name", F.concat("names", F.array("name")).alias("names"), "have"])
+        best = first_n(grown, keys, [c("name"), c("nodes"), c("edge_ids")], limit).filter(c("rank") + c("have") <= limit)
+        full = c("have") + F.count("*").over(Window.partitionBy(*keys))
+        level = cut_lineage(best.withColumn("have", full).drop("rank"))
+        levels.append(level.drop("have"))
+        paths = level.filter(c("have") < limit).drop("name")
+        if paths.isEmpty():
+            break
     found = reduce(DataFrame.union, levels).withColumn("hop", F.size("rels"))
     return found.withColumn("relevance_score", 1.0 / (1.0 + 0.3 * c("hop")))
 
 
+def _met(pairs: DataFrame, ahead: DataFrame, back: DataFrame) -> DataFrame:
+    """``start, goal, path_length, id``: per open pair the least node at the shortest distance that both sides hold.
+
+    ``back(source, id, path_length)`` is the goals' side. Nodes that one source alone has reached, as most are, go first,
+    before the pairs of a source meet its level.
+    """
+    both = ahead.select("source", "id").union(back.select("source", "id"))
+    shared = both.groupBy("id").agg(F.min("source").alias("_a"), F.max("source").alias("_b")).filter("_a <> _b").select("id")
+    from_start = ahead.select(c("source").alias("start"), "id").join(shared, "id", "left_semi")
+    from_goal = back.select(c("source").alias("goal"), "id", "path_length").join(shared, "id", "left_semi")
+    met = pairs.join(from_start, "start").join(from_goal, ["goal", "id"])
+    return met.groupBy("start", "goal").agg(F.min(F.struct("path_length", "id")).alias("_f")).select("start", "goal", "_f.path_length", "_f.id")
+
+
 def _walk(found: DataFrame, levels: dict[int, DataFrame], end: str, depth: int) -> DataFrame:
     """From the meeting node back to ``end`` by one parent a level: adds ``nodes_<end>`` (the meeting node last) and ``rels_<end>``."""
     nodes, rels = f"nodes_{end}", f"rels_{end}"
@@ -187,35 +191,30 @@ def _walk(found: DataFrame, levels: dict[int, DataFrame], end: str, depth: int)
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH_EDGES) -> DataFrame:
     """A shortest undirected path for each pair (start, goal) joined by at most ``max_edges`` (5) edges.
 
-    Both ends of a pair grow in turn, one row (source, node, parent) per reached node. After each step the open pairs look
-    for a common node; those that have one are closed, and a source without an open pair stops growing. Paths are read off
-    afterwards by walking the parents of the meeting node. The smallest meeting node is taken, on either side the smallest
-    parents with the smallest relation; a pair asked the other way round has the same path reversed.
+    Both ends of a pair grow, one row (source, node, parent) per reached node, and a source of several pairs grows once.
+    After each round the open pairs look for a common node; those that have one are closed, and a source without an open
+    pair stops growing. Paths are read off afterwards by walking the parents of the meeting node. The smallest meeting node
+    is taken, on either side the smallest parents with the smallest relation; a pair asked the other way round has the same
+    path reversed.
     """
     limit = _within(max_edges, MAX_PATH_EDGES)
     given = cut_lineage(pairs.select("start", "goal").distinct().filter("start <> goal"))
-    still = cut_lineage(given.select(F.least("start", "goal").alias("start"), F.greatest("start", "goal").alias("goal")).distinct())
+    still = given.select(F.least("start", "goal").alias("start"), F.greatest("start", "goal").alias("goal")).distinct()
     none = F.lit(None).cast("string")
     ends = still.select(F.explode(F.array("start", "goal")).alias("source")).distinct()
-    levels = {0: cut_lineage(ends.select("source", c("source").alias("id"), none.alias("parent"), none.alias("rel")))}
+    levels = {0: ends.select("source", c("source").alias("id"), none.alias("parent"), none.alias("rel"))}
     solved: list[DataFrame] = []
-    single = both_ways(edges).groupBy("from", "to").agg(F.min("rel").alias("rel"))
-    with resident(single) as steps:
-        for length in range(1, limit + 1):
-            k, other = (length + 1) // 2, length // 2
-            need = still.select(c("start" if length % 2 else "goal").alias("source")).distinct()
-            if k in levels:  # the starts have grown to this level
-                need = need.join(grown, "source", "left_anti")
-            grown = cut_lineage(need)
-            frontier = levels[k - 1].join(grown, "source", "left_semi")
-            fresh = cut_lineage(_grow(frontier, steps, ["source"], [levels[i] for i in (k - 1, k - 2) if i in levels]))
-            levels[k] = levels[k].union(fresh) if k in levels else fresh
-            ahead, back = (levels[i].select(c("source").alias(end), "id") for i, end in ((k, "start"), (other, "goal")))
-            met = still.join(ahead, "start").join(back, ["goal", "id"]).groupBy("start", "goal").agg(F.min("id").alias("id"))
-            solved.append(cut_lineage(met.withColumn("path_length", F.lit(length))))
-            still = cut_lineage(still.join(solved[-1], ["start", "goal"], "left_anti"))
-            if still.isEmpty():
-                break
+    steps = resident(both_ways(edges).select("from", "rel", "to"))
+    for k in range(1, (limit + 1) // 2 + 1):
+        growing = ["start", "goal"] if 2 * k <= limit else ["start"]
+        need = still.select(F.explode(F.array(*growing)).alias("source")).distinct()
+        frontier = levels[k - 1].join(need, "source", "left_semi")
+        levels[k] = cut_lineage(_grow(frontier, steps, ["source"], [levels[i] for i in (k - 1, k - 2) if i in levels]))
+        sides = [levels[i].select("source", "id", F.lit(k + i).alias("path_length")) for i in (k - 1, k) if k + i <= limit]
+        solved.append(cut_lineage(_met(still, levels[k], reduce(DataFrame.union, sides))))
+        still = cut_lineage(still.join(solved[-1], ["start", "goal"], "left_anti"))
+        if still.isEmpty():
+            break
     found = reduce(DataFrame.union, solved)
     walked = _walk(_walk(found, levels, "start", min((limit + 1) // 2, max(levels))), levels, "goal", min(limit // 2, max(levels)))
     tail = F.slice(F.reverse("nodes_goal"), F.lit(2), F.greatest(F.size("nodes_goal") - 1, F.lit(0)))

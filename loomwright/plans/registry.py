@@ -27,7 +27,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self.__dict__[name] = table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")  # footers are read once
+        return table
 
 
 def query(name: str, sql: str | None = None):

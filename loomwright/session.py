@@ -47,12 +47,6 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of this application below ``spark.checkpoint.dir``, which all executors reach."""
-    _ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder; survives the loss of any executor."""
     _ensure_checkpoint_dir(df.sparkSession)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import _ensure_checkpoint_dir
+from loomwright.session import _ensure_checkpoint_dir, configure
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +28,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back; any executor may be lost."""
-    spark = df.sparkSession
+    spark = configure(df.sparkSession)
     _ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)

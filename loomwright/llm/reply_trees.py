@@ -106,56 +106,78 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     return paths
 
 
-def format_trees(messages: DataFrame, most: int = 1, template: Template = Template()) -> DataFrame:
-    """The ``most`` best paths of every tree, each as one conversation.
+def _digest(*parts: Column) -> Column:
+    """128 bits of the parts; lengths keep them apart, and null differs from the empty text."""
+    return F.md5(F.concat(*[F.concat(F.coalesce(F.char_length(p), F.lit(-1)), F.lit(":"), F.coalesce(p, F.lit(""))) for p in (q.cast("string") for q in parts)]))
 
-    ``messages`` has ``message_id, parent_id, role, text, score``. Result: ``root, leaf`` (ids as text, null for null ids),
-    ``rank`` (from 1, by the mean score of the path's messages, null or NaN as 0, ties to the smaller leaf), ``score``,
-    ``n_turns``, ``formatted``, and ``loss``, the code point spans of the texts of the learned role in it.
 
-    Null text and null role are empty. Rows that repeat an id are one message: the best score, then the least parent, role
-    and text. A message without an id has no replies; equal rows without an id are one. Unknown parents and cycles as in
-    :func:`tree_paths`. An empty table gives no rows; other columns are not read. One conversation is one value and has to
-    fit into a cell; nothing else is put together.
+def _formatted(nodes: DataFrame, texts: DataFrame, most: int, template: Template) -> DataFrame:
+    """``root, leaf, rank, score, n_turns, formatted, loss`` from ``nodes(id, parent, score, ref)`` and ``texts(ref, role, text)``.
+
+    Paths are found, ranked and chosen on ids. Texts cross the network twice: to the turns of the chosen paths, by ``ref``,
+    and to their conversations.
     """
-    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    own = F.concat(F.lit("i"), F.col("message_id").cast("string"))
-    above = F.concat(F.lit("i"), F.col("parent_id").cast("string"))
-    content = F.md5(F.to_json(F.struct(above.alias("parent"), role.alias("role"), text.alias("text"))))
-    named = messages.select(
-        F.coalesce(own, F.concat(F.lit("n"), content)).alias("id"), above.alias("parent"), role.alias("role"), text.alias("text"),
-        F.coalesce(F.col("score").try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)")).alias("score"), F.xxhash64(role, text).alias("content"))
-    first = F.min(F.struct((-F.col("score")).alias("cost"), "parent", "role", "content")).alias("x")
-    nodes = cut(named.groupBy("id").agg(first).select("id", "x.parent", (-F.col("x.cost")).alias("score"), "x.content"))
-    paths = cut(tree_paths(nodes).join(nodes.select(F.col("id").alias("node"), "score", "content"), "node"))
+    nodes = cut(nodes)
+    paths = cut(tree_paths(nodes).join(nodes.select(F.col("id").alias("node"), "score", "ref"), "node"))
     whole = paths.groupBy("leaf").agg(F.max_by("node", "height").alias("root"), F.avg("score").cast("double").alias("score"))
     best = Window.partitionBy("root").orderBy(F.desc("score"), "leaf")
     chosen = cut(whole.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= most))
-    texts = named.groupBy(F.col("id").alias("node"), "content").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    turns = paths.join(chosen.select("leaf"), "leaf", "left_semi").select("leaf", "node", "content", "height").join(texts, ["node", "content"])
+    once = texts.groupBy("ref").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    turns = paths.join(chosen.select("leaf"), "leaf", "left_semi").select("leaf", "height", "ref").join(once, "ref")
     head = F.concat(F.lit(template.begin), template.escape_role(F.col("role")), F.lit("\n"))
-    pieces = turns.select("leaf", "height", "role", head.alias("head"), template.escape(F.col("text")).alias("body"))
     tail = template.end + "\n"
+    pieces = turns.select("leaf", "height", "role", head.alias("head"), template.escape(F.col("text")).alias("body"))
     size = F.char_length("head") + F.char_length("body") + len(tail)
     order = Window.partitionBy("leaf").orderBy(F.desc("height")).rowsBetween(Window.unboundedPreceding, 0)
     stop = F.col("to") - len(tail)
     span = F.when(F.col("role") == template.learned, F.struct((stop - F.char_length("body")).cast("int").alias("start"), stop.cast("int").alias("end")))
     placed = pieces.withColumn("to", F.sum(size).over(order)).select("leaf", "to", F.concat("head", "body", F.lit(tail)).alias("piece"), span.alias("span"))
     talks = placed.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("to", "piece", "span"))).alias("turns"))
-    plain = lambda c: F.when(F.col(c).startswith("i"), F.substring(F.col(c), 2, 1 << 30)).alias(c)
     return talks.join(chosen, "leaf").select(
-        plain("root"), plain("leaf"), "rank", "score", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.col("turns.piece"), "").alias("formatted"),
+        "root", "leaf", "rank", "score", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.col("turns.piece"), "").alias("formatted"),
         F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss"))
 
 
-def conversation_messages(conversations: DataFrame) -> DataFrame:
-    """Turns as messages that reply to the turn before. Equal turn numbers stand in the order of role and text (null first);
-    null turns come first; rows without a conversation are one conversation."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+def format_trees(messages: DataFrame, most: int = 1, template: Template = Template()) -> DataFrame:
+    """The ``most`` best paths of every tree, each as one conversation.
+
+    ``messages`` has ``message_id, parent_id, role, text, score``. Result: ``root, leaf`` (ids as text, null for null ids),
+    ``rank`` (from 1, by the mean score of the path's messages, null or NaN as 0, ties to the smaller leaf), ``score``,
+    ``n_turns``, ``formatted``, and ``loss``, the code point spans of the texts of the learned role in it.
+
+    Null text and null role are empty. Rows that repeat an id are one message: the best score, then the least parent, then by
+    a digest. A message without an id has no replies; equal rows without an id are one. Unknown parents and cycles as in
+    :func:`tree_paths`. An empty table gives no rows; other columns are not read. One conversation is one value and has to
+    fit into a cell; nothing else is put together.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    own = F.concat(F.lit("i"), F.col("message_id").cast("string"))
+    above = F.concat(F.lit("i"), F.col("parent_id").cast("string"))
+    ref = _digest(F.col("message_id"), F.col("parent_id"), role, text)
+    score = F.coalesce(F.col("score").try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)"))
+    named = messages.select(F.coalesce(own, F.concat(F.lit("n"), ref)).alias("id"), above.alias("parent"), score.alias("score"), ref.alias("ref"))
+    first = F.min(F.struct((-F.col("score")).alias("cost"), "parent", "ref")).alias("x")
+    nodes = named.groupBy("id").agg(first).select("id", "x.parent", (-F.col("x.cost")).alias("score"), "x.ref")
+    talks = _formatted(nodes, messages.select(ref.alias("ref"), role.alias("role"), text.alias("text")), most, template)
+    return talks.withColumns({n: F.when(F.col(n).startswith("i"), F.substring(F.col(n), 2, 1 << 30)) for n in ("root", "leaf")})
+
+
+def format_conversations(conversations: DataFrame, template: Template = Template()) -> DataFrame:
+    """``conv_id, n_turns, formatted, loss`` of every conversation, as the tree in which each turn replies to the one before.
+
+    ``conversations`` has ``conv_id, turn, role, text``. Turns stand by number (null first), equal numbers by role (null
+    first) and a digest of the text; rows without a conversation are one conversation; repeated rows are turns each. Only ids
+    and digests are ordered within a conversation; null and empty texts as in :func:`format_trees`.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    ref = _digest(F.col("conv_id"), F.col("turn"), role, text)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "digest")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), F.md5(text).alias("digest"), ref.alias("ref")).withColumn("at", F.row_number().over(order))
     name = lambda place: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), place)
-    numbered = conversations.select("conv_id", "turn", "role", "text").withColumn("at", F.row_number().over(order))
-    return numbered.select(
-        name(F.col("at")).alias("message_id"), F.when(F.col("at") > 1, name(F.col("at") - 1)).alias("parent_id"), "role", "text", F.lit(None).cast("double").alias("score"))
+    nodes = rows.select(name(F.col("at")).alias("id"), F.when(F.col("at") > 1, name(F.col("at") - 1)).alias("parent"), F.lit(0).cast("decimal(20,9)").alias("score"), "ref")
+    talks = _formatted(nodes, conversations.select(ref.alias("ref"), role.alias("role"), text.alias("text")), 1, template)
+    conv = F.substring_index("root", ":", 1)
+    return talks.select(F.when(conv != "null", conv).cast("long").alias("conv_id"), "n_turns", "formatted", "loss")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
@@ -167,10 +189,9 @@ def with_probe(conversations: DataFrame) -> DataFrame:
 
 def conversation_digest(conversations: DataFrame, template: Template = Template()) -> DataFrame:
     """Every conversation and the probe formatted, and what its output reads back as; the columns of the op11 query."""
-    talks = format_trees(conversation_messages(with_probe(conversations)), template=template)
+    talks = format_conversations(with_probe(conversations), template)
     turns, loss = template.read_back(F.col("formatted")), template.learned_text(F.col("formatted"), F.col("loss"))
-    conv = F.substring_index("root", ":", 1)
-    read = talks.select(F.when(conv != "null", conv).cast("long").alias("conv_id"), turns.alias("turns"), loss.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    read = talks.select("conv_id", turns.alias("turns"), loss.alias("learned"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"),

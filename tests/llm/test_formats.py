@@ -101,7 +101,7 @@ def test_conversation_digest(spark):
     got = {r.conv_id: r for r in reply_trees.conversation_digest(table).collect()}
     assert set(got) == {r[0] for r in rows} and len(got) == 6
     for conv, r in got.items():
-        turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in rows if c == conv))
+        turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in rows if c == conv), key=lambda x: (*x[:2], hashlib.md5(x[2].encode()).hexdigest()))
         learned = "".join(x for _, role, x in turns if role == "assistant")
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), sha("".join(f"{role}\n{text}\n" for _, role, text in turns)), len(learned), sha(learned))
         assert r.formatted_chars > sum(len(role) + len(text) for _, role, text in turns)

@@ -451,3 +451,28 @@ def test_pipeline_drops_leaks_and_secrets(spark):
     clean = {r["doc_id"]: r for r in corpus_pipeline.secret_scan(spark, frame, SF_DIR).collect()}
     assert clean[2]["text"] == "my [SECRET] ok" and clean[2]["n_chars"] == 14 and clean[3]["text"] == "clean words" and clean[3]["n_chars"] is None
     assert os.path.isdir(SF_DIR)
+
+
+FROM_ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry_points
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in {names!r}:
+    print(name, entry_points.queries()[name](spark, {sf_dir!r}).count())
+"""
+
+
+@pytest.mark.parametrize("names", [["op1_pigeonhole", "op13_fill_middle", "op12_vector_codes"], ["pipeline"]])
+def test_operators_run_from_another_folder(tmp_path, names):
+    """Python workers get the package from the session, not from the folder or a path variable."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = FROM_ELSEWHERE.format(root=root, names=names, sf_dir=SF_DIR)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert [line.split()[0] for line in done.stdout.splitlines() if line.strip()] == names

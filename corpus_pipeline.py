@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import decontaminate, factorization, mixing, odd_sketch, secrets
 from loomwright.llm.common import DOCUMENT_COLUMNS, cut, document_key
+from loomwright.session import configure
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80
@@ -19,9 +20,14 @@ SIMILARITY = 80
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; the package goes to the Python workers with the first one, also where a stage is called alone."""
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with a score of ``factorization.THRESHOLD`` or more; the machine learns from the labelled rows."""
-    machine = factorization.train(factorization.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    machine = factorization.train(factorization.training_rows(docs, _table(spark, sf_dir, "labels")))
     return factorization.score(docs.select(*DOCUMENT_COLUMNS), machine).filter(F.col("score") < factorization.THRESHOLD).select(*DOCUMENT_COLUMNS)
 
 
@@ -38,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage within the edit budget of a benchmark item."""
-    return decontaminate.without_items(docs.select(*DOCUMENT_COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.without_items(docs.select(*DOCUMENT_COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +73,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; every result is written as Parquet and read again by the next stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir))
     return docs

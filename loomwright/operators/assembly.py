@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomwright import vocab as V
 from loomwright.functions import text as T
+from loomwright.session import cut_lineage
 
 c = F.col
 
@@ -42,15 +43,46 @@ def valid_entities(classified: DataFrame) -> DataFrame:
     return classified.filter("valid").select("unit_id", "pos", "name", "type", "description")
 
 
-def classify_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Every relation with its first reason for rejection, or null; ``entities`` are the valid ones."""
+#: Rows of a unit up to which its names travel as one map; larger units are looked up by name.
+UNIT_ROWS = 4096
+
+
+def _ends_by_map(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Types of both ends from one map of names per unit: relations move once, to their unit."""
+    names = entities.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("_names"))
+    joined = rows.join(names, "unit_id", "left")
+    return joined.withColumns({f"{end}_type": F.try_element_at("_names", c(end)) for end in ("subject", "object")}).drop("_names")
+
+
+def _ends_by_name(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Types of both ends by (unit, name): a unit of any size is spread over its names."""
+    subjects = entities.select("unit_id", c("name").alias("subject"), c("type").alias("subject_type"))
+    objects = entities.select("unit_id", c("name").alias("object"), c("type").alias("object_type"))
+    return rows.join(subjects, ["unit_id", "subject"], "left").join(objects, ["unit_id", "object"], "left")
+
+
+def large_units(*rows: DataFrame) -> DataFrame:
+    """The units with more than ``UNIT_ROWS`` rows in one of the tables ``(unit_id, ...)``."""
+    tagged = [df.select("unit_id", *[F.lit(int(i == k)).alias(f"_{k}") for k in range(len(rows))]) for i, df in enumerate(rows)]
+    counted = reduce(DataFrame.union, tagged).groupBy("unit_id").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(rows))])
+    return counted.filter(reduce(Column.__or__, [c(f"_{k}") > UNIT_ROWS for k in range(len(rows))])).select("unit_id")
+
+
+def classify_relations(relations: DataFrame, entities: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """Every relation with its first reason for rejection, or null; ``entities`` are the valid ones.
+
+    ``large(unit_id)`` lists the units that are not looked up by a map; they are counted here when it is not given.
+    """
     rows = _computed_once(
         relations.select("unit_id", "pos", "subject", "predicate", "object"), subject=T.normalize_name(c("subject")),
         predicate=T.resolve_relation_type(c("predicate")), object=T.normalize_name(c("object")),
     )
-    subjects = entities.select("unit_id", c("name").alias("subject"), c("type").alias("subject_type"))
-    objects = entities.select("unit_id", c("name").alias("object"), c("type").alias("object_type"))
-    joined = rows.join(subjects, ["unit_id", "subject"], "left").join(objects, ["unit_id", "object"], "left")
+    large = cut_lineage(large_units(entities, relations) if large is None else large)
+    if large.isEmpty():
+        joined = _ends_by_map(rows, entities)
+    else:
+        few = _ends_by_map(rows.join(large, "unit_id", "left_anti"), entities.join(large, "unit_id", "left_anti"))
+        joined = few.unionByName(_ends_by_name(rows.join(large, "unit_id", "left_semi"), entities.join(large, "unit_id", "left_semi")))
     reason = (
         F.when((c("subject") == "") | (c("object") == ""), "empty").when(c("subject_type").isNull(), "subject_missing")
         .when(c("object_type").isNull(), "object_missing").when(c("subject") == c("object"), "self_loop")
@@ -74,6 +106,19 @@ def valid_relations(classified: DataFrame) -> DataFrame:
     return kept.withColumn("mismatch", mismatch)
 
 
+def validate(entities: DataFrame, relations: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Classified entities, valid entities, classified relations, valid triples. Sizes of units come from the raw rows.
+
+    ``written`` writes the classified entities first, for callers that read them beside the triples.
+    """
+    classified = classify_entities(entities)
+    if written:
+        classified = cut_lineage(classified)
+    valid = valid_entities(classified)
+    found = classify_relations(relations, valid, large_units(entities, relations))
+    return classified, valid, found, valid_relations(found)
+
+
 STAT_NAMES = [
     "entities_skipped_invalid", "entities_skipped_duplicate", "relations_skipped_subject_missing",
     "relations_skipped_object_missing", "relations_skipped_self_loop", "relations_skipped_duplicate",

@@ -120,16 +120,16 @@ class GraphBuild:
 
     def __init__(self, documents: DataFrame, extractor: Callable[[list[str]], list[str]], size: int = 1000):
         cleaned = documents.select(c("doc_id").cast("string").alias("doc_id"), T.graph_clean(c("text")).alias("text"))
-        self.sentences = cleaned.select("doc_id", F.size(T.sentences(c("text"))).alias("n"))
-        rows = C.chunk(cleaned, "extraction", size=size)
+        # cleaned and counted in one pass, for both the sentences and the paragraphs
+        counted = cut_lineage(cleaned.withColumn("n", F.size(T.sentences(c("text")))))
+        self.sentences = counted.select("doc_id", "n")
+        rows = C.chunk(counted.drop("n"), "extraction", size=size)
         unit = F.concat_ws(":", "doc_id", F.lpad(c("chunk_index").cast("string"), 8, "0"))
         self.paragraphs = rows.withColumn("unit_id", unit)
         # model outputs are the dear part of the lineage: written once, whatever is asked of the build later
         self.parsed = cut_lineage(parse_outputs(extract(self.paragraphs, extractor)))
-        self.classified = A.classify_entities(_rows(self.parsed, "entities"))
-        self.entities = A.valid_entities(self.classified)
-        self.relation_classes = A.classify_relations(_rows(self.parsed, "relations"), self.entities)
-        self.relations = A.valid_relations(self.relation_classes)
+        self.classified, self.entities, self.relation_classes, self.relations = A.validate(
+            _rows(self.parsed, "entities"), _rows(self.parsed, "relations"), written=True)
 
     @staticmethod
     def _with_doc(rows: DataFrame) -> DataFrame:

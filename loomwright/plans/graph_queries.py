@@ -13,6 +13,7 @@ from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
 from loomwright.plans import sqlkit as S
 from loomwright.plans.registry import query
+from loomwright.session import cut_lineage
 from loomwright.sources import snapshots as SN
 from loomwright.sources.splits import spread
 
@@ -434,16 +435,16 @@ tri AS (SELECT unit_id, s, p, o, min(pos) AS pos, count(*) AS n, any_value(st) A
   WHEN 'HAS_COMPLICATION' THEN NOT (any_value(st) = 'Disease' AND any_value(ot) = 'Disease') ELSE false END AS mismatch FROM cls WHERE reason IS NULL GROUP BY unit_id, s, p, o)"""
 
 
-def raw_entities(t):
+def raw_entities(u):
     def row(shift, name, kind, text):
         return F.struct((c("line") * 3 + shift).alias("pos"), name.alias("name"), kind.alias("type"), text.alias("description"))
 
     none = F.lit(None).cast("string")
     rows = F.array(row(0, c("buyer"), F.lit("疾病"), F.lit(" buyer")), row(1, c("item"), c("kind"), none), row(2, c("firm"), none, F.lit(" ")))
-    return units(t).select("unit_id", F.inline(rows))
+    return u.select("unit_id", F.inline(rows))
 
 
-def raw_relations(t):
+def raw_relations(u):
     def row(shift, subject, predicate, target):
         return F.struct((c("line") * 3 + shift).alias("pos"), subject.alias("subject"), predicate.alias("predicate"), target.alias("object"))
 
@@ -452,19 +453,17 @@ def raw_relations(t):
     rows = F.array(
         row(0, c("buyer"), predicate, c("item")), row(1, c("item"), F.lit("属于"), c("firm")),
         row(2, ghost, F.lit("并发症"), F.when(c("l_tax") < 0.02, " ").otherwise(c("item"))))
-    return units(t).select("unit_id", F.inline(rows))
+    return u.select("unit_id", F.inline(rows))
 
 
-def validated(t):
-    classified = A.classify_entities(raw_entities(t))
-    entities = A.valid_entities(classified)
-    relations = A.classify_relations(raw_relations(t), entities)
-    return classified, entities, relations, A.valid_relations(relations)
+def validated(t, written=False):
+    u = cut_lineage(units(t))
+    return A.validate(raw_entities(u), raw_relations(u), written)
 
 
 @query("kg1_entities", f"WITH {UNITS} SELECT unit_id, pos, name, type, description FROM good")
 def _(t):
-    return A.valid_entities(A.classify_entities(raw_entities(t)))
+    return A.valid_entities(A.classify_entities(raw_entities(units(t))))
 
 
 @query("kg2_relation_reasons", f"WITH {UNITS} SELECT unit_id, reason, count(*) AS n FROM cls GROUP BY ALL")
@@ -483,7 +482,7 @@ d AS (SELECT unit_id, sum(n - 1)::BIGINT AS rd, count(*) FILTER (mismatch) AS sw
 SELECT unit_id, inv AS entities_skipped_invalid, dup AS entities_skipped_duplicate, sm AS relations_skipped_subject_missing, om AS relations_skipped_object_missing, sl AS relations_skipped_self_loop,
  coalesce(rd, 0) AS relations_skipped_duplicate, 0 AS relations_type_mapped, coalesce(sw, 0) AS relations_semantic_warn FROM a JOIN b USING (unit_id) LEFT JOIN d USING (unit_id)""")
 def _(t):
-    classified, _, relations, triples = validated(t)
+    classified, _, relations, triples = validated(t, written=True)
     return A.validation_stats(classified, relations, triples)
 
 
@@ -501,7 +500,7 @@ def _(t):
 d AS (SELECT unit_id, entities, coalesce(relations, 0) AS relations, coalesce(relations, 0) > 1 AS ok FROM e LEFT JOIN r USING (unit_id))
 SELECT count(*) AS total, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, sum(entities) FILTER (ok)::BIGINT AS entities, sum(relations) FILTER (ok)::BIGINT AS relations FROM d""")
 def _(t):
-    _, entities, _, triples = validated(t)
+    _, entities, _, triples = validated(t, written=True)
     e = entities.groupBy("unit_id").agg(F.count("*").alias("entities"))
     r = triples.groupBy("unit_id").agg(F.count("*").alias("relations"))
     docs = e.join(r, "unit_id", "left").na.fill(0, ["relations"]).withColumn("ok", c("relations") > 1)
@@ -525,9 +524,9 @@ SELECT s AS subject, p AS predicate, o AS object, TIMESTAMP '2024-01-01' AS crea
 def _(t):
     from loomwright.functions import text as T
 
-    _, entities, _, triples = validated(t)
+    _, entities, _, triples = validated(t, written=True)
     old = triples.filter("predicate = 'TREATED_BY'").select("subject", "predicate", "object").distinct().withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    incoming = raw_relations(t).select(T.normalize_name(c("subject")).alias("subject"), "predicate", T.normalize_name(c("object")).alias("object"))
+    incoming = raw_relations(units(t)).select(T.normalize_name(c("subject")).alias("subject"), "predicate", T.normalize_name(c("object")).alias("object"))
     return A.upsert_edges(old, incoming, entities.filter("type <> 'Medicine'"), "2024-02-01")
 
 
@@ -542,7 +541,7 @@ def _(t):
 @query("kg11_snapshot_tables", f"""WITH {UNITS}, n AS (SELECT unit_id, name, type, description FROM good), e AS (SELECT DISTINCT unit_id, s, p, o FROM tri)
 SELECT unit_id, 'node' AS part, name AS id, lower(type) AS kind, description AS detail FROM n UNION ALL SELECT unit_id, 'edge', s || '_' || p || '_' || o, p, s || '>' || o FROM e""")
 def _(t):
-    _, entities, _, triples = validated(t)
+    _, entities, _, triples = validated(t, written=True)
     n = A.snapshot_nodes(entities, ["unit_id"]).select("unit_id", F.lit("node").alias("part"), "id", c("category").alias("kind"), c("description").alias("detail"))
     e = A.snapshot_edges(triples, ["unit_id"]).select("unit_id", F.lit("edge").alias("part"), "id", c("relation").alias("kind"), F.concat_ws(">", "source", "target").alias("detail"))
     return n.union(e)
@@ -550,7 +549,7 @@ def _(t):
 
 @query("kg12_official_graph", f"WITH {UNITS} SELECT 'node' AS part, name AS id FROM good GROUP BY ALL UNION ALL SELECT DISTINCT 'edge', s || '_' || p || '_' || o FROM tri")
 def _(t):
-    _, entities, _, triples = validated(t)
+    _, entities, _, triples = validated(t, written=True)
     n = A.snapshot_nodes(A.merge_entities(entities), [])
     e = A.snapshot_edges(A.merge_relations(triples), [])
     return n.select(F.lit("node").alias("part"), "id").union(e.select(F.lit("edge").alias("part"), "id"))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
 from loomwright.functions import text as T
+from loomwright.operators.grams import occurrences
+from loomwright.operators.ranking import first_n, range_positions
 from loomwright.session import cut_lineage
 
 c = F.col
@@ -262,29 +264,23 @@ def symptom_pairs(triples: DataFrame) -> DataFrame:
     return forward.union(backward).distinct()
 
 
-# Fixed value: prefix of the sample ids.
-SAMPLE_PREFIX = "cmkg_"
-
-
-def gold_samples(pairs: DataFrame, limit: int = 100, shown: int = 5) -> tuple[DataFrame, DataFrame]:
+def gold_samples(pairs: DataFrame, limit: int = 100, shown: int = 5, prefix: str = "sample_") -> tuple[DataFrame, DataFrame]:
     """Evaluation samples, one per symptom in name order: (samples, relations).
 
     ``samples(sample_id, symptom, text, n_diseases)``; ``relations(sample_id, disease, symptom, place)`` holds all of
     the diseases in name order as rows.
     """
-    from loomwright.operators.ranking import first_n, positions
-
     rows = pairs.filter("direction = 'symptom_disease'").select("symptom", "disease")
     counts = rows.groupBy("symptom").agg(F.count("*").alias("n_diseases")).orderBy("symptom").limit(limit)
-    numbered = positions(counts, [], [c("symptom")], F.substring("symptom", 1, 1)).withColumn(
-        "sample_id", F.concat(F.lit(SAMPLE_PREFIX), F.lpad(c("position").cast("string"), 3, "0")))
+    numbered = range_positions(counts, [], [c("symptom")]).withColumn(
+        "sample_id", F.concat(F.lit(prefix), F.lpad(c("position").cast("string"), 3, "0")))
     chosen = numbered.select("sample_id", "symptom", "n_diseases")
     top = first_n(rows, ["symptom"], [c("disease")], shown)
     listed = top.groupBy("symptom").agg(F.array_join(F.array_sort(F.collect_list("disease")), "、").alias("_list"))
     samples = chosen.join(listed, "symptom").select(
         "sample_id", "symptom", F.concat("symptom", F.lit("这一症状常见相关疾病包括"), "_list", F.lit("等。")).alias("text"), "n_diseases")
     members = rows.join(chosen.select("sample_id", "symptom"), "symptom")
-    placed = positions(members, ["sample_id"], [c("disease")], F.substring("disease", 1, 6))
+    placed = range_positions(members, ["sample_id"], [c("disease")])
     return samples, placed.select("sample_id", "disease", "symptom", c("position").alias("place"))
 
 
@@ -293,8 +289,39 @@ def tiered_lookup(matches: DataFrame, triples: DataFrame, relation: str, key: st
 
     ``matches(key, name)`` as from dictionary matching; ``triples(header, relation, tail, pos)`` with plain headers.
     """
-    from loomwright.operators.ranking import first_n
-
     chosen = matches.groupBy(key).agg(F.min("name").alias("name"))
     tails = first_n(triples.filter(c("relation") == relation), ["header"], [c("pos")], n)
     return chosen.join(tails.select(c("header").alias("name"), "tail", "rank"), "name").select(key, "name", "rank", "tail")
+
+
+# Per step its tiers, the kind of entity that opens a tier, and the relation that is followed (none: the entity itself).
+CASCADE = [
+    ("symptom", 1, "disease", "症状"),
+    ("symptom", 2, "symptom", None),
+    ("check", 1, "record", "check"),
+    ("recommand_drug", 1, "record", "recommand_drug"),
+]
+
+
+def tiered_cascade(texts: DataFrame, words: DataFrame, triples: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
+    """What to ask or advise next for each sentence: per step the first ``n`` items of its first tier that has any.
+
+    ``words(kind, name, word)``: a name by itself or by a synonym; synonyms count only where no name of the kind occurs.
+    ``triples(header, relation, tail, pos)``. Symptoms come from the sentence's first disease, else from the sentence; checks
+    and drugs from its first record. All words are searched at once and all tiers ranked at once. Result: ``key, step, tier,
+    name`` (the entity followed), ``by_synonym, rank, item``. The first entity is the least name.
+    """
+    hits = occurrences(texts, words, key, text, "word").join(words, "word")
+    found = hits.groupBy(key, "kind", "name").agg(F.min(c("word") != c("name")).alias("by_synonym"))
+    ranked = first_n(found, [key, "kind"], [c("by_synonym"), c("name")], n)
+    direct = F.min("by_synonym").over(Window.partitionBy(key, "kind"))
+    entities = cut_lineage(ranked.withColumn("_d", direct).filter(c("by_synonym") == c("_d")).drop("_d"))
+    tails = first_n(triples, ["header", "relation"], [c("pos")], n).select(c("header").alias("name"), "relation", c("tail").alias("item"), c("rank").alias("_place"))
+    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(t).alias("tier"), F.lit(r).cast("string").alias("relation"), F.lit(k).alias("_kind")) for s, t, k, r in CASCADE])
+    opened = entities.withColumn("_s", F.explode(steps)).select(key, "kind", "name", "by_synonym", "rank", "_s.*").filter("kind = _kind")
+    followed = opened.filter("relation is not null and rank = 1").join(tails, ["name", "relation"]).withColumn("rank", c("_place"))
+    itself = opened.filter("relation is null").withColumn("item", c("name"))
+    columns = [key, "step", "tier", "name", "by_synonym", "rank", "item"]
+    tiers = followed.select(*columns).union(itself.select(*columns))
+    least = F.min("tier").over(Window.partitionBy(key, "step"))
+    return tiers.withColumn("_t", least).filter(c("tier") == c("_t")).drop("_t")

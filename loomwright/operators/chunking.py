@@ -126,3 +126,54 @@ def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> No
             yield from enumerate(splitters[strategy](text or "", size))
 
     spark.udtf.register(name, F.udtf(ChunkText, returnType=CHUNK_SCHEMA))
+
+
+def paragraph_list(text: str, separator: str = "") -> list[str]:
+    """``paragraphs`` for one text."""
+    blank = "[" + re.escape(V.WHITESPACE) + "]"
+    pieces = re.split(separator or f"\\n{blank}*\\n+", text.strip(V.WHITESPACE))
+    return [p for p in (x.strip(V.WHITESPACE) for x in pieces) if p]
+
+
+def window_list(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
+    """``fixed_windows`` for one text."""
+    body, step = text.strip(V.WHITESPACE), size - max(0, min(overlap, size - 1))
+    last = -(-max(0, len(body) - size) // step)
+    return [body[i * step:i * step + size] for i in range(last + 1)] if body else []
+
+
+STRATEGIES = {
+    "paragraph": lambda text, size, overlap, separator: paragraph_list(text, separator),
+    "fixed": lambda text, size, overlap, separator: window_list(text, size, overlap),
+    "smart": lambda text, size, overlap, separator: sentence_blocks(text, size, overlap),
+    "words": lambda text, size, overlap, separator: word_blocks(text, size),
+    "extraction": lambda text, size, overlap, separator: extraction_paragraphs(text, size),
+}
+
+
+def register_chunk_table(spark: SparkSession, name: str = "chunk_table") -> None:
+    """Table function for whole tables: ``SELECT * FROM chunk_table(TABLE(docs), 'text', 'smart', 1000, 1, '')``.
+
+    All five strategies. The result has the columns of the table but the text, then ``chunk_index`` and ``chunk``; its
+    schema is worked out from the table when the query is planned. An unknown strategy or text column fails there.
+    """
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    class ChunkTable:
+        @staticmethod
+        def analyze(table: AnalyzeArgument, text: AnalyzeArgument, strategy: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument, separator: AnalyzeArgument) -> AnalyzeResult:
+            fields = list(table.dataType.fields)
+            if strategy.value not in STRATEGIES:
+                raise ValueError(f"no strategy {strategy.value}; there are {', '.join(STRATEGIES)}")
+            if text.value not in [f.name for f in fields]:
+                raise ValueError(f"the table has no column {text.value}")
+            kept = [f for f in fields if f.name != text.value]
+            return AnalyzeResult(StructType([*kept, StructField("chunk_index", IntegerType()), StructField("chunk", StringType())]))
+
+        def eval(self, row, text, strategy, size, overlap, separator):
+            rest = tuple(v for k, v in row.asDict().items() if k != text)
+            for index, chunk in enumerate(STRATEGIES[strategy](row[text] or "", size, overlap, separator)):
+                yield (*rest, index, chunk)
+
+    spark.udtf.register(name, F.udtf(ChunkTable))

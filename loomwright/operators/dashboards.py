@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
-from loomwright.operators.ranking import first_n, page, positions
+from loomwright.operators.ranking import first_n, page, range_positions
 
 c = F.col
 
@@ -166,7 +166,7 @@ def _label(name: str, table: dict[str, str]) -> Column:
 def experiment_sheet(sessions: DataFrame, subjects: DataFrame) -> DataFrame:
     """Completed sessions in time order with a running number, questionnaire totals and their difference."""
     people = subjects.select(c("id").alias("subject_id"), "subject_code", "name", "age", "gender", "cognitive_status")
-    done = positions(sessions.filter(c("status") == "completed"), [], [c("start_time"), c("id")], F.to_date("start_time"))
+    done = range_positions(sessions.filter(c("status") == "completed"), [], [c("start_time"), c("id")])
     rows = done.join(people, "subject_id", "left")
     before, after = _answer_total("session_note", "baseline"), _answer_total("session_note", "post")
     display = F.nullif(F.get_json_object("session_note", "$.subject_display_name"), F.lit(""))
@@ -230,8 +230,19 @@ def latest_graph_by_name(graphs: DataFrame) -> DataFrame:
     return graphs.groupBy("user_id", "graph_name").agg(newest, F.max("created_at").alias("created_at"))
 
 
+def _with_record_type(content: Column, kind: Column) -> Column:
+    """The content object as JSON with ``record_type`` set; anything but an object counts as an empty one."""
+    fields = F.coalesce(F.from_json(content, "map<string, variant>"), F.create_map().cast("map<string, variant>"))
+    own = F.create_map(F.lit("record_type"), F.parse_json(F.to_json(F.struct(kind.alias("v")))))
+    typed = F.transform_values(own, lambda _, v: F.variant_get(v, "$.v", "variant"))
+    return F.to_json(F.map_concat(F.map_filter(fields, lambda k, _: k != "record_type"), typed))
+
+
 def normalize_history(records: DataFrame, graphs: DataFrame, default_graph: str = DEFAULT_GRAPH_ID) -> DataFrame:
-    """Records as sent by clients (type, title, content JSON, counts) to the stored form."""
+    """Records as sent by clients (type, title, content JSON, counts) to the stored form.
+
+    ``entities`` and ``relationships`` (JSON lists) and ``answer_text`` beside the content count where the records have them.
+    """
     def content(name: str) -> Column:
         return F.nullif(F.get_json_object("content", f"$.{name}"), F.lit(""))
 
@@ -249,7 +260,8 @@ def normalize_history(records: DataFrame, graphs: DataFrame, default_graph: str
         .when(kind == "upload", F.coalesce(content("filename"), title, F.lit("未知文件")))
         .otherwise(F.coalesce(title, content("query"), F.lit("未知查询")))
     )
-    answer = F.when(kind.isin("graph", "graph_query", "graph_build", "upload"), "").otherwise(F.coalesce(content("answer"), F.lit("")))
+    answer = F.when(kind.isin("graph", "graph_query", "graph_build", "upload"), "").when(kind == "chat", F.coalesce(content("answer"), F.lit(""))).otherwise(
+        F.coalesce(F.nullif(c("answer_text"), F.lit("")) if "answer_text" in records.columns else F.lit(None).cast("string"), content("answer"), F.lit("")))
 
     def first_positive(*options: Column) -> Column:
         return F.coalesce(*[F.when(o > 0, o) for o in options], F.lit(0))
@@ -257,15 +269,18 @@ def normalize_history(records: DataFrame, graphs: DataFrame, default_graph: str
     def created(name: str) -> Column:
         return F.when(kind == "graph_build", F.coalesce(content(name).try_cast("int"), F.lit(0))).otherwise(0)
 
-    links = F.when(kind.isin("graph", "graph_query"), length("links")).otherwise(0)
+    outer = lambda name: F.coalesce(F.json_array_length(name), F.lit(0)) if name in records.columns else F.lit(0)
+    link_list = F.get_json_object("content", "$.links")
+    # edges count only where links is there and no list
+    links = F.when(kind.isin("graph", "graph_query"), F.when(link_list.isNull() | link_list.startswith("["), length("links")).otherwise(length("edges"))).otherwise(0)
     rows = records.select(
         "history_id", F.coalesce(F.nullif(c("graph_id"), F.lit("")), content("graphId")).alias("_graph"),
         F.coalesce(F.nullif(c("user_id"), F.lit("")), content("userId"), F.lit("default_user")).alias("user_id"),
         operation.alias("operation_type"), query_text.alias("query_text"), answer.alias("answer_text"),
-        first_positive(F.coalesce("entity_count", F.lit(0)), length("entities"), created("entities_created")).alias("entity_count"),
-        first_positive(F.coalesce("relation_count", F.lit(0)), length("relationships"), links, created("relations_created")).alias("relation_count"),
+        first_positive(F.coalesce("entity_count", F.lit(0)), outer("entities"), length("entities"), created("entities_created")).alias("entity_count"),
+        first_positive(F.coalesce("relation_count", F.lit(0)), outer("relationships"), length("relationships"), links, created("relations_created")).alias("relation_count"),
         F.coalesce("status", F.when(kind == "upload", "pending").otherwise("completed")).alias("status"),
-        F.coalesce(content("graphName"), content("graphId"), F.lit("")).alias("_name"),
+        F.coalesce(content("graphName"), content("graphId"), F.lit("")).alias("_name"), _with_record_type(c("content"), kind).alias("operation_content"),
     )
     known = graphs.select(c("graph_id").alias("_graph")).distinct().withColumn("_known", F.lit(True))
     latest = latest_graph_by_name(graphs)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
@@ -32,8 +32,8 @@ def _sample_peaks(samples: DataFrame) -> DataFrame:
 
 def remove_artifacts(samples: DataFrame, threshold: float = 100.0) -> DataFrame:
     """Drop a sample index when any channel reaches the threshold."""
-    clean = _sample_peaks(samples).filter(c("peak") < threshold)
-    return samples.join(clean.select("recording_id", "sample_idx"), ["recording_id", "sample_idx"], "left_semi")
+    peak = F.max(F.abs("uv")).over(Window.partitionBy("recording_id", "sample_idx"))
+    return samples.withColumn("_peak", peak).filter(c("_peak") < threshold).drop("_peak")
 
 
 def artifact_share(samples: DataFrame, threshold: float = 100.0) -> DataFrame:
@@ -52,14 +52,22 @@ def epochs(samples: DataFrame, fs: int = 256, seconds: float = 30.0, drop_last:
     return numbered.filter(c("epoch") < c("_epochs")).drop("_epochs")
 
 
+#: Samples of a channel that are handled together.
+BLOCK = 4096
+
+
 def resample(samples: DataFrame, fs: float, target: float = 256.0) -> DataFrame:
     """Linear resampling to ``target`` Hz; a rate within 1 Hz of it stays as it is."""
     if abs(fs - target) < 1:
         return samples
     ratio = fs / target
-    keys = ["recording_id", "channel", "sample_idx"]
-    following = samples.select("recording_id", "channel", (c("sample_idx") - 1).alias("sample_idx"), c("uv").alias("_next"))
-    pairs = samples.join(following, keys, "left")
+    block = F.floor(c("sample_idx") / BLOCK)
+    # blocks of a channel side by side; the first sample of a block also ends the block before
+    both = F.when(c("sample_idx") % BLOCK == 0, F.array(block, block - 1)).otherwise(F.array(block))
+    blocked = samples.select("recording_id", "channel", "sample_idx", "uv", F.explode(both).alias("_block"))
+    order = Window.partitionBy("recording_id", "channel", "_block").orderBy("sample_idx")
+    follows = F.lead("sample_idx").over(order) == c("sample_idx") + 1
+    pairs = blocked.withColumn("_next", F.when(follows, F.lead("uv").over(order))).filter(c("_block") == block)
     first = F.ceil(c("sample_idx") / ratio).cast("bigint")
     last = F.when(c("_next").isNull(), F.floor(c("sample_idx") / ratio)).otherwise(F.ceil((c("sample_idx") + 1) / ratio) - 1).cast("bigint")
     targets = pairs.filter(first <= last).select("recording_id", "channel", c("sample_idx").alias("_i"), "uv", "_next", F.explode(F.sequence(first, last)).alias("sample_idx"))

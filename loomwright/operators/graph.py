@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
 from loomwright.functions import text as T
 from loomwright.operators.ranking import first_n, page
+from loomwright.session import cut_lineage
 
 c = F.col
 
@@ -179,16 +180,56 @@ def merge_visible(default_graphs: DataFrame, user_graphs: DataFrame) -> DataFram
 def merge_graphs(nodes: DataFrame, edges: DataFrame, node_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes of several graphs, the first per id by (graph, position), and edges distinct by id.
 
-    With ``node_limit`` the graphs after the one that reaches the limit give neither nodes nor edges.
+    With ``node_limit`` graphs are taken in order until their new nodes reach it; the one that does gives its first nodes up
+    to the limit and all its edges, graphs after it nothing. Running sums over graph sizes find it, and only its own nodes
+    are sorted.
     """
     merged = _one_per(nodes, ["id"], ["graph_id", "pos"])
     if node_limit is not None:
-        merged = merged.orderBy("graph_id", "pos").limit(node_limit)
-        last = merged.agg(F.max("graph_id").alias("last"), F.count("*").alias("n"))
-        edges = edges.filter((c("graph_id") <= last.select("last").scalar()) | (last.select("n").scalar() < node_limit))
+        sizes = merged.groupBy("graph_id").agg(F.count("*").alias("_n")).unionByName(edges.select("graph_id").distinct().withColumn("_n", F.lit(0).cast("bigint")))
+        upto = F.sum("_n").over(Window.orderBy("graph_id"))  # one row per graph
+        running = cut_lineage(sizes.groupBy("graph_id").agg(F.sum("_n").alias("_n")).withColumn("_before", upto - c("_n")).filter(c("_before") < node_limit))
+        inside = running.filter(c("_before") + c("_n") <= node_limit).select("graph_id")
+        last = running.filter(c("_before") + c("_n") > node_limit)
+        room = node_limit - (last.select(F.max("_before")).first()[0] or 0)
+        cut_off = merged.join(last.select("graph_id"), "graph_id", "left_semi").orderBy("pos", "id").limit(room)
+        merged = merged.join(inside, "graph_id", "left_semi").unionByName(cut_off)
+        edges = edges.join(running.select("graph_id"), "graph_id", "left_semi")
     return merged, _one_per(edges, ["id"], ["graph_id", "pos"])
 
 
+# Fixed value: what a graph without nodes is shown as.
+EMPTY_GRAPH = "（暂无节点数据，请上传并构建后查看）"
+
+
+def or_placeholder(nodes: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """``nodes(id, name, category)``, or one node that names the first graph of the catalogue where there are none."""
+    first = catalogue.agg(F.min_by(F.struct("graph_id", "graph_name"), "graph_id").alias("g")).filter("g is not null")
+    name = F.concat(F.coalesce(F.nullif(c("g.graph_name"), F.lit("")), F.lit("默认图谱")), F.lit(EMPTY_GRAPH))
+    none = nodes.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(1).alias("_one"))
+    shown = first.withColumn("_one", F.lit(1)).join(none, "_one", "left_semi")
+    return nodes.select("id", "name", "category").union(shown.select(F.concat(F.lit("_placeholder_"), c("g.graph_id")), name, F.lit("entity")))
+
+
+def list_graphs(catalogue: DataFrame, status: str | None = None, user: str | None = None, defaults: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of the catalogue, newest first: of one status, of one user, or the ownerless defaults; each only when asked."""
+    wanted = catalogue
+    if status:
+        wanted = wanted.filter(c("status") == status)
+    if defaults:
+        wanted = wanted.filter(c("user_id").isNull())
+    elif user:
+        wanted = wanted.filter(c("user_id") == user)
+    return page(wanted, [F.desc("created_at"), c("graph_id")], limit, offset)
+
+
+def listing_line() -> Column:
+    """A catalogue row as a line of text: id, name and sizes."""
+    return F.concat(
+        F.lit("- "), F.coalesce("graph_id", F.lit("")), F.lit("\t"), F.coalesce("graph_name", F.lit("")), F.lit("\t节点"), F.coalesce("entity_count", F.lit(0)).cast("string"),
+        F.lit(" 关系"), F.coalesce("relation_count", F.lit(0)).cast("string"))
+
+
 def intent_names(starts: DataFrame, nodes: DataFrame, edges: DataFrame, rel: str, outgoing: bool, target_type: str) -> DataFrame:
     """Names one fixed step away from each start node (query_id, name); the pattern behind the intent answers."""
     steps = both_ways(edges.filter(c("rel") == rel)).filter(c("outgoing") == outgoing)

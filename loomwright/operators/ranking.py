@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.session import cut_lineage
+
 
 def positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Column) -> DataFrame:
     """Add ``position`` (1-based) and ``group_size`` per key without putting a whole key into one task.
@@ -31,6 +33,25 @@ def positions(df: DataFrame, keys: list[str], order: list[Column], bucket: Colum
     )
 
 
+def range_positions(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Add ``position`` (1-based) and ``group_size`` per key for any spread of values.
+
+    Rows are sorted into sampled ranges of (keys, order), written, and numbered by their place in the range and the number of
+    rows in the ranges before; a key begins at its least number. So one key, one day or one first letter may hold all rows:
+    it lies in as many tasks as any other rows. ``order`` should tell the rows of a key apart. Null keys are one key.
+    """
+    sorted_rows = cut_lineage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
+    numbered = sorted_rows.withColumn("_at", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))  # one row per range
+    offsets = cut_lineage(sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before")))
+    placed = numbered.join(offsets, "_part").withColumn("_at", F.col("_at") + F.col("_before") + 1).drop("_part", "_before")
+    if not keys:
+        return placed.withColumnRenamed("_at", "position").withColumn("group_size", F.lit(sizes.agg(F.sum("_n")).scalar()))
+    begins = placed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_at").alias("_first"), F.count("*").alias("group_size"))
+    joined = placed.join(begins, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return joined.select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias("position"), "group_size")
+
+
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int, offset: int = 0, name: str = "rank") -> DataFrame:
     """Rows ``offset + 1`` to ``offset + n`` per key; the row-number filter is applied before the shuffle as well."""
     window = Window.partitionBy(*keys).orderBy(*order)

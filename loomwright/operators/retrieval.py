@@ -184,8 +184,8 @@ def _route(hits: DataFrame, source: str, key: Column, content: Column, n: int) -
     return top.select("query_id", F.lit(source).alias("source"), c("rank").cast("int").alias("rank"), key.alias("content_key"), content.alias("content"))
 
 
-def graph_hit_text(relation_types: Column) -> Column:
-    """Name, description and the path details of a graph hit, joined by bars."""
+def graph_hit_text(relation_types: Column, relation_type: Column) -> Column:
+    """Name, description and the path details of a graph hit, joined by bars; ``relation_type`` is told for other hits."""
     kind, names = c("type"), c("path_names")
     relations = F.when(F.size(relation_types) > 0, F.concat(F.lit("关系: "), F.array_join(relation_types, ", ")))
     return F.concat_ws(
@@ -194,7 +194,7 @@ def graph_hit_text(relation_types: Column) -> Column:
         F.when((kind == "path") & (F.size(names) > 0), F.concat(F.lit("路径节点: "), F.array_join(F.filter(names, lambda x: x != ""), " -> "))),
         F.when(kind == "neighbor", F.concat(F.lit("("), c("hop_count").cast("string"), F.lit("跳邻居)"))),
         F.when((kind == "neighbor") & (F.size(names) > 0), F.concat(F.lit("路径: "), F.array_join(names, " -> "))),
-        F.when(kind.isin("path", "neighbor"), relations),
+        F.when(kind.isin("path", "neighbor"), relations).when(F.coalesce(relation_type, F.lit("")) != "", F.concat(F.lit("关系: "), relation_type)),
     )
 
 
@@ -203,7 +203,8 @@ def graph_items(hits: DataFrame, n: int = PER_ROUTE) -> DataFrame:
     path = F.concat(F.lit("graph:path:"), "start_entity", F.lit("_"), "end_entity")
     key = F.when(c("node_id").isNotNull(), F.concat(F.lit("graph:"), "node_id")).when(c("type") == "path", path).otherwise(
         F.concat(F.lit("graph:rank_"), c("rank").cast("string")))
-    return _route(hits, "graph", key, graph_hit_text(c("relation_types")), n)
+    one = c("relation_type") if "relation_type" in hits.columns else F.lit(None).cast("string")
+    return _route(hits, "graph", key, graph_hit_text(c("relation_types"), one), n)
 
 
 def doc_items(hits: DataFrame, n: int = PER_ROUTE) -> DataFrame:
@@ -444,6 +445,14 @@ def retrieval_snippets(calls: DataFrame) -> DataFrame:
     return calls.filter(text != "").select("question_id", "pos", tool_type().alias("type"), "tool", F.substring(text, 1, 120).alias("snippet"))
 
 
+def retrieval_rows(questions: DataFrame, calls: DataFrame) -> DataFrame:
+    """The snippets of a question in order, and a last row where earlier turns were used: ``questions(question_id, n_history)``."""
+    told = F.concat(F.lit("结合了之前 "), c("n_history").cast("string"), F.lit(" 轮对话上下文，用于理解指代和追问。"))
+    used = questions.filter("n_history > 0").select(
+        "question_id", F.lit(None).cast("bigint").alias("pos"), F.lit("history").alias("type"), F.lit("session_history").alias("tool"), told.alias("snippet"))
+    return retrieval_snippets(calls).unionByName(used)
+
+
 def retrieval_trace(questions: DataFrame, calls: DataFrame) -> DataFrame:
     """Graph and document counts and a reasoning text: ``questions(question_id, question, n_history)``."""
     counted = retrieval_snippets(calls).groupBy("question_id").agg(

@@ -57,14 +57,25 @@ def resident(steps: DataFrame, hub: int = HUB, buckets: int | None = None) -> Ad
     buckets = buckets or int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut_lineage(steps)
     hubs = cut_lineage(rows.groupBy("from").agg(F.ceil(F.count("*") / hub).cast("int").alias("salts")).filter("salts > 1"))
-    by, salted, any_hub = ["from"], rows, not hubs.isEmpty()
+    by, any_hub = ["from"], not hubs.isEmpty()
     if any_hub:
         salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), c("salts")), F.lit(0)).cast("int")
-        by, salted = ["from", "salt"], rows.join(hubs, "from", "left").withColumn("salt", salt).drop("salts")
-    dealt = cut_lineage(salted.repartition(buckets, *by).sortWithinPartitions(*by))
+        by, rows = ["from", "salt"], cut_lineage(rows.join(hubs, "from", "left").withColumn("salt", salt).drop("salts"))
+    dealt = _keep_partitions(rows.repartition(buckets, *by).sortWithinPartitions(*by))
     return Adjacency(dealt.hint("merge"), hubs if any_hub else None)  # a broadcast would gather the buckets
 
 
+def _keep_partitions(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed so that later plans know its partitions and their order, which an adaptive plan does not tell."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.set(name, before)
+
+
 def _grow(frontier: DataFrame, steps: Adjacency, keys: list[str], earlier: list[DataFrame]) -> DataFrame:
     """The nodes next to ``frontier(*keys, id)`` that none of the ``earlier`` levels holds, with their least parent.
 

@@ -369,3 +369,14 @@ EXPORT_COLUMNS = [
 def export_history(assessments: DataFrame, as_of: str, days: int = 30, source: str | None = None, limit: int = 1000) -> DataFrame:
     """The ten export columns of the last ``days`` days, newest first, at most ``limit`` rows per user."""
     return history(assessments, as_of, days, source, limit, tie="id").select("user_id", *EXPORT_COLUMNS)
+
+
+def write_export(rows: DataFrame, folder: str, form: str = "csv") -> None:
+    """The export as files: CSV with a header line per file, or one JSON object a line. Written by the tasks."""
+    if form not in ("csv", "json"):
+        raise ValueError(f"csv or json, not {form}")
+    writer = rows.write.mode("overwrite")
+    if form == "csv":
+        writer.option("header", True).csv(folder)
+    else:
+        writer.option("ignoreNullFields", False).json(folder)

@@ -197,16 +197,7 @@ CAT = """cat AS (SELECT CAST(o_orderkey AS VARCHAR) AS graph_id, CASE WHEN o_ord
  CAST(floor(o_totalprice) AS BIGINT) % 1000 AS entity_count, CAST(floor(o_totalprice) AS BIGINT) % 700 AS relation_count, o_orderstatus AS status, o_orderdate AS created_at FROM orders)"""
 
 
-@query("db16_history_normalize", f"""WITH {ACT}, {CAT}, x AS (SELECT pos, k, CAST(user_id AS VARCHAR) AS user_id, event_type,
- CASE event_type WHEN 'view' THEN 'chat' WHEN 'click' THEN 'graph_query' WHEN 'task_start' THEN 'graph_build' WHEN 'task_end' THEN 'upload' ELSE 'other' END AS type,
- CASE event_type WHEN 'task_start' THEN CASE WHEN k % 2 = 0 THEN 'none' ELSE CAST(k AS VARCHAR) END END AS g, CASE k % 3 WHEN 0 THEN '2-HIGH' WHEN 1 THEN '5-LOW' ELSE 'nothing' END AS name FROM act),
-l AS (SELECT x.*, (SELECT max_by(graph_id, (created_at, graph_id)) FROM cat WHERE cat.graph_name = x.name AND (cat.user_id = x.user_id OR cat.user_id IS NULL)) AS latest FROM x)
-SELECT pos AS history_id, user_id, CASE WHEN type IN ('upload', 'graph_build') THEN 'create' ELSE 'query' END AS operation_type,
- CASE type WHEN 'chat' THEN 'q' || k WHEN 'graph_query' THEN 'title' WHEN 'graph_build' THEN name WHEN 'upload' THEN 'title' ELSE 'title' END AS query_text,
- CASE WHEN type IN ('chat', 'other') THEN 'ans' ELSE '' END AS answer_text, CASE WHEN type = 'graph_build' AND k % 4 <> 0 THEN 2 WHEN k % 4 = 0 THEN 7 ELSE 2 END AS entity_count,
- CASE type WHEN 'graph_query' THEN 3 WHEN 'graph_build' THEN 5 ELSE 0 END AS relation_count, CASE WHEN k % 5 = 0 THEN 'failed' WHEN type = 'upload' THEN 'pending' ELSE 'completed' END AS status,
- CASE WHEN g IS NULL OR g IN (SELECT graph_id FROM cat) THEN g ELSE coalesce(latest, '{D.DEFAULT_GRAPH_ID}') END AS graph_id FROM l""")
-def _(t):
+def sent_records(t):
     k = c("k").cast("string")
     kind = F.when(c("event_type") == "view", "chat").when(c("event_type") == "click", "graph_query").when(c("event_type") == "task_start", "graph_build").when(
         c("event_type") == "task_end", "upload").otherwise("other")
@@ -217,12 +208,74 @@ def _(t):
         .when(kind == "graph_build", F.concat(F.lit('{"graphName": "'), name, F.lit('", "entities_created": 2, "relations_created": 5}')))
         .otherwise('{"answer": "ans", "entities": ["x", "y"]}')
     )
-    records = activity(t).select(
+    return activity(t).select(
         c("pos").alias("history_id"), F.when(c("event_type") == "task_start", F.when(c("k") % 2 == 0, "none").otherwise(k)).alias("graph_id"),
         c("user_id").cast("string").alias("user_id"), kind.alias("type"), F.lit("title").alias("title"), content.alias("content"),
         F.when(c("k") % 4 == 0, 7).otherwise(0).alias("entity_count"), F.lit(0).alias("relation_count"), F.when(c("k") % 5 == 0, "failed").alias("status"),
     )
-    return D.normalize_history(records, graph_catalogue(t))
+
+
+@query("db16_history_normalize", f"""WITH {ACT}, {CAT}, x AS (SELECT pos, k, CAST(user_id AS VARCHAR) AS user_id, event_type,
+ CASE event_type WHEN 'view' THEN 'chat' WHEN 'click' THEN 'graph_query' WHEN 'task_start' THEN 'graph_build' WHEN 'task_end' THEN 'upload' ELSE 'other' END AS type,
+ CASE event_type WHEN 'task_start' THEN CASE WHEN k % 2 = 0 THEN 'none' ELSE CAST(k AS VARCHAR) END END AS g, CASE k % 3 WHEN 0 THEN '2-HIGH' WHEN 1 THEN '5-LOW' ELSE 'nothing' END AS name FROM act),
+l AS (SELECT x.*, (SELECT max_by(graph_id, (created_at, graph_id)) FROM cat WHERE cat.graph_name = x.name AND (cat.user_id = x.user_id OR cat.user_id IS NULL)) AS latest FROM x)
+SELECT pos AS history_id, user_id, CASE WHEN type IN ('upload', 'graph_build') THEN 'create' ELSE 'query' END AS operation_type,
+ CASE type WHEN 'chat' THEN 'q' || k WHEN 'graph_query' THEN 'title' WHEN 'graph_build' THEN name WHEN 'upload' THEN 'title' ELSE 'title' END AS query_text,
+ CASE WHEN type IN ('chat', 'other') THEN 'ans' ELSE '' END AS answer_text, CASE WHEN type = 'graph_build' AND k % 4 <> 0 THEN 2 WHEN k % 4 = 0 THEN 7 ELSE 2 END AS entity_count,
+ CASE type WHEN 'graph_query' THEN 3 WHEN 'graph_build' THEN 5 ELSE 0 END AS relation_count, CASE WHEN k % 5 = 0 THEN 'failed' WHEN type = 'upload' THEN 'pending' ELSE 'completed' END AS status,
+ CASE WHEN g IS NULL OR g IN (SELECT graph_id FROM cat) THEN g ELSE coalesce(latest, '{D.DEFAULT_GRAPH_ID}') END AS graph_id FROM l""")
+def _(t):
+    return D.normalize_history(sent_records(t), graph_catalogue(t)).drop("operation_content")
+
+
+SENT = """x AS (SELECT pos, k, event_type, CASE event_type WHEN 'view' THEN 'chat' WHEN 'click' THEN 'graph_query' WHEN 'task_start' THEN 'graph_build' WHEN 'task_end' THEN 'upload' ELSE 'other' END AS type,
+ CASE k % 3 WHEN 0 THEN '2-HIGH' WHEN 1 THEN '5-LOW' ELSE 'nothing' END AS name FROM act)"""
+
+
+@query("db16_stored_content", f"""WITH {ACT}, {SENT} SELECT pos AS history_id, type AS record_type, CASE WHEN type = 'chat' THEN 'q' || k END AS question, CASE WHEN type = 'graph_build' THEN name END AS graph_name,
+ CASE type WHEN 'chat' THEN '[1,{{"a":2}}]' WHEN 'graph_build' THEN NULL ELSE '["x","y"]' END AS entities, CASE type WHEN 'chat' THEN 4 WHEN 'graph_query' THEN 3 WHEN 'graph_build' THEN 4 ELSE 3 END AS fields FROM x""")
+def _(t):
+    stored = D.normalize_history(sent_records(t), graph_catalogue(t))
+    field = lambda name: F.get_json_object("operation_content", f"$.{name}")
+    return stored.select(
+        "history_id", field("record_type").alias("record_type"), field("question").alias("question"), field("graphName").alias("graph_name"), field("entities").alias("entities"),
+        F.size(F.json_object_keys("operation_content")).alias("fields"))
+
+
+@query("db16_round_trip", f"""WITH {ACT}, {SENT} SELECT pos AS history_id, type, CASE WHEN k % 5 = 0 THEN 'failed' WHEN type = 'upload' THEN 'pending' ELSE 'completed' END AS shown_status,
+ CASE type WHEN 'chat' THEN '聊天: q' || k WHEN 'graph_query' THEN '图谱查询: 知识图谱' WHEN 'graph_build' THEN '图谱构建: ' || name WHEN 'upload' THEN '数据上传: 未知文件' ELSE '未知记录' END AS title FROM x""")
+def _(t):
+    return D.classify_history(D.normalize_history(sent_records(t), graph_catalogue(t))).select("history_id", "type", "shown_status", "title")
+
+
+@query("db16_outer_fields", """SELECT o_orderkey AS history_id, CASE WHEN o_orderkey % 4 = 0 THEN 3 WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END AS entity_count, CASE WHEN o_orderkey % 3 = 0 THEN 2 WHEN o_orderkey % 3 = 1 THEN 4 ELSE 0 END AS relation_count,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'outer' ELSE 'inner' END AS answer_text FROM orders""")
+def _(t):
+    k = c("o_orderkey")
+    content = F.concat(
+        F.lit('{"answer": "inner"'), F.when(k % 4 == 1, ', "entities": ["e"]').otherwise(""), F.when(k % 3 == 1, ', "links": "none", "edges": [1, 2, 3, 4]').otherwise(', "edges": [1]'), F.lit("}"))
+    kind = F.when(k % 3 == 1, "graph_query").otherwise("other")
+    records = t.orders.select(
+        k.alias("history_id"), F.lit(None).cast("string").alias("graph_id"), F.lit("u").alias("user_id"), kind.alias("type"), F.lit("title").alias("title"), content.alias("content"),
+        F.lit(0).alias("entity_count"), F.lit(0).alias("relation_count"), F.lit(None).cast("string").alias("status"), F.when(k % 2 == 0, "outer").otherwise("").alias("answer_text"),
+        F.when(k % 4 == 0, "[1, 2, 3]").alias("entities"), F.when(k % 3 == 0, '[{"a": 1}, {}]').otherwise("no list").alias("relationships"))
+    stored = D.normalize_history(records, graph_catalogue(t))
+    answer = F.when((k % 3 == 1) & (c("answer_text") == ""), F.when(k % 2 == 0, "outer").otherwise("inner")).otherwise(c("answer_text"))
+    return stored.join(t.orders.select(k, k.alias("history_id")), "history_id").select("history_id", c("entity_count").cast("int").alias("entity_count"), c("relation_count").cast("int").alias("relation_count"), answer.alias("answer_text"))
+
+
+@query("gr27_listing", f"""WITH {CAT}, w AS (SELECT user_id AS u FROM cat WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1),
+a AS (SELECT 'user' AS kind, * FROM cat WHERE user_id IN (SELECT u FROM w) ORDER BY created_at DESC, graph_id LIMIT 100), b AS (SELECT 'default' AS kind, * FROM cat WHERE user_id IS NULL ORDER BY created_at DESC, graph_id LIMIT 50),
+d AS (SELECT 'status' AS kind, * FROM cat WHERE status = 'O' ORDER BY created_at DESC, graph_id LIMIT 20 OFFSET 5)
+SELECT kind, graph_id, '- ' || graph_id || chr(9) || graph_name || chr(9) || '节点' || entity_count || ' 关系' || relation_count AS line FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM d)""")
+def _(t):
+    from loomwright.operators import graph as G
+
+    rows = graph_catalogue(t)
+    busiest = rows.filter("user_id is not null").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").first()["user_id"]
+    lists = [("user", G.list_graphs(rows, user=busiest)), ("default", G.list_graphs(rows, defaults=True, limit=50)), ("status", G.list_graphs(rows, status="O", limit=20, offset=5))]
+    parts = [df.select(F.lit(kind).alias("kind"), "graph_id", G.listing_line().alias("line")) for kind, df in lists]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("db17_history_stats", f"""WITH {HIST} SELECT operation_type, count(*) AS total, count(*) FILTER (status = 'completed') AS success, count(*) FILTER (status = 'failed') AS failed,

@@ -377,6 +377,27 @@ def _(t):
     return merged.select("id", F.lit("node").alias("kind")).union(unique.select("id", F.lit("edge").alias("kind")))
 
 
+LIMITED = f"""{NATION}, firsts AS (SELECT id, min(graph_id) AS graph_id FROM (SELECT graph_id, name AS id FROM people) GROUP BY ALL), sizes AS (SELECT graph_id, count(*) FILTER (id IS NOT NULL) AS n FROM (SELECT graph_id, id FROM firsts UNION ALL SELECT DISTINCT graph_id, NULL FROM links) GROUP BY ALL),
+runs AS (SELECT graph_id, n, sum(n) OVER (ORDER BY graph_id) - n AS before FROM sizes), lim AS (SELECT (sum(n) * 0.3)::BIGINT AS m FROM sizes), taken AS (SELECT * FROM runs WHERE before < (SELECT m FROM lim))"""
+
+
+@query("gr23_limited_merge", f"""WITH {LIMITED}, kept AS (SELECT id, row_number() OVER (ORDER BY graph_id, id) AS r FROM firsts)
+SELECT id, 'node' AS kind FROM kept WHERE r <= (SELECT m FROM lim) UNION ALL SELECT DISTINCT src || '_' || rel || '_' || dst, 'edge' FROM links WHERE graph_id IN (SELECT graph_id FROM taken)""")
+def _(t):
+    n, e = SN.snapshot_to_nodes(snapshots(t)), SN.snapshot_to_edges(snapshots(t))
+    n = n.withColumn("id", c("name")).withColumn("pos", c("name"))
+    limit = round(n.select(F.count_distinct("id")).first()[0] * 0.3)
+    merged, unique = G.merge_graphs(n, e.withColumn("id", F.concat_ws("_", "src", "rel", "dst")), limit)
+    return merged.select("id", F.lit("node").alias("kind")).union(unique.select("id", F.lit("edge").alias("kind")))
+
+
+@query("gr23_placeholder", f"""WITH {CATALOGUE}, {NATION} SELECT '_placeholder_' || graph_id AS id, graph_name || '（暂无节点数据，请上传并构建后查看）' AS name, 'entity' AS category FROM (SELECT * FROM catalogue ORDER BY graph_id LIMIT 1)
+UNION ALL SELECT id, name, 'customer' FROM people WHERE type = 'Customer'""")
+def _(t):
+    n = SN.snapshot_to_nodes(snapshots(t)).select("id", "name", F.lower("type").alias("category"))
+    return G.or_placeholder(n.filter("category = 'nothing'"), catalogue(t)).union(G.or_placeholder(n.filter("category = 'customer'"), catalogue(t)))
+
+
 @query("gr23_24_visible_graphs", f"WITH {CATALOGUE} SELECT graph_id, user_id FROM catalogue WHERE user_id IS NULL OR user_id = 'ann'")
 def _(t):
     all_graphs = catalogue(t)
@@ -580,12 +601,12 @@ s AS (SELECT symptom, 'cmkg_' || lpad(CAST(row_number() OVER (ORDER BY symptom)
 
 @query("kg14_gold_samples", f"WITH {GOLD} SELECT sample_id, symptom, text, n_diseases FROM s")
 def _(t):
-    return A.gold_samples(A.symptom_pairs(triples(t)))[0]
+    return A.gold_samples(A.symptom_pairs(triples(t)), prefix="cmkg_")[0]
 
 
 @query("kg14_gold_relations", f"WITH {GOLD} SELECT sample_id, disease, symptom, r AS place FROM s JOIN d USING (symptom)")
 def _(t):
-    return A.gold_samples(A.symptom_pairs(triples(t)))[1]
+    return A.gold_samples(A.symptom_pairs(triples(t)), prefix="cmkg_")[1]
 
 
 @query("kg15_tiered_lookup", """WITH m AS (SELECT doc_id, min(name) AS name FROM documents JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part) d ON contains(text, d.name) GROUP BY ALL),
@@ -600,6 +621,29 @@ def _(t):
     return A.tiered_lookup(matches, known, "has", "doc_id")
 
 
+CASCADE = """w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name, p_brand, p_type FROM part), k AS (SELECT DISTINCT name, CASE length(name) % 3 WHEN 0 THEN 'disease' WHEN 1 THEN 'symptom' ELSE 'record' END AS kind FROM w),
+words AS (SELECT kind, name, name AS word FROM k UNION SELECT kind, name, translate(name, 'aeiou', 'eioua') FROM k),
+triples AS (SELECT DISTINCT name AS header, '症状' AS relation, p_brand AS tail FROM w WHERE length(name) = 3 UNION SELECT DISTINCT name, 'check', p_brand FROM w WHERE contains(name, 'a') UNION SELECT DISTINCT name, 'recommand_drug', p_type FROM w),
+tails AS (SELECT *, row_number() OVER (PARTITION BY header, relation ORDER BY tail) AS r FROM triples QUALIFY r <= 2),
+hits AS (SELECT doc_id, kind, name, bool_and(word <> name) AS syn FROM documents JOIN words ON contains(text, word) GROUP BY ALL),
+own AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY syn, name) AS r FROM hits h WHERE NOT syn OR NOT EXISTS (SELECT 1 FROM hits d WHERE d.doc_id = h.doc_id AND d.kind = h.kind AND NOT d.syn) QUALIFY r <= 2),
+steps AS (SELECT doc_id, 'symptom' AS step, 1 AS tier, name, syn, tails.r AS rank, tail AS item FROM own JOIN tails ON header = name AND relation = '症状' WHERE kind = 'disease' AND own.r = 1
+ UNION ALL SELECT doc_id, 'symptom', 2, name, syn, r, name FROM own WHERE kind = 'symptom' UNION ALL SELECT doc_id, relation, 1, name, syn, tails.r, tail FROM own JOIN tails ON header = name AND relation <> '症状' WHERE kind = 'record' AND own.r = 1)"""
+
+
+@query("kg15_cascade", f"WITH {CASCADE} SELECT doc_id, step, tier, name, syn AS by_synonym, CAST(rank AS INT) AS rank, item FROM steps QUALIFY tier = min(tier) OVER (PARTITION BY doc_id, step)")
+def _(t):
+    w = t.part.select(F.explode(F.split("p_name", " ")).alias("name"), "p_brand", "p_type").distinct()
+    size = F.length("name") % 3
+    kinds = w.select(F.when(size == 0, "disease").when(size == 1, "symptom").otherwise("record").alias("kind"), "name").distinct()
+    words = kinds.withColumn("word", c("name")).union(kinds.withColumn("word", F.translate("name", "aeiou", "eioua"))).distinct()
+    own = w.filter(F.length("name") == 3).select(c("name").alias("header"), F.lit("症状").alias("relation"), c("p_brand").alias("tail"))
+    check = w.filter(c("name").contains("a")).select("name", F.lit("check"), "p_brand")
+    drug = w.select("name", F.lit("recommand_drug"), "p_type")
+    known = own.union(check).union(drug).distinct().withColumn("pos", c("tail"))
+    return A.tiered_cascade(spread(t.documents.select("doc_id", "text")), words, known, "doc_id", "text")
+
+
 @query("kg16_sync_snapshots", f"""WITH {NATION}, by_name AS (SELECT graph_id, name, min(id) AS id FROM people GROUP BY ALL), n AS (SELECT DISTINCT type AS label, name FROM people),
 e AS (SELECT DISTINCT a.name AS s, b.name AS o FROM links l JOIN people a ON a.graph_id = l.graph_id AND a.id = l.src LEFT JOIN people x ON x.graph_id = l.graph_id AND x.id = l.dst
  LEFT JOIN by_name y ON y.graph_id = l.graph_id AND y.name = l.dst JOIN people b ON b.graph_id = l.graph_id AND b.id = coalesce(x.id, y.id) WHERE a.name <> b.name)

@@ -256,6 +256,33 @@ def _(t):
     return R.context(context_hits(t), asked, budget=600)
 
 
+LABELLED = """labelled AS (SELECT g.*, CASE WHEN node_id IS NOT NULL THEN o.type END AS label FROM graph_hits g LEFT JOIN nodes o ON o.id = node_id WHERE rank <= 15)"""
+
+
+def labelled_hits(t):
+    hits = R.graph_route(questions(t), GQ.nodes(t), GQ.edges(t))
+    kinds = GQ.nodes(t).select(c("id").alias("node_id"), F.array("type").alias("labels"))
+    return hits.join(kinds, "node_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
+
+
+@query("rt12_context_paths", f"""WITH {GQ.GRAPH}, {CENT_ALL}, {ASKED}, {GRAPH_ROUTE}, {LABELLED}, head AS (SELECT query_id, '查询意图: ' || CASE WHEN query_id % 2 = 0 THEN 'symptom' ELSE 'other' END || chr(10) || chr(10) || '相关知识:' || chr(10) AS h FROM q),
+x AS (SELECT *, chr(10) || '[' || rank || '] ' || coalesce(name, '未知') || coalesce(' (' || label || ')', '') || ' [相关度: ' || printf('%.2f', score) || ']' || chr(10) || CASE WHEN coalesce(description, '') <> '' THEN '描述: ' || description || chr(10) ELSE '' END
+ || CASE type WHEN 'neighbor' THEN '路径距离: ' || hop || ' 跳' || chr(10) WHEN 'path' THEN '关系路径: ' || array_to_string(names, ' -> ') || chr(10) ELSE '' END AS txt FROM labelled),
+y AS (SELECT x.*, h, sum(length(txt)) OVER (PARTITION BY x.query_id ORDER BY rank) + length(h) AS upto FROM x JOIN head USING (query_id)), k AS (SELECT query_id, string_agg(txt, '' ORDER BY rank) AS body FROM y WHERE upto <= 500 GROUP BY ALL)
+SELECT query_id, CASE WHEN query_id NOT IN (SELECT query_id FROM labelled) THEN '未找到相关信息。' ELSE h || coalesce(body, '') END AS context FROM head LEFT JOIN k USING (query_id)""")
+def _(t):
+    return R.context(labelled_hits(t), questions(t), budget=500, text=R.hit_text(with_paths=True))
+
+
+@query("rt12_graph_context", f"""WITH {GQ.GRAPH}, {CENT_ALL}, {ASKED}, {GRAPH_ROUTE}, {LABELLED},
+x AS (SELECT *, CASE type WHEN 'entity' THEN '实体：' || name || ' (' || label || ')' || chr(10) || CASE WHEN coalesce(description, '') <> '' THEN '描述：' || description || chr(10) ELSE '' END
+ WHEN 'neighbor' THEN '相关实体：' || name || ' (距离: ' || hop || ' 跳)' || chr(10) || '路径：' || array_to_string(names, ' -> ') || chr(10) ELSE '路径：' || sn || ' -> ' || gn || chr(10) || '关系：' || array_to_string(rs, ' -> ') || chr(10) END || chr(10) AS txt FROM labelled),
+y AS (SELECT *, sum(length(txt)) OVER (PARTITION BY query_id ORDER BY rank) AS upto FROM x), k AS (SELECT query_id, string_agg(txt, '' ORDER BY rank) AS body FROM y WHERE upto <= 400 GROUP BY ALL)
+SELECT query_id, coalesce(body, '') AS context FROM q LEFT JOIN k USING (query_id)""")
+def _(t):
+    return R.graph_context(labelled_hits(t), questions(t), budget=400)
+
+
 @query("rt13_answer_confidence", """WITH g AS (SELECT o_custkey, count(*) AS n, avg(round(o_totalprice / 600000, 2)) AS a FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 15 GROUP BY ALL)
 SELECT c_custkey AS query_id, CASE WHEN n IS NULL THEN 0.0 ELSE round(least(1.0, (0.5 + CASE WHEN n >= 5 THEN 0.2 WHEN n >= 3 THEN 0.1 ELSE 0 END + a * 0.2 + (c_custkey % 10) / 10) / 2), 10) END::DOUBLE AS confidence
 FROM customer LEFT JOIN g ON o_custkey = c_custkey""")
@@ -327,3 +354,25 @@ def _(t):
 @query("rt20_snippets", f"WITH {CALLS} SELECT question_id, pos, type, tool, substr({S.strip('content')}, 1, 120) AS snippet FROM calls WHERE {S.strip('content')} <> ''")
 def _(t):
     return R.retrieval_snippets(calls(t))
+
+
+@query("rt20_rows", f"""WITH {CALLS}, q AS (SELECT conv_id AS question_id, count(*) - 2 AS h FROM conversations GROUP BY ALL) SELECT question_id, pos, type, tool, substr({S.strip('content')}, 1, 120) AS snippet FROM calls WHERE {S.strip('content')} <> ''
+UNION ALL SELECT question_id, NULL, 'history', 'session_history', '结合了之前 ' || h || ' 轮对话上下文，用于理解指代和追问。' FROM q WHERE h > 0""")
+def _(t):
+    asked = t.conversations.groupBy(c("conv_id").alias("question_id")).agg((F.count("*") - 2).alias("n_history"))
+    return R.retrieval_rows(asked, calls(t))
+
+
+@query("rt6_related_entities", f"""WITH {GQ.GRAPH}, {GQ.NAMES}, f AS (SELECT query_id, t AS node_id, o.name, rel, CAST(row_number() OVER (PARTITION BY query_id ORDER BY t, rel, outgoing) AS INT) AS rank FROM names JOIN nodes n USING (name) JOIN two ON f = n.id JOIN nodes o ON o.id = t WHERE rel = 'BASED_IN' QUALIFY rank <= 15)
+SELECT query_id, 'graph' AS source, rank, 'graph:' || node_id AS content_key, name || ' | 关系: ' || rel AS content FROM f""")
+def _(t):
+    from loomwright.operators import graph as G
+    from loomwright.operators.ranking import first_n
+
+    near = G.neighbours_by_relation(GQ.wanted_names(t), GQ.nodes(t), GQ.edges(t), "BASED_IN", "both")
+    top = first_n(near, ["query_id"], [c("node_id"), c("rel"), c("outgoing")], R.PER_ROUTE)
+    none, text = F.array().cast("array<string>"), F.lit(None).cast("string")
+    hits = top.select(
+        "query_id", "rank", F.lit("related_entity").alias("type"), "node_id", c("other_name").alias("name"), text.alias("description"), text.alias("start_entity"), text.alias("end_entity"),
+        none.alias("path_names"), none.alias("relation_types"), c("rel").alias("relation_type"), F.lit(None).cast("int").alias("hop_count"))
+    return R.graph_items(hits)

@@ -143,6 +143,14 @@ def _(t):
     return E.resample(samples(t).filter("channel in ('T3', 'Cz')"), 500.0)
 
 
+@query("ee10_resample_channels", f"""WITH {SAMPLES}, n AS (SELECT recording_id, channel, max(sample_idx) AS m FROM samples GROUP BY ALL),
+j AS (SELECT recording_id, channel, m, unnest(range(0, CAST(floor(m / 1.953125) AS BIGINT) + 1)) AS j FROM n)
+SELECT j.recording_id, j.channel, j AS sample_idx, a.uv + (j * 1.953125 - floor(j * 1.953125)) * (coalesce(b.uv, a.uv) - a.uv) AS uv
+FROM j JOIN samples a ON a.recording_id = j.recording_id AND a.channel = j.channel AND a.sample_idx = floor(j * 1.953125) LEFT JOIN samples b ON b.recording_id = j.recording_id AND b.channel = j.channel AND b.sample_idx = floor(j * 1.953125) + 1""")
+def _(t):
+    return E.resample(samples(t), 500.0)
+
+
 @query("ee11_relative_powers", f"WITH {RAW}, {BASE} SELECT id, seg, subject, round(CASE WHEN bt IS NULL OR bt = 0 THEN theta_power ELSE theta_power / bt END, 8) AS theta_power, round(CASE WHEN bg IS NULL OR bg = 0 THEN gamma_power ELSE gamma_power / bg END, 8) AS gamma_power FROM raw LEFT JOIN base USING (subject)")
 def _(t):
     out = E.relative_powers(rows(t), baselines(t), "subject")
@@ -204,6 +212,23 @@ def _(t):
     return EV.gold_entities(gold_samples(t))
 
 
+def predicted_links(t):
+    """Every third link of an order with a wrong type, every fifth with a wrong end, all with wide letters in the names."""
+    links = gold_samples(t).select(c("id").alias("sample_id"), F.posexplode("entities").alias("i", "e"), c("entities")[0]["text"].alias("first")).filter("i > 0")
+    end = F.when(c("i") % 5 == 0, F.concat(c("e.text"), F.lit(" x"))).otherwise(F.translate(c("e.text"), "abc", "ａｂｃ"))
+    kind = F.when(c("i") % 3 == 0, "treated_by").otherwise("Has_Symptom")
+    return links.select("sample_id", c("first").alias("subject"), kind.alias("predicate"), end.alias("object"))
+
+
+@query("ev1_relation_scores", f"""WITH l AS (SELECT DISTINCT l_orderkey AS sample_id, l_linenumber, p_name AS name, CASE p_type WHEN 'ECONOMY' THEN 'Disease' WHEN 'SMALL' THEN 'Symptom' WHEN 'PROMO' THEN 'Prognosis' ELSE 'Other' END AS type FROM lineitem JOIN part ON l_partkey = p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY l_linenumber, name, type) - 1 AS i FROM l),
+g AS (SELECT DISTINCT a.sample_id, a.name AS s, 'HAS_SYMPTOM' AS type, b.name AS o FROM r a JOIN r b ON a.sample_id = b.sample_id AND a.i = 0 AND b.i > 0),
+p AS (SELECT DISTINCT a.sample_id, a.name AS s, CASE WHEN b.i % 3 = 0 THEN 'TREATED_BY' ELSE 'HAS_SYMPTOM' END AS type, CASE WHEN b.i % 5 = 0 THEN b.name || ' x' ELSE b.name END AS o FROM r a JOIN r b ON a.sample_id = b.sample_id AND a.i = 0 AND b.i > 0),
+cells AS (SELECT coalesce(g.type, p.type) AS type, g.s IS NOT NULL AS ing, p.s IS NOT NULL AS inp FROM g FULL JOIN p USING (sample_id, s, type, o)), n AS ({COUNTS} FROM cells GROUP BY ROLLUP (type)) {PRF}""")
+def _(t):
+    return EV.score_sets(EV.gold_relations(gold_samples(t)), EV.predicted_relations(predicted_links(t))).withColumn("f1", F.round("f1", 10))
+
+
 CATEGORIES = list(V.QA_KEYWORDS)
 
 

@@ -83,6 +83,11 @@ def _(t):
     return CO.file_ids(CO.parse_shards(shard_lines(t).filter("pos % 5 <> 4"))).select("path", "pos", "file_id")
 
 
+@query("src6_all_file_ids", f"WITH {SHARDS} SELECT path, pos, regexp_extract(path, 'uploads/([^/]*)/', 1) AS file_id FROM sh")
+def _(t):
+    return CO.file_ids(CO.parse_shards(shard_lines(t)).filter("ok")).select("path", "pos", "file_id")
+
+
 @query("src7_quarantine", f"WITH {SHARDS} SELECT path, pos, text, NOT starts_with(text, 'ERROR:') AS usable FROM sh")
 def _(t):
     good, bad = CO.quarantine(CO.parse_shards(shard_lines(t)).filter("ok"))

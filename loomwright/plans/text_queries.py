@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright import vocab as V
@@ -9,7 +12,7 @@ from loomwright.functions import text as T
 from loomwright.operators import chunking as C
 from loomwright.operators import dictionary as D
 from loomwright.plans import sqlkit as S
-from loomwright.plans.registry import query
+from loomwright.plans.registry import all_sql, query
 from loomwright.sources.splits import spread
 
 c = F.col
@@ -255,6 +258,34 @@ def _(t):
     return D.match_with_synonyms(spread(t.documents.select("doc_id", "text")), names, "doc_id", "text")
 
 
+WORDS_SQL = """(SELECT DISTINCT 'Part' AS type, unnest(string_split(p_name, ' ')) AS name FROM part
+ UNION SELECT DISTINCT 'Item', unnest(list_filter(regexp_split_to_array(text, '[^\\pL]+'), lambda x: length(x) >= 6)) FROM benchmark)"""
+
+
+def word_dictionary(t):
+    """Every word of a part's name, and every word of six letters or more of the benchmark."""
+    parts = t.part.select(F.lit("Part").alias("type"), F.explode(F.split("p_name", " ")).alias("name"))
+    items = t.benchmark.select(F.lit("Item").alias("type"), F.explode(F.filter(F.split("text", "[^\\p{L}]+"), lambda x: F.length(x) >= 6)).alias("name"))
+    return parts.union(items).distinct()
+
+
+@query("tx22_dictionary_words", f"""
+WITH m AS (SELECT doc_id, type, name, row_number() OVER (PARTITION BY doc_id, type ORDER BY length(name) DESC, name) AS rn FROM documents JOIN {WORDS_SQL} d ON contains(text, d.name))
+SELECT doc_id, type, name FROM m WHERE rn = 1""")
+def _(t):
+    return D.longest_match(spread(t.documents.select("doc_id", "text")), word_dictionary(t), "doc_id", "text")
+
+
+@query("tx23_synonym_words", """
+WITH d AS (SELECT DISTINCT p_name AS name, unnest(string_split(p_name, ' ')) AS synonym FROM part),
+direct AS (SELECT DISTINCT doc_id, name FROM documents JOIN d ON contains(text, name)),
+other AS (SELECT DISTINCT doc_id, name FROM (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM direct)) x JOIN d ON contains(text, synonym))
+SELECT doc_id, name, false AS by_synonym FROM direct UNION ALL SELECT doc_id, name, true FROM other""")
+def _(t):
+    names = t.part.select(c("p_name").alias("name"), F.explode(F.split("p_name", " ")).alias("synonym")).distinct()
+    return D.match_with_synonyms(spread(t.documents.select("doc_id", "text")), names, "doc_id", "text")
+
+
 @query("tx24_known_entities", f"""
 WITH x AS (SELECT conv_id, turn, list_filter({S.quoted(['症状', '治疗', '检查'])}, lambda k: contains({ZH}, k)) AS found,
  list_filter(regexp_extract_all({ZH}, '[{S.CJK}]{{2,6}}'), lambda w: contains(w, '炎') OR contains(w, '病') OR contains(w, '症') OR contains(w, '瘤')) AS hinted FROM conversations)
@@ -416,3 +447,20 @@ def chunk_rows(t):
 @query("ch6_chunk_rows", f"SELECT doc_id, source, lang, chunk_index, chunk, chunk_id FROM {CHUNKS}")
 def _(t):
     return chunk_rows(t)
+
+
+CHUNK_TWINS = {"paragraph": "ch1_paragraphs", "fixed": "ch2_fixed", "smart": "ch3_sentence_blocks", "words": "ch4_word_blocks", "extraction": "ch5_extraction_paragraphs"}
+
+
+@query("ud4_chunk_table", " UNION ALL BY NAME ".join(f"SELECT '{strategy}' AS strategy, * FROM ({all_sql()[name]})" for strategy, name in CHUNK_TWINS.items()))
+def _(t):
+    C.register_chunk_table(t.spark)
+    docs = spread(t.documents.select("doc_id", "text"))
+    cleaned = docs.select("doc_id", T.graph_clean(c("text")).alias("text"))
+    parts = []
+    for strategy, overlap in (("paragraph", 0), ("fixed", 100), ("smart", 1), ("words", 0), ("extraction", 0)):
+        source = cleaned if strategy == "extraction" else docs
+        parts.append(t.spark.sql(
+            "SELECT :strategy AS strategy, * FROM chunk_table(TABLE({docs}), 'text', :strategy, 1000, :overlap, :separator)",
+            args={"strategy": strategy, "overlap": overlap, "separator": "\n" if strategy == "paragraph" else ""}, docs=source))
+    return reduce(DataFrame.unionByName, parts)

@@ -8,6 +8,7 @@ from loomwright import vocab as V
 from loomwright.functions import scoring as SC
 from loomwright.operators import workload as W
 from loomwright.plans.registry import query
+from loomwright.session import shared_folder
 
 c = F.col
 AS_OF = "2024-01-30 00:00:00"
@@ -178,6 +179,34 @@ def _(t):
     )
 
 
+@query("cl6_all_levels", f"""WITH {ASSESS} SELECT user_id, task_id, CASE WHEN eeg_score IS NULL THEN NULL WHEN eeg_score > 0.7 THEN 'high' WHEN eeg_score > 0.4 THEN 'medium' ELSE 'low' END AS eeg_level,
+ CASE WHEN final_score < 0.4 THEN 'low' WHEN final_score < 0.7 THEN 'medium' ELSE 'high' END AS fusion_level FROM assessed""")
+def _(t):
+    eeg = F.when(c("eeg_score").isNotNull(), SC.eeg_level(c("eeg_score")))
+    return assessments(t).select(*KEYS, eeg.alias("eeg_level"), SC.level_for(c("final_score"), "fusion").alias("fusion_level"))
+
+
+@query("cl7_all_cuts", f"""WITH {ASSESS} SELECT DISTINCT user_id, CASE WHEN baseline IS NULL THEN 0.4 ELSE round(greatest(0.1, baseline * 0.7)::DOUBLE, 6) END::DOUBLE AS low,
+ CASE WHEN baseline IS NULL THEN 0.7 ELSE round(least(0.9, baseline * 1.3)::DOUBLE, 6) END::DOUBLE AS high FROM beh LEFT JOIN base USING (user_id)""")
+def _(t):
+    users = behaviour_events(t).groupBy("user_id").agg((F.sum("k") % 10 / 10.0).alias("_b"), F.count("*").alias("n"))
+    low, high = SC.personal_cuts(F.when(c("n") % 2 == 0, c("_b")))
+    return users.select("user_id", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("cl8_all_fusions", f"""WITH {ASSESS} SELECT user_id, task_id,
+ CASE WHEN eeg_score IS NULL AND questionnaire_score IS NULL THEN 0.5 ELSE round(((coalesce(questionnaire_score, 0) + coalesce(eeg_score, 0)) / 2
+  / ((CASE WHEN questionnaire_score IS NULL THEN 0 ELSE 0.5 END) + (CASE WHEN eeg_score IS NULL THEN 0 ELSE 0.5 END)))::DOUBLE, 6) END::DOUBLE AS fused,
+ CASE WHEN eeg_score IS NULL AND questionnaire_score IS NULL THEN 'default' ELSE 'weighted' END AS method,
+ CASE WHEN eeg_score IS NULL THEN NULL WHEN questionnaire_score IS NULL THEN 1.0 ELSE 0.5 END::DOUBLE AS eeg_weight FROM assessed""")
+def _(t):
+    scores = {"questionnaire": c("questionnaire_score"), "eeg": c("eeg_score")}
+    weights = {"questionnaire": 0.5, "eeg": 0.5}
+    share = F.when(c("eeg_score").isNotNull(), SC.adjusted_weights(scores, weights)["eeg"])
+    return assessments(t).select(
+        *KEYS, F.round(SC.fused_score(scores, weights), 6).alias("fused"), SC.fusion_method(scores).alias("method"), F.round(share, 6).alias("eeg_weight"))
+
+
 @query("cl9_assessments", f"WITH {ASSESS} SELECT * FROM assessed")
 def _(t):
     return assessments(t).select(*KEYS, "final_score", "level", "behavior_score", "questionnaire_score", "eeg_score", "created_at", "source")
@@ -327,3 +356,19 @@ def _(t):
     rows = assessments(t).join(features(t).select(*KEYS, "duration_ms"), KEYS)
     rows = rows.withColumn("id", F.concat_ws("/", "user_id", "task_id"))
     return W.export_history(rows, AS_OF, 7)
+
+
+@query("src16_export_files", f"""WITH {ASSESS}, rows AS (SELECT user_id, user_id || '/' || task_id AS id, task_id, source, final_score, level, behavior_score, questionnaire_score, eeg_score, duration_ms, created_at
+ FROM assessed JOIN (SELECT user_id, task_id, duration_ms FROM bs) USING (user_id, task_id) WHERE {RECENT})
+SELECT form, user_id, id, final_score, level, questionnaire_score, eeg_score, duration_ms, created_at FROM rows, (VALUES ('csv'), ('json')) AS f(form)""")
+def _(t):
+    rows = assessments(t).join(features(t).select(*KEYS, "duration_ms"), KEYS)
+    exported = W.export_history(rows.withColumn("id", F.concat_ws("/", "user_id", "task_id")), AS_OF, 7)
+    out = []
+    for form in ("csv", "json"):
+        folder = shared_folder(t.spark, f"export-{form}")
+        W.write_export(exported, folder, form)
+        read = t.spark.read.schema(exported.schema)
+        back = read.option("header", True).csv(folder) if form == "csv" else read.json(folder)
+        out.append(back.select(F.lit(form).alias("form"), "user_id", "id", "final_score", "level", "questionnaire_score", "eeg_score", "duration_ms", "created_at"))
+    return out[0].unionByName(out[1])

@@ -326,7 +326,7 @@ def hit_text(with_paths: bool = False) -> Column:
     lines = [
         F.lit("\n["), c("rank").cast("string"), F.lit("] "), F.coalesce("name", F.lit("未知")),
         F.when(F.size("labels") > 0, F.concat(F.lit(" ("), F.array_join("labels", ", "), F.lit(")"))).otherwise(""),
-        F.lit(" [相关度: "), F.format_string("%.2f", "relevance_score"), F.lit("]\n"),
+        F.lit(" [相关度: "), F.format_string("%.2f", F.bround("relevance_score", 2)), F.lit("]\n"),
         F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("描述: "), "description", F.lit("\n"))).otherwise(""),
     ]
     if with_paths:

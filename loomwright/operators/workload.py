@@ -372,10 +372,10 @@ def export_history(assessments: DataFrame, as_of: str, days: int = 30, source: s
 
 
 def write_export(rows: DataFrame, folder: str, form: str = "csv") -> None:
-    """The export as files: CSV with a header line per file, or one JSON object a line. Written by the tasks."""
+    """The export as files: CSV with a header line per file, or one JSON object a line. Times keep their microseconds."""
     if form not in ("csv", "json"):
         raise ValueError(f"csv or json, not {form}")
-    writer = rows.write.mode("overwrite")
+    writer = rows.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     if form == "csv":
         writer.option("header", True).csv(folder)
     else:

@@ -6,12 +6,14 @@ Event time is a timestamp column; state is bounded by the watermark or, for conv
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomwright.functions import scoring as S
 from loomwright.operators import workload as W
@@ -135,3 +137,48 @@ def last_messages(messages: DataFrame, n: int = 10, idle: str | None = None) ->
     grouped = messages.select("conv_id", *names).groupBy("conv_id")
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return grouped.applyInPandasWithState(run, out_schema, state_schema, "update", timeout)
+
+
+class _RecentMessages(StatefulProcessor):
+    """State of one conversation: its last messages, and a timer that clears them when event time has left them behind."""
+
+    def __init__(self, n: int, idle_ms: int):
+        self.n, self.idle_ms = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "messages string, newest bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        names = ["turn", "role", "text"]
+        stored, newest = self.kept.get() if self.kept.exists() else ("[]", 0)
+        kept = [tuple(m) for m in json.loads(stored)]
+        for batch in rows:
+            fresh = zip(batch["turn"].tolist(), batch["role"].tolist(), batch["text"].tolist())
+            kept = sorted([*kept, *fresh], key=lambda m: (m[0], m[1] or "", m[2] or ""))[-self.n:]
+            newest = max(newest, int(batch["event_time"].max().value // 1_000_000))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + self.idle_ms)
+        self.kept.update((json.dumps(kept), newest))
+        last = pd.DataFrame(kept[::-1], columns=names)
+        yield last.assign(conv_id=key[0], age=range(1, len(last) + 1))[["conv_id", "age", *names]].astype({"turn": "int64", "age": "int32"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def recent_messages(messages: DataFrame, n: int = 10, idle: str = "30 days") -> DataFrame:
+    """As :func:`last_messages` for messages with ``event_time`` and a watermark: a conversation whose last message is
+    ``idle`` behind the watermark leaves the state, in bounded runs as well, and a later message starts it anew.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    schema = "conv_id bigint, age int, turn bigint, role string, text string"
+    grouped = messages.select("conv_id", "turn", "role", "text", "event_time").groupBy("conv_id")
+    return grouped.transformWithStateInPandas(statefulProcessor=_RecentMessages(n, idle_ms), outputStructType=schema, outputMode="Update", timeMode="EventTime")

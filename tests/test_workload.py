@@ -1,6 +1,7 @@
 """Known results of the behaviour, questionnaire, fusion and EEG scores."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -126,3 +127,31 @@ def test_simpson_is_exact_for_parabolas():
     for n in (3, 4, 5, 6, 71):
         x = np.arange(n, dtype=float)
         assert E.simpson(x**2, 1.0) == pytest.approx((n - 1) ** 3 / 3)
+
+
+def test_idle_conversations_leave_the_state(spark, tmp_path):
+    """Four files, one batch each: the watermark passes conversation 1's last message by more than the idle time before it speaks again."""
+    from loomwright.streaming import jobs
+    from loomwright.streaming.runner import run_updates
+
+    files = [
+        [(1, 0, "2024-01-01 00:00:00"), (2, 0, "2024-01-01 00:00:00")], [(2, 1, "2024-01-01 02:00:00")], [(2, 2, "2024-01-01 02:30:00")],
+        [(1, 1, "2024-01-01 02:40:00"), (2, 3, "2024-01-01 02:40:00")]]
+    schema = "conv_id long, turn long, role string, text string, event_time timestamp"
+    for i, rows in enumerate(files):
+        df = spark.createDataFrame([(c, t, "user", f"m{t}", ts) for c, t, ts in rows], "conv_id long, turn long, role string, text string, ts string")
+        df.withColumn("event_time", F.col("ts").cast("timestamp")).drop("ts").coalesce(1).write.parquet(str(tmp_path / f"f{i}"))
+        os.utime(next((tmp_path / f"f{i}").glob("*.parquet")), (1_700_000_000 + i, 1_700_000_000 + i))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+        rows = run_updates(jobs.recent_messages(stream.withWatermark("event_time", "10 minutes"), 10, "1 hour")).collect()
+    finally:
+        spark.conf.set(store, before)
+    last = {}
+    for r in rows:
+        last.setdefault((r["conv_id"], r["batch"]), []).append((r["age"], r["text"]))
+    newest = {conv: sorted(last[conv, max(b for c, b in last if c == conv)]) for conv in (1, 2)}
+    assert newest == {1: [(1, "m1")], 2: [(1, "m3"), (2, "m2"), (3, "m1"), (4, "m0")]}

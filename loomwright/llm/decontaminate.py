@@ -150,7 +150,7 @@ def _matches(batches: Iterator[pa.RecordBatch], table: PieceTable) -> Iterator[p
         for part, data, offs in blocks(batch, "text", 1 << 20):
             rows = _best_of(table, data, offs)
             docs = part.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([docs, *(pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64())))], names=["doc_id", "item_id", "distance", "end"])
+            yield pa.RecordBatch.from_arrays([docs, *(pa.array([r[i] for r in rows], kind) for i, kind in ((1, pa.int64()), (2, pa.int32()), (3, pa.int64())))], names=["doc_id", "number", "distance", "end"])
 
 
 def _free(batches: Iterator[pa.RecordBatch], table: PieceTable) -> Iterator[pa.RecordBatch]:
@@ -165,39 +165,46 @@ def _free(batches: Iterator[pa.RecordBatch], table: PieceTable) -> Iterator[pa.R
 NORMAL = "_normalised"
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """Blocks of distinct normalised items, bounded in rows and bytes; only one block is on the driver at a time.
+def numbered_items(benchmark: DataFrame) -> DataFrame:
+    """``number, words, item_id`` of every item with a letter or digit; items with the same words share a number."""
+    words = normalised(F.col("text")).alias("words")
+    return benchmark.select(F.coalesce("item_id", F.lit(-1)).cast("long").alias("item_id"), words).filter("words <> ''").withColumn("number", F.xxhash64("words"))
 
-    Items with the same words are found once, under their smallest id. Items without a letter or digit are left out.
-    """
-    items = benchmark.select("item_id", normalised(F.col("text")).alias("words")).filter("words <> ''").groupBy("words").agg(F.min("item_id").alias("item_id"))
+
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """Blocks of distinct normalised items by number, bounded in rows and bytes; only one block is on the driver at a time."""
+    items = numbered_items(benchmark).select("number", "words").distinct()
     block, size = [], 0
-    for row in items.orderBy("item_id", "words").toLocalIterator():
+    for row in items.orderBy("number", "words").toLocalIterator():
         text = row["words"].encode()
         if block and (len(block) >= ITEMS_PER_PASS or size + len(text) > BYTES_PER_PASS):
             yield block
             block, size = [], 0
-        block.append((row["item_id"] if row["item_id"] is not None else -1, text))
+        block.append((row["number"], text))
         size += len(text)
     if block:
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, every: bool = False) -> DataFrame:
     """``(doc_id, item_id, distance, end)``: every document that holds a passage within ``rate`` of an item, one row for each
     pair, with the least distance and the byte end of the first best passage in the normalised text.
 
-    Null and empty texts match nothing, nor do items without words; rows with equal ids are separate documents; null item
-    ids come back as -1; an empty table on either side gives no rows.
+    Null and empty texts match nothing, nor do items without words; rows with equal ids are separate documents; items with
+    the same words are looked for once, and come back under their smallest id or, with ``every``, in a row each; null item ids
+    come back as -1; an empty table on either side gives no rows.
     """
     texts = docs.select("doc_id", normalised(F.col("text")).alias("text"))
     out = None
     for block in item_blocks(benchmark):
-        found = texts.mapInArrow(partial(_matches, table=PieceTable(block, rate)), "doc_id long, item_id long, distance int, end long")
+        found = texts.mapInArrow(partial(_matches, table=PieceTable(block, rate)), "doc_id long, number long, distance int, end long")
         out = found if out is None else out.union(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, end long")
-    return out
+    ids = numbered_items(benchmark).select("number", "item_id").distinct()
+    if not every:
+        ids = ids.groupBy("number").agg(F.min("item_id").alias("item_id"))
+    return out.join(ids, "number").select("doc_id", "item_id", "distance", "end")
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

@@ -303,6 +303,13 @@ def test_bit_parallel_distance(seed):
         assert decontaminate.best_match(pattern, text, most) == best
 
 
+def test_every_item_with_the_same_words_has_a_row(spark):
+    text = "what is the tallest mountain on the island of the seven rivers and who climbed it first"
+    bench = spark.createDataFrame([(8, text), (7, text.upper() + "?"), (None, text), (9, "quite another question about the history of tea in the northern hills"), (7, text)], "item_id long, text string")
+    frame = spark.createDataFrame([(1, "intro " + text + " outro"), (2, "nothing here")], SCHEMA.split(",")[0] + ", text string")
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.contaminated(frame, bench, every=True).collect()) == [(1, -1, 0), (1, 7, 0), (1, 8, 0)]
+
+
 def test_contamination(spark, docs, nothing):
     rng = random.Random(1)
     item = sentence(rng, 30)

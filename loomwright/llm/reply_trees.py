@@ -182,8 +182,8 @@ def format_conversations(conversations: DataFrame, template: Template = Template
 
 def with_probe(conversations: DataFrame) -> DataFrame:
     """The table and conversation ``PROBE_ID``: a user row and an assistant row that both say ``PROBE``."""
-    spark = conversations.sparkSession
-    probe = spark.createDataFrame([(PROBE_ID, 0, "user", PROBE), (PROBE_ID, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = conversations.sparkSession.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE).alias("text"))
     return conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
 
 

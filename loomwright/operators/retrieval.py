@@ -463,6 +463,7 @@ def retrieval_trace(questions: DataFrame, calls: DataFrame) -> DataFrame:
         F.when(c("doc_count") > 0, F.concat(F.lit("随后结合 "), c("doc_count").cast("string"), F.lit(" 条文献片段，对诊疗依据和背景知识进行补充说明"))),
         F.when(c("n_history") > 0, "同时参考本轮会话中的历史提问，保证回答在语义和上下文上前后一致"))
     begin = F.when(c("question") != "", F.concat(F.lit("围绕你的问题「"), F.substring("question", 1, 30), F.lit("」"))).otherwise("围绕你的问题")
+    # The texts above and below.
     without = "本次回答主要基于模型对问题本身的理解，没有命中可用的图谱或文献检索结果，因此无法提供更详细的检索链路。"
     reasoning = F.when(parts == "", without).otherwise(F.concat(begin, F.lit("，"), parts, F.lit("，最后综合这些信息给出当前回答。")))
     return rows.select("question_id", "graph_count", "doc_count", "retrievals", reasoning.alias("reasoning"))

@@ -194,6 +194,7 @@ def _texts(*items: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(when, text) for when, text in items]))
 
 
+# The texts of findings, alerts and positive aspects below, and their cut points.
 def key_findings() -> Column:
     """Findings on rates, the dominant dimension (at least 5) and the duration."""
     dims = [c(d) for d in V.TLX_DIMENSIONS]

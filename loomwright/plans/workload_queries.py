@@ -261,6 +261,23 @@ def _(t):
     )
 
 
+def listed(*cases):
+    return f"array_to_string(list_filter([{', '.join(f'CASE WHEN {when} THEN {text!r} END' for when, text in cases)}], lambda x: x IS NOT NULL), '|')"
+
+
+ALERT_TEXTS = listed(
+    ("final_score > 0.7", "⚠️ 高认知负荷预警：当前任务对用户造成较高认知负荷"), ("frustration >= 5", "⚠️ 高挫败感预警：用户在任务中感到明显烦躁"),
+    ("back_rate > 0.3", "⚠️ 操作困难预警：频繁回退表明内容可能较难理解"), ("error_rate > 0.15", "⚠️ 错误率高预警：操作错误频繁，需检查界面设计"), ("duration_ms > 300000", "⚠️ 内容过载预警：任务时间过长，建议拆分内容"))
+ASPECT_TEXTS = listed(
+    ("final_score < 0.4", "✅ 认知负荷处于低水平，任务对用户友好"), ("completion_rate >= 0.9", "✅ 任务完成率高，操作流畅"), ("error_rate < 0.05", "✅ 操作错误少，界面易于理解"),
+    ("performance >= 5", "✅ 用户对自身表现满意"), ("frustration <= 2", "✅ 任务过程顺利，用户无明显挫败感"))
+
+
+@query("cl13_14_texts", f"WITH {FULL} SELECT user_id, task_id, {ALERT_TEXTS} AS alerts, {ASPECT_TEXTS} AS aspects FROM fullrow")
+def _(t):
+    return full_rows(t).select(*KEYS, F.array_join(W.risk_alerts(), "|").alias("alerts"), F.array_join(W.positive_aspects(), "|").alias("aspects"))
+
+
 @query("cl15_benchmarks", f"""WITH {ASSESS}, s AS (SELECT *, avg(final_score) OVER (PARTITION BY user_id) AS a, min(final_score) OVER (PARTITION BY user_id) AS best, max(final_score) OVER (PARTITION BY user_id) AS worst FROM assessed)
 SELECT user_id, task_id, round(a, 4) AS user_avg, best AS user_best, worst AS user_worst, CAST(least(100, greatest(0, trunc((1 - (final_score - a)) * 50 + 50))) AS INT) AS percentile FROM s""")
 def _(t):

@@ -12,8 +12,9 @@ c = F.col
 
 
 def stream(t, table):
+    """The table as a stream, be it one file or a folder of part files; a plain file is no source, but a pattern that names it is."""
     schema = getattr(t, table).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{{{table}}}.parquet")
 
 
 def as_events(rows):

@@ -5,6 +5,7 @@ import os
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import building as B
@@ -100,3 +101,17 @@ print("rows", entry.queries()["ch3_sentence_blocks"](spark, "/root/testdata/sf0.
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0, done.stderr[-2000:]
     assert int(done.stdout.split("rows ")[1]) > 0
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_tables_of_part_files(spark, tmp_path, parts):
+    from loomwright.plans import all_queries
+
+    rows = [(conv, turn, "user", f"{conv}:{turn}") for conv in range(4) for turn in range(12 + conv)]
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    if parts > 1:
+        messages.repartition(parts).write.parquet(f"{tmp_path}/conversations.parquet")
+    else:
+        messages.toPandas().to_parquet(f"{tmp_path}/conversations.parquet", index=False)
+    got = all_queries()["st6_last_messages"](spark, str(tmp_path)).collect()
+    assert sorted((r["conv_id"], r["age"], r["turn"]) for r in got) == [(conv, age, 12 + conv - age) for conv in range(4) for age in range(1, 11)]

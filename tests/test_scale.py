@@ -71,6 +71,40 @@ def test_best_paths_stop_at_the_limit(spark):
     assert TR.path_hits(seeds.limit(0), nodes, edges, 2, 5, ["q"]).count() == 0
 
 
+def test_a_hub_gives_its_first_edges_to_paths(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"name{i % 7}") for i in range(3000)] + [("hub", "hub"), ("n1", "again")], "id string, name string")
+    edges = edges_of(spark, [("hub", f"n{i}") for i in range(3000)]).union(edges_of(spark, [("hub", "hub")]))
+    steps = G.both_ways(edges).drop("outgoing").join(nodes.select(F.col("id").alias("to"), "name"), "to")
+    first = [(r["name"], r["to"]) for r in TR._first_steps(steps.filter("`from` = 'hub'"), 5).collect()]
+    assert sorted(first) == sorted([("again", "n1"), ("name1", "n1"), ("hub", "hub"), ("hub", "hub"), *[("name0", f"n{i}") for i in (0, 1001, 1008)]])
+    seeds = spark.createDataFrame([(q, f"n{q}", f"name{q % 7}") for q in range(40)], "q long, id string, name string")
+    got = TR.path_hits(seeds, nodes, edges, 2, 4, ["q"])
+    assert got.groupBy("q").count().filter("count <> 4").count() == 0
+    assert {(r["end"], r["hop"]) for r in got.filter("q = 3").collect()} == {("hub", 1), ("n1", 2), ("hub", 2)}
+
+
+def test_best_rows_of_a_block():
+    import numpy as np
+
+    from loomwright.operators.retrieval import _best_rows
+
+    distances = np.array([[0.5, 0.1, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2], [0.9, 0.8, 0.7, 0.6]])  # a row per query
+    got = _best_rows(["a", "b", "c"], distances, np.array([4, 3, 2, 1]), 3)
+    assert list(got.itertuples(index=False, name=None)) == [
+        ("a", 1, 0.1), ("a", 3, 0.1), ("a", 2, 0.5), ("b", 1, 0.2), ("b", 2, 0.2), ("b", 3, 0.2), ("c", 1, 0.6), ("c", 2, 0.7), ("c", 3, 0.8)]
+
+
+def test_questions_of_one_vector_and_of_none(spark):
+    from loomwright.operators import retrieval as R
+
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(30)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(q, [1.0, 0.5]) for q in range(50)] + [(99, [0.0, 1.0]), (99, [1.0, 0.0]), (7, None)], "query_id long, embedding array<double>")
+    got = R.vector_top_k(vectors, queries, 2)
+    assert {(r["query_id"], r["id"]) for r in got.filter("query_id < 50").collect()} >= {(q, 5) for q in range(50)}
+    assert sorted((r["id"], r["rank"]) for r in got.filter("query_id = 99").collect()) == [(0, 1), (1, 2)]
+    assert got.count() == 102
+
+
 def test_paths_have_their_relations_both_ways(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("a", "q"), ("q", "c")]
     edges = edges_of(spark, pairs, "R").union(edges_of(spark, [("b", "a")], "A"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright import vocab as V
 from loomwright.functions import text as T
+from loomwright.session import computed_once
 
 c = F.col
 
@@ -19,23 +20,30 @@ def gold_entities(samples: DataFrame) -> DataFrame:
 
 
 def gold_relations(samples: DataFrame) -> DataFrame:
-    """Distinct (sample_id, subject, type, object); ends are looked up inside the sample, without a join."""
-    usable = F.filter("entities", lambda e: (T.normalize_name(e["text"]) != "") & (F.coalesce(e["type"], F.lit("")) != ""))
-    names = F.map_from_entries(F.transform(usable, lambda e: F.struct(e["id"], T.normalize_name(e["text"]))))
-    rows = samples.select(c("id").alias("sample_id"), names.alias("_n"), F.explode("relations").alias("r"))
-    named = rows.select(
-        "sample_id", F.element_at("_n", c("r.subject")).alias("subject"), F.upper("r.type").alias("type"), F.element_at("_n", c("r.object")).alias("object"))
-    return named.filter("subject is not null and object is not null and type <> ''").distinct()
+    """Distinct (sample_id, subject, type, object); ends are looked up inside the sample, without a join.
+
+    A sample normalises each of its texts once, and both ends of a relation are read once: the tests on them run on
+    the read values, not on the expressions.
+    """
+    named = F.transform("entities", lambda e: F.struct(e["id"].alias("id"), T.normalize_name(e["text"]).alias("name"), e["type"].alias("type")))
+    read = samples.select(c("id").alias("sample_id"), "relations", F.inline(F.array(F.struct(named.alias("_named")))))
+    usable = F.filter("_named", lambda e: (e["name"] != "") & (F.coalesce(e["type"], F.lit("")) != ""))
+    names = F.map_from_entries(F.transform(usable, lambda e: F.struct(e["id"], e["name"])))
+    known = read.select("sample_id", "relations", F.inline(F.array(F.struct(names.alias("_n")))))
+    ends = F.transform("relations", lambda r: F.struct(
+        F.element_at("_n", r["subject"]).alias("subject"), F.upper(r["type"]).alias("type"), F.element_at("_n", r["object"]).alias("object")))
+    return known.select("sample_id", F.inline(ends)).filter("subject is not null and object is not null and type <> ''").distinct()
 
 
 def predicted_entities(entities: DataFrame) -> DataFrame:
-    named = entities.select("sample_id", T.normalize_name(c("name")).alias("name"), F.upper(F.coalesce("type", F.lit(""))).alias("type"))
+    named = computed_once(entities.select("sample_id", "name", "type"), name=T.normalize_name(c("name")), type=F.upper(F.coalesce("type", F.lit(""))))
     return named.filter("name <> '' and type <> ''").distinct()
 
 
 def predicted_relations(relations: DataFrame) -> DataFrame:
-    named = relations.select(
-        "sample_id", T.normalize_name(c("subject")).alias("subject"), F.upper(F.coalesce("predicate", F.lit(""))).alias("type"), T.normalize_name(c("object")).alias("object"))
+    named = computed_once(
+        relations.select("sample_id", "subject", "predicate", "object"), subject=T.normalize_name(c("subject")),
+        predicate=F.upper(F.coalesce("predicate", F.lit(""))), object=T.normalize_name(c("object"))).withColumnRenamed("predicate", "type")
     return named.filter("subject <> '' and object <> '' and type <> ''").distinct()
 
 

@@ -236,3 +236,39 @@ def test_placeholder_only_without_nodes(spark):
     assert G.or_placeholder(none, graphs.limit(0)).count() == 0
     one = spark.createDataFrame([("a", "b", "c")], none.schema)
     assert [tuple(r) for r in G.or_placeholder(one, graphs).collect()] == [("a", "b", "c")]
+
+
+# ---- expressions on names run once
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_of_a_sample_are_read_once(spark):
+    from loomwright.operators import evaluation as EV
+
+    entity = "array<struct<id string, text string, type string>>"
+    relation = "array<struct<subject string, type string, object string>>"
+    row = (1, [("a", " Ａ  b ", "x"), ("b", "c", "y"), ("d", "d", ""), ("e", None, "z")], [("a", "r", "b"), ("a", "r", "d"), ("b", "r", "e"), ("b", "", "a"), ("b", None, "a"), ("b", "s", "a"), ("b", "s", "a"), (None, "s", "a")])
+    got = EV.gold_relations(spark.createDataFrame([row, (2, None, None)], f"id long, entities {entity}, relations {relation}"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "A b", "R", "c"), (1, "c", "S", "A b")]
+    assert optimized(got).count("map_from_entries") == 1
+
+
+def test_incoming_names_are_read_once(spark):
+    from loomwright.functions import text as T
+
+    raw = spark.createDataFrame([(" Ａ ", "属于", "b"), ("b", "BELONGS_TO", "b "), ("b", "", "A"), ("A", "BELONGS_TO", "b"), ("A", "odd", "lost")], "s string, predicate string, o string")
+    incoming = raw.select(T.normalize_name(F.col("s")).alias("subject"), "predicate", T.normalize_name(F.col("o")).alias("object"))
+    old = spark.createDataFrame([], "subject string, predicate string, object string, created_at timestamp")
+    got = A.upsert_edges(old, incoming, spark.createDataFrame([("A",), ("b",)], "name string"), "2024-02-01")
+    assert sorted((r["subject"], r["predicate"], r["object"]) for r in got.collect()) == [("A", "BELONGS_TO", "b")]
+    assert not any("regexp_replace" in line for line in optimized(got).splitlines() if line.strip(" :+-").startswith("Filter"))
+
+
+def test_plain_names_and_others_agree(spark):
+    from loomwright.functions import text as T
+
+    raw = ["a b", " a b", "a b ", "a  b", "a\n", "a\nb", "ａ b", "症 状", "é é", "é  é", "a　b", "", None, " ", "~!", "a\tb"]
+    got = spark.createDataFrame([(x,) for x in raw], "t string").select(T.normalize_name(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in got] == ["a b", "a b", "a b", "a b", "a", "a b", "a b", "症 状", "é é", "é é", "a b", "", "", "", "~!", "a b"]

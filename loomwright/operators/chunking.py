@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from loomwright import vocab as V
 from loomwright.functions import text as T
 
 CHUNK_SCHEMA = "chunk_index int, chunk string"
+#: Bytes of text that a Python worker cuts at a time.
+BLOCK = 1 << 20
 
 
 def paragraphs(text: Column, separator: str | None = None) -> Column:
@@ -74,20 +78,30 @@ def _explode_array(df: DataFrame, chunks: Column, text_col: str) -> DataFrame:
     return df.select(*keep, F.posexplode(chunks).alias("chunk_index", "chunk"))
 
 
+def _blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of rows that start in one block of ``size`` bytes of text each."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64")
+    block = (np.cumsum(lengths) - lengths) // size
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)] if len(block) else [0]
+    return zip(cuts, cuts[1:])
+
+
 def _explode_python(df: DataFrame, split: Callable[[str], list[str]], text_col: str) -> DataFrame:
-    keep = [c for c in df.columns if c != text_col]
     fields = [f for f in df.schema.fields if f.name != text_col]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [CHUNK_SCHEMA])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.assign(chunk=[split(t) if isinstance(t, str) else [] for t in batch[text_col]])
-            batch = batch[keep + ["chunk"]].explode("chunk")
-            index = batch.groupby(level=0).cumcount().astype("int32")
-            batch.insert(len(keep), "chunk_index", index)
-            yield batch[batch["chunk"].notna()].reset_index(drop=True)
-
-    return df.mapInPandas(run, schema)
+            at = batch.schema.get_field_index(text_col)
+            kept = batch.select([i for i in range(batch.num_columns) if i != at])
+            for i, j in _blocks(batch.column(at)):  # a worker holds the chunks of one block, however many rows a batch has
+                chunks = [split(t) if t is not None else [] for t in batch.column(at).slice(i, j - i).to_pylist()]
+                rows = kept.slice(i, j - i).take(pa.array(np.repeat(np.arange(j - i), [len(x) for x in chunks])))
+                index = pa.array([k for x in chunks for k in range(len(x))], pa.int32())
+                flat = pa.array([y for x in chunks for y in x], pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns, index, flat], names=[*rows.schema.names, "chunk_index", "chunk"])
+
+    return df.mapInArrow(run, schema)
 
 
 def chunk(df: DataFrame, strategy: str = "fixed", text_col: str = "text", **options) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwright.operators import assembly as A
+from loomwright.operators import chunking as C
 from loomwright.operators import dashboards as D
 from loomwright.operators import eeg as E
 from loomwright.operators import grams as GR
@@ -272,3 +273,14 @@ def test_plain_names_and_others_agree(spark):
     raw = ["a b", " a b", "a b ", "a  b", "a\n", "a\nb", "ａ b", "症 状", "é é", "é  é", "a　b", "", None, " ", "~!", "a\tb"]
     got = spark.createDataFrame([(x,) for x in raw], "t string").select(T.normalize_name(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in got] == ["a b", "a b", "a b", "a b", "a", "a b", "a b", "症 状", "é é", "é é", "a b", "", "", "", "~!", "a b"]
+
+
+def test_texts_are_cut_in_blocks(spark):
+    import pyarrow as pa
+
+    assert list(C._blocks(pa.array(["a" * 10, None, "b" * 5, "c" * 20, ""]), 12)) == [(0, 3), (3, 4), (4, 5)]
+    assert list(C._blocks(pa.array([], pa.string()), 12)) == []
+    texts = [("one. two! three? " * n) or None for n in range(0, 40, 3)] + [" . "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    got = sorted((r["k"], r["chunk_index"], r["chunk"]) for r in C.chunk(rows, "extraction", size=30).collect())
+    assert got == [(k, i, x) for k, t in enumerate(texts) for i, x in enumerate(C.extraction_paragraphs(t or "", 30))]

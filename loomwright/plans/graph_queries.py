@@ -13,7 +13,7 @@ from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
 from loomwright.plans import sqlkit as S
 from loomwright.plans.registry import query
-from loomwright.session import cut_lineage
+from loomwright.session import cut_lineage, tasks_for
 from loomwright.sources import snapshots as SN
 from loomwright.sources.splits import spread
 
@@ -47,12 +47,20 @@ def nodes(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+def edge_tasks(t):
+    return tasks_for(*[getattr(t, table) for _, table, *_ in EDGE_SOURCES])
+
+
 def edges(t):
-    parts = [
-        getattr(t, table).select(F.expr(f"'{a}' || {ak}").alias("src"), F.lit(rel).alias("rel"), F.expr(f"'{b}' || {bk}").alias("dst"))
-        for rel, table, a, ak, b, bk in EDGE_SOURCES
+    """Distinct by the keys, before names are formed of them: a relation comes from one table, a name from one key."""
+    n = edge_tasks(t)
+    pairs = [
+        getattr(t, table).select(F.lit(i).alias("_i"), F.col(ak).cast("bigint").alias("_a"), F.col(bk).cast("bigint").alias("_b"))
+        for i, (_, table, _, ak, _, bk) in enumerate(EDGE_SOURCES)
     ]
-    rows = reduce(DataFrame.unionByName, parts).distinct()
+    rows = reduce(DataFrame.unionByName, pairs).repartition(n, "_i", "_a", "_b").distinct()
+    rel, a, b = (F.element_at(F.array(*[F.lit(x[k]) for x in EDGE_SOURCES]), c("_i") + 1) for k in (0, 2, 4))
+    rows = rows.select(F.concat(a, "_a").alias("src"), rel.alias("rel"), F.concat(b, "_b").alias("dst"))
     return rows.select(
         F.lit("g").alias("graph_id"), F.concat_ws("_", "src", "rel", "dst").alias("id"), "src", "rel", "dst", F.create_map(F.lit("via"), F.lower("rel")).alias("properties"))
 
@@ -108,8 +116,8 @@ def _(t):
 
 @query("gr8_search_relations", f"WITH {GRAPH} SELECT id, src, rel, dst FROM edges WHERE rel IN ('SUPPLIED_BY', 'BASED_IN')")
 def _(t):
-    e = edges(t)
-    return G.search_relations(e, "Supplied_B").unionByName(G.search_relations(e, "based", "BASED_IN")).select("id", "src", "rel", "dst")
+    e, n = edges(t), edge_tasks(t)
+    return G.search_relations(e, "Supplied_B", tasks=n).unionByName(G.search_relations(e, "based", "BASED_IN", tasks=n)).select("id", "src", "rel", "dst")
 
 
 BEST = "best AS (SELECT 'c' || max_by(c_custkey, (c_acctbal, c_custkey)) AS id FROM customer GROUP BY c_nationkey)"

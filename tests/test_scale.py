@@ -14,6 +14,7 @@ from loomwright.operators import grams as GR
 from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
 from loomwright.operators.ranking import range_positions
+from loomwright.session import tasks_for
 
 EDGE = "id string, src string, rel string, dst string"
 
@@ -284,3 +285,17 @@ def test_texts_are_cut_in_blocks(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
     got = sorted((r["k"], r["chunk_index"], r["chunk"]) for r in C.chunk(rows, "extraction", size=30).collect())
     assert got == [(k, i, x) for k, t in enumerate(texts) for i, x in enumerate(C.extraction_paragraphs(t or "", 30))]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark.range(25), spark.range(26), rows=2) == 26
+    assert tasks_for(spark.range(25)) == least
+
+
+def test_found_relations_are_dealt_over_given_tasks(spark):
+    edges = edges_of(spark, [("a", f"b{i}") for i in range(60)]).unionByName(edges_of(spark, [("a", "b7")]))
+    edges = edges.withColumn("graph_id", F.lit("g")).withColumn("properties", F.create_map(F.lit("via"), F.lit("x")))
+    got = G.search_relations(edges, "r", "R", tasks=13)
+    assert got.rdd.getNumPartitions() == 13
+    assert sorted(r["dst"] for r in got.collect()) == sorted(f"b{i}" for i in range(60))

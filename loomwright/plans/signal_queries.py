@@ -8,6 +8,7 @@ from loomwright import vocab as V
 from loomwright.operators import eeg as E
 from loomwright.operators import evaluation as EV
 from loomwright.plans.registry import query
+from loomwright.session import tasks_for
 
 c = F.col
 LENGTH = 6000
@@ -175,7 +176,7 @@ COUNTS = "SELECT type, count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (NOT
 
 
 def sets(t):
-    rows_ = item_rows(t)
+    rows_ = item_rows(t).repartition(tasks_for(t.lineitem), "sample_id")  # both sides are made distinct and counted where they lie
     gold = EV.predicted_entities(rows_.filter("l_returnflag <> 'R'"))
     kind = F.when(c("l_tax") > 0.06, "disease").otherwise(c("type"))
     wide = F.translate("name", "abc", "ａｂｃ")

@@ -14,6 +14,7 @@ from loomwright.operators import grams as GR
 from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
 from loomwright.operators.ranking import range_positions
+from loomwright.plans import all_queries
 from loomwright.session import tasks_for
 
 EDGE = "id string, src string, rel string, dst string"
@@ -299,3 +300,9 @@ def test_found_relations_are_dealt_over_given_tasks(spark):
     got = G.search_relations(edges, "r", "R", tasks=13)
     assert got.rdd.getNumPartitions() == 13
     assert sorted(r["dst"] for r in got.collect()) == sorted(f"b{i}" for i in range(60))
+
+
+def test_score_sets_are_counted_where_their_samples_lie(spark):
+    plan = all_queries()["ev3_core_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "sample_id" in line]
+    assert dealt and all("REPARTITION_BY_NUM" in line and "hashpartitioning(sample_id" in line for line in dealt), plan

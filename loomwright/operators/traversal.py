@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomwright.operators.graph import both_ways
 from loomwright.operators.ranking import first_n
-from loomwright.session import cut_lineage
+from loomwright.session import cut_lineage, kept, tasks_for
 
 c = F.col
 MAX_HOPS = 3
@@ -50,12 +50,11 @@ class Adjacency:
 def resident(steps: DataFrame, hub: int = HUB, buckets: int | None = None) -> Adjacency:
     """Write ``steps(from, ...)`` to the shared folder for the rounds of one traversal, dealt out by node and sorted.
 
-    There are as many buckets as shuffle partitions, so that the frontier is dealt out to fit them; a round neither moves
-    nor sorts them. The rows of a node with more than ``hub`` neighbours get salts by the hash of the row, ``hub`` rows each
-    on average.
+    There are as many buckets as shuffle partitions, or more where a bucket would get more than a million rows; the frontier is
+    dealt out to fit them, and a round neither moves nor sorts them. The rows of a node with more than ``hub`` neighbours get salts by the hash of the row, ``hub`` rows each
+    on average. ``steps`` is read three times, see ``adjacency``.
     """
-    buckets = buckets or int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut_lineage(steps)
+    rows, buckets = steps, buckets or tasks_for(steps)
     hubs = cut_lineage(rows.groupBy("from").agg(F.ceil(F.count("*") / hub).cast("int").alias("salts")).filter("salts > 1"))
     by, any_hub = ["from"], not hubs.isEmpty()
     if any_hub:  # one hub per ``hub`` rows at most: sent to every task, so that rows are not written once more
@@ -65,6 +64,13 @@ def resident(steps: DataFrame, hub: int = HUB, buckets: int | None = None) -> Ad
     return Adjacency(dealt.hint("merge"), hubs if any_hub else None)  # a broadcast would gather the buckets
 
 
+def adjacency(edges: DataFrame, *columns: str) -> Adjacency:
+    """The ``columns`` of ``both_ways(edges)``, resident. The edges are formed and written once, one row each."""
+    ids = [c("id")] if "edge_id" in columns else []
+    ends = kept(edges.select(*ids, "src", "rel", "dst"))
+    return resident(both_ways(ends if ids else ends.withColumn("id", F.lit(None))).select(*columns))
+
+
 def _keep_partitions(df: DataFrame) -> DataFrame:
     """``df`` checkpointed so that later plans know its partitions and their order, which an adaptive plan does not tell."""
     conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
@@ -79,10 +85,12 @@ def _keep_partitions(df: DataFrame) -> DataFrame:
 def _grow(frontier: DataFrame, steps: Adjacency, keys: list[str], earlier: list[DataFrame]) -> DataFrame:
     """The nodes next to ``frontier(*keys, id)`` that none of the ``earlier`` levels holds, with their least parent.
 
-    Steps go both ways, so a neighbour of a node at distance d is at d - 1 at least: two earlier levels are enough.
+    Steps go both ways, so a neighbour of a node at distance d is at d - 1 at least: two earlier levels are enough. The step
+    back to the parent leads to one of them and is left out before neighbours are sorted, by id, which tells them apart soonest.
     """
-    near = steps.around(frontier.select(*keys, c("id").alias("from")))
-    reached = near.groupBy(*keys, c("to").alias("id")).agg(F.min(F.struct(c("from").alias("parent"), "rel")).alias("_f"))
+    near = steps.around(frontier.select(*keys, c("id").alias("from"), c("parent").alias("_back")))
+    ahead = near.filter(F.coalesce(c("to") != c("_back"), F.lit(True)))
+    reached = ahead.groupBy(c("to").alias("id"), *keys).agg(F.min(F.struct(c("from").alias("parent"), "rel")).alias("_f"))
     seen = reduce(DataFrame.union, [x.select(*keys, "id") for x in earlier])
     return reached.join(seen, [*keys, "id"], "left_anti").select(*keys, "id", "_f.parent", "_f.rel")
 
@@ -98,7 +106,7 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[
     levels = [cut_lineage(seeds.select(*keys, "id").distinct().withColumns({"hop": F.lit(0), "parent": none, "rel": none}))]
     if _within(depth, MAX_HOPS) < 1:
         return levels[0]
-    steps = resident(both_ways(edges).select("from", "rel", "to"))
+    steps = adjacency(edges, "from", "rel", "to")
     for hop in range(1, depth + 1):
         fresh = _grow(levels[-1], steps, keys, levels[-2:])
         levels.append(cut_lineage(fresh.select(*keys, "id", F.lit(hop).alias("hop"), "parent", "rel")))
@@ -108,11 +116,14 @@ def k_hop(seeds: DataFrame, edges: DataFrame, depth: int = MAX_HOPS, keys: list[
 def neighbour_hits(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     """Traversal rows as hits: score 1 for the seeds, 1 / (1 + 0.3 hop) for neighbours, with the parent's name.
 
-    A parent is a reached node itself, so the nodes are joined once and the parents' names come from that result.
+    A parent is a reached node itself, so the nodes are joined once and the parents' names come from that result; few of the
+    reached nodes are parents.
     """
     me = nodes.select("id", "name", c("type").alias("label"), "description")
-    rows = cut_lineage(reached.join(me, "id"))
-    parents = rows.select(c("id").alias("parent"), c("name").alias("parent_name")).dropDuplicates(["parent"])
+    rows = kept(reached.join(me, "id"))
+    wanted = rows.select("parent").filter("parent is not null").distinct()
+    names = rows.select(c("id").alias("parent"), c("name").alias("parent_name"))
+    parents = names.join(wanted, "parent", "left_semi").dropDuplicates(["parent"])
     hop = c("hop")
     return rows.join(parents, "parent", "left").withColumns({
         "kind": F.when(hop == 0, "entity").otherwise("neighbor"),
@@ -139,7 +150,7 @@ def expand_paths(seeds: DataFrame, edges: DataFrame, depth: int = 2, keys: list[
     """One row per undirected path of 1 to ``depth`` edges from the seeds; a path uses no edge twice."""
     keys = keys or []
     paths, levels = _start_paths(seeds, keys, []), []
-    steps = resident(both_ways(edges).drop("outgoing"))
+    steps = adjacency(edges, "edge_id", "from", "rel", "to")
     for _ in range(_within(depth, MAX_HOPS)):
         paths = cut_lineage(_longer(paths, steps, keys, []))
         levels.append(paths)
@@ -171,7 +182,7 @@ def path_hits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
     names = nodes.select(c("id").alias("to"), "name")
     begin = seeds.select(*keys, "id", "name").distinct()
     paths, levels = _start_paths(begin, keys, [F.array("name").alias("names"), F.lit(0).cast("long").alias("have")]), []
-    steps = steps or resident(both_ways(edges).drop("outgoing"))
+    steps = steps or adjacency(edges, "edge_id", "from", "rel", "to")
     for _ in range(_within(depth, MAX_HOPS)):
         near = steps.around(paths.select(c("end").alias("from")).distinct()).join(names, "to")
         grown = _longer(paths, Adjacency(_first_steps(near, limit + depth - 1), None), keys, ["name", F.concat("names", F.array("name")).alias("names"), "have"])
@@ -230,7 +241,7 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_edges: int = MAX_PATH
     ends = still.select(F.explode(F.array("start", "goal")).alias("source")).distinct()
     levels = {0: ends.select("source", c("source").alias("id"), none.alias("parent"), none.alias("rel"))}
     solved: list[DataFrame] = []
-    steps = steps or resident(both_ways(edges).select("from", "rel", "to"))
+    steps = steps or adjacency(edges, "from", "rel", "to")
     for k in range(1, (limit + 1) // 2 + 1):
         growing = ["start", "goal"] if 2 * k <= limit else ["start"]
         need = still.select(F.explode(F.array(*growing)).alias("source")).distinct()
@@ -310,6 +321,7 @@ def subgraph(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
 
     An edge is on such a walk when one of its ends is nearer than ``depth``.
     """
+    edges = kept(edges)  # read by every step below, formed once
     reached = k_hop(seeds, edges, depth)
     inner = reached.filter(c("hop") < _within(depth, MAX_HOPS)).select("id")
     touched = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(

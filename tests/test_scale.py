@@ -306,3 +306,19 @@ def test_score_sets_are_counted_where_their_samples_lie(spark):
     plan = all_queries()["ev3_core_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "sample_id" in line]
     assert dealt and all("REPARTITION_BY_NUM" in line and "hashpartitioning(sample_id" in line for line in dealt), plan
+
+
+def test_edges_are_formed_once(spark):
+    formed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            formed.add(batch.num_rows)
+            yield batch
+
+    edges = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]).mapInArrow(count, EDGE)
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "id string")
+    n, e = TR.subgraph(nodes.filter("id = 'a'"), nodes, edges, 2)
+    assert sorted(r["id"] for r in n.collect()) == ["a", "b", "c"]
+    assert sorted(r["id"] for r in e.collect()) == ["a_R_b", "b_R_c"]
+    assert formed.value == 4

@@ -15,7 +15,7 @@ from loomwright import vocab as V
 from loomwright.functions import text as T
 from loomwright.operators.grams import occurrences
 from loomwright.operators.ranking import first_n, range_positions
-from loomwright.session import computed_once, cut_lineage
+from loomwright.session import computed_once, cut_lineage, dealt, kept
 
 c = F.col
 
@@ -43,7 +43,7 @@ UNIT_ROWS = 4096
 def _ends_by_map(rows: DataFrame, entities: DataFrame) -> DataFrame:
     """Types of both ends from one map of names per unit: relations move once, to their unit."""
     names = entities.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("_names"))
-    joined = rows.join(names, "unit_id", "left")
+    joined = rows.join(names.hint("merge"), "unit_id", "left")  # about as large as the rows, and dealt as they are
     return joined.withColumns({f"{end}_type": F.try_element_at("_names", c(end)) for end in ("subject", "object")}).drop("_names")
 
 
@@ -55,10 +55,9 @@ def _ends_by_name(rows: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def large_units(*rows: DataFrame) -> DataFrame:
-    """The units with more than ``UNIT_ROWS`` rows in one of the tables ``(unit_id, ...)``."""
-    tagged = [df.select("unit_id", *[F.lit(int(i == k)).alias(f"_{k}") for k in range(len(rows))]) for i, df in enumerate(rows)]
-    counted = reduce(DataFrame.union, tagged).groupBy("unit_id").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(len(rows))])
-    return counted.filter(reduce(Column.__or__, [c(f"_{k}") > UNIT_ROWS for k in range(len(rows))])).select("unit_id")
+    """The units with more than ``UNIT_ROWS`` rows in one of the tables ``(unit_id, ...)``; each table is counted where it lies."""
+    counted = [df.groupBy("unit_id").agg(F.count("*").alias("_n")).filter(c("_n") > UNIT_ROWS).select("unit_id") for df in rows]
+    return reduce(DataFrame.union, counted).distinct()
 
 
 def classify_relations(relations: DataFrame, entities: DataFrame, large: DataFrame | None = None) -> DataFrame:
@@ -99,14 +98,15 @@ def valid_relations(classified: DataFrame) -> DataFrame:
     return kept.withColumn("mismatch", mismatch)
 
 
-def validate(entities: DataFrame, relations: DataFrame, written: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def validate(entities: DataFrame, relations: DataFrame, written: bool = False, tasks: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Classified entities, valid entities, classified relations, valid triples. Sizes of units come from the raw rows.
 
-    ``written`` writes the classified entities first, for callers that read them beside the triples.
+    ``written`` writes the classified entities first, for callers that read them beside the triples. Rows that are dealt by
+    unit to so many ``tasks`` already stay dealt, so that no step moves them.
     """
     classified = classify_entities(entities)
     if written:
-        classified = cut_lineage(classified)
+        classified = dealt(classified, ["unit_id"], tasks) if tasks else kept(classified)
     valid = valid_entities(classified)
     found = classify_relations(relations, valid, large_units(entities, relations))
     return classified, valid, found, valid_relations(found)
@@ -199,11 +199,11 @@ def upsert_edges(edges: DataFrame, incoming: DataFrame, nodes: DataFrame, stamp:
     names = nodes.select("name").distinct()
     keys = ["subject", "predicate", "object"]
     differ = computed_once(incoming.select(*keys), **{n: c(n) for n in keys}).filter("subject <> object and predicate <> ''")
+    # known triples go where the triples are made distinct; what is left is written, so that two moves at most are on disk at once
+    unknown = kept(differ.withColumn("predicate", T.resolve_relation_type(c("predicate"))).distinct().join(edges, keys, "left_anti"))
     fresh = (
-        differ.withColumn("predicate", T.resolve_relation_type(c("predicate"))).distinct()
-        .join(names.withColumnRenamed("name", "subject"), "subject", "left_semi")
-        .join(names.withColumnRenamed("name", "object"), "object", "left_semi")
-        .join(edges, keys, "left_anti")
+        unknown.join(names.withColumnRenamed("name", "subject"), "subject", "left_semi")
+        .join(names.withColumnRenamed("name", "object"), "object", "left_semi").select(*keys)
     )
     return edges.unionByName(fresh.withColumn("created_at", F.lit(stamp).cast("timestamp")))
 

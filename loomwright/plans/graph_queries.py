@@ -13,7 +13,7 @@ from loomwright.operators import graph as G
 from loomwright.operators import traversal as TR
 from loomwright.plans import sqlkit as S
 from loomwright.plans.registry import query
-from loomwright.session import cut_lineage, tasks_for
+from loomwright.session import cut_lineage, dealt, kept, tasks_for
 from loomwright.sources import snapshots as SN
 from loomwright.sources.splits import spread
 
@@ -440,14 +440,37 @@ def _(t):
 
 # --- assembly: one extraction unit per order -----------------------------------------------------------------------
 
-def units(t):
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_tax"]
+
+
+def unit_rows(lines, t, tasks=None):
+    """The distinct rows of the units of ``lines``. With ``tasks`` they are dealt by unit before the wide texts are formed."""
     kind = F.when(c("p_type") == "ECONOMY", " 症状 ").when(c("p_type") == "SMALL", "Medicine").when(c("p_type") == "PROMO", "手术").otherwise(c("p_type"))
     firm = F.when(c("l_suppkey") % 7 == 0, "患者").when(c("l_suppkey") % 11 == 0, "12.5 - 3").otherwise(F.expr("'Ｓupplier　　' || l_suppkey"))
-    return spread(t.lineitem).join(t.part, c("l_partkey") == c("p_partkey")).join(t.orders, c("l_orderkey") == c("o_orderkey")).select(
-        c("l_orderkey").cast("string").alias("unit_id"), F.expr("l_linenumber * 1000000000L + l_partkey * 10000 + l_suppkey").alias("line"), F.expr("'Customer ' || o_custkey").alias("buyer"),
+    sold = lines.select(*LINE).join(t.part.select("p_partkey", "p_name", "p_type"), c("l_partkey") == c("p_partkey")).drop("p_partkey")
+    unit = c("l_orderkey").cast("string").alias("unit_id")
+    bought = t.orders.select("o_orderkey", "o_custkey")
+    if tasks:
+        joined = sold.select("*", unit).repartition(tasks, "unit_id").join(bought.select(c("o_orderkey").cast("string").alias("unit_id"), "o_custkey"), "unit_id")
+    else:
+        joined = sold.join(bought, c("l_orderkey") == c("o_orderkey")).select("*", unit)
+    return joined.select(
+        "unit_id", F.expr("l_linenumber * 1000000000L + l_partkey * 10000 + l_suppkey").alias("line"), F.expr("'Customer ' || o_custkey").alias("buyer"),
         F.when(c("l_suppkey") % 2 == 0, F.translate("p_name", "abc", "ａｂｃ")).otherwise(F.upper("p_name")).alias("item"), kind.alias("kind"), firm.alias("firm"), "l_returnflag", "l_linestatus", "l_tax").distinct()
 
 
+def unit_parts(t):
+    """The extraction units as (rows, tasks): those of ordinary units dealt by unit to ``tasks``, where every later step of a
+    unit finds them, and, if there are any, those of units with very many lines, which are spread (tasks: none)."""
+    tasks = tasks_for(t.lineitem)
+    sizes = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    many = cut_lineage(sizes.filter(c("n") > A.UNIT_ROWS // 3).select("l_orderkey"))  # a line gives three rows
+    if many.isEmpty():
+        return [(dealt(unit_rows(t.lineitem, t, tasks), ["unit_id"], tasks), tasks)]
+    few = unit_rows(t.lineitem.join(many, "l_orderkey", "left_anti"), t, tasks)
+    return [(dealt(few, ["unit_id"], tasks), tasks), (kept(unit_rows(t.lineitem.join(many, "l_orderkey", "left_semi"), t)), None)]
+
+
 UNITS = """u AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS unit_id, l_linenumber * 1000000000::BIGINT + l_partkey * 10000 + l_suppkey AS line, 'Customer ' || o_custkey AS buyer,
  CASE WHEN l_suppkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS item, CASE p_type WHEN 'ECONOMY' THEN 'Symptom' WHEN 'SMALL' THEN 'Medicine' WHEN 'PROMO' THEN 'Surgery' ELSE 'Disease' END AS kind,
  CASE WHEN l_suppkey % 7 = 0 THEN '患者' WHEN l_suppkey % 11 = 0 THEN '12.5 - 3' ELSE 'Supplier ' || l_suppkey END AS firm, l_returnflag, l_linestatus, l_tax
@@ -485,14 +508,14 @@ def raw_relations(u):
     return u.select("unit_id", F.inline(rows))
 
 
-def validated(t, written=False):
-    u = cut_lineage(units(t))
-    return A.validate(raw_entities(u), raw_relations(u), written)
+def validated(t, written=False, parts=None):
+    found = [A.validate(raw_entities(u), raw_relations(u), written, tasks) for u, tasks in parts or unit_parts(t)]
+    return tuple(reduce(DataFrame.unionByName, tables) for tables in zip(*found))
 
 
 @query("kg1_entities", f"WITH {UNITS} SELECT unit_id, pos, name, type, description FROM good")
 def _(t):
-    return A.valid_entities(A.classify_entities(raw_entities(units(t))))
+    return reduce(DataFrame.unionByName, [A.valid_entities(A.classify_entities(raw_entities(u))) for u, _ in unit_parts(t)])
 
 
 @query("kg2_relation_reasons", f"WITH {UNITS} SELECT unit_id, reason, count(*) AS n FROM cls GROUP BY ALL")
@@ -553,11 +576,11 @@ SELECT s AS subject, p AS predicate, o AS object, TIMESTAMP '2024-01-01' AS crea
 def _(t):
     from loomwright.functions import text as T
 
-    u = cut_lineage(units(t))
-    _, entities, _, triples = A.validate(raw_entities(u), raw_relations(u), True)
+    parts = unit_parts(t)
+    _, entities, _, triples = validated(t, True, parts)
     # read for the edges kept and for those not to be added again
-    old = cut_lineage(triples.filter("predicate = 'TREATED_BY'").select("subject", "predicate", "object").distinct().withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
-    incoming = raw_relations(u).select(T.normalize_name(c("subject")).alias("subject"), "predicate", T.normalize_name(c("object")).alias("object"))
+    old = kept(triples.filter("predicate = 'TREATED_BY'").select("subject", "predicate", "object").distinct().withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
+    incoming = raw_relations(reduce(DataFrame.unionByName, [u for u, _ in parts])).select(T.normalize_name(c("subject")).alias("subject"), "predicate", T.normalize_name(c("object")).alias("object"))
     return A.upsert_edges(old, incoming, entities.filter("type <> 'Medicine'"), "2024-02-01")
 
 
